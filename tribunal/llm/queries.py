@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, token_counts
+from . import decontamination, packing, quality, secrets, token_counts
 
-_MODULES = (packing, quality, secrets, token_counts)
+_MODULES = (decontamination, packing, quality, secrets, token_counts)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

@@ -8,7 +8,7 @@ Null text: empty, no spans. Repeated rows each get their row; columns other than
 
 from __future__ import annotations
 
-import hashlib
+
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -167,8 +167,9 @@ def _joined(spans):
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
-    count = {r.kind: F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE}
-    return found.select("doc_id", *count.values(), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}

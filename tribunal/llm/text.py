@@ -48,7 +48,7 @@ class Runs:
         n = len(self._sum) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self._sum[k:] - self._sum[:-k]) * self._inv[:n] + np.uint64(k) * _T[0])
+        return mix((self._sum[k:] - self._sum[:-k]) * self._inv[:n] + np.uint64(k * int(_T[0]) % (1 << 64)))
 
 
 def byte_units(data: np.ndarray) -> np.ndarray:
