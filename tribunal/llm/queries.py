@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts
+from . import chat, decontamination, jaccard, lm_scores, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts
 
-_MODULES = (decontamination, jaccard, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts)
+_MODULES = (chat, decontamination, jaccard, lm_scores, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
