@@ -105,7 +105,9 @@ def marked(groups: DataFrame, spec: Repeats) -> DataFrame:
 
 RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
 _DOC = f"{RESULT}, tid long, z binary, removed array<long>"
-_WINDOW = "a long, w long, start long, judged boolean"
+#: ref: a window's start, with tid (which tells texts of one doc_id apart) and whether it is judged in the higher bits.
+_WINDOW = "a long, w long, ref long"
+_JUDGED, _TID, _START = 1 << 62, 40, (1 << 40) - 1
 
 
 def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, text: bool) -> tuple:
@@ -125,7 +127,7 @@ def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, tex
 
 
 def _tid(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little")
 
 
 def _resolver(spec: Repeats, text: bool, arrow_schema):
@@ -135,9 +137,8 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
         arrays = [pa.concat_arrays([pa.array(c, f.type), pa.nulls(m, f.type)]) for c, f in zip(cols, list(arrow_schema)[:9], strict=True)]
         if m:
             w = [np.concatenate(x) for x in zip(*wins, strict=True)]
-            ids, tids = pa.array(w[0]), pa.array(w[1])
-            arrays[0], arrays[6] = (pa.concat_arrays([pa.array(c, pa.int64()), x]) for c, x in ((cols[0], ids), (cols[6], tids)))
-            more = [pa.concat_arrays([pa.nulls(n, f.type), pa.array(x, f.type)]) for x, f in zip(w[2:], list(arrow_schema)[9:], strict=True)]
+            arrays[0] = pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(w[0])])
+            more = [pa.concat_arrays([pa.nulls(n, f.type), pa.array(x, f.type)]) for x, f in zip(w[1:], list(arrow_schema)[9:], strict=True)]
         else:
             more = [pa.nulls(n, f.type) for f in list(arrow_schema)[9:]]
         return pa.RecordBatch.from_arrays([*arrays, *more], schema=arrow_schema)
@@ -175,7 +176,7 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
                         unclear = np.repeat((got[ask] & UNCLEAR) > 0, many)
                         judged = bool(unclear.any())
                         w = runs.of(start, start + spec.window).view(np.int64)
-                        wins.append((np.full(len(w), doc), np.full(len(w), tid), np.repeat(a[ask], many).view(np.int64), w, start, unclear))
+                        wins.append((np.full(len(w), doc), np.repeat(a[ask], many).view(np.int64), w, start | (tid << _TID) | np.where(unclear, _JUDGED, 0)))
                 if judged:
                     s, e = intervals(mask)
                     docs.append((doc, n, None, None, None, None, tid, z, np.column_stack((s, e)).ravel().tolist()))
@@ -217,14 +218,16 @@ def remove_repeats(docs: DataFrame, spec: Repeats, groups: DataFrame | None = No
     from pyspark.sql.types import StructType
 
     own = keyed(docs)
-    marks = marked(group_rows(own, spec) if groups is None else groups, spec)
+    marks = staged(marked(group_rows(own, spec) if groups is None else groups, spec), "marks")
     schema = f"{_DOC}, {_WINDOW}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     seen = staged(compressed(own).drop("n_bytes").join(marks, "doc_id", "left").mapInArrow(_resolver(spec, text, arrow), schema), "resolved")
-    wins = seen.where("w IS NOT NULL").select("doc_id", "tid", "a", "w", "start", "judged")
+    wins = seen.where("w IS NOT NULL").select("doc_id", "a", "w", "ref").repartition("a")
     by = Window.partitionBy("a", "w")
     again = F.min("doc_id").over(by) < F.col("doc_id") if spec.first_stays else F.count(F.lit(1)).over(by) > 1
-    starts = wins.withColumn("again", again).where("judged AND again").groupBy("doc_id", "tid").agg(F.collect_list("start").alias("starts"))
+    starts = wins.withColumn("again", again).where((F.col("ref") >= _JUDGED) & F.col("again"))
+    starts = starts.select("doc_id", F.shiftright("ref", _TID).bitwiseAND(F.lit((1 << 16) - 1)).alias("tid"), F.col("ref").bitwiseAND(F.lit(_START)).alias("start"))
+    starts = starts.groupBy("doc_id", "tid").agg(F.collect_list("start").alias("starts"))
     asked = seen.where("z IS NOT NULL").select("doc_id", "tid", "z", "removed").join(starts, ["doc_id", "tid"], "left")
     done = asked.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, shared_dir, table
+from .common import keyed, shared_dir, table, write
 from .repeats import Repeats, group_rows, remove_repeats
 
 WORDS = Repeats("word", 35, 8, first_stays=False)
@@ -28,7 +28,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.repartition("a").sortWithinPartitions("a", "h").write.parquet(folder)
+        write(rows.repartition("a").sortWithinPartitions("a", "h"), folder)
         return folder
 
     def add(self, docs: DataFrame) -> None:

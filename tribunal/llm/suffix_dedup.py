@@ -18,10 +18,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table
+from .common import keyed, table, write
 from .repeats import Repeats, group_rows, remove_repeats
 
-BYTES = Repeats("byte", 50, 16, first_stays=True)
+BYTES = Repeats("byte", 50, 20, first_stays=True)
 
 
 class SuffixLevels:
@@ -32,7 +32,7 @@ class SuffixLevels:
 
     def _write(self, rows: DataFrame) -> tuple[int, str]:
         folder = f"{self.path}/level-{uuid.uuid4().hex}"
-        rows.repartition("a").sortWithinPartitions("a", "h").write.parquet(folder)
+        write(rows.repartition("a").sortWithinPartitions("a", "h"), folder)
         return self.spark.read.parquet(folder).count(), folder
 
     def rows(self) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, decompressed, shared_dir, table, utf8
+from .common import chunks, decompressed, shared_dir, table, utf8, write
 from .tokens import PieceCache, spaced_parts, split_before_spaces, tokenizer_path
 
 CACHE = "version string, digest binary, n_tokens long"
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
         missing = missing.join(known.where(F.col("version") == version).select("digest"), "digest", "left_anti")
     texts = missing.mapInArrow(_first_copies, "digest binary, z binary")
     counts = texts.repartition("digest").mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
-    counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    write(counts.select(F.lit(version).alias("version"), "digest", "n_tokens"), cache_path, "append")
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens")
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest", "left").drop("digest")
 
