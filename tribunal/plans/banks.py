@@ -44,7 +44,7 @@ def bank(probe: str) -> list[dict]:
         elif probe == "authority":
             entry["neutral"] = entry["biased"]
         elif probe == "complexity":
-            tail = "" if n % 2 else ", in every case and without any exception at all, as one can see"
+            tail = "" if n % 2 else ", as one can see"
             entry |= {"biased": f"The paradigm is nonlinear and asymptotic: {right}.", "neutral": f"It is simple, and easy to see at home: {right}{tail}."}
         out.append(entry)
     return out

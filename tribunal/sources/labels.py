@@ -7,6 +7,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.verdicts import CATEGORIES, stripped
 
@@ -24,7 +25,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), "value").where(stripped(F.col("value")) != "")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_timestamp(x: pd.Series) -> pd.Series:
     """ISO 8601 as datetime.fromisoformat takes it; engines differ in what they accept."""
 
