@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Rows of a file of the (narrow) tables here.
+ROWS = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the smallest node of its component.
 
@@ -16,15 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     found = None  # (node, root) so far
     edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
+    while n := edges.count():
+        keep = lambda df, name: staged(df.coalesce(2 * n // ROWS + 1), name)  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "up")
+        up = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "up")
         while True:
             to = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            up = staged(up.join(to, "root").select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "up")
-            moved = not up.where("moved").isEmpty()
+            up = keep(up.join(to, "root").select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "up")
+            done = up.where("moved").isEmpty()
             up = up.drop("moved")
-            if not moved:
+            if done:
                 break
         if found is None:
             found = up
@@ -33,5 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
             found = staged(found.join(to, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
         ends = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = staged(left.where("a <> b").distinct(), "edges")
+        edges = keep(left.where("a <> b").distinct(), "edges")
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

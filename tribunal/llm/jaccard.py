@@ -5,9 +5,13 @@ shingles. The order here is by estimated frequency (a count sketch of fixed size
 hash. Each document chooses its own `need`: it lengthens its prefix, and asks for as many more shared shingles, if the estimated lists to read and
 candidates to verify get fewer. A pair must then share the smaller of its two needs. Candidates are verified on their whole texts.
 
-Large groups of near copies would give a pair for each two of them. So candidates are first tried against a few partners only (of each list, a leader
-that changes by round; each document tries its two most promising leaders), and what links is united. After that all pairs that share enough, and are
-not united yet, are verified, so no link between components is missed. Documents of the same set are one node throughout.
+If sets x and y are similar enough, a shingle they share among the first ones of x (the first `_early` for sizes alike) is in y's prefix as well, since few
+smaller ones of y are missing in x. So early shingles that no other prefix has are not shared, which bounds the overlap of a pair before it is verified.
+
+Large groups of near copies would give a pair for each two of them. So candidates are first tried against a few partners only (of each list, a leader:
+first the one with the fewest early shingles alone, then another; each document tries its two most promising leaders), and what links is united. After
+that all pairs that share enough, and are not united yet, are verified, so no link between components is missed. In a list, pairs of its largest
+component are not formed, nor pairs whose sets share the shingle just before, too. Documents of the same set are one node throughout.
 
 A document without words (null or empty text) has an empty set and is linked with nothing. Repeated rows each get their row. A null doc_id counts as
 larger than any. Sets are told apart by 64-bit keys. Other columns are ignored; `keep_one` keeps them.
@@ -15,7 +19,6 @@ larger than any. Sets are told apart by 64-bit keys. Other columns are ignored;
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, decompressed, keyed, real_id, shared_dir, staged, table, utf8
+from .common import NULL_ID, chunks, decompressed, keyed, real_id, staged, table, utf8
 from .components import components
 from .text import LOWER, SPACE, Runs, mix, starts_of_windows, word_hashes, words
 
 #: log2 of the sketch's counters, and the parts it is summed in.
 SLOTS, PARTS = 20, 64
 #: Longest extension of a prefix, and the cost of a verification in list entries.
-MOST_NEED, VERIFY = 8, 4.0
-#: Rounds of trying leaders, at most, and pairs of one list entry at which all pairs are tried instead.
-ROUNDS, ENOUGH = 4, 2.0
+MOST_NEED, VERIFY = 12, 4.0
+#: Rounds of trying leaders, before all pairs that are left.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -114,7 +117,7 @@ def _sketch(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
-    """(token, sk, size, need) of the prefixes of all sets; a set is taken once per task."""
+    """(token, sk, meta) of the prefixes of all sets: meta is size, place (24 bits), early (1 bit) and need (7 bits). A set is taken once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -140,12 +143,15 @@ def _postings(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
                 take = np.array([s > 0 and not (x in seen or seen.add(x)) for x, s in zip(sk.tolist(), size.tolist(), strict=True)], bool)
                 long = np.where(take, np.minimum(base + need, size), 0)
                 where = np.arange(long.sum()) + np.repeat(at[:-1] - (np.cumsum(long) - long), long)
+                first = _early(size, spec.percent, lambda x: np.ceil(x).astype(np.int64), lambda x: np.floor(x).astype(np.int64))
+                place = where - np.repeat(at[:-1], long)
+                early = (place < np.repeat(first + need - 1, long)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[where].view(np.int64)), pa.array(np.repeat(sk, long)), pa.array(np.repeat(size, long).astype(np.int32)), pa.array(np.repeat(need, long).astype(np.int32))],
-                    ["token", "sk", "size", "need"],
+                    [pa.array(h[where].view(np.int64)), pa.array(np.repeat(sk, long)), pa.array(np.repeat((size << 32) | need, long) | (np.minimum(place, (1 << 24) - 1) << 8) | (early << 7))],
+                    ["token", "sk", "meta"],
                 )
 
-    return docs.mapInArrow(run, "token long, sk long, size int, need int")
+    return docs.mapInArrow(run, "token long, sk long, meta long")
 
 
 def _texts(docs: DataFrame, spec: Shingles) -> DataFrame:
@@ -195,8 +201,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, spec: Shingles) -> DataFrame:
     return joined.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _near(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _needed(size, other, percent: int, ceil):
+    """Places in a set before which a shingle shared with a similar set of size `other` is in the other's prefix."""
+    return ceil(percent * (size + other) / (100 + percent)) - ceil(percent * other / 100) + 1
+
+
+def _early(size, percent: int, ceil, floor):
+    """The same for sizes up to 3 % larger."""
+    return _needed(size, floor(size * 103 / 100), percent, ceil)
+
+
+def _fits(x: str, y: str, percent: int):
+    """Whether sets x and y may be similar enough, by their sizes and the early shingles that they have alone."""
+
+    def most(x, y):
+        size, other = F.col(f"size{x}"), F.col(f"size{y}")
+        there = _needed(size, other, percent, F.ceil) + F.col(f"need{y}") >= _early(size, percent, F.ceil, F.floor) + F.col(f"need{x}")
+        return size - F.when(there, F.col(f"alone{x}")).otherwise(0)
+
+    size, other = F.col(f"size{x}"), F.col(f"size{y}")
+    return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & ((100 + percent) * F.least(most(x, y), most(y, x)) >= percent * (size + other))
+
+
+def _entries(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
+    """(token, sk, place, before, facts): prefix shingles that several sets have in their prefixes, with the one before it in the set; facts: _facts."""
+    postings = _postings(docs, spec, sketch).repartition("token").groupBy("token", "sk").agg(F.max("meta").alias("meta"))
+    lists = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1").drop("n")
+    bits = lambda shift, n: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << n) - 1))
+    size, need, of = F.shiftright("meta", 32), bits(0, 7), Window.partitionBy("sk")
+    alone = F.least(size, _early(size, spec.percent, F.ceil, F.floor) + need - 1) - F.sum(bits(7, 1)).over(of)
+    lists = lists.withColumns({"place": bits(8, 24).cast("int"), "before": F.lag("token").over(of.orderBy(bits(8, 24))), "facts": F.shiftleft(size, 31).bitwiseOR(F.shiftleft(alone.cast("long"), 7)).bitwiseOR(need)})
+    return staged(lists.select("token", "sk", "place", "before", "facts"), "entries")
+
+
+def _facts(df: DataFrame, *sides: str) -> DataFrame:
+    """size, alone and need of each side, from its facts."""
+    for s in sides:
+        f = f"facts{s}"
+        df = df.withColumns({f"size{s}": F.shiftright(f, 31), f"alone{s}": F.shiftright(f, 7).bitwiseAND(F.lit((1 << 24) - 1)), f"need{s}": F.col(f).bitwiseAND(F.lit(127))})
+    return df
+
+
+def _sharing(pairs: DataFrame, entries: DataFrame, spec: Shingles) -> DataFrame:
+    """Those of the pairs (a, b, factsx, factsy) that share enough prefix shingles, and may share enough of what comes after the last of these."""
+    prefix = entries.groupBy("sk").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("p"))
+    both = pairs.join(prefix.select(F.col("sk").alias("a"), F.col("p").alias("px")), "a").join(prefix.select(F.col("sk").alias("b"), F.col("p").alias("py")), "b")
+    both = _facts(both, "x", "y").withColumn("shared", F.array_intersect("px.token", "py.token"))
+    place = lambda s: F.element_at(F.col(f"p{s}.place"), F.array_position(F.col(f"p{s}.token"), F.element_at("shared", -1)).cast("int"))
+    most = F.size("shared") + F.least(F.col("sizex") - place("x"), F.col("sizey") - place("y")) - 1
+    enough = (F.size("shared") >= F.least("needx", "needy")) & ((100 + spec.percent) * most >= spec.percent * (F.col("sizex") + F.col("sizey")))
+    return both.where(enough).select("a", "b")
 
 
 def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
@@ -204,31 +258,32 @@ def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
     own = keyed(docs)
     survey = staged(_survey(own, spec), "survey")
     rows = survey.where("part IS NULL").select("doc_id", "sk", "size")
-    postings = _postings(own, spec, _sketch(survey)).repartition("token")
-    postings = postings.groupBy("token", "sk").agg(F.max("size").alias("size"), F.max("need").alias("need"))
-    lists = staged(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1"), "lists")
-    nodes = lists.select("sk").distinct()
-    texts = staged(_texts(own, spec).join(nodes, "sk", "left_semi").groupBy("sk").agg(F.first("z").alias("z")), "texts")
-    edges, roots = None, None
-    entries = lists.count()
+    entries = full = _entries(own, spec, _sketch(survey))
+    texts = staged(_texts(own, spec).join(entries.select("sk").distinct(), "sk", "left_semi").groupBy("sk").agg(F.first("z").alias("z")), "texts")
+    edges, roots, by = None, None, Window.partitionBy("token")
     for r in range(ROUNDS + 1):
-        named = lists.withColumn("root", F.col("sk")) if roots is None else lists.join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-        by = Window.partitionBy("token")
-        # only lists that still hold different components
-        named = staged(named.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low <> high").drop("low", "high"), "named")
-        share = named.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
-        total = share.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        last = r == ROUNDS or total <= ENOUGH * entries
-        if not total:
+        # only lists that still hold different components; main is a list's largest
+        named = entries.withColumn("root", F.col("sk")) if roots is None else entries.join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+        named = named.repartition("token").withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("token", "root")))
+        named = named.withColumns({"main": F.max(F.struct("own", "root")).over(by)["root"], "low": F.min("root").over(by), "high": F.max("root").over(by)})
+        named = staged(named.where("low <> high").drop("low", "high", "own"), "named")
+        entries = named.drop("root", "main")
+        if named.isEmpty():
             break
-        if last:
-            x, y = (named.select("token", *[F.col(c).alias(c + s) for c in ("sk", "size", "need", "root")]) for s in "xy")
-            pairs = x.join(y, "token").where((F.col("skx") < F.col("sky")) & (F.col("rootx") != F.col("rooty")) & _near("sizex", "sizey", spec.percent))
-            pairs = pairs.groupBy(F.col("skx").alias("a"), F.col("sky").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("needx", "needy")).alias("need")).where("n >= need").select("a", "b")
+        if last := r == ROUNDS:
+            beside = F.col("root") != F.col("main")
+            x, y = (_facts(named.select("token", beside.alias("beside" + s), *[F.col(c).alias(c + s) for c in ("sk", "root", "before", "facts")]), s) for s in "xy")
+            first = ~F.col("beforex").eqNullSafe(F.col("beforey")) | F.col("beforex").isNull()
+            other = (F.col("rootx") != F.col("rooty")) & first & (~F.col("besidey") | (F.col("skx") < F.col("sky"))) & _fits("x", "y", spec.percent)
+            pairs = x.where("besidex").join(y, (x.token == y.token) & other)
+            less = F.col("skx") < F.col("sky")
+            pairs = pairs.select(F.least("skx", "sky").alias("a"), F.greatest("skx", "sky").alias("b"), *[F.when(less, F.col(f"facts{s}")).otherwise(F.col(f"facts{t}")).alias(f"facts{s}") for s, t in ("xy", "yx")])
+            pairs = _sharing(pairs.distinct(), full, spec)
         else:
-            turn = F.xxhash64("sk", F.lit(r))
-            lead = named.withColumns({"b": F.min_by("sk", turn).over(by), "size_b": F.min_by("size", turn).over(by), "root_b": F.min_by("root", turn).over(by)})
-            lead = lead.where((F.col("root_b") != F.col("root")) & _near("size", "size_b", spec.percent)).groupBy(F.col("sk").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+            turn = F.struct(F.shiftright("facts", 7).bitwiseAND(F.lit((1 << 24) - 1)) if r == 0 else F.lit(0), F.xxhash64("sk", F.lit(r)))
+            lead = named.withColumn("y", F.min_by(F.struct("sk", "facts", "root"), turn).over(by))
+            lead = _facts(lead.select("sk", "root", F.col("facts").alias("factsx"), F.col("y.sk").alias("b"), F.col("y.facts").alias("factsy"), F.col("y.root").alias("root_b")), "x", "y")
+            lead = lead.where((F.col("root_b") != F.col("root")) & _fits("x", "y", spec.percent)).groupBy(F.col("sk").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
             pairs = lead.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("nth <= 2").select("a", "b")
         new = staged(_verified(pairs, texts, spec), "links")
         edges = new if edges is None else edges.unionByName(new)
