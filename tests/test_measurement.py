@@ -124,12 +124,18 @@ def test_trip_matrix(spark, items):
         assert got[judge, probe].tripped and got[judge, probe].rate == 1.0, (probe, judge)
     for probe in PROBES:
         if probe != "position":
-            assert not got["neutral_hash", probe].tripped and not got["neutral_alternating", probe].tripped, probe
+            assert not got["neutral_alternating", probe].tripped, probe
     assert not any(got["always_first", p].tripped for p in PROBES if p != "position")
     grade = {r.judge: r for r in battery.grades(battery.probe_results(battery.probe_counts(judged))).collect()}
     assert grade["always_first"].grade == "NEEDS ATTENTION" and grade["always_first"].n_probes == 9
 
 
+def test_hashed_judge_follows_no_side(spark):
+    many = probes.generate_items(probes.bank_frame(spark), 4000, seed=1)
+    counts = battery.probe_counts(judges.judged(many, ("neutral_hash",)).withColumn("verdict", F.col("raw")))
+    assert all(abs(r.events / r.n_valid - 0.5) < 0.05 for r in counts.collect())
+
+
 def test_items(spark, items):
     count = {(r.probe, r.bias_side): r.n for r in items.groupBy("probe", "bias_side").agg(F.count("*").alias("n")).collect()}
     for p in PROBES:
@@ -328,3 +334,25 @@ def test_stream(spark, tmp_path):
     batch = windowed_counts(df.unionByName(df.limit(30)))
     assert batch.agg(F.sum("n_items")).first()[0] == 220
     assert seen and any(r.alert for r in seen)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tribunal.cli import main
+
+    p = str(tmp_path)
+    assert main(["list-probes"]) == 0 and "halo" in capsys.readouterr().out
+    judge = ["--judge", "always_first", "--probes", "position,halo", "--n", "30", "--seed", "1"]
+    assert main(["run", *judge, "--out", f"{p}/r.json"]) == 1
+    main(["protocol-freeze", "--probes", "position,halo", "--n", "30", "--seed", "1", "--out", f"{p}/p.json"])
+    assert main(["protocol-verify", "--protocol", f"{p}/p.json", "--report", f"{p}/r.json"]) == 0
+    main(["export-labeling-set", "--probes", "halo", "--n", "10", "--out", f"{p}/set"])
+    spark.read.json(f"{p}/set/blinded").select("labeling_id", F.lit("A").alias("label"), F.lit(3).alias("confidence")).write.json(f"{p}/replies")
+    main(["import-labels", "--sealed", f"{p}/set/sealed", "--replies", f"{p}/replies", "--labeler", "ann", "--ts", "2024-01-01", "--out", f"{p}/labels"])
+    (tmp_path / "l.jsonl").write_text("".join(r.value + "\n" for r in spark.read.text(f"{p}/labels").collect()))
+    for command in ("calibrate", "calibrate-multi"):
+        main([command, "--labels", f"{p}/l.jsonl", "--report", f"{p}/r.json", "--judge", "always_first", "--out", f"{p}/c.json"])
+        assert json.loads((tmp_path / "c.json").read_text())[0]["tp"] == 10
+    for k, name in enumerate(("always_first", "neutral_alternating"), 1):
+        main(["drift-snapshot", "--judge", name, *judge[2:], "--ledger", f"{p}/ledger", "--ts", f"2024-01-0{k}"])
+    main(["drift-baseline", "--ledger", f"{p}/ledger", "--id", "1", "--ts", "2024-01-03"])
+    assert main(["drift-report", "--ledger", f"{p}/ledger"]) in (0, 1)
