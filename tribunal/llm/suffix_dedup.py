@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import keyed, table, write
 from .repeats import Repeats, group_rows, remove_repeats
 
-BYTES = Repeats("byte", 50, 20, first_stays=True)
+BYTES = Repeats("byte", 50, 24, first_stays=True)
 
 
 class SuffixLevels:
