@@ -25,6 +25,13 @@ def _items(spark, a):
     entries = probes.bank_frame(spark, names, load_banks(a.banks) if a.banks else None)
     if (bad := probes.broken_guards(entries).first()) is not None:
         raise SystemExit(f"{bad.probe}, entry {bad.bank_idx}: {bad.broken}")
+    if (bad := probes.unbalanced(entries).first()) is not None:
+        raise SystemExit(f"{bad.probe}: the jargon side is the longer one in {bad.n_longer} of {bad.n} entries")
+    if a.n is None and getattr(a, "replay", None):
+        a.n, left = divmod(labels.read_replay(spark, *a.replay).count(), len(names))
+        if left:
+            raise SystemExit("the recorded prompts don't divide evenly among the probes")
+    a.n = 30 if a.n is None else a.n
     return probes.generate_items(entries, a.n, a.seed, a.policy)
 
 
@@ -55,13 +62,13 @@ def list_probes(spark, a):
 
 def run(spark, a):
     verdicts, results = _run(spark, a)
-    Path(a.out).write_text(reports.reports(results, verdicts).first().report)
+    Path(a.out).write_text(reports.reports(battery.with_reasons(results), verdicts).first().report)
     print(reports.markdown(results, a.judge))
     return 0 if battery.grades(results).first().grade == "PASS" else 1
 
 
 def protocol_freeze(spark, a):
-    print(protocols.freeze(a.out, probes={p: "1.0.0" for p in (a.probes.split(",") if a.probes else PROBES)}, n=a.n, seed=a.seed)["sha256"])
+    print(protocols.freeze(a.out, probes={p: "1.0.0" for p in (a.probes.split(",") if a.probes else PROBES)}, n=a.n or 30, seed=a.seed)["sha256"])
 
 
 def protocol_verify(spark, a):
@@ -130,7 +137,7 @@ def main(argv=None) -> int:
         return p
 
     out, ts, ledger = ("--out", {"required": True}), ("--ts", {"required": True}), ("--ledger", {"required": True})
-    made = [("--probes", {"default": ""}), ("--banks", {"default": ""}), ("--n", {"type": int, "default": 30}), ("--seed", {"type": int, "default": 0}), ("--policy", {"choices": ["hash", "python"], "default": "hash"})]
+    made = [("--probes", {"default": ""}), ("--banks", {"default": ""}), ("--n", {"type": int, "default": None}), ("--seed", {"type": int, "default": 0}), ("--policy", {"choices": ["hash", "python"], "default": "hash"})]
     judged = [*made, ("--judge", {"required": True}), ("--interface", {"choices": ["chat", "messages"], "default": "chat"}), ("--url", {"default": ""}), ("--key", {"default": ""}), ("--replay", {"nargs": 2, "metavar": ("BLINDED", "VERDICTS"), "default": None})]
     scored = [("--labels", {"nargs": "+", "required": True}), ("--report", {"required": True}), ("--judge", {"required": True}), out]
     command("list-probes", list_probes)

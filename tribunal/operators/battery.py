@@ -37,6 +37,14 @@ def probe_results(counts: DataFrame, alpha: float = ALPHA, min_n: int = MIN_N, t
     return out.withColumns({"tripped": F.col("tripped") & ~void, "inconclusive": F.col("inconclusive") | void})
 
 
+def with_reasons(results: DataFrame, alpha: float = ALPHA, min_n: int = MIN_N, invalid_bar: float = INVALID_BAR) -> DataFrame:
+    """Adds a reason for each result, for readers."""
+    few = F.format_string(f"n_valid=%d < min_n={min_n}", "n_valid")
+    tested = F.format_string(f"p=%s %s alpha={alpha}", F.round("p_value", 6).cast("string"), F.when(F.col("p_value") < alpha, "<").otherwise(">="))
+    void = F.when(F.col("invalid_rate") > invalid_bar, F.format_string(f"invalid_rate=%s > {invalid_bar}", F.round("invalid_rate", 4).cast("string")))
+    return results.withColumn("reason", F.concat_ws("; ", F.when(F.col("n_valid") < min_n, few).otherwise(tested), void))
+
+
 def grades(results: DataFrame, by=("judge",)) -> DataFrame:
     """FAIL from two trips on, NEEDS ATTENTION at one; else INCONCLUSIVE if some probe is, else PASS."""
     out = results.groupBy(*by).agg(F.count(F.lit(1)).alias("n_probes"), F.count_if("tripped").alias("n_tripped"), F.count_if(F.col("inconclusive") & ~F.col("tripped")).alias("n_open"))

@@ -40,6 +40,12 @@ def broken_guards(entries: DataFrame) -> DataFrame:
     return entries.withColumn("broken", checks).where("broken IS NOT NULL")
 
 
+def unbalanced(entries: DataFrame) -> DataFrame:
+    """Banks in which jargon goes along with length: the jargon side must be the longer one in a third to two thirds of the entries."""
+    share = entries.where("probe = 'complexity'").groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("biased") > F.length("neutral")).alias("n_longer"))
+    return share.where("3 * n_longer < n OR 3 * n_longer > 2 * n")
+
+
 def _drawn(asked: DataFrame, n: int) -> DataFrame:
     """Sides from Python's generator, one draw per item in order: one sequence per (probe, seed)."""
 

@@ -24,6 +24,16 @@ LABELS = """SELECT d.lang AS probe, concat(d.lang, '-', CAST(l.doc_id AS STRING)
          WHEN l.toxic = 1 THEN 'TIE' WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS label, CAST(1 + (l.doc_id * r.r) % 3 AS INT) AS confidence
     FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE r.r < 3 OR l.doc_id % 2 = 0"""
 
+#: Lines of a label file, some of them wrong.
+LABEL_LINES = f"""SELECT 'labels' AS file, item_no AS line_no, item_no % 9 AS fault, CASE WHEN item_no % 9 = 7 THEN concat(chr(123), 'oops') ELSE concat(chr(123), '"item_id": "', item_id, '", "label": "',
+    CASE WHEN item_no % 9 = 0 THEN 'C' ELSE label END, '", "labeler_id": "', CASE WHEN item_no % 9 = 1 THEN ' ' ELSE labeler_id END, '", "timestamp": "', CASE WHEN item_no % 9 = 2 THEN 'never' ELSE '2024-05-01T10:00:00' END, '"',
+    CASE item_no % 9 WHEN 3 THEN ', "confidence": 1.0' WHEN 4 THEN ', "confidence": null' WHEN 5 THEN ', "probe": ""' WHEN 6 THEN ', "confidence": 3' ELSE '' END, chr(125)) END AS value
+    FROM ({LABELS}) l WHERE labeler_id = 'rater1'"""
+
+#: A bank of entries per language: the longer and the shorter text of a pair.
+BANK = f"""SELECT probe, row_number() OVER (PARTITION BY probe ORDER BY item_no) - 1 AS bank_idx, question, CASE WHEN bias_side = 'A' THEN answer_a ELSE answer_b END AS biased,
+    CASE WHEN bias_side = 'A' THEN answer_b ELSE answer_a END AS neutral, CAST(NULL AS STRING) AS belief FROM ({ITEMS}) i"""
+
 #: One verdict per document, with every seventh missing; some invalid.
 VERDICTS = """SELECT 'steady' AS judge, lang AS probe, concat(lang, '-', CAST(doc_id AS STRING)) AS item_id, doc_id AS item_no,
     CASE WHEN doc_id % 13 = 0 THEN 'INVALID' WHEN doc_id % 5 = 0 THEN 'TIE' WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END AS verdict FROM {documents} WHERE doc_id % 7 <> 0"""

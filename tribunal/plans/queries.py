@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.verdicts import is_event, parse_verdict, probe_of, unswap
-from ..operators import adjudication, battery, calibration, drift, judges, rescoring
+from ..operators import adjudication, battery, calibration, drift, judges, probes, rescoring
+from ..sources import labels as label_files
 from ..sources import ledger
-from .derived import DAYS, ITEMS, LABELS, RAW, RESCORES, VERDICTS, WEEKS, derived, duckdb_sql
+from .derived import BANK, DAYS, ITEMS, LABEL_LINES, LABELS, RAW, RESCORES, VERDICTS, WEEKS, derived, duckdb_sql
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -107,6 +108,19 @@ def probe_inference(spark, sf):
     return rows.groupBy("inferred").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("inferred") == F.col("probe")).alias("n_same"))
 
 
+def label_validation(spark, sf):
+    """Lines of a label file by the field that is wrong."""
+    return label_files.checked_labels(derived(spark, sf, LABEL_LINES)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def generated_items(spark, sf):
+    """As many items per language as there are documents, from banks of pairs: what doesn't hang on the drawn sides."""
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows = probes.generate_items(derived(spark, sf, BANK), n, seed=1)
+    picked = F.when(F.col("bias_side") == "A", F.col("answer_a")).otherwise(F.col("answer_b"))
+    return rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(probes.prompt())).alias("prompt_chars"), F.sum(F.length(picked)).alias("biased_chars"))
+
+
 def own_and_duplicate_labels(spark, sf):
     """What the refusals would look at: labels by the judge itself (rater2, in another case), and labels given twice (every fifth)."""
     rows = _labels(spark, sf)
@@ -233,7 +247,7 @@ def blinded_set(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     battery_trip, parse_verdict_mix, judge_grade, invalid_gate, binomial_tails, two_sided_trip, mock_judges, confusion_3x3, tpr_tnr, cohen_kappa, clopper_pearson,
-    unmatched_labels, probe_inference, own_and_duplicate_labels, adjudicate_gold, fleiss_kappa, pairwise_cohen, labeler_vs_gold, position_screen, calibrate_multi,
+    unmatched_labels, probe_inference, label_validation, generated_items, own_and_duplicate_labels, adjudicate_gold, fleiss_kappa, pairwise_cohen, labeler_vs_gold, position_screen, calibrate_multi,
     label_coverage, self_consistency, unswapped_verdicts, replay_join, weekly_snapshots, fisher_weeks, holm_reject, drift_alerts, drift_summary, chain_verify,
     snapshots_since, baseline_current, blinded_set,
 )}
@@ -351,6 +365,11 @@ SQL = {k: duckdb_sql(q) for k, q in {
         JOIN {_bisect('q', 'probe', 'tn', 'tn + fp', False)} c USING (probe) JOIN {_bisect('q', 'probe', 'tn', 'tn + fp', True)} d USING (probe)""",
     "unmatched_labels": f"WITH {_MATCHED} SELECT count(*) AS n_labels, count(*) FILTER (verdict IS NULL) AS n_unmatched FROM m",
     "probe_inference": f"WITH l AS ({LABELS}) SELECT regexp_extract(item_id, '^(.*)-[^-]*$', 1) AS inferred, count(*) AS n, count(*) FILTER (regexp_extract(item_id, '^(.*)-[^-]*$', 1) = probe) AS n_same FROM l GROUP BY 1",
+    "label_validation": f"""WITH x AS ({LABEL_LINES}) SELECT CASE fault WHEN 0 THEN 'label' WHEN 1 THEN 'labeler_id' WHEN 2 THEN 'timestamp' WHEN 3 THEN 'confidence' WHEN 4 THEN 'confidence'
+        WHEN 5 THEN 'probe' WHEN 7 THEN 'record' END AS error, count(*) AS n FROM x GROUP BY 1""",
+    "generated_items": f"""WITH b AS ({BANK}), s AS (SELECT probe, count(*) AS size FROM b GROUP BY 1), i AS (SELECT probe, size, unnest(range((SELECT count(*) FROM documents))) AS item_no FROM s)
+        SELECT i.probe, count(*) AS n, CAST(sum({len("Question: ") + 1 + len("Answer A:") + 1 + 1 + 1 + len("Answer B:") + 1 + 1 + 1 + len("Which answer is better? Reply with exactly one letter: A or B.")} + length(question) + length(biased) + length(neutral)) AS BIGINT) AS prompt_chars,
+        CAST(sum(length(biased)) AS BIGINT) AS biased_chars FROM i JOIN b ON b.probe = i.probe AND b.bank_idx = i.item_no % size GROUP BY 1""",
     "own_and_duplicate_labels": f"WITH l AS ({LABELS}) SELECT probe, nullif(count(*) FILTER (labeler_id = 'rater2'), 0) AS n_own, nullif(count(*) FILTER (item_no % 5 = 0), 0) AS n_twice FROM l GROUP BY probe",
     "adjudicate_gold": f"WITH l AS ({LABELS}), {_GOLD} SELECT probe, item_id, gold, n_labelers, round(agreement, 9) AS agreement, tie_broken, unresolved FROM gold",
     "fleiss_kappa": f"""WITH l AS ({LABELS}), n AS (SELECT count(*) AS n, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'B') AS b, count(*) FILTER (label = 'TIE') AS t FROM l GROUP BY probe, item_id HAVING count(*) >= 2),
