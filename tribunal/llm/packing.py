@@ -12,6 +12,7 @@ than doc_id and text are ignored; a null doc_id stays null.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import deque
 
@@ -101,9 +102,10 @@ class _Stream:
         penalty[ends] = 0
         known = np.flatnonzero(penalty >= 0)
         gap = np.diff(known)
-        long = gap > 2 * GRID
+        grid = max(1, min(GRID, self.size // 2))
+        long = gap > 2 * grid
         if long.any():
-            more = np.concatenate([np.arange(s + GRID, s + g, GRID) for s, g in zip(known[:-1][long], gap[long], strict=True)])
+            more = np.concatenate([np.arange(s + grid, s + g, grid) for s, g in zip(known[:-1][long], gap[long], strict=True)])
             penalty[more] = BARE_CUT
             known = np.flatnonzero(penalty >= 0)
         path = cut_windows(known, penalty[known], self.size, last)
@@ -129,6 +131,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
     """One row per piece of a document. tokenizer: path of a `tokenizers` file whose tokens never hold white space."""
 
     def run(batches):
+        gc.freeze()  # the cache holds millions of small objects that never form cycles
+        gc.disable()
         cache = PieceCache(tokenizer, split_words, word_parts)
         vocab = cache.tokenizer.get_vocab()
         ends = np.zeros(max(vocab.values(), default=0) + 2, bool)
