@@ -83,8 +83,9 @@ def _survey(docs: DataFrame, spec: Shingles) -> DataFrame:
                 counts += np.bincount((h >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
                 keys.append(sk)
                 sizes.append(size)
-            n = len(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([*keys, []]).astype(np.int64) if not keys else np.concatenate(keys)), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "sk", "size", "part", "counts"])
+            n, none = len(b), np.zeros(0, np.int64)
+            sk, size = (np.concatenate([none, *x]) for x in (keys, sizes))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sk), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "sk", "size", "part", "counts"])
         z = zstandard.ZstdCompressor(level=3)
         blobs = [z.compress(x.astype("<i8").tobytes()) for x in np.split(counts, PARTS)]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "sk", "size", "part", "counts"])
@@ -272,8 +273,11 @@ def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
             break
         if last := r == ROUNDS:
             beside = F.col("root") != F.col("main")
-            x, y = (_facts(named.select("token", beside.alias("beside" + s), *[F.col(c).alias(c + s) for c in ("sk", "root", "before", "facts")]), s) for s in "xy")
+            x, y = (_facts(named.select("token", beside.alias("beside" + s), *[F.col(c).alias(c + s) for c in ("sk", "root", "place", "before", "facts")]), s) for s in "xy")
+            # a pair is formed at its first common shingle: what stands before that is not common
             first = ~F.col("beforex").eqNullSafe(F.col("beforey")) | F.col("beforex").isNull()
+            rest = F.least(F.col("sizex") - F.col("placex"), F.col("sizey") - F.col("placey"))
+            first = first & ((100 + spec.percent) * rest >= spec.percent * (F.col("sizex") + F.col("sizey")))
             other = (F.col("rootx") != F.col("rooty")) & first & (~F.col("besidey") | (F.col("skx") < F.col("sky"))) & _fits("x", "y", spec.percent)
             pairs = x.where("besidex").join(y, (x.token == y.token) & other)
             less = F.col("skx") < F.col("sky")
