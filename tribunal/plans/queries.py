@@ -126,7 +126,7 @@ def own_and_duplicate_labels(spark, sf):
     rows = _labels(spark, sf)
     twice = rows.unionByName(rows.where("item_no % 5 = 0")).groupBy("probe", "item_id", "labeler_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = rows.where(F.lower("labeler_id") == "RATER2".lower())
-    return own.groupBy("probe").agg(F.count(F.lit(1)).alias("n_own")).join(twice.groupBy("probe").agg(F.count(F.lit(1)).alias("n_twice")), "probe", "full")
+    return own.groupBy("probe").agg(F.count(F.lit(1)).alias("n_own")).join(twice.groupBy("probe").agg(F.count(F.lit(1)).alias("n_twice")), "probe", "full").na.fill(0)
 
 
 # --- several raters
@@ -370,7 +370,7 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "generated_items": f"""WITH b AS ({BANK}), s AS (SELECT probe, count(*) AS size FROM b GROUP BY 1), i AS (SELECT probe, size, unnest(range((SELECT count(*) FROM documents))) AS item_no FROM s)
         SELECT i.probe, count(*) AS n, CAST(sum({len("Question: ") + 1 + len("Answer A:") + 1 + 1 + 1 + len("Answer B:") + 1 + 1 + 1 + len("Which answer is better? Reply with exactly one letter: A or B.")} + length(question) + length(biased) + length(neutral)) AS BIGINT) AS prompt_chars,
         CAST(sum(length(biased)) AS BIGINT) AS biased_chars FROM i JOIN b ON b.probe = i.probe AND b.bank_idx = i.item_no % size GROUP BY 1""",
-    "own_and_duplicate_labels": f"WITH l AS ({LABELS}) SELECT probe, nullif(count(*) FILTER (labeler_id = 'rater2'), 0) AS n_own, nullif(count(*) FILTER (item_no % 5 = 0), 0) AS n_twice FROM l GROUP BY probe",
+    "own_and_duplicate_labels": f"WITH l AS ({LABELS}) SELECT probe, count(*) FILTER (labeler_id = 'rater2') AS n_own, count(*) FILTER (item_no % 5 = 0) AS n_twice FROM l GROUP BY probe",
     "adjudicate_gold": f"WITH l AS ({LABELS}), {_GOLD} SELECT probe, item_id, gold, n_labelers, round(agreement, 9) AS agreement, tie_broken, unresolved FROM gold",
     "fleiss_kappa": f"""WITH l AS ({LABELS}), n AS (SELECT count(*) AS n, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'B') AS b, count(*) FILTER (label = 'TIE') AS t FROM l GROUP BY probe, item_id HAVING count(*) >= 2),
         s AS (SELECT count(*) AS n_items, avg((a * (a - 1) + b * (b - 1) + t * (t - 1)) / (n * (n - 1))) AS p, (sum(a) / sum(n)) ** 2 + (sum(b) / sum(n)) ** 2 + (sum(t) / sum(n)) ** 2 AS e FROM n)
