@@ -17,6 +17,8 @@ from tribunal.llm.components import components
 from tribunal.llm.repeats import Repeats, remove_repeats
 from tribunal.llm.tokens import PieceCache, spaced_parts, split_before_spaces, split_words, tokenizer_path, word_parts
 
+from .conftest import prose
+
 WORD, BPE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -184,6 +186,23 @@ def test_decontamination(docs, texts, none, spark):
     assert all(r.n_words == 0 or sum(s.end - s.start for s in r["spans"]) <= 1 for r in decontamination.find_contamination(left, bench.where("item_id = 2")).collect())
 
 
+def test_cleaned_by_blocks(docs, texts, spark):
+    """Several blocks cut what one cuts: documents with 15 % of two items each, windows that overlap, and texts that meet when what is between them goes."""
+    rng = random.Random(14)
+    items = [" ".join(f"i{k}x{j}" for j in range(15)) for k in range(40)]
+    more = [(1000 + k, " ".join([*prose(rng, 35), items[2 * k], *prose(rng, 35), items[2 * k + 1]])) for k in range(20)]
+    more += [(1100 + k, " ".join([*prose(rng, 300), f"j{k}", *words(items[k])[:11], f"k{k}"])) for k in range(40)]
+    more += [(1200 + k, " ".join([*prose(rng, 300), *words(items[k])[:5], items[k + 1], *words(items[k])[5:]])) for k in range(39)]
+    bench = [(k, x) for k, x in enumerate(items)] + [(100 + k, " ".join([*[f"p{k}x{j}" for j in range(5)], f"j{k}", *words(items[k])[:8]])) for k in range(40)]
+    more += [(1300 + k, " ".join([*prose(rng, 300), *[f"p{k}x{j}" for j in range(5)], f"j{k}", *words(items[k])])) for k in range(40)] + [(None, more[0][1]), (None, more[60][1]), more[61], more[61]]
+    both = docs.select("doc_id", "text", "spans").unionByName(spark.createDataFrame([(*x, "s") for x in more], "doc_id long, text string, spans string"))
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    want = rows(decontamination.cleaned(both, bench), "doc_id", "text", "spans")
+    got = decontamination.cleaned(both, bench, block_bytes=300)
+    assert got.columns == both.columns and rows(got, *both.columns) == want
+    assert not any((i, t, "s") in want for i, t in more[:20]) and len(want) > 100
+
+
 # --- 5
 
 

@@ -2,7 +2,7 @@
 
 The benchmark is a stated query set. It is cut into blocks of a bounded number of bytes; each block's windows (10 consecutive item words, or a whole
 shorter item) are broadcast as a hash set, all documents' windows are looked up in it, and hits are verified against the item's words. With one block,
-documents are scanned once and nothing is shuffled. With several, each block is a scan, and only hits are shuffled, by a key of the row.
+documents are scanned once and nothing is shuffled. With several, each block is a scan, and only hits are shuffled, by a key of the row (`cleaned` then shuffles the documents, too).
 
 Null text: no words. An item without words has no window; an item whose item_id is null has windows, but can't be listed. Items of one id count once.
 Repeated rows each get their row. Empty tables give empty or clean results. Other columns are ignored; `cleaned` keeps those of the documents.
@@ -138,28 +138,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             return _scan(rows, "doc_id", "long", block, False)
         some = staged(_scan(rows.select(key, "text"), "row_key", "long", block, hits is not None), "hits")
         hits = some if hits is None else hits.unionByName(some)
-    flat = hits.groupBy("row_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # overlapping spans of different blocks become one
+    return rows.select("doc_id", key).join(_merged(hits), "row_key", "left").select("doc_id", "n_words", "spans", "items")
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """One row for each row_key: overlapping spans of different blocks become one. Equal rows, which share a key, count once."""
+    flat = hits.distinct().groupBy("row_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr("""aggregate(spans, CAST(array() AS array<struct<start: bigint, end: bigint>>), (a, s) -> CASE
         WHEN size(a) > 0 AND s.start <= element_at(a, -1).end
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(s.end, element_at(a, -1).end))))
         ELSE concat(a, array(s)) END)""")
-    return rows.select("doc_id", key).join(flat.withColumn("spans", merged), "row_key", "left").select("doc_id", "n_words", "spans", "items")
+    return flat.withColumn("spans", merged)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the hit spans; a document of which more than `most_hit` of the words are hit goes as a whole. All columns stay.
 
-    A span is cut from its first word's first byte to its last word's end. With a benchmark of several blocks, spans of one block are cut after
-    those of the blocks before it.
+    A span is cut from its first word's first byte to its last word's end. Several blocks give what one would: their hits are all found in the uncut
+    text and merged before anything is cut; then rows are shuffled once, to meet their hits.
     """
-    for _, block in _blocks(benchmark, window, block_bytes):
-        docs = _cut(docs, block, most_hit)
-    return docs
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hits = None
+    for n, block in _blocks(benchmark, window, block_bytes):
+        if n == 1:
+            return _cut(docs, block, most_hit)
+        rows = docs.select(key.alias("row_key"), F.col("text").cast("string").alias("text"))
+        some = staged(_scan(rows, "row_key", "long", block, True), "hits")
+        hits = some if hits is None else hits.unionByName(some)
+    found = _merged(hits).select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
+    return _cut(docs.withColumn("__row_key", key).join(found, "__row_key", "left").select(*[docs[c] for c in docs.columns], "__spans"), None, most_hit).drop("__spans")
+
+
+def _found(column: pa.Array, data: np.ndarray, off: np.ndarray):
+    """What hits_of gives, from the rows' spans."""
+    start, end, at = words(data, off, ALNUM)
+    spans = column.to_pylist()
+    first = [at[r] + x["start"] for r, own in enumerate(spans) for x in own or ()]
+    last = [at[r] + x["end"] for r, own in enumerate(spans) for x in own or ()]
+    return start, end, at, covered(len(start), np.array(first, np.int64), np.array(last, np.int64)), None
 
 
-def _cut(docs: DataFrame, block: Block, most_hit: float) -> DataFrame:
-    shared, where = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
+def _cut(docs: DataFrame, block: Block | None, most_hit: float) -> DataFrame:
+    """docs without the hits of the block or, without one, without the words of their column __spans."""
+    shared, where = block and docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
 
     def run(batches):
         for b in batches:
@@ -168,7 +189,8 @@ def _cut(docs: DataFrame, block: Block, most_hit: float) -> DataFrame:
             changed, dropped = {}, []
             for i, j in chunks(off):
                 base = off[i]
-                start, end, at, hit, _ = hits_of(shared.value, LOWER[data[base : off[j]]], off[i : j + 1] - base)
+                lowered, own_off = LOWER[data[base : off[j]]], off[i : j + 1] - base
+                start, end, at, hit, _ = hits_of(shared.value, lowered, own_off) if shared else _found(b.column("__spans").slice(i, j - i), lowered, own_off)
                 for r in np.unique(np.searchsorted(at, np.flatnonzero(hit), "right") - 1).tolist():
                     own = hit[at[r] : at[r + 1]]
                     if own.sum() > most_hit * len(own):
