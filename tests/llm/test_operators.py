@@ -360,6 +360,17 @@ def test_keep_one(docs, texts):
     assert set(rows(left, "doc_id")) == want and left.count() == len(want)
 
 
+def test_keep_one_of_each_component(spark):
+    """Texts, not ids: unrelated texts under one doc_id or none each stay; of copies, the one of the smallest doc_id."""
+    rng = random.Random(15)
+    t = [" ".join(prose(rng, 60, 10**6)) for _ in range(12)]
+    given = [(3, t[0]), (5, t[0]), (5, t[1]), (7, t[2]), (7, t[3]), (7, t[3]), (9, t[4] + " more"), (8, t[4]), (None, t[4]), (10, ""), (10, None), (None, " "), (None, None), (None, None)]
+    given += [(None, x) for x in [*t[5:], t[5], t[6]]]
+    left = jaccard.keep_one(spark.createDataFrame(given, "doc_id long, text string").repartition(3), jaccard.Shingles(5, 80))
+    want = [(3, t[0]), (5, t[1]), (7, t[2]), (7, t[3]), (8, t[4]), (10, ""), (10, None), (None, " "), (None, None), (None, None)] + [(None, x) for x in t[5:]]
+    assert rows(left, "doc_id", "text") == Counter(want)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]

@@ -68,7 +68,7 @@ def _keys(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _survey(docs: DataFrame, spec: Shingles) -> DataFrame:
-    """(doc_id, sk, size) of each row, and the tasks' counts of shingles by slot (part, counts)."""
+    """(doc_id, tk, sk, size) of each row, and the tasks' counts of shingles by slot (part, counts). tk: a hash of the row's text."""
 
     def run(batches):
         import zstandard
@@ -85,12 +85,13 @@ def _survey(docs: DataFrame, spec: Shingles) -> DataFrame:
                 sizes.append(size)
             n, none = len(b), np.zeros(0, np.int64)
             sk, size = (np.concatenate([none, *x]) for x in (keys, sizes))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sk), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "sk", "size", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(sk), pa.array(size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         z = zstandard.ZstdCompressor(level=3)
         blobs = [z.compress(x.astype("<i8").tobytes()) for x in np.split(counts, PARTS)]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 3, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "sk", "size", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, sk long, size long, part int, counts binary")
+    names = ["doc_id", "tk", "sk", "size", "part", "counts"]
+    return docs.withColumn("tk", F.xxhash64("text")).mapInArrow(run, "doc_id long, tk long, sk long, size long, part int, counts binary")
 
 
 def _sum_parts(batches):
@@ -254,11 +255,11 @@ def _sharing(pairs: DataFrame, entries: DataFrame, spec: Shingles) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
+def _rooted(docs: DataFrame, spec: Shingles) -> DataFrame:
+    """doc_id (NULL_ID if null), tk, size and root (the smallest set that links reach) of each row of docs."""
     own = keyed(docs)
     survey = staged(_survey(own, spec), "survey")
-    rows = survey.where("part IS NULL").select("doc_id", "sk", "size")
+    rows = survey.where("part IS NULL").select("doc_id", "tk", "sk", "size")
     entries = full = _entries(own, spec, _sketch(survey))
     texts = staged(_texts(own, spec).join(entries.select("sk").distinct(), "sk", "left_semi").groupBy("sk").agg(F.first("z").alias("z")), "texts")
     edges, roots, by = None, None, Window.partitionBy("token")
@@ -297,14 +298,25 @@ def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
     out = rows.withColumn("root", F.col("sk"))
     if roots is not None:
         out = rows.join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    return out.select("doc_id", "tk", "size", "root")
+
+
+def groups(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
+    out = _rooted(docs, spec)
     low = out.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = out.join(low, "root", "left").withColumn("least", F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select(real_id(), F.col("size").alias("n_shingles"), F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. Texts move compressed. All columns stay."""
-    stay = groups(docs, spec).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | (F.col("doc_id").isNull() & F.col("component_id").isNull()))
+    """docs with one row of each component: that of the smallest doc_id, of several the one of the smallest hash of its text. All columns stay.
+
+    Rows are told apart by doc_id and text, so unrelated texts that share a doc_id, or have none, each stay. Rows without words are linked with nothing:
+    all of them stay. Texts move compressed.
+    """
+    first = _rooted(docs, spec).where("size > 0").groupBy("root").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("__id"), F.col("first.tk").alias("__tk"))
     at, columns = docs.columns.index("text"), docs.columns
 
     def pack(batches):
@@ -326,12 +338,16 @@ def keep_one(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    packed = docs.mapInArrow(pack, StructType([*fields, StructField("__z", BinaryType())]))
-    ids = stay.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    rows = packed.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(ids, "__id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__z")))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__id", "__nth").mapInArrow(unpack, docs.schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wordy = text.rlike("[^\\x20\\x09-\\x0D]")
+    own = docs.where(wordy).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__tk": F.xxhash64(F.col("text").cast("string"))})
+    columns = own.columns
+    fields = [f for f in own.schema.fields if f.name != "text"]
+    packed = own.mapInArrow(pack, StructType([*fields, StructField("__z", BinaryType())]))
+    rows = packed.join(stay, ["__id", "__tk"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__id", "__tk").orderBy(F.xxhash64("__z")))
+    kept = rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth").select(*[f.name for f in fields], "__z").mapInArrow(unpack, own.schema)
+    return kept.select(*docs.columns).unionByName(docs.where(~wordy))
 
 
 CONTRACT = Shingles(4, 85)
