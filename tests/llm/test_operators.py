@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tribunal.llm import automata, chat, decontamination, jaccard, lm_scores, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts
+from tribunal.llm import automata, chat, decontamination, jaccard, lm_scores, packing, quality, repeats, secrets, substring_dedup, suffix_dedup, token_counts
 from tribunal.llm.common import shared_dir
 from tribunal.llm.components import components
 from tribunal.llm.repeats import Repeats, remove_repeats
@@ -148,6 +148,28 @@ def test_small_windows_by_brute_force(spark):
     assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == suffix_brute(texts, 9)
 
 
+@pytest.mark.parametrize("spec", [Repeats("byte", 50, 24, True), Repeats("word", 35, 8, False)], ids=["bytes", "words"])
+@pytest.mark.parametrize("shared", [100_000, 0])
+def test_many_rows_without_id(spark, monkeypatch, spec, shared):
+    """Different texts under one doc_id or none, in pairs that agree in 16 bits of a digest: one with unclear windows, one of other length that has none."""
+    rng = random.Random(16)
+    passage = prose(rng, 200, 10**6)
+    digest, known, pairs = lambda t: hashlib.blake2b(t.encode(), digest_size=2).digest(), {}, []
+    while len(pairs) < 30:
+        at = rng.randrange(0, 150)
+        t = " ".join([*prose(rng, rng.randrange(5, 20), 10**6), *passage[at : at + rng.randrange(38, 50)], *prose(rng, rng.randrange(5, 200), 10**6)])
+        if (other := known.setdefault(digest(t), t)) != t:
+            pairs.append((other, t))
+    texts = [(0, " ".join(passage))] + [(None if k % 3 else 5, t) for k, both in enumerate(pairs) for t in both]
+    texts += [texts[2], texts[2], (5, pairs[1][0]), texts[1]]
+    monkeypatch.setattr(repeats, "SHARED", shared)
+    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spec)
+    if spec.first_stays:
+        assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == suffix_brute(texts, 50)
+    else:
+        assert rows(got, "doc_id", "n_units", "n_removed", "kept_sha256") == words_brute(texts)
+
+
 # --- 4
 
 
@@ -387,6 +409,16 @@ def test_components(spark):
 # --- 9
 
 
+def words_brute(texts):
+    count = Counter(tuple(w[s : s + 35]) for _, t in texts for w in [words(t)] for s in range(len(w) - 34))
+    out = Counter()
+    for i, t in texts:
+        w = words(t)
+        gone = {k for s in range(len(w) - 34) if count[tuple(w[s : s + 35])] > 1 for k in range(s, s + 35)}
+        out[i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+    return out
+
+
 def test_substring_dedup(docs, texts, none, spark):
     count = Counter()
     for _, t in texts:

@@ -84,8 +84,8 @@ def chunks(off: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, z): each whole text zstd-compressed by itself, so that moving it costs less than the input."""
+def compressed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_bytes, z) and more columns (long): each whole text zstd-compressed by itself, so that moving it costs less than the input."""
 
     def pack(batches):
         import zstandard
@@ -95,11 +95,11 @@ def compressed(docs: DataFrame) -> DataFrame:
             data, off = utf8(b.column("text"))
             raw = memoryview(data)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(off)), pa.array([z.compress(raw[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary())],
-                ["doc_id", "n_bytes", "z"],
+                [b.column("doc_id"), pa.array(np.diff(off)), pa.array([z.compress(raw[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)], pa.binary()), *map(b.column, more)],
+                ["doc_id", "n_bytes", "z", *more],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, n_bytes long, z binary")
+    return docs.select("doc_id", "text", *more).mapInArrow(pack, ", ".join(["doc_id long, n_bytes long, z binary", *[f"{c} long" for c in more]]))
 
 
 def decompressed(column: pa.Array) -> list[bytes]:

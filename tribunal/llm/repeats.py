@@ -2,7 +2,7 @@
 
 Every window of `window` units holds `window - gram + 1` runs of `gram` units; the one with the smallest hash is its anchor, so equal windows have equal
 anchors at the same place inside them. Neighbouring windows mostly share an anchor: such a group is one sampled suffix. Per group there is one row
-(a, h, doc_id): a hashes the anchor, h the whole stretch that the group's windows cover. That is one row for about window / 2 units, and all there is to
+(a, h, key of the row): a hashes the anchor, h the whole stretch that the group's windows cover. That is one row for about window / 2 units, and all there is to
 shuffle for most texts:
 
 1. by a: equal (a, h) means that the whole stretch repeats; an a that occurs once means that no window of the group does; only what is left (the
@@ -10,6 +10,9 @@ shuffle for most texts:
 2. the marks go to the documents (joined with the texts, compressed), which resolve their stretches, and emit single windows where it is unclear;
 3. by (a, window hash), these are decided, and go back to the documents concerned.
 
+A row's key is a hash of its doc_id and text (`tie`), and the doc_id too if that decides which window stays. Rows of one key are equal in both, so they
+share marks and starts, each once.
+
 Hot anchors don't matter much: a group of copies spreads over all its anchors, and the window functions that judge a group spill to disk.
 """
 
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, compressed, decompressed, keyed, real_id, staged, utf8
+from .common import NULL_ID, chunks, compressed, decompressed, keyed, real_id, staged, utf8
 from .text import SPACE, Runs, byte_units, covered, intervals, starts_of_windows, word_hashes, words
 
 #: Bits of a unit's place in the sliding minimum, and windows looked at together.
 PLACE, PART = 26, 1 << 24
 #: Marks of a stretch: it repeats; its windows are unclear; its windows may be what others repeat.
 REPEATS, UNCLEAR, SOURCE = 1, 2, 4
+#: Ids shared by several rows that are broadcast; above that, all rows get a tie (more bytes to shuffle, the same results).
+SHARED = 100_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,15 @@ class Repeats:
     gram: int
     first_stays: bool
 
+    @property
+    def key(self) -> list[str]:
+        return ["doc_id", "tie"] if self.first_stays else ["tie"]
+
+    @property
+    def schema(self) -> str:
+        """Of group_rows."""
+        return ", ".join(f"{c} long" for c in ["a", "h", *self.key])
+
     def units(self, data: np.ndarray, off: np.ndarray):
         """Hash prefix sums and n + 1 offsets of the rows' units, and the words' bounds in bytes."""
         if self.unit == "byte":
@@ -71,43 +85,58 @@ class Repeats:
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2]
 
 
+def tied(docs: DataFrame, few: bool = False) -> DataFrame:
+    """The keyed docs with tie, a hash of doc_id and text. few: zero (which compresses well) for ids of one row only; comparable within docs alone."""
+    own = keyed(docs)
+    tie = F.xxhash64("doc_id", "text")
+    if few:
+        ids = own.groupBy("doc_id").count().where((F.col("count") > 1) & (F.col("doc_id") != NULL_ID)).select("doc_id").limit(SHARED + 1).collect()
+        if len(ids) <= SHARED:
+            shared = own.sparkSession.createDataFrame([(r.doc_id, True) for r in ids], "doc_id long, several boolean")
+            own = own.join(F.broadcast(shared), "doc_id", "left") if ids else own.withColumn("several", F.lit(None).cast("boolean"))
+            tie = F.when(F.col("several") | (F.col("doc_id") == NULL_ID), tie).otherwise(0)
+    return own.select("doc_id", tie.cast("long").alias("tie"), "text")
+
+
 def group_rows(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """(a, h, doc_id) of all groups of the keyed docs."""
+    """(a, h and the rows' key) of all groups of the tied docs."""
 
     def run(batches):
         for b in batches:
             data, off = utf8(b.column("text"))
-            doc = b.column("doc_id").to_numpy()
+            key = [b.column(c).to_numpy() for c in spec.key]
             for i, j in chunks(off):
                 runs, at, _ = spec.units(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 row, a, h, _, _ = spec.groups(runs, at)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc[i:j][row])], ["a", "h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), *[pa.array(k[i:j][row]) for k in key]], ["a", "h", *spec.key])
 
-    return docs.mapInArrow(run, "a long, h long, doc_id long")
+    return docs.mapInArrow(run, spec.schema)
 
 
 def marked(groups: DataFrame, spec: Repeats) -> DataFrame:
-    """doc_id and marks: h of each stretch that isn't simply single, with its marks in place of the lowest three bits."""
+    """The rows' key and marks: h of each stretch that isn't simply single, with its marks in place of the lowest three bits."""
     by_a, by_h = Window.partitionBy("a"), Window.partitionBy("a", "h")
-    rows = groups.repartition("a")
+    # rows of one key and stretch are equal: the first is enough for their marks
+    again = F.coalesce(F.lag(F.struct(*spec.key)).over(by_h.orderBy(*spec.key)) == F.struct(*spec.key), F.lit(False))
+    rows = groups.repartition("a").withColumn("again", again)
     if spec.first_stays:
         rows = rows.withColumn("own", F.min("doc_id").over(by_h))
         rows = rows.withColumns({"least": F.min("own").over(by_a), "most": F.max("own").over(by_a)})
         later, mine = F.col("doc_id") > F.col("own"), F.col("doc_id") == F.col("own")
         mark = F.when(later, REPEATS).when(mine & (F.col("own") > F.col("least")), F.when(F.col("own") < F.col("most"), UNCLEAR | SOURCE).otherwise(UNCLEAR)).when(F.col("own") < F.col("most"), SOURCE)
     else:
-        rows = rows.withColumns({"own": F.count(F.lit(1)).over(by_h), "nth": F.row_number().over(by_h.orderBy("doc_id"))})
+        rows = rows.withColumns({"own": F.count(F.lit(1)).over(by_h), "nth": F.row_number().over(by_h.orderBy(*spec.key))})
         rows = rows.withColumns({"least": F.min("own").over(by_a), "all": F.count(F.lit(1)).over(by_a)})
         mark = F.when(F.col("own") > 1, F.when((F.col("least") == 1) & (F.col("nth") == 1), REPEATS | SOURCE).otherwise(REPEATS)).when(F.col("all") > 1, UNCLEAR)
-    rows = rows.select("doc_id", F.shiftleft(F.shiftright("h", 3), 3).bitwiseOR(mark.cast("long")).alias("mark")).where("mark IS NOT NULL")
-    return rows.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    rows = rows.where("NOT again").select(*spec.key, F.shiftleft(F.shiftright("h", 3), 3).bitwiseOR(mark.cast("long")).alias("mark")).where("mark IS NOT NULL")
+    return rows.groupBy(*spec.key).agg(F.collect_list("mark").alias("marks"))
 
 
 RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
-_DOC = f"{RESULT}, tid long, z binary, removed array<long>"
-#: ref: a window's start, with tid (which tells texts of one doc_id apart) and whether it is judged in the higher bits.
+_DOC = f"{RESULT}, tie long, z binary, removed array<long>"
+#: ref: a window's start, and whether it is judged in a higher bit.
 _WINDOW = "a long, w long, ref long"
-_JUDGED, _TID, _START = 1 << 62, 40, (1 << 40) - 1
+_JUDGED = 1 << 62
 
 
 def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, text: bool) -> tuple:
@@ -126,10 +155,6 @@ def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, tex
     return n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text else None
 
 
-def _tid(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little")
-
-
 def _resolver(spec: Repeats, text: bool, arrow_schema):
     def table(docs, wins):
         cols = list(zip(*docs, strict=True)) or [()] * 9
@@ -138,7 +163,8 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
         if m:
             w = [np.concatenate(x) for x in zip(*wins, strict=True)]
             arrays[0] = pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(w[0])])
-            more = [pa.concat_arrays([pa.nulls(n, f.type), pa.array(x, f.type)]) for x, f in zip(w[1:], list(arrow_schema)[9:], strict=True)]
+            arrays[6] = pa.concat_arrays([pa.array(cols[6], pa.int64()), pa.array(w[1])])
+            more = [pa.concat_arrays([pa.nulls(n, f.type), pa.array(x, f.type)]) for x, f in zip(w[2:], list(arrow_schema)[9:], strict=True)]
         else:
             more = [pa.nulls(n, f.type) for f in list(arrow_schema)[9:]]
         return pa.RecordBatch.from_arrays([*arrays, *more], schema=arrow_schema)
@@ -146,7 +172,7 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
     def run(batches):
         for b in batches:
             docs, wins, size = [], [], 0
-            for doc, z, raw, marks in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), decompressed(b.column("z")), b.column("marks"), strict=True):
+            for doc, tie, z, raw, marks in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("z").to_pylist(), decompressed(b.column("z")), b.column("marks"), strict=True):
                 data = np.frombuffer(raw, np.uint8)
                 runs = bounds = mask = None
                 n, judged = len(raw), False
@@ -157,7 +183,6 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
                     else:
                         start, end, at = words(data, np.array([0, len(raw)]), ~SPACE)
                         n, bounds = len(start), (start, end)
-                tid = 0
                 if marks.is_valid:
                     known = marks.values.to_numpy().view(np.uint64)
                     keys, where = np.unique(known >> np.uint64(3), return_inverse=True)
@@ -172,14 +197,13 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
                     if len(ask):
                         many = last[ask] - first[ask] + 1
                         start = np.repeat(first[ask] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                        tid = _tid(raw)
                         unclear = np.repeat((got[ask] & UNCLEAR) > 0, many)
                         judged = bool(unclear.any())
                         w = runs.of(start, start + spec.window).view(np.int64)
-                        wins.append((np.full(len(w), doc), np.repeat(a[ask], many).view(np.int64), w, start | (tid << _TID) | np.where(unclear, _JUDGED, 0)))
+                        wins.append((np.full(len(w), doc), np.full(len(w), tie), np.repeat(a[ask], many).view(np.int64), w, start | np.where(unclear, _JUDGED, 0)))
                 if judged:
                     s, e = intervals(mask)
-                    docs.append((doc, n, None, None, None, None, tid, z, np.column_stack((s, e)).ravel().tolist()))
+                    docs.append((doc, n, None, None, None, None, tie, z, np.column_stack((s, e)).ravel().tolist()))
                 else:
                     docs.append((doc, *_row(spec, raw, n, bounds, mask, text), None, None, None))
                 size += len(z) + (48 * len(wins[-1][0]) if wins else 0)
@@ -217,18 +241,18 @@ def remove_repeats(docs: DataFrame, spec: Repeats, groups: DataFrame | None = No
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    own = keyed(docs)
+    own = tied(docs, groups is None and spec.first_stays)
     marks = staged(marked(group_rows(own, spec) if groups is None else groups, spec), "marks")
     schema = f"{_DOC}, {_WINDOW}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    seen = staged(compressed(own).drop("n_bytes").join(marks, "doc_id", "left").mapInArrow(_resolver(spec, text, arrow), schema), "resolved")
-    wins = seen.where("w IS NOT NULL").select("doc_id", "a", "w", "ref").repartition("a")
+    seen = staged(compressed(own, "tie").drop("n_bytes").join(marks, spec.key, "left").mapInArrow(_resolver(spec, text, arrow), schema), "resolved")
+    wins = seen.where("w IS NOT NULL").select(*spec.key, "a", "w", "ref").repartition("a")
     by = Window.partitionBy("a", "w")
     again = F.min("doc_id").over(by) < F.col("doc_id") if spec.first_stays else F.count(F.lit(1)).over(by) > 1
     starts = wins.withColumn("again", again).where((F.col("ref") >= _JUDGED) & F.col("again"))
-    starts = starts.select("doc_id", F.shiftright("ref", _TID).bitwiseAND(F.lit((1 << 16) - 1)).alias("tid"), F.col("ref").bitwiseAND(F.lit(_START)).alias("start"))
-    starts = starts.groupBy("doc_id", "tid").agg(F.collect_list("start").alias("starts"))
-    asked = seen.where("z IS NOT NULL").select("doc_id", "tid", "z", "removed").join(starts, ["doc_id", "tid"], "left")
+    starts = starts.select(*spec.key, F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("start"))
+    starts = starts.groupBy(*spec.key).agg(F.collect_set("start").alias("starts"))
+    asked = seen.where("z IS NOT NULL").select("doc_id", "tie", "z", "removed").join(starts, spec.key, "left")
     done = asked.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     out = seen.where("n_removed IS NOT NULL").select(*names).unionByName(done)

@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, shared_dir, table, write
-from .repeats import Repeats, group_rows, remove_repeats
+from .common import shared_dir, table, write
+from .repeats import Repeats, group_rows, remove_repeats, tied
 
 WORDS = Repeats("word", 35, 8, first_stays=False)
 
@@ -32,7 +32,7 @@ class FingerprintIndex:
         return folder
 
     def add(self, docs: DataFrame) -> None:
-        self.runs.append(self._write(group_rows(keyed(docs), self.spec)))
+        self.runs.append(self._write(group_rows(tied(docs), self.spec)))
         if len(self.runs) >= self.most:
             self.compact()
 
@@ -40,7 +40,7 @@ class FingerprintIndex:
         self.runs = [self._write(self.rows())]
 
     def rows(self) -> DataFrame:
-        schema = "a long, h long, doc_id long"
+        schema = self.spec.schema
         return self.spark.read.schema(schema).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], schema)
 
     def remove_repeats(self, docs: DataFrame, text: bool = False) -> DataFrame:

@@ -18,8 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table, write
-from .repeats import Repeats, group_rows, remove_repeats
+from .common import table, write
+from .repeats import Repeats, group_rows, remove_repeats, tied
 
 BYTES = Repeats("byte", 50, 24, first_stays=True)
 
@@ -36,12 +36,12 @@ class SuffixLevels:
         return self.spark.read.parquet(folder).count(), folder
 
     def rows(self) -> DataFrame:
-        schema = "a long, h long, doc_id long"
+        schema = self.spec.schema
         return self.spark.read.schema(schema).parquet(*[f for _, f in self.levels]) if self.levels else self.spark.createDataFrame([], schema)
 
     def add(self, docs: DataFrame) -> None:
         """A batch becomes a level; as long as the smallest two are within a factor of two, they merge."""
-        self.levels.append(self._write(group_rows(keyed(docs), self.spec)))
+        self.levels.append(self._write(group_rows(tied(docs), self.spec)))
         self.levels.sort(reverse=True)
         while len(self.levels) > 1 and self.levels[-2][0] < 2 * max(1, self.levels[-1][0]):
             pair, self.levels = self.levels[-2:], self.levels[:-2]
