@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, table, utf8
-from .tokens import PieceCache, split_words, tokenizer_path, word_parts
+from .tokens import piece_cache, split_words, tokenizer_path, word_parts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Costs in tokens: a cut at a sentence end, a cut elsewhere inside a document, and each sequence.
@@ -131,16 +131,20 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
     """One row per piece of a document. tokenizer: path of a `tokenizers` file whose tokens never hold white space."""
 
     def run(batches):
-        gc.freeze()  # the cache holds millions of small objects that never form cycles
-        gc.disable()
-        cache = PieceCache(tokenizer, split_words, word_parts)
+        gc.disable()  # the cache holds millions of small objects that never form cycles
+        try:
+            yield from pieces(batches)
+        finally:
+            gc.enable()
+
+    def pieces(batches):
+        cache = piece_cache(tokenizer, split_words, word_parts)
         vocab = cache.tokenizer.get_vocab()
         ends = np.zeros(max(vocab.values(), default=0) + 2, bool)
         for t, i in vocab.items():
             ends[i] = t.removesuffix("</w>")[-1:] in (".", "!", "?")
         stream = _Stream(size, ends, TaskContext.get().partitionId() << 40)
-        # null ids travel as a position in `nulls`, below zero
-        low = np.iinfo(np.int64).min
+        low = np.iinfo(np.int64).min  # stands for null among ids
 
         def rows(out):
             doc = pa.array(out[0], mask=out[0] == low)

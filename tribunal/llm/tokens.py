@@ -1,7 +1,7 @@
 """Token ids and counts through a word cache.
 
 Both cached schemes cut a text only where the tokenizer itself always cuts, so the ids of the pieces, joined, are the ids of the text; each
-distinct piece goes through the tokenizers library once per worker (until the bounded cache is emptied).
+distinct piece goes through the tokenizers library once per worker (as long as the bounded cache keeps it).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Bounds of a worker's caches: pieces, parts of them, and characters in the parts.
-MAX_PIECES, MAX_PARTS, MAX_CHARS = 800_000, 1_200_000, 32_000_000
+MAX_PIECES, MAX_PARTS, MAX_CHARS = 700_000, 700_000, 24_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,37 +50,51 @@ class PieceCache:
     def _clear(self):
         self._pieces, self._chars = _Pieces(), 0
         self._len, self._start, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._seen = np.zeros(0, np.int64)
+
+    def _prune(self):
+        """Keep the pieces seen twice or more, since most of the rare ones never come again; if that is too little, none."""
+        keep = np.flatnonzero(self._seen > 1)
+        if 2 * len(keep) > MAX_PIECES:
+            return self._clear()
+        names, lens, start = list(self._pieces), self._len[keep], self._start[keep]
+        self._pieces = _Pieces()
+        self._pieces.update((names[k], i) for i, k in enumerate(keep.tolist()))
+        self._ids = self._ids[np.arange(lens.sum()) + np.repeat(start - (np.cumsum(lens) - lens), lens)]
+        self._len, self._start, self._seen = lens, np.cumsum(lens) - lens, np.zeros(len(keep), np.int64)
 
     def _learn(self):
         new, self._pieces.new = self._pieces.new, []
         if not new:
             return
-        known = self._known
-        if len(known) > MAX_PARTS or self._chars > MAX_CHARS:
-            known.clear()
-            self._chars = 0
-        parts = [self._parts(p) for p in new]
-        unknown = list({x for ps in parts for x in ps if x not in known})
-        self._chars += sum(map(len, unknown))
-        whole = []
-        for x in unknown:
-            if x.strip(" ").isalpha() and _PLAIN.fullmatch(x):  # one word: no special string, no normalising, one call of the model
-                known[x] = array("I", [t.id for t in self._model.tokenize(x.replace(" ", "\u0120") if x.isascii() else "".join([_AS_CHARS[b] for b in x.encode()]))]).tobytes()
-            else:
-                whole.append(x)
+        if len(self._known) > MAX_PARTS or self._chars > MAX_CHARS:
+            self._known, self._chars = {}, 0
+        known, parts_of, tokenize = self._known, self._parts, self._model.tokenize
+        whole, found = [], []
+        for p in new:
+            parts = parts_of(p)
+            for x in parts:
+                if x not in known:
+                    self._chars += len(x)
+                    if _PLAIN.fullmatch(x):  # one word: no special string, no normalising, one call of the model
+                        x_bytes = x.replace(" ", "\u0120") if x.isascii() else "".join([_AS_CHARS[b] for b in x.encode()])
+                        known[x] = array("I", [t.id for t in tokenize(x_bytes)]).tobytes()
+                    else:
+                        known[x] = b""
+                        whole.append(x)
+            found.append(parts)
         for i in range(0, len(whole), 1024):
-            for x, e in zip(whole[i : i + 1024], self.tokenizer.encode_batch_fast(whole[i : i + 1024], add_special_tokens=False), strict=False):
+            for x, e in zip(whole[i : i + 1024], self.tokenizer.encode_batch_fast(whole[i : i + 1024], add_special_tokens=False), strict=True):
                 known[x] = array("I", e.ids).tobytes()
-        found = [[known[x] for x in ps] for ps in parts]
-        lens = np.array([sum(map(len, x)) for x in found], np.int64) >> 2
-        n = len(self._ids)
+        raw = [b"".join([known[x] for x in parts]) for parts in found]
+        lens, n = np.array(list(map(len, raw)), np.int64) >> 2, len(self._ids)
         self._start = np.concatenate((self._start, n + np.cumsum(lens) - lens))
         self._len = np.concatenate((self._len, lens))
-        self._ids = np.concatenate((self._ids, np.frombuffer(b"".join([y for x in found for y in x]), np.uint32)))
+        self._ids = np.concatenate((self._ids, np.frombuffer(b"".join(raw), np.uint32)))
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._pieces) > MAX_PIECES:
-            self._clear()
+            self._prune()
         numbers: list[int] = []
         off = [0]
         get = self._pieces.__getitem__
@@ -88,7 +102,9 @@ class PieceCache:
             numbers.extend(map(get, self._split(t)))
             off.append(len(numbers))
         self._learn()
-        return np.array(numbers, np.int64), np.array(off, np.int64)
+        number = np.array(numbers, np.int64)
+        self._seen = np.bincount(number, minlength=len(self._pieces)) + np.pad(self._seen, (0, len(self._pieces) - len(self._seen)))
+        return number, np.array(off, np.int64)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         number, off = self._numbers(texts)
@@ -104,8 +120,21 @@ class PieceCache:
         return self._ids[where], total[off]
 
 
+_CACHES: dict[tuple, PieceCache] = {}
+
+
+def piece_cache(path: str, split, parts) -> PieceCache:
+    """This worker's cache, which its tasks share."""
+    key = (path, split.__name__, parts.__name__)
+    if key not in _CACHES:
+        _CACHES.clear()  # one at a time bounds the memory
+        _CACHES[key] = PieceCache(path, split, parts)
+    return _CACHES[key]
+
+
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-_WORD = re.compile(f"({_LETTERS})([.,]?)")
+#: A word and the signs behind it, of which none starts a contraction or a special string.
+_WORD = re.compile(f"({_LETTERS})([.,!?:;%$&#*)-]*)")
 _WORDS = re.compile(f"({_LETTERS})([.,]?)(?:(\n)({_LETTERS})([.,]?))?")
 #: Also characters that are white space by some libraries' tables only.
 _DOUBT = "\\s\u180e\u200b\ufeff"
@@ -135,6 +164,8 @@ def split_words(text: str) -> list[str]:
 
 
 def word_parts(piece: str) -> list[str]:
+    if piece.isascii() and piece.isalpha():
+        return [piece.lower()]
     m = _WORD.fullmatch(piece)
     return [x for x in (m[1].lower(), m[2]) if x] if m else [piece]
 
