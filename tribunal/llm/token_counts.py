@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, decompressed, shared_dir, table, utf8, write
-from .tokens import PieceCache, spaced_parts, split_before_spaces, tokenizer_path
+from .tokens import piece_cache, spaced_parts, split_before_spaces, tokenizer_path
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -44,7 +44,7 @@ def _first_copies(batches):
 
 def _encoder(tokenizer: str):
     def encode(batches):
-        cache, seen = PieceCache(tokenizer, split_before_spaces, spaced_parts), set()
+        cache, seen = piece_cache(tokenizer, split_before_spaces, spaced_parts), set()
         for b in batches:
             digest = b.column("digest").to_pylist()
             keep = [i for i, d in enumerate(digest) if not (d in seen or seen.add(d))]
@@ -79,7 +79,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
     texts = missing.mapInArrow(_first_copies, "digest binary, z binary")
     counts = texts.repartition("digest").mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
     write(counts.select(F.lit(version).alias("version"), "digest", "n_tokens"), cache_path, "append")
-    stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens")
+    # an entry may be there twice: two writers may have missed the same text
+    stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest", "left").drop("digest")
 
 
