@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,25 +35,49 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write Parquet; what was shuffled for it goes at once, so that stages don't add up on disk."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+@contextlib.contextmanager
+def cleaning(spark: SparkSession):
+    """What is shuffled for an action goes as it ends, so that stages don't add up on disk."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        yield
     finally:
-        conf.set(CLEANUP, before or "false")
+        spark.conf.set(CLEANUP, before or "false")
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    with cleaning(df.sparkSession):
+        df.write.mode(mode).parquet(path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared store."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and survives lost executors. The folder is added to `folders`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    if folders is not None:
+        folders.append(path)
     write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A list for `staged`, whose folders go at the end."""
+    folders: list[str] = []
+    try:
+        yield folders
+    finally:
+        remove(spark, *folders)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text only (other columns can't clash); a null doc_id becomes NULL_ID."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))

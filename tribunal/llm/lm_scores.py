@@ -105,7 +105,7 @@ def _answered(k: int):
         counts = [_flat(z.decompress(c), 4).astype(np.int64) for _, _, c in asked]
         known, where = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts), len(known)).astype(np.int64)[where]
-        out = [_planes(np.minimum(x, (1 << 32) - 1), 4) for x in np.split(total, np.cumsum([len(g) for g in grams])[:-1])]
+        out = [_planes(x, 8) for x in np.split(total, np.cumsum([len(g) for g in grams])[:-1])]
         n = len(asked)
         return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in asked], pa.int64()), pa.array([k] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array(out, pa.binary())], ["block", "k", "part", "total"])
 
@@ -143,11 +143,11 @@ def _scorer(order: int, total_words: int, alpha: float, leave_out: bool):
                 left = np.zeros((order + 1, n), np.int64)  # by order and last word: the count, without the row's own
                 by: dict[int, list] = {}
                 for a in sorted(answers or [], key=lambda a: (a["k"], a["part"])):
-                    by.setdefault(a["k"], []).append(_flat(zstandard.ZstdDecompressor().decompress(a["total"]), 4))
+                    by.setdefault(a["k"], []).append(_flat(zstandard.ZstdDecompressor().decompress(a["total"]), 8))
                 for k in by:
                     last, h = g.of(k)
                     number, own = _own(h, row[last], np.unique(h))
-                    left[k, last] = np.concatenate(by[k])[number].astype(np.int64) - (own if leave_out else 0)
+                    left[k, last] = np.concatenate(by[k])[number].view(np.int64) - (own if leave_out else 0)
                 place = np.arange(n) - g.at[:-1][row]
                 score, level = np.zeros(n), np.zeros(n, np.int64)
                 every = np.maximum(total_words - (per_row[row] if leave_out else 0), 1)

@@ -1,19 +1,19 @@
-"""Exact repeated windows (of bytes or of words) over all documents, found through sampled anchors.
+"""Exact repeated windows (of bytes or of words), found through sampled anchors that are kept in sorted runs.
 
 Every window of `window` units holds `window - gram + 1` runs of `gram` units; the one with the smallest hash is its anchor, so equal windows have equal
-anchors at the same place inside them. Neighbouring windows mostly share an anchor: such a group is one sampled suffix. Per group there is one row
-(a, h, key of the row): a hashes the anchor, h the whole stretch that the group's windows cover. That is one row for about window / 2 units, and all there is to
-shuffle for most texts:
+anchors at the same place inside them. Neighbouring windows mostly share an anchor: such a group is one sampled suffix. Per group there is one
+fingerprint (a, h): a hashes the anchor, h the whole stretch that the group's windows cover. That is one for about window / 2 units.
 
-1. by a: equal (a, h) means that the whole stretch repeats; an a that occurs once means that no window of the group does; only what is left (the
-   ends of repeated passages, and frequent phrases) is unclear;
-2. the marks go to the documents (joined with the texts, compressed), which resolve their stretches, and emit single windows where it is unclear;
-3. by (a, window hash), these are decided, and go back to the documents concerned.
+1. A batch's fingerprints are summed per task and then over all, so that a group of copies or a passage in a third of all documents is one row, and
+   written as a sorted run (runs.py).
+2. The run is scanned together with the sorted runs of history: equal (a, h) means that the whole stretch repeats; an a of one stretch only means that no
+   window of its group does; what is left (the ends of repeated passages, and frequent phrases) is unclear. Only what says something is kept (`found`).
+3. The batch's rows meet it by (a, h), and what concerns a document goes to it. Documents resolve their stretches, and emit the single windows where it is
+   unclear; documents of history are read again only for the windows they share an anchor with.
+4. Windows (and with `verify` whole stretches, by a second hash of their own words) are summed by (a, hash) and go back to the documents that asked.
 
 A row's key is a hash of its doc_id and text (`tie`), and the doc_id too if that decides which window stays. Rows of one key are equal in both, so they
 share marks and starts, each once.
-
-Hot anchors don't matter much: a group of copies spreads over all its anchors, and the window functions that judge a group spill to disk.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, compressed, decompressed, keyed, real_id, staged, utf8
-from .text import SPACE, Runs, byte_units, covered, intervals, starts_of_windows, word_hashes, words
+from .common import NULL_ID, chunks, compressed, decompressed, keyed, real_id, utf8
+from .runs import RUN, totals
+from .text import SPACE, Runs, byte_runs, covered, intervals, starts_of_windows, word_hashes, words
 
-#: Bits of a unit's place in the sliding minimum, and windows looked at together.
-PLACE, PART = 26, 1 << 24
+#: Bits of a unit's place in the sliding minimum, windows looked at together, and fingerprints that a task sums at a time.
+PLACE, PART, SUMMED = 26, 1 << 24, 1 << 20
 #: Marks of a stretch: it repeats; its windows are unclear; its windows may be what others repeat.
 REPEATS, UNCLEAR, SOURCE = 1, 2, 4
 #: Ids shared by several rows that are broadcast; above that, all rows get a tie (more bytes to shuffle, the same results).
@@ -39,26 +40,22 @@ SHARED = 100_000
 
 @dataclass(frozen=True)
 class Repeats:
-    """unit: "byte" or "word". first_stays: a window repeats if a document with a smaller doc_id has it, else if it starts anywhere else too."""
+    """unit: "byte" or "word". first_stays: a window repeats if an earlier document has it, else if it starts anywhere else too. verify: of stretches, too."""
 
     unit: str
     window: int
     gram: int
     first_stays: bool
+    verify: bool = False
 
     @property
     def key(self) -> list[str]:
         return ["doc_id", "tie"] if self.first_stays else ["tie"]
 
-    @property
-    def schema(self) -> str:
-        """Of group_rows."""
-        return ", ".join(f"{c} long" for c in ["a", "h", *self.key])
-
     def units(self, data: np.ndarray, off: np.ndarray):
-        """Hash prefix sums and n + 1 offsets of the rows' units, and the words' bounds in bytes."""
+        """Hashes of runs and n + 1 offsets of the rows' units, and the words' bounds in bytes."""
         if self.unit == "byte":
-            return Runs(byte_units(data)), off, None
+            return byte_runs(data, min(self.gram, self.window)), off, None
         start, end, at = words(data, off, ~SPACE)
         return Runs(word_hashes(data, start, end)), at, (start, end)
 
@@ -98,8 +95,40 @@ def tied(docs: DataFrame, few: bool = False) -> DataFrame:
     return own.select("doc_id", tie.cast("long").alias("tie"), "text")
 
 
-def group_rows(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """(a, h and the rows' key) of all groups of the tied docs."""
+def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
+    """A row of runs.RUN for each (a, h) of the tied docs and task, or several; their key is the doc_id if the first stays, else the tie."""
+    key = spec.key[0]
+
+    def summed(a, h, k):
+        o = np.argsort(a + h * np.uint64(0x9E3779B97F4A7C15))
+        a, h, k = a[o], h[o], k[o]
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]))))
+        return [a[at].view(np.int64), h[at].view(np.int64), np.diff(at, append=len(a)), np.minimum.reduceat(k, at), np.maximum.reduceat(k, at)]
+
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            data, off = utf8(b.column("text"))
+            keys = b.column(key).to_numpy()
+            for i, j in chunks(off):
+                runs, at, _ = spec.units(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                row, a, h, _, _ = spec.groups(runs, at)
+                parts.append((a, h, keys[i:j][row]))
+                size += len(a)
+                if size >= SUMMED:
+                    yield rows(parts)
+                    parts, size = [], 0
+        if size:
+            yield rows(parts)
+
+    def rows(parts):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])], ["a", "h", "n", "first", "last"])
+
+    return docs.select(key, "text").mapInArrow(run, RUN)
+
+
+def _placed(docs: DataFrame, spec: Repeats) -> DataFrame:
+    """(a, h and the row's key) of each group of the tied docs."""
 
     def run(batches):
         for b in batches:
@@ -110,33 +139,54 @@ def group_rows(docs: DataFrame, spec: Repeats) -> DataFrame:
                 row, a, h, _, _ = spec.groups(runs, at)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), *[pa.array(k[i:j][row]) for k in key]], ["a", "h", *spec.key])
 
-    return docs.mapInArrow(run, spec.schema)
+    return docs.select(*spec.key, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["a", "h", *spec.key]))
 
 
-def marked(groups: DataFrame, spec: Repeats) -> DataFrame:
-    """The rows' key and marks: h of each stretch that isn't simply single, with its marks in place of the lowest three bits."""
-    by_a, by_h = Window.partitionBy("a"), Window.partitionBy("a", "h")
-    # rows of one key and stretch are equal: the first is enough for their marks
-    again = F.coalesce(F.lag(F.struct(*spec.key)).over(by_h.orderBy(*spec.key)) == F.struct(*spec.key), F.lit(False))
-    rows = groups.repartition("a").withColumn("again", again)
+#: What a scan finds: `whole` for all rows that have the stretch, `ends` for that of key `own` (with first_stays, later ones repeat it), `source`: in history.
+FOUND = ["a", "h", "own", "other", "whole", "ends", "source"]
+
+
+def scanned(rows: DataFrame, spec: Repeats) -> DataFrame:
+    """FOUND of the new rows (and of history what concerns them), from runs of new rows beside those of history."""
+    by_a = Window.partitionBy("a")
+    new = F.col("is_new")
     if spec.first_stays:
-        rows = rows.withColumn("own", F.min("doc_id").over(by_h))
-        rows = rows.withColumns({"least": F.min("own").over(by_a), "most": F.max("own").over(by_a)})
-        later, mine = F.col("doc_id") > F.col("own"), F.col("doc_id") == F.col("own")
-        mark = F.when(later, REPEATS).when(mine & (F.col("own") > F.col("least")), F.when(F.col("own") < F.col("most"), UNCLEAR | SOURCE).otherwise(UNCLEAR)).when(F.col("own") < F.col("most"), SOURCE)
-    else:
-        rows = rows.withColumns({"own": F.count(F.lit(1)).over(by_h), "nth": F.row_number().over(by_h.orderBy(*spec.key))})
-        rows = rows.withColumns({"least": F.min("own").over(by_a), "all": F.count(F.lit(1)).over(by_a)})
-        mark = F.when(F.col("own") > 1, F.when((F.col("least") == 1) & (F.col("nth") == 1), REPEATS | SOURCE).otherwise(REPEATS)).when(F.col("all") > 1, UNCLEAR)
-    rows = rows.where("NOT again").select(*spec.key, F.shiftleft(F.shiftright("h", 3), 3).bitwiseOR(mark.cast("long")).alias("mark")).where("mark IS NOT NULL")
-    return rows.groupBy(*spec.key).agg(F.collect_list("mark").alias("marks"))
+        u = rows.groupBy("a", "h").agg(F.min(F.when(new, F.col("first"))).alias("own"), F.max(F.when(new, F.col("last"))).alias("last"), F.min(F.when(~new, F.col("first"))).alias("old"))
+        only_new, has_new = F.col("old").isNull(), F.col("own").isNotNull()
+        mine = F.when(only_new, F.col("own"))
+        u = u.withColumns({"several": F.count(F.lit(1)).over(by_a) > 1, "any_old": F.max(~only_new).over(by_a), "least": F.min(mine).over(by_a), "most": F.max(mine).over(by_a)})
+        source = ~only_new & F.col("least").isNotNull()
+        ends = F.when(F.col("any_old") | (F.col("least") < F.col("own")), UNCLEAR).otherwise(0).bitwiseOR(F.when(F.col("most") > F.col("own"), SOURCE).otherwise(0))
+        u = u.withColumns({"whole": F.when(has_new & ~only_new, REPEATS).otherwise(0), "ends": F.when(only_new & F.col("several"), ends).otherwise(0), "source": source})
+        u = u.where("source OR whole > 0 OR ends > 0 OR last > own")
+        return u.select("a", "h", F.when(only_new, F.col("own")).alias("own"), F.col("old").alias("other"), "whole", "ends", "source")
+    u = rows.groupBy("a", "h").agg(F.sum("n").alias("n"), F.min("first").alias("own"), F.max("last").alias("other"), F.max("is_new").alias("is_new"))
+    u = u.withColumns({"several": F.count(F.lit(1)).over(by_a) > 1, "single": F.min("n").over(by_a) == 1, "any_new": F.max("is_new").over(by_a)})
+    ends = F.when(F.col("several") & F.col("single"), F.when(F.col("n") == 1, UNCLEAR).otherwise(SOURCE)).otherwise(0)
+    u = u.withColumns({"whole": F.when(F.col("n") > 1, REPEATS).otherwise(0), "ends": ends, "source": F.lit(False)})
+    return u.where("any_new AND (whole > 0 OR ends > 0)").select(*FOUND)
+
+
+def _collected(marks: DataFrame, key: list[str]) -> DataFrame:
+    """key and marks: h of each stretch that the row of that key has to look at, with its bits in place of the lowest three."""
+    mark = F.shiftleft(F.shiftright("h", 3), 3).bitwiseOR(F.col("bits").cast("long"))
+    return marks.where("bits > 0").select(*key, mark.alias("mark")).groupBy(*key).agg(F.collect_list("mark").alias("marks"))
+
+
+def _own_marks(own: DataFrame, found: DataFrame, spec: Repeats) -> DataFrame:
+    """(a, h, key, bits) of the tied docs' stretches that were found."""
+    key = F.col(spec.key[0])
+    bits = F.col("whole").bitwiseOR(F.when(key == F.col("own"), F.col("ends")).otherwise(0))
+    if spec.first_stays:
+        bits = bits.bitwiseOR(F.when(key > F.col("own"), REPEATS).otherwise(0))
+    return _placed(own, spec).join(found.select("a", "h", "own", "whole", "ends"), ["a", "h"]).select("a", "h", *spec.key, bits.alias("bits")).where("bits > 0")
 
 
 RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
 _DOC = f"{RESULT}, tie long, z binary, removed array<long>"
-#: ref: a window's start, and whether it is judged in a higher bit.
+#: ref: a stretch's start and length in units (8 bits), and whether it is judged in a higher bit.
 _WINDOW = "a long, w long, ref long"
-_JUDGED = 1 << 62
+_JUDGED, _LENGTH = 1 << 62, 8
 
 
 def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, text: bool) -> tuple:
@@ -155,7 +205,16 @@ def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, tex
     return n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text else None
 
 
-def _resolver(spec: Repeats, text: bool, arrow_schema):
+def _digests(raw: bytes, bounds, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second hash of stretches of words, from the words themselves."""
+    first, last = bounds[0][start].tolist(), bounds[1][end - 1].tolist()
+    out = [int.from_bytes(hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=8).digest(), "little", signed=True) for x, y in zip(first, last, strict=True)]
+    return np.array(out, np.int64)
+
+
+def _resolver(spec: Repeats, text: bool, arrow_schema, asked: bool):
+    """Rows with marks become rows of results (or, where windows must be looked up first, of what is known), and rows of windows. asked: else windows only."""
+
     def table(docs, wins):
         cols = list(zip(*docs, strict=True)) or [()] * 9
         n, m = len(docs), sum(len(x[0]) for x in wins)
@@ -174,15 +233,14 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
             docs, wins, size = [], [], 0
             for doc, tie, z, raw, marks in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), b.column("z").to_pylist(), decompressed(b.column("z")), b.column("marks"), strict=True):
                 data = np.frombuffer(raw, np.uint8)
-                runs = bounds = mask = None
-                n, judged = len(raw), False
-                if marks.is_valid or spec.unit == "word":
-                    if marks.is_valid:
-                        runs, at, bounds = spec.units(data, np.array([0, len(raw)]))
-                        n = int(at[-1])
-                    else:
-                        start, end, at = words(data, np.array([0, len(raw)]), ~SPACE)
-                        n, bounds = len(start), (start, end)
+                bounds = mask = None
+                n, judged, before = len(raw), False, len(wins)
+                if marks.is_valid:
+                    runs, at, bounds = spec.units(data, np.array([0, len(raw)]))
+                    n = int(at[-1])
+                elif spec.unit == "word":
+                    start, end, _ = words(data, np.array([0, len(raw)]), ~SPACE)
+                    n, bounds = len(start), (start, end)
                 if marks.is_valid:
                     known = marks.values.to_numpy().view(np.uint64)
                     keys, where = np.unique(known >> np.uint64(3), return_inverse=True)
@@ -191,22 +249,26 @@ def _resolver(spec: Repeats, text: bool, arrow_schema):
                     _, a, h, first, last = spec.groups(runs, at)
                     k = np.minimum(np.searchsorted(keys, h >> np.uint64(3)), len(keys) - 1)
                     got = np.where(keys[k] == h >> np.uint64(3), bits[k], 0)
-                    full = (got & REPEATS) > 0
-                    mask = covered(n, first[full], last[full] + spec.window)
-                    ask = np.flatnonzero(got & (UNCLEAR | SOURCE))
+                    full, ask = np.flatnonzero(got & REPEATS), np.flatnonzero(got & (UNCLEAR | SOURCE))
+                    add = lambda a, w, ref: wins.append((np.full(len(w), doc), np.full(len(w), tie), a.view(np.int64), w, ref))  # noqa: B023, E731
+                    if spec.verify and len(full):
+                        s, e = first[full], last[full] + spec.window
+                        add(a[full], _digests(raw, bounds, s, e), (s << _LENGTH) | (e - s) | _JUDGED)
+                        judged = True
+                    else:
+                        mask = covered(n, first[full], last[full] + spec.window)
                     if len(ask):
                         many = last[ask] - first[ask] + 1
                         start = np.repeat(first[ask] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                         unclear = np.repeat((got[ask] & UNCLEAR) > 0, many)
-                        judged = bool(unclear.any())
-                        w = runs.of(start, start + spec.window).view(np.int64)
-                        wins.append((np.full(len(w), doc), np.full(len(w), tie), np.repeat(a[ask], many).view(np.int64), w, start | np.where(unclear, _JUDGED, 0)))
-                if judged:
-                    s, e = intervals(mask)
-                    docs.append((doc, n, None, None, None, None, tie, z, np.column_stack((s, e)).ravel().tolist()))
-                else:
+                        judged = judged or bool(unclear.any())
+                        add(np.repeat(a[ask], many), runs.of(start, start + spec.window).view(np.int64), (start << _LENGTH) | spec.window | np.where(unclear, _JUDGED, 0))
+                if asked and judged:
+                    s, e = intervals(mask) if mask is not None else ((), ())
+                    docs.append((doc, n, None, None, None, None, tie, z, np.column_stack((s, e)).ravel().astype(np.int64).tolist()))
+                elif asked:
                     docs.append((doc, *_row(spec, raw, n, bounds, mask, text), None, None, None))
-                size += len(z) + (48 * len(wins[-1][0]) if wins else 0)
+                size += len(z) + 48 * sum(len(x[0]) for x in wins[before:])
                 if size > 8 << 20:
                     yield table(docs, wins)
                     docs, wins, size = [], [], 0
@@ -219,13 +281,14 @@ def _finisher(spec: Repeats, text: bool, arrow_schema):
     def run(batches):
         for b in batches:
             docs = []
-            for doc, raw, removed, starts in zip(b.column("doc_id").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for doc, raw, removed, refs in zip(b.column("doc_id").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("refs").to_pylist(), strict=True):
                 data, bounds, n = np.frombuffer(raw, np.uint8), None, len(raw)
                 if spec.unit == "word":
                     start, end, _ = words(data, np.array([0, len(raw)]), ~SPACE)
                     bounds, n = (start, end), len(start)
-                own, more = np.array(removed or [], np.int64).reshape(-1, 2), np.array(starts or [], np.int64)
-                mask = covered(n, np.concatenate((own[:, 0], more)), np.concatenate((own[:, 1], more + spec.window)))
+                own, more = np.array(removed or [], np.int64).reshape(-1, 2), np.array(refs or [], np.int64)
+                start, size = more >> _LENGTH, more & ((1 << _LENGTH) - 1)
+                mask = covered(n, np.concatenate((own[:, 0], start)), np.concatenate((own[:, 1], start + size)))
                 docs.append((doc, *_row(spec, raw, n, bounds, mask, text)))
             cols = list(zip(*docs, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow_schema, strict=True)], schema=arrow_schema)
@@ -233,27 +296,64 @@ def _finisher(spec: Repeats, text: bool, arrow_schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, spec: Repeats, groups: DataFrame | None = None, text: bool = False) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of each row of docs. groups: their rows of group_rows, if at hand.
+def _resolved(own: DataFrame, marks: DataFrame, key: list[str], spec: Repeats, text: bool, asked: bool) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"{_DOC}, {_WINDOW}"
+    rows = compressed(own, "tie").drop("n_bytes").join(marks, key, "left" if asked else "inner").select("doc_id", "tie", "z", "marks")
+    return rows.mapInArrow(_resolver(spec, text, to_arrow_schema(StructType.fromDDL(schema)), asked), schema)
+
 
-    groups may hold other documents, too (an index of history); then docs must hold those again whose windows are wanted in doubt.
+def without_repeats(own: DataFrame, found: DataFrame, spec: Repeats, history: DataFrame | None, text: bool, stage) -> DataFrame:
+    """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of each of the tied rows `own`, from what scans found.
+
+    history: the tied rows of earlier batches, which come before those of own; those are resolved again that share an anchor with something unclear in
+    own. stage(df, name) stores and rereads.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    own = tied(docs, groups is None and spec.first_stays)
-    marks = staged(marked(group_rows(own, spec) if groups is None else groups, spec), "marks")
-    schema = f"{_DOC}, {_WINDOW}"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    seen = staged(compressed(own, "tie").drop("n_bytes").join(marks, spec.key, "left").mapInArrow(_resolver(spec, text, arrow), schema), "resolved")
-    wins = seen.where("w IS NOT NULL").select(*spec.key, "a", "w", "ref").repartition("a")
-    by = Window.partitionBy("a", "w")
-    again = F.min("doc_id").over(by) < F.col("doc_id") if spec.first_stays else F.count(F.lit(1)).over(by) > 1
-    starts = wins.withColumn("again", again).where((F.col("ref") >= _JUDGED) & F.col("again"))
-    starts = starts.select(*spec.key, F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("start"))
-    starts = starts.groupBy(*spec.key).agg(F.collect_set("start").alias("starts"))
-    asked = seen.where("z IS NOT NULL").select("doc_id", "tie", "z", "removed").join(starts, spec.key, "left")
-    done = asked.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
+    placed = stage(_own_marks(own, found, spec), "placed")
+    seen = stage(_resolved(own, _collected(placed, spec.key), spec.key, spec, text, True), "resolved")
+    wins = seen.where("w IS NOT NULL").select("doc_id", "tie", "a", "w", "ref")
+    if history is not None:
+        wins = wins.unionByName(stage(_sources(placed, found, history, spec, stage), "sources"))
+    least = F.min("doc_id").alias("least") if spec.first_stays else F.count(F.lit(1)).alias("times")
+    both = wins.groupBy("a", "w").agg(least)
+    judged = wins.where(F.col("ref") >= _JUDGED).join(both if spec.first_stays else both.where("times > 1"), ["a", "w"])
+    judged = judged.where("least < doc_id") if spec.first_stays else judged
+    refs = judged.select(*spec.key, F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("ref")).groupBy(*spec.key).agg(F.collect_set("ref").alias("refs"))
+    wanted = seen.where("z IS NOT NULL").select("doc_id", "tie", "z", "removed").join(refs, spec.key, "left")
+    done = wanted.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     out = seen.where("n_removed IS NOT NULL").select(*names).unionByName(done)
     return out.select(real_id(), *names[1:])
+
+
+def source_rows(placed: DataFrame, found: DataFrame, history: DataFrame, spec: Repeats, stage) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of history that must be resolved again (all of them if these are many: the join with the marks picks them), their marks, and the marks' key."""
+    if spec.first_stays:
+        marks, key = found.where("source").select(F.col("other").alias("doc_id"), "h", F.lit(SOURCE).alias("bits")), ["doc_id"]
+    else:
+        near = found.join(placed.select("a").distinct(), "a", "left_semi")
+        one = near.select(F.col("own").alias("tie"), "h", F.col("whole").bitwiseOR(F.col("ends")).alias("bits"))
+        two = near.where("other <> own").select(F.col("other").alias("tie"), "h", F.col("whole").alias("bits"))
+        marks, key = one.unionByName(two).join(placed.select("tie").distinct(), "tie", "left_anti"), ["tie"]
+    marks = stage(_collected(marks, key), "sought")
+    keys = marks.select(*key)
+    if keys.limit(SHARED + 1).count() <= SHARED:
+        history = history.join(F.broadcast(keys), key, "left_semi")
+    return history, marks, key
+
+
+def _sources(placed: DataFrame, found: DataFrame, history: DataFrame, spec: Repeats, stage) -> DataFrame:
+    rows, marks, key = source_rows(placed, found, history, spec, stage)
+    wins = _resolved(rows, marks, key, spec, False, False).where("w IS NOT NULL")
+    doc_id = F.lit(-(1 << 63)).alias("doc_id") if spec.first_stays else F.col("doc_id")  # before all of the batch
+    return wins.select(doc_id, "tie", "a", "w", F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("ref"))
+
+
+def new_run(index, own: DataFrame, spec: Repeats) -> tuple[int, str]:
+    """The run of a batch's tied rows: (rows, name)."""
+    return index.store(totals(index.dealt(fingerprints(own, spec))))

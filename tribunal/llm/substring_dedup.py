@@ -1,7 +1,9 @@
 """Substring deduplication of word windows, over a log-structured index of fingerprints.
 
-The index is a set of immutable runs (Parquet folders, sorted by anchor hash): a new batch's fingerprints (see repeats.py) become a run, runs are
-joined by merging on the hash, and several runs are compacted into one. Equal fingerprints are verified on whole stretches and windows.
+The index is a set of immutable runs, sorted by anchor hash (runs.py): a new batch's fingerprints (see repeats.py) become a run, which is merge-joined with
+the runs of history as they lie; what repeats, in the batch or between it and history, is added to the index's list of matches. Several runs are compacted
+into one. Documents then take what concerns them from the matches. A stretch that repeats by its fingerprint is removed only if a second hash of its own
+words (BLAKE2b) is found twice, too, and single windows only if their own hash is.
 
 Null text: no words. Repeated rows are repeats of each other, so windows in both go. Texts under 35 words, and empty tables, are fine. A null doc_id
 stays null. Other columns are ignored.
@@ -14,46 +16,53 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, write
-from .repeats import Repeats, group_rows, remove_repeats, tied
+from .common import remove, scratch, shared_dir, staged, table, write
+from .repeats import Repeats, new_run, scanned, tied, without_repeats
+from .runs import SortedRuns
 
-WORDS = Repeats("word", 35, 8, first_stays=False)
+WORDS = Repeats("word", 35, 8, first_stays=False, verify=True)
+_MATCHES = "a long, h long, own long, other long, whole int, ends int, source boolean"
 
 
 class FingerprintIndex:
-    """Runs under `path`. At `most` runs, they are compacted into one."""
+    """Runs, and the matches found between them, under `path`. A batch is added by compacting `most` runs first."""
 
     def __init__(self, spark: SparkSession, path: str, spec: Repeats = WORDS, most: int = 4):
-        self.spark, self.path, self.spec, self.most, self.runs = spark, path, spec, most, []
-
-    def _write(self, rows: DataFrame) -> str:
-        folder = f"{self.path}/run-{uuid.uuid4().hex}"
-        write(rows.repartition("a").sortWithinPartitions("a", "h"), folder)
-        return folder
+        self.spark, self.path, self.spec, self.most, self.runs = spark, path, spec, most, SortedRuns(spark, path)
 
     def add(self, docs: DataFrame) -> None:
-        self.runs.append(self._write(group_rows(tied(docs), self.spec)))
-        if len(self.runs) >= self.most:
+        """Fingerprints of history are read, its texts are not."""
+        if len(self.runs.live) >= self.most:
             self.compact()
+        run = new_run(self.runs, tied(docs), self.spec)
+        write(scanned(self.runs.beside(self.runs.table(run[1])), self.spec), f"{self.path}/matches", "append")
+        self.runs.commit([*self.runs.live, run])
 
     def compact(self) -> None:
-        self.runs = [self._write(self.rows())]
+        self.runs.merge(self.runs.live)
 
-    def rows(self) -> DataFrame:
-        schema = self.spec.schema
-        return self.spark.read.schema(schema).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], schema)
+    def matches(self) -> DataFrame:
+        return self.spark.read.schema(_MATCHES).parquet(f"{self.path}/matches")
 
-    def remove_repeats(self, docs: DataFrame, text: bool = False) -> DataFrame:
-        """docs (all that were added), without what repeats."""
-        return remove_repeats(docs, self.spec, self.rows(), text)
+    def remove_repeats(self, docs: DataFrame, history: DataFrame | None = None, text: bool = False) -> DataFrame:
+        """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of docs: all that were added, or some, with all others as history."""
+        with scratch(self.spark) as folders:
+            stage = lambda df, name: staged(df, name, folders)
+            out = without_repeats(tied(docs), self.matches(), self.spec, None if history is None else tied(history), text, stage)
+            return staged(out if text else out.drop("kept"), "kept")
 
 
-def op9_substring_dedup(spark, sf_dir: str, batches: int = 2) -> DataFrame:
+def op9_substring_dedup(spark, sf_dir: str, batches: int = 3) -> DataFrame:
+    """All documents, as batches by a hash of doc_id, the last of which finds its history compacted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = FingerprintIndex(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+    index = FingerprintIndex(spark, path, most=batches - 1)
     for k in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    return index.remove_repeats(docs).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+    out = index.remove_repeats(docs)
+    index.runs.commit([])
+    remove(spark, path)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
 #: Hashes of windows, since whole ones would need too much memory.

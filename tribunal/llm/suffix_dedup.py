@@ -1,11 +1,12 @@
-"""Suffix-array deduplication of byte strings, over a family of sorted levels.
+"""Suffix-array deduplication of byte strings, over a logarithmic family of sorted levels.
 
 A level is a sorted table of sampled suffixes: one suffix per group of byte windows (see repeats.py), in the order of the hash of its first bytes, with
-the hash of the stretch its windows cover and its document. A whole suffix array takes eight bytes and more for each byte of text, beyond any sensible
-budget of disk; the sample is enough to find every repeated window, and what it leaves unclear is decided window by window.
+the hash of the stretch its windows cover and its documents. (A whole suffix array takes eight bytes and more for each byte of text, beyond any sensible
+budget of disk; the sample is enough to find every repeated window, and what it leaves unclear is decided window by window.)
 
-`SuffixLevels` keeps levels as immutable Parquet folders: a new batch becomes a level, all levels are scanned together by suffix, and levels of about
-equal size are merged, so that n batches leave about log n levels.
+A new batch gets such a table; it is scanned side by side with the levels of earlier batches, which gives the long matches of the batch, in itself and with
+history; then it becomes a level. Before the next batch, levels within a factor of two of each other merge, so that n batches leave about log n levels.
+What earlier batches lost doesn't change any more. Levels and their list are in the shared folder (runs.py).
 
 Null text: empty, nothing is removed. A null doc_id counts as larger than any. Rows that share a doc_id don't remove bytes of each other. Texts under
 50 bytes, and empty tables, are fine. Other columns are ignored.
@@ -18,44 +19,64 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, write
-from .repeats import Repeats, group_rows, remove_repeats, tied
+from .common import NULL_ID, keyed, remove, scratch, shared_dir, staged, table
+from .repeats import Repeats, new_run, scanned, tied, without_repeats
+from .runs import SortedRuns
 
 BYTES = Repeats("byte", 50, 24, first_stays=True)
 
 
 class SuffixLevels:
-    """Levels under `path`; a folder holds a level's size class and rows, and a manifest-free listing is its state: levels are only added or merged."""
+    """Levels under `path`."""
 
     def __init__(self, spark: SparkSession, path: str, spec: Repeats = BYTES):
-        self.spark, self.path, self.spec, self.levels = spark, path, spec, []  # levels: [(rows, folder)], largest first
-
-    def _write(self, rows: DataFrame) -> tuple[int, str]:
-        folder = f"{self.path}/level-{uuid.uuid4().hex}"
-        write(rows.repartition("a").sortWithinPartitions("a", "h"), folder)
-        return self.spark.read.parquet(folder).count(), folder
-
-    def rows(self) -> DataFrame:
-        schema = self.spec.schema
-        return self.spark.read.schema(schema).parquet(*[f for _, f in self.levels]) if self.levels else self.spark.createDataFrame([], schema)
-
-    def add(self, docs: DataFrame) -> None:
-        """A batch becomes a level; as long as the smallest two are within a factor of two, they merge."""
-        self.levels.append(self._write(group_rows(tied(docs), self.spec)))
-        self.levels.sort(reverse=True)
-        while len(self.levels) > 1 and self.levels[-2][0] < 2 * max(1, self.levels[-1][0]):
-            pair, self.levels = self.levels[-2:], self.levels[:-2]
-            self.levels.append(self._write(self.spark.read.parquet(*[f for _, f in pair])))
-            self.levels.sort(reverse=True)
-
-    def remove_repeats(self, docs: DataFrame, text: bool = False) -> DataFrame:
-        """docs (all that were added), without what repeats."""
-        return remove_repeats(docs, self.spec, self.rows(), text)
-
-
-def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False) -> DataFrame:
-    """All docs as one batch: its level is scanned as it is shuffled, without being stored."""
-    return remove_repeats(docs, spec, None, text)
+        self.spark, self.spec, self.levels = spark, spec, SortedRuns(spark, path)
+
+    def _settle(self) -> None:
+        """Merge the two smallest levels as long as they are within a factor of two."""
+        while len(live := self.levels.live) > 1 and live[-2][0] < 2 * max(1, live[-1][0]):
+            self.levels.merge(live[-2:])
+
+    def add(self, docs: DataFrame, history: DataFrame | None = None, text: bool = False) -> DataFrame:
+        """The batch docs becomes a level; doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of each of its rows.
+
+        history: the documents of earlier batches, which come before those of docs whatever their doc_id. No other document may join a batch later.
+        """
+        self._settle()
+        with scratch(self.spark) as folders:
+            stage = lambda df, name: staged(df, name, folders)
+            own = tied(docs, few=True)
+            level = new_run(self.levels, own, self.spec)
+            found = stage(scanned(self.levels.beside(self.levels.table(level[1])), self.spec), "found")
+            out = without_repeats(own, found, self.spec, None if history is None else tied(history), text, stage)
+            out = staged(out if text else out.drop("kept"), "batch")
+        self.levels.commit([*self.levels.live, level])
+        return out
+
+
+def by_doc_id(docs: DataFrame, batches: int) -> list[DataFrame]:
+    """docs in ranges of doc_id of about equal numbers of rows; null ids come last."""
+    own = keyed(docs)
+    inner = [k / batches for k in range(1, batches)]
+    cuts = own.agg(F.percentile_approx("doc_id", inner, 1000)).first()[0] or [] if inner else []
+    edges = [None, *sorted(set(cuts)), None]
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    some = lambda low, high: docs.where((F.lit(True) if low is None else doc_id > low) & (F.lit(True) if high is None else doc_id <= high))
+    return [some(low, high) for low, high in zip(edges, edges[1:], strict=False)]
+
+
+def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False, batches: int = 3) -> DataFrame:
+    """All docs, as batches in the order of doc_id over levels of their own, which go at the end."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    levels, out, history = SuffixLevels(spark, path, spec), None, None
+    for part in by_doc_id(docs, batches):
+        got = levels.add(part, history, text)
+        out = got if out is None else out.unionByName(got)
+        history = part if history is None else history.unionByName(part)
+    levels.levels.commit([])
+    remove(spark, path)
+    return out
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
