@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tribunal.llm import automata, chat, decontamination, jaccard, lm_scores, packing, quality, repeats, secrets, substring_dedup, suffix_dedup, token_counts
 from tribunal.llm.common import shared_dir
 from tribunal.llm.components import components
-from tribunal.llm.repeats import Repeats, remove_repeats
+from tribunal.llm.repeats import Repeats
 from tribunal.llm.tokens import PieceCache, spaced_parts, split_before_spaces, split_words, tokenizer_path, word_parts
 
 from .conftest import prose
@@ -127,28 +127,72 @@ def suffix_brute(texts, width):
     return out
 
 
+SUFFIX = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"]
+
+
 def test_suffix_dedup(docs, texts, none, spark):
-    names = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"]
     want = suffix_brute(texts, 50)
-    assert rows(suffix_dedup.remove_repeated_bytes(docs), *names) == want
+    for batches in (1, 3):
+        assert rows(suffix_dedup.remove_repeated_bytes(docs, batches=batches), *SUFFIX) == want
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
-    # the same by batches, over levels that merge
-    levels = suffix_dedup.SuffixLevels(spark, f"{shared_dir(spark)}/levels-{random.random()}")
-    for k in range(3):
-        levels.add(docs.where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == k))
-    assert all(a[0] >= 2 * b[0] for a, b in zip(levels.levels, levels.levels[1:], strict=False))
-    assert rows(levels.remove_repeats(docs), *names) == want
-
-
-def test_small_windows_by_brute_force(spark):
+    kept = suffix_dedup.remove_repeated_bytes(docs, text=True).select("kept", "kept_sha256").collect()
+    assert all(sha(r.kept) == r.kept_sha256 for r in kept)
+
+
+def test_suffix_levels_grow_batch_by_batch(docs, texts, spark):
+    """Batches in any order: those of an earlier one come first. Each opens the levels again, as another session would; sizes fall by half or more."""
+    of = lambda i: 4 if i is None else (i * 7) % 5
+    rank = lambda i: of(i) * 1000 + (999 if i is None else i)
+    want = Counter({(texts_of[k[0]], *k[1:]): n for k, n in suffix_brute([(rank(i), t) for i, t in texts], 50).items()} if (texts_of := {rank(i): i for i, _ in texts}) else {})
+    path, got, history = f"{shared_dir(spark)}/levels-{random.random()}", Counter(), None
+    for k in range(5):
+        batch = docs.where(F.coalesce(F.pmod(F.col("doc_id") * 7, F.lit(5)), F.lit(4)) == k)
+        levels = suffix_dedup.SuffixLevels(spark, path)
+        got += rows(levels.add(batch, history), *SUFFIX)
+        history = batch if history is None else history.unionByName(batch)
+        for _, n in levels.levels.live:
+            spark.sql(f"DROP TABLE {n}")  # as if this session had not made it
+    live = levels.levels.live
+    assert got == want and len(live) <= 4 and all(a[0] >= 2 * b[0] for a, b in zip(live, live[1:-1], strict=False))
+    hs = [tuple(r) for _, n in live for r in levels.levels.table(n).select("a", "h").collect()]
+    assert len(hs) == sum(n for n, _ in live)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_small_windows_by_brute_force(spark, batches):
     rng = random.Random(9)
     texts = [(i, "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 90)))) for i in range(40)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = remove_repeats(docs, Repeats("byte", 9, 4, True))
-    assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == suffix_brute(texts, 9)
+    got = suffix_dedup.remove_repeated_bytes(docs, Repeats("byte", 9, 4, True), batches=batches)
+    assert rows(got, *SUFFIX) == suffix_brute(texts, 9)
+
+
+#: The Thue-Morse word of 2^10 letters and its complement: equal under any polynomial modulo 2^64.
+MORSE = ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(1 << 10)) for flip in (0, 1)]
+
+
+def test_words_that_sums_modulo_a_power_of_two_cannot_tell_apart(spark):
+    import numpy as np
+
+    from tribunal.llm.text import Runs, word_hashes
+
+    data = np.frombuffer("".join(MORSE).encode(), np.uint8)
+    assert len(set(word_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    for units in (np.array([3, 2**63 + 5], np.uint64), np.array([1, 2], np.uint64)):
+        both = np.concatenate([units[[int(x == "b") for x in w]] for w in MORSE])
+        for k in (64, 256, 1024):
+            assert len(set(Runs(both).of(np.array([0, 1024]), np.array([k, 1024 + k])).tolist())) == 2
+    rng = random.Random(30)
+    texts = [(k, " ".join([w, *prose(rng, 40, 10**6)])) for k, w in enumerate(MORSE)] + [(2, MORSE[0]), (3, MORSE[1])]
+    texts += [(4 + k, " ".join([w] * 40)) for k, w in enumerate(MORSE)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(jaccard.groups(docs, jaccard.CONTRACT), "doc_id", "n_shingles", "component_id") == jaccard_brute(texts, 4, 85)
+    assert rows(removed_words(docs), "doc_id", "n_units", "n_removed", "kept_sha256") == words_brute(texts)
+    few = lm_scores.score(docs.where("doc_id in (2, 3)")).collect()
+    assert all(r.score_micro == 0 for r in few)  # each is a word of its own, once in the other's text of one word
 
 
-@pytest.mark.parametrize("spec", [Repeats("byte", 50, 24, True), Repeats("word", 35, 8, False)], ids=["bytes", "words"])
+@pytest.mark.parametrize("spec", [Repeats("byte", 50, 24, True), substring_dedup.WORDS], ids=["bytes", "words"])
 @pytest.mark.parametrize("shared", [100_000, 0])
 def test_many_rows_without_id(spark, monkeypatch, spec, shared):
     """Different texts under one doc_id or none, in pairs that agree in 16 bits of a digest: one with unclear windows, one of other length that has none."""
@@ -163,10 +207,11 @@ def test_many_rows_without_id(spark, monkeypatch, spec, shared):
     texts = [(0, " ".join(passage))] + [(None if k % 3 else 5, t) for k, both in enumerate(pairs) for t in both]
     texts += [texts[2], texts[2], (5, pairs[1][0]), texts[1]]
     monkeypatch.setattr(repeats, "SHARED", shared)
-    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spec)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     if spec.first_stays:
-        assert rows(got, "doc_id", "n_units", "n_removed", "n_spans", "kept_sha256") == suffix_brute(texts, 50)
+        assert rows(suffix_dedup.remove_repeated_bytes(docs, spec), *SUFFIX) == suffix_brute(texts, 50)
     else:
+        got = removed_words(docs, spec)
         assert rows(got, "doc_id", "n_units", "n_removed", "kept_sha256") == words_brute(texts)
 
 
@@ -419,22 +464,56 @@ def words_brute(texts):
     return out
 
 
+def removed_words(docs, spec=substring_dedup.WORDS, batches=2):
+    spark = docs.sparkSession
+    index = substring_dedup.FingerprintIndex(spark, f"{shared_dir(spark)}/index-{random.random()}", spec)
+    for k in range(batches):
+        index.add(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k))
+    return index.remove_repeats(docs)
+
+
+WORDS = ["doc_id", "n_units", "n_removed", "kept_sha256"]
+
+
 def test_substring_dedup(docs, texts, none, spark):
-    count = Counter()
-    for _, t in texts:
-        w = words(t)
-        count.update(tuple(w[s : s + 35]) for s in range(len(w) - 34))
-    want = Counter()
-    for i, t in texts:
-        w = words(t)
-        gone = {k for s in range(len(w) - 34) if count[tuple(w[s : s + 35])] > 1 for k in range(s, s + 35)}
-        want[i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
-    index = substring_dedup.FingerprintIndex(spark, f"{shared_dir(spark)}/index-{random.random()}", most=2)
-    for k in range(3):
-        index.add(docs.where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == k))
-    assert len(index.runs) == 1
-    assert rows(index.remove_repeats(docs), "doc_id", "n_units", "n_removed", "kept_sha256") == want
-    assert remove_repeats(none, substring_dedup.WORDS).count() == 0
+    """Batch by batch, with compaction, each time with the index opened again; then all documents, or the last batch beside history."""
+    want = words_brute(texts)
+    path = f"{shared_dir(spark)}/index-{random.random()}"
+    part = F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0))
+    for k in range(4):
+        index = substring_dedup.FingerprintIndex(spark, path, most=2)
+        index.add(docs.where(part == k))
+        assert len(index.runs.live) == min(k + 1, 2)
+    assert rows(index.remove_repeats(docs), *WORDS) == want
+    last = Counter({k: n for k, n in want.items() if k[0] is not None and k[0] % 4 == 3})
+    assert rows(index.remove_repeats(docs.where(part == 3), docs.where(part < 3)), *WORDS) == last
+    assert removed_words(none).count() == 0
+
+
+def test_equal_fingerprints_of_different_words_are_not_taken_as_repeats(spark, docs, texts):
+    class Weak(Repeats):
+        def groups(self, runs, at):
+            row, a, h, first, last = super().groups(runs, at)
+            return row, a, a, first, last  # a fingerprint that looks at the anchor only
+
+    spec = Weak("word", 35, 8, first_stays=False, verify=True)
+    assert rows(removed_words(docs, spec), *WORDS) == words_brute(texts)
+
+
+def test_history_is_read_only_where_a_match_needs_it(spark):
+    rng = random.Random(31)
+    old = [(k, " ".join(prose(rng, 200, 10**6))) for k in range(30)]
+    new = [(100, " ".join(words(old[5][1])[20:90])), (101, " ".join([*prose(rng, 60, 10**6), *words(old[9][1])[50:120], *prose(rng, 60, 10**6)])), (102, " ".join(prose(rng, 200, 10**6)))]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark, f"{shared_dir(spark)}/index-{random.random()}")
+    index.add(frame(old))
+    index.add(frame(new))
+    want = Counter({k: n for k, n in words_brute(old + new).items() if k[0] >= 100})
+    assert rows(index.remove_repeats(frame(new), frame(old)), *WORDS) == want
+    tied = repeats.tied(frame(new)), repeats.tied(frame(old))
+    placed = repeats._own_marks(tied[0], index.matches(), index.spec)
+    read, marks, _ = repeats.source_rows(placed, index.matches(), tied[1], index.spec, lambda df, name: df)
+    assert {r.doc_id for r in read.collect()} == {5, 9}
 
 
 # --- 10
@@ -452,6 +531,9 @@ def test_token_counts(docs, texts, none, spark):
     known = spark.read.parquet(path)
     assert known.count() == len({x or "" for _, x in texts}) > before  # only distinct misses were added
     assert token_counts.count_tokens(none, BPE, path).count() == 0 and spark.read.parquet(path).count() == known.count()
+    twice = f"{path}-twice"
+    known.unionByName(known).write.parquet(twice)  # as two writers at once would leave it
+    assert rows(token_counts.count_tokens(docs, BPE, twice), "doc_id", "n_bytes", "n_tokens") == want
 
 
 @pytest.mark.parametrize(("path", "split", "parts"), [(WORD, split_words, word_parts), (BPE, split_before_spaces, spaced_parts)])

@@ -10,7 +10,10 @@ fingerprint (a, h): a hashes the anchor, h the whole stretch that the group's wi
    window of its group does; what is left (the ends of repeated passages, and frequent phrases) is unclear. Only what says something is kept (`found`).
 3. The batch's rows meet it by (a, h), and what concerns a document goes to it. Documents resolve their stretches, and emit the single windows where it is
    unclear; documents of history are read again only for the windows they share an anchor with.
-4. Windows (and with `verify` whole stretches, by a second hash of their own words) are summed by (a, hash) and go back to the documents that asked.
+4. Windows are compared by (a, hash), and what repeats goes back to the documents that asked.
+
+With `verify`, fingerprints carry a second hash of their stretches' words, and equal (a, h) whose second hashes differ are not taken as repeats: all their
+windows are unclear.
 
 A row's key is a hash of its doc_id and text (`tie`), and the doc_id too if that decides which window stays. Rows of one key are equal in both, so they
 share marks and starts, each once.
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, chunks, compressed, decompressed, keyed, real_id, utf8
-from .runs import RUN, totals
+from .runs import CHECK, RUN
 from .text import SPACE, Runs, byte_runs, covered, intervals, starts_of_windows, word_hashes, words
 
 #: Bits of a unit's place in the sliding minimum, windows looked at together, and fingerprints that a task sums at a time.
@@ -40,7 +43,7 @@ SHARED = 100_000
 
 @dataclass(frozen=True)
 class Repeats:
-    """unit: "byte" or "word". first_stays: a window repeats if an earlier document has it, else if it starts anywhere else too. verify: of stretches, too."""
+    """unit: "byte" or "word". first_stays: a window repeats if an earlier document has it, else if it starts anywhere else too. verify: second hashes."""
 
     unit: str
     window: int
@@ -52,6 +55,11 @@ class Repeats:
     def key(self) -> list[str]:
         return ["doc_id", "tie"] if self.first_stays else ["tie"]
 
+    @property
+    def schema(self) -> str:
+        """Of a run."""
+        return RUN + CHECK if self.verify else RUN
+
     def units(self, data: np.ndarray, off: np.ndarray):
         """Hashes of runs and n + 1 offsets of the rows' units, and the words' bounds in bytes."""
         if self.unit == "byte":
@@ -96,14 +104,15 @@ def tied(docs: DataFrame, few: bool = False) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """A row of runs.RUN for each (a, h) of the tied docs and task, or several; their key is the doc_id if the first stays, else the tie."""
+    """A row of spec.schema for each (a, h) of the tied docs and task, or several; their key is the doc_id if the first stays, else the tie."""
     key = spec.key[0]
 
-    def summed(a, h, k):
+    def summed(a, h, k, check=None):
         o = np.argsort(a + h * np.uint64(0x9E3779B97F4A7C15))
         a, h, k = a[o], h[o], k[o]
         at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]))))
-        return [a[at].view(np.int64), h[at].view(np.int64), np.diff(at, append=len(a)), np.minimum.reduceat(k, at), np.maximum.reduceat(k, at)]
+        both = lambda x: [np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)]
+        return [a[at].view(np.int64), h[at].view(np.int64), np.diff(at, append=len(a)), *both(k), *(both(check[o]) if check is not None else ())]
 
     def run(batches):
         parts, size = [], 0
@@ -111,9 +120,11 @@ def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
             data, off = utf8(b.column("text"))
             keys = b.column(key).to_numpy()
             for i, j in chunks(off):
-                runs, at, _ = spec.units(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                row, a, h, _, _ = spec.groups(runs, at)
-                parts.append((a, h, keys[i:j][row]))
+                part = data[off[i] : off[j]]
+                runs, at, bounds = spec.units(part, off[i : j + 1] - off[i])
+                row, a, h, first, last = spec.groups(runs, at)
+                check = [Runs(word_hashes(part, *bounds, seed=1)).of(first, last + spec.window).view(np.int64)] if spec.verify else []
+                parts.append((a, h, keys[i:j][row], *check))
                 size += len(a)
                 if size >= SUMMED:
                     yield rows(parts)
@@ -122,9 +133,10 @@ def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
             yield rows(parts)
 
     def rows(parts):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])], ["a", "h", "n", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])], names)
 
-    return docs.select(key, "text").mapInArrow(run, RUN)
+    names = [c.split()[0] for c in spec.schema.split(", ")]
+    return docs.select(key, "text").mapInArrow(run, spec.schema)
 
 
 def _placed(docs: DataFrame, spec: Repeats) -> DataFrame:
@@ -147,24 +159,24 @@ FOUND = ["a", "h", "own", "other", "whole", "ends", "source"]
 
 
 def scanned(rows: DataFrame, spec: Repeats) -> DataFrame:
-    """FOUND of the new rows (and of history what concerns them), from runs of new rows beside those of history."""
-    by_a = Window.partitionBy("a")
-    new = F.col("is_new")
+    """FOUND of the new rows (and of history what concerns them), from runs of new rows beside those of history. All windows share one order, that of runs."""
+    by_a, by_h, new = Window.partitionBy("a"), Window.partitionBy("a", "h"), F.col("is_new")
+    again = F.lag("h").over(by_a.orderBy("h")).eqNullSafe(F.col("h"))
+    several = F.min("h").over(by_a) != F.max("h").over(by_a)
     if spec.first_stays:
-        u = rows.groupBy("a", "h").agg(F.min(F.when(new, F.col("first"))).alias("own"), F.max(F.when(new, F.col("last"))).alias("last"), F.min(F.when(~new, F.col("first"))).alias("old"))
+        u = rows.withColumns({"own": F.min(F.when(new, F.col("first"))).over(by_h), "latest": F.max(F.when(new, F.col("last"))).over(by_h), "old": F.min(F.when(~new, F.col("first"))).over(by_h)})
         only_new, has_new = F.col("old").isNull(), F.col("own").isNotNull()
         mine = F.when(only_new, F.col("own"))
-        u = u.withColumns({"several": F.count(F.lit(1)).over(by_a) > 1, "any_old": F.max(~only_new).over(by_a), "least": F.min(mine).over(by_a), "most": F.max(mine).over(by_a)})
-        source = ~only_new & F.col("least").isNotNull()
+        u = u.withColumns({"several": several, "any_old": F.max(~only_new).over(by_a), "least": F.min(mine).over(by_a), "most": F.max(mine).over(by_a), "again": again})
         ends = F.when(F.col("any_old") | (F.col("least") < F.col("own")), UNCLEAR).otherwise(0).bitwiseOR(F.when(F.col("most") > F.col("own"), SOURCE).otherwise(0))
-        u = u.withColumns({"whole": F.when(has_new & ~only_new, REPEATS).otherwise(0), "ends": F.when(only_new & F.col("several"), ends).otherwise(0), "source": source})
-        u = u.where("source OR whole > 0 OR ends > 0 OR last > own")
+        u = u.withColumns({"whole": F.when(has_new & ~only_new, REPEATS).otherwise(0), "ends": F.when(only_new & has_new & F.col("several"), ends).otherwise(0), "source": ~only_new & F.col("least").isNotNull()})
+        u = u.where("NOT again AND (source OR whole > 0 OR ends > 0 OR latest > own)")
         return u.select("a", "h", F.when(only_new, F.col("own")).alias("own"), F.col("old").alias("other"), "whole", "ends", "source")
-    u = rows.groupBy("a", "h").agg(F.sum("n").alias("n"), F.min("first").alias("own"), F.max("last").alias("other"), F.max("is_new").alias("is_new"))
-    u = u.withColumns({"several": F.count(F.lit(1)).over(by_a) > 1, "single": F.min("n").over(by_a) == 1, "any_new": F.max("is_new").over(by_a)})
+    u = rows.withColumns({"n": F.sum("n").over(by_h), "own": F.min("first").over(by_h), "other": F.max("last").over(by_h), "clash": F.min("low").over(by_h) != F.max("high").over(by_h) if spec.verify else F.lit(False)})
+    u = u.withColumns({"several": several, "single": F.min(F.when(F.col("clash"), 1).otherwise(F.col("n"))).over(by_a) == 1, "any_new": F.max("is_new").over(by_a), "again": again})
     ends = F.when(F.col("several") & F.col("single"), F.when(F.col("n") == 1, UNCLEAR).otherwise(SOURCE)).otherwise(0)
-    u = u.withColumns({"whole": F.when(F.col("n") > 1, REPEATS).otherwise(0), "ends": ends, "source": F.lit(False)})
-    return u.where("any_new AND (whole > 0 OR ends > 0)").select(*FOUND)
+    whole = F.when(F.col("clash"), UNCLEAR).when(F.col("n") > 1, REPEATS).otherwise(0)
+    return u.withColumns({"whole": whole, "ends": ends, "source": F.lit(False)}).where("any_new AND NOT again AND (whole > 0 OR ends > 0)").select(*FOUND)
 
 
 def _collected(marks: DataFrame, key: list[str]) -> DataFrame:
@@ -184,9 +196,9 @@ def _own_marks(own: DataFrame, found: DataFrame, spec: Repeats) -> DataFrame:
 
 RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
 _DOC = f"{RESULT}, tie long, z binary, removed array<long>"
-#: ref: a stretch's start and length in units (8 bits), and whether it is judged in a higher bit.
+#: ref: a window's start, and whether it is judged in a higher bit.
 _WINDOW = "a long, w long, ref long"
-_JUDGED, _LENGTH = 1 << 62, 8
+_JUDGED = 1 << 62
 
 
 def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, text: bool) -> tuple:
@@ -205,13 +217,6 @@ def _row(spec: Repeats, raw: bytes, n: int, bounds, mask: np.ndarray | None, tex
     return n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text else None
 
 
-def _digests(raw: bytes, bounds, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A second hash of stretches of words, from the words themselves."""
-    first, last = bounds[0][start].tolist(), bounds[1][end - 1].tolist()
-    out = [int.from_bytes(hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=8).digest(), "little", signed=True) for x, y in zip(first, last, strict=True)]
-    return np.array(out, np.int64)
-
-
 def _resolver(spec: Repeats, text: bool, arrow_schema, asked: bool):
     """Rows with marks become rows of results (or, where windows must be looked up first, of what is known), and rows of windows. asked: else windows only."""
 
@@ -250,22 +255,16 @@ def _resolver(spec: Repeats, text: bool, arrow_schema, asked: bool):
                     k = np.minimum(np.searchsorted(keys, h >> np.uint64(3)), len(keys) - 1)
                     got = np.where(keys[k] == h >> np.uint64(3), bits[k], 0)
                     full, ask = np.flatnonzero(got & REPEATS), np.flatnonzero(got & (UNCLEAR | SOURCE))
-                    add = lambda a, w, ref: wins.append((np.full(len(w), doc), np.full(len(w), tie), a.view(np.int64), w, ref))  # noqa: B023, E731
-                    if spec.verify and len(full):
-                        s, e = first[full], last[full] + spec.window
-                        add(a[full], _digests(raw, bounds, s, e), (s << _LENGTH) | (e - s) | _JUDGED)
-                        judged = True
-                    else:
-                        mask = covered(n, first[full], last[full] + spec.window)
+                    mask = covered(n, first[full], last[full] + spec.window)
                     if len(ask):
                         many = last[ask] - first[ask] + 1
                         start = np.repeat(first[ask] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                         unclear = np.repeat((got[ask] & UNCLEAR) > 0, many)
-                        judged = judged or bool(unclear.any())
-                        add(np.repeat(a[ask], many), runs.of(start, start + spec.window).view(np.int64), (start << _LENGTH) | spec.window | np.where(unclear, _JUDGED, 0))
+                        judged = bool(unclear.any())
+                        w = runs.of(start, start + spec.window).view(np.int64)
+                        wins.append((np.full(len(w), doc), np.full(len(w), tie), np.repeat(a[ask], many).view(np.int64), w, start | np.where(unclear, _JUDGED, 0)))
                 if asked and judged:
-                    s, e = intervals(mask) if mask is not None else ((), ())
-                    docs.append((doc, n, None, None, None, None, tie, z, np.column_stack((s, e)).ravel().astype(np.int64).tolist()))
+                    docs.append((doc, n, None, None, None, None, tie, z, np.column_stack(intervals(mask)).ravel().tolist()))
                 elif asked:
                     docs.append((doc, *_row(spec, raw, n, bounds, mask, text), None, None, None))
                 size += len(z) + 48 * sum(len(x[0]) for x in wins[before:])
@@ -281,14 +280,13 @@ def _finisher(spec: Repeats, text: bool, arrow_schema):
     def run(batches):
         for b in batches:
             docs = []
-            for doc, raw, removed, refs in zip(b.column("doc_id").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("refs").to_pylist(), strict=True):
+            for doc, raw, removed, starts in zip(b.column("doc_id").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 data, bounds, n = np.frombuffer(raw, np.uint8), None, len(raw)
                 if spec.unit == "word":
                     start, end, _ = words(data, np.array([0, len(raw)]), ~SPACE)
                     bounds, n = (start, end), len(start)
-                own, more = np.array(removed or [], np.int64).reshape(-1, 2), np.array(refs or [], np.int64)
-                start, size = more >> _LENGTH, more & ((1 << _LENGTH) - 1)
-                mask = covered(n, np.concatenate((own[:, 0], start)), np.concatenate((own[:, 1], start + size)))
+                own, more = np.array(removed or [], np.int64).reshape(-1, 2), np.array(starts or [], np.int64)
+                mask = covered(n, np.concatenate((own[:, 0], more)), np.concatenate((own[:, 1], more + spec.window)))
                 docs.append((doc, *_row(spec, raw, n, bounds, mask, text)))
             cols = list(zip(*docs, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow_schema, strict=True)], schema=arrow_schema)
@@ -319,12 +317,11 @@ def without_repeats(own: DataFrame, found: DataFrame, spec: Repeats, history: Da
     wins = seen.where("w IS NOT NULL").select("doc_id", "tie", "a", "w", "ref")
     if history is not None:
         wins = wins.unionByName(stage(_sources(placed, found, history, spec, stage), "sources"))
-    least = F.min("doc_id").alias("least") if spec.first_stays else F.count(F.lit(1)).alias("times")
-    both = wins.groupBy("a", "w").agg(least)
-    judged = wins.where(F.col("ref") >= _JUDGED).join(both if spec.first_stays else both.where("times > 1"), ["a", "w"])
-    judged = judged.where("least < doc_id") if spec.first_stays else judged
-    refs = judged.select(*spec.key, F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("ref")).groupBy(*spec.key).agg(F.collect_set("ref").alias("refs"))
-    wanted = seen.where("z IS NOT NULL").select("doc_id", "tie", "z", "removed").join(refs, spec.key, "left")
+    by_w = Window.partitionBy("a", "w")
+    again = F.min("doc_id").over(by_w) < F.col("doc_id") if spec.first_stays else F.count(F.lit(1)).over(by_w) > 1
+    judged = wins.withColumn("again", again).where((F.col("ref") >= _JUDGED) & F.col("again"))
+    starts = judged.select(*spec.key, F.col("ref").bitwiseAND(F.lit(_JUDGED - 1)).alias("start")).groupBy(*spec.key).agg(F.collect_set("start").alias("starts"))
+    wanted = seen.where("z IS NOT NULL").select("doc_id", "tie", "z", "removed").join(starts, spec.key, "left")
     done = wanted.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     out = seen.where("n_removed IS NOT NULL").select(*names).unionByName(done)
@@ -337,9 +334,10 @@ def source_rows(placed: DataFrame, found: DataFrame, history: DataFrame, spec: R
         marks, key = found.where("source").select(F.col("other").alias("doc_id"), "h", F.lit(SOURCE).alias("bits")), ["doc_id"]
     else:
         near = found.join(placed.select("a").distinct(), "a", "left_semi")
-        one = near.select(F.col("own").alias("tie"), "h", F.col("whole").bitwiseOR(F.col("ends")).alias("bits"))
-        two = near.where("other <> own").select(F.col("other").alias("tie"), "h", F.col("whole").alias("bits"))
-        marks, key = one.unionByName(two).join(placed.select("tie").distinct(), "tie", "left_anti"), ["tie"]
+        wanted = lambda bits: bits.bitwiseAND(F.lit(UNCLEAR | SOURCE)).alias("bits")
+        one = near.select(F.col("own").alias("tie"), "h", wanted(F.col("whole").bitwiseOR(F.col("ends"))))
+        two = near.where("other <> own").select(F.col("other").alias("tie"), "h", wanted(F.col("whole")))
+        marks, key = one.unionByName(two).where("bits > 0").join(placed.select("tie").distinct(), "tie", "left_anti"), ["tie"]
     marks = stage(_collected(marks, key), "sought")
     keys = marks.select(*key)
     if keys.limit(SHARED + 1).count() <= SHARED:
@@ -356,4 +354,4 @@ def _sources(placed: DataFrame, found: DataFrame, history: DataFrame, spec: Repe
 
 def new_run(index, own: DataFrame, spec: Repeats) -> tuple[int, str]:
     """The run of a batch's tied rows: (rows, name)."""
-    return index.store(totals(index.dealt(fingerprints(own, spec))))
+    return index.store(fingerprints(own, spec))

@@ -1,6 +1,6 @@
 """Immutable sorted runs of fingerprints in the shared folder, and the log that says which of them are live.
 
-A run is a Parquet table (a, h, n, first, last), bucketed by `a` and sorted by (a, h) within a bucket, one file each. All runs of an index have the same
+A run is a Parquet table (RUN), bucketed by `a` and sorted by (a, h) within a bucket, one file each. All runs of an index have the same
 buckets, so that Spark joins and merges them bucket by bucket, without a shuffle. Runs are never changed: a merge writes a new one. The log is a Parquet
 table to which each change appends all live runs under the next step; an index opened again, in another session too, goes on from its last step.
 """
@@ -15,21 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import cleaning, remove, write
 
-#: a: hash of an anchor, h: of the stretch around it; n: how often it occurs; first and last: the least and the greatest key of a row that has it.
+#: a: hash of an anchor, h: of the stretch around it; n: how often it occurs; first and last: the least and the greatest key of a row that has it. An (a, h)
+#: may stand in several rows, one for each task that met it. low and high: the least and the greatest second hash of its stretches, where these are verified.
 RUN = "a long, h long, n long, first long, last long"
+CHECK = ", low long, high long"
 LOG = "step long, run string, n_rows long, buckets int"
 
 
-def totals(rows: DataFrame) -> DataFrame:
-    """One row for each (a, h)."""
-    return rows.groupBy("a", "h").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-
-
 class SortedRuns:
     """The live runs under `path`, largest first, as (rows, name)."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.live, self.step = spark, path, [], 0
+    def __init__(self, spark: SparkSession, path: str, schema: str = RUN):
+        self.spark, self.path, self.schema, self.live, self.step = spark, path, schema, [], 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
             log = spark.read.schema(LOG).parquet(f"{path}/log")
@@ -41,20 +38,19 @@ class SortedRuns:
             self.live = sorted(((r.n_rows, r.run) for r in last), reverse=True)
 
     def table(self, name: str) -> DataFrame:
-        if not self.spark.catalog.tableExists(name):  # written by another session
-            self.spark.sql(f"CREATE TABLE {name} ({RUN.replace(' long', ' BIGINT')}) USING parquet CLUSTERED BY (a) SORTED BY (a, h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        if not self.spark.catalog.tableExists(name):  # new, or written by another session
+            columns = self.schema.replace(" long", " BIGINT")
+            self.spark.sql(f"""CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd', `parquet.writer.version` 'v2')
+                CLUSTERED BY (a) SORTED BY (a, h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'""")
         return self.spark.table(name)
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """rows as the buckets have them."""
-        return rows.repartition(self.buckets, "a")
-
     def store(self, rows: DataFrame) -> tuple[int, str]:
-        """Write a run from rows that are dealt; it isn't live yet."""
+        """Write a run; it isn't live yet."""
         name = f"run_{uuid.uuid4().hex}"
+        self.table(name)
         with cleaning(self.spark):
-            rows.write.option("path", f"{self.path}/{name}").option("compression", "zstd").option("parquet.writer.version", "v2").bucketBy(self.buckets, "a").sortBy("a", "h").saveAsTable(name)
-        return self.spark.read.schema(RUN).parquet(f"{self.path}/{name}").count(), name
+            rows.select(*[c.split()[0] for c in self.schema.split(", ")]).repartition(self.buckets, "a").write.insertInto(name)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").count(), name
 
     def commit(self, live: list[tuple[int, str]]) -> None:
         """Make these the live runs; the files of the others go after that."""
@@ -66,17 +62,19 @@ class SortedRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
             remove(self.spark, f"{self.path}/{n}")
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """The rows of runs, bucket by bucket, without a shuffle: Spark keeps a union's buckets if its first part is dealt like them, so that part has one row, of n = 0."""
+        nothing = self.spark.range(1).selectExpr("id AS a", "id AS h", "id AS n").repartition(self.buckets, "a")
+        out = nothing.select([F.col(c) if c in nothing.columns else F.lit(None).cast(kind).alias(c) for c, kind in tables[0].dtypes])
+        for t in tables:
+            out = out.unionByName(t)
+        return out
+
     def merge(self, some: list[tuple[int, str]]) -> None:
-        """One run in place of some; the smallest is dealt again, the others are read as they lie."""
-        tables = [self.table(n) for _, n in sorted(some)]
-        rows = self.dealt(tables[0])
-        for t in tables[1:]:
-            rows = rows.unionByName(t)
-        self.commit([*[x for x in self.live if x not in some], self.store(totals(rows))])
+        """One run in place of some."""
+        merged = self.store(self.together([self.table(n) for _, n in some]).where("n > 0"))
+        self.commit([*[x for x in self.live if x not in some], merged])
 
     def beside(self, new: DataFrame) -> DataFrame:
-        """The rows of the run `new` (is_new) and of all live runs, dealt by bucket."""
-        rows = self.dealt(new).withColumn("is_new", F.lit(True))
-        for _, n in self.live:
-            rows = rows.unionByName(self.table(n).withColumn("is_new", F.lit(False)))
-        return rows
+        """The rows of the run `new` (is_new) together with those of all live runs."""
+        return self.together([new.withColumn("is_new", F.lit(True)), *[self.table(n).withColumn("is_new", F.lit(False)) for _, n in self.live]])

@@ -2,8 +2,8 @@
 
 The index is a set of immutable runs, sorted by anchor hash (runs.py): a new batch's fingerprints (see repeats.py) become a run, which is merge-joined with
 the runs of history as they lie; what repeats, in the batch or between it and history, is added to the index's list of matches. Several runs are compacted
-into one. Documents then take what concerns them from the matches. A stretch that repeats by its fingerprint is removed only if a second hash of its own
-words (BLAKE2b) is found twice, too, and single windows only if their own hash is.
+into one. Documents then take what concerns them from the matches. Matches are verified by a second, unrelated hash of the stretches' words; where these
+differ, and at the ends of stretches, single windows are compared by hashes of their own.
 
 Null text: no words. Repeated rows are repeats of each other, so windows in both go. Texts under 35 words, and empty tables, are fine. A null doc_id
 stays null. Other columns are ignored.
@@ -28,7 +28,7 @@ class FingerprintIndex:
     """Runs, and the matches found between them, under `path`. A batch is added by compacting `most` runs first."""
 
     def __init__(self, spark: SparkSession, path: str, spec: Repeats = WORDS, most: int = 4):
-        self.spark, self.path, self.spec, self.most, self.runs = spark, path, spec, most, SortedRuns(spark, path)
+        self.spark, self.path, self.spec, self.most, self.runs = spark, path, spec, most, SortedRuns(spark, path, spec.schema)
 
     def add(self, docs: DataFrame) -> None:
         """Fingerprints of history are read, its texts are not."""

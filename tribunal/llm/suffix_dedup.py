@@ -30,7 +30,7 @@ class SuffixLevels:
     """Levels under `path`."""
 
     def __init__(self, spark: SparkSession, path: str, spec: Repeats = BYTES):
-        self.spark, self.spec, self.levels = spark, spec, SortedRuns(spark, path)
+        self.spark, self.spec, self.levels = spark, spec, SortedRuns(spark, path, spec.schema)
 
     def _settle(self) -> None:
         """Merge the two smallest levels as long as they are within a factor of two."""
@@ -65,7 +65,7 @@ def by_doc_id(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [some(low, high) for low, high in zip(edges, edges[1:], strict=False)]
 
 
-def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False, batches: int = 3) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False, batches: int = 2) -> DataFrame:
     """All docs, as batches in the order of doc_id over levels of their own, which go at the end."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"

@@ -105,12 +105,12 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = ~SPACE) -> tu
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """By eight bytes at a time, each step a bijection; long words by xxhash."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """By eight bytes at a time, each step a bijection; long words by xxhash. Another seed gives an unrelated hash."""
     import xxhash
 
     size = end - start
-    h = mix(size.astype(np.uint64) * _K1 + _T[1])
+    h = mix(size.astype(np.uint64) * _K1 + _T[1 + seed])
     eight = _eights(data)
     live = np.flatnonzero(size <= LONG)
     step = 0
@@ -121,7 +121,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         step += 8
     raw = memoryview(data)
     for i in np.flatnonzero(size > LONG).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], 7)
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], 7 + seed)
     return h
 
 

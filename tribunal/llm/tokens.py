@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Bounds of a worker's caches: pieces, parts of them, and characters in the parts.
-MAX_PIECES, MAX_PARTS, MAX_CHARS = 700_000, 700_000, 24_000_000
+MAX_PIECES, MAX_PARTS, MAX_CHARS = 900_000, 900_000, 32_000_000
 
 
 def tokenizer_path(name: str) -> str:
