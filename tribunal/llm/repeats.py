@@ -89,6 +89,10 @@ class Repeats:
             out.append((np.searchsorted(at, first, "right") - 1, grams[place], h, first, last))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2]
 
+    def second(self, data: np.ndarray, bounds, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Another hash of the groups' stretches, from the words."""
+        return Runs(word_hashes(data, *bounds, seed=1)).of(first, last + self.window).view(np.int64)
+
 
 def tied(docs: DataFrame, few: bool = False) -> DataFrame:
     """The keyed docs with tie, a hash of doc_id and text. few: zero (which compresses well) for ids of one row only; comparable within docs alone."""
@@ -123,7 +127,7 @@ def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
                 part = data[off[i] : off[j]]
                 runs, at, bounds = spec.units(part, off[i : j + 1] - off[i])
                 row, a, h, first, last = spec.groups(runs, at)
-                check = [Runs(word_hashes(part, *bounds, seed=1)).of(first, last + spec.window).view(np.int64)] if spec.verify else []
+                check = [spec.second(part, bounds, first, last)] if spec.verify else []
                 parts.append((a, h, keys[i:j][row], *check))
                 size += len(a)
                 if size >= SUMMED:
@@ -140,22 +144,26 @@ def fingerprints(docs: DataFrame, spec: Repeats) -> DataFrame:
 
 
 def _placed(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """(a, h and the row's key) of each group of the tied docs."""
+    """(a, h, the row's key and, where stretches are verified, own_check) of each group of the tied docs."""
+    names = ["a", "h", *spec.key, *(["own_check"] if spec.verify else [])]
 
     def run(batches):
         for b in batches:
             data, off = utf8(b.column("text"))
             key = [b.column(c).to_numpy() for c in spec.key]
             for i, j in chunks(off):
-                runs, at, _ = spec.units(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                row, a, h, _, _ = spec.groups(runs, at)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), *[pa.array(k[i:j][row]) for k in key]], ["a", "h", *spec.key])
+                part = data[off[i] : off[j]]
+                runs, at, bounds = spec.units(part, off[i : j + 1] - off[i])
+                row, a, h, first, last = spec.groups(runs, at)
+                check = [spec.second(part, bounds, first, last)] if spec.verify else []
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), h.view(np.int64), *[k[i:j][row] for k in key], *check)], names)
 
-    return docs.select(*spec.key, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["a", "h", *spec.key]))
+    return docs.select(*spec.key, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 #: What a scan finds: `whole` for all rows that have the stretch, `ends` for that of key `own` (with first_stays, later ones repeat it), `source`: in history.
-FOUND = ["a", "h", "own", "other", "whole", "ends", "source"]
+#: check: the second hash of the stretch, where stretches are verified.
+FOUND = ["a", "h", "own", "other", "whole", "ends", "source", "check"]
 
 
 def scanned(rows: DataFrame, spec: Repeats) -> DataFrame:
@@ -171,8 +179,11 @@ def scanned(rows: DataFrame, spec: Repeats) -> DataFrame:
         ends = F.when(F.col("any_old") | (F.col("least") < F.col("own")), UNCLEAR).otherwise(0).bitwiseOR(F.when(F.col("most") > F.col("own"), SOURCE).otherwise(0))
         u = u.withColumns({"whole": F.when(has_new & ~only_new, REPEATS).otherwise(0), "ends": F.when(only_new & has_new & F.col("several"), ends).otherwise(0), "source": ~only_new & F.col("least").isNotNull()})
         u = u.where("NOT again AND (source OR whole > 0 OR ends > 0 OR latest > own)")
-        return u.select("a", "h", F.when(only_new, F.col("own")).alias("own"), F.col("old").alias("other"), "whole", "ends", "source")
-    u = rows.withColumns({"n": F.sum("n").over(by_h), "own": F.min("first").over(by_h), "other": F.max("last").over(by_h), "clash": F.min("low").over(by_h) != F.max("high").over(by_h) if spec.verify else F.lit(False)})
+        return u.select("a", "h", F.when(only_new, F.col("own")).alias("own"), F.col("old").alias("other"), "whole", "ends", "source", F.lit(None).cast("long").alias("check"))
+    u = rows.withColumns({"n": F.sum("n").over(by_h), "own": F.min("first").over(by_h), "other": F.max("last").over(by_h)})
+    none = F.lit(None).cast("long")
+    u = u.withColumns({"check": F.min("low").over(by_h) if spec.verify else none, "__high": F.max("high").over(by_h) if spec.verify else none})
+    u = u.withColumn("clash", F.coalesce(F.col("check") != F.col("__high"), F.lit(False)))
     u = u.withColumns({"several": several, "single": F.min(F.when(F.col("clash"), 1).otherwise(F.col("n"))).over(by_a) == 1, "any_new": F.max("is_new").over(by_a), "again": again})
     ends = F.when(F.col("several") & F.col("single"), F.when(F.col("n") == 1, UNCLEAR).otherwise(SOURCE)).otherwise(0)
     whole = F.when(F.col("clash"), UNCLEAR).when(F.col("n") > 1, REPEATS).otherwise(0)
@@ -187,11 +198,13 @@ def _collected(marks: DataFrame, key: list[str]) -> DataFrame:
 
 def _own_marks(own: DataFrame, found: DataFrame, spec: Repeats) -> DataFrame:
     """(a, h, key, bits) of the tied docs' stretches that were found."""
-    key = F.col(spec.key[0])
-    bits = F.col("whole").bitwiseOR(F.when(key == F.col("own"), F.col("ends")).otherwise(0))
+    key, whole = F.col(spec.key[0]), F.col("whole")
+    if spec.verify:
+        whole = F.when((whole == REPEATS) & (F.col("check") != F.col("own_check")), UNCLEAR).otherwise(whole)
+    bits = whole.bitwiseOR(F.when(key == F.col("own"), F.col("ends")).otherwise(0))
     if spec.first_stays:
         bits = bits.bitwiseOR(F.when(key > F.col("own"), REPEATS).otherwise(0))
-    return _placed(own, spec).join(found.select("a", "h", "own", "whole", "ends"), ["a", "h"]).select("a", "h", *spec.key, bits.alias("bits")).where("bits > 0")
+    return _placed(own, spec).join(found.select("a", "h", "own", "whole", "ends", "check"), ["a", "h"]).select("a", "h", *spec.key, bits.alias("bits")).where("bits > 0")
 
 
 RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"

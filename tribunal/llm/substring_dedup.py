@@ -21,7 +21,7 @@ from .repeats import Repeats, new_run, scanned, tied, without_repeats
 from .runs import SortedRuns
 
 WORDS = Repeats("word", 35, 8, first_stays=False, verify=True)
-_MATCHES = "a long, h long, own long, other long, whole int, ends int, source boolean"
+_MATCHES = "a long, h long, own long, other long, whole int, ends int, source boolean, check long"
 
 
 class FingerprintIndex:
