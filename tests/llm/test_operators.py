@@ -299,6 +299,14 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(rows_)] + [(99, "no json"), (98, '{"a": 1}'), (97, None)], "conv_id long, value string")
     got = chat.canonical_json(df).collect()
     assert Counter((r.conv_id, r.turn, r.role, r.text) for r in got) == Counter((i, k, *x) for i in range(len(rows_)) for k, x in enumerate([("user", "q"), ("assistant", "r")]))
+    assert {r.conv_id for r in chat.unmatched_json(df).collect()} == {97, 98, 99}
+    odd = [
+        '{"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "r"}], "id": 7, "system": null}', '{"instruction": "q", "input": null, "output": "r", "tags": [1]}',
+        '{"conversations": [{"from": "human", "value": "q", "at": 1}, {"from": "gpt", "value": "r"}]}', '{"messages": [{"role": "user", "content": [1]}]}', '{"messages": []}', '{"messages": "q"}', '{"prompt": 3, "response": "r"}', "[1]",
+    ]
+    df2 = spark.createDataFrame(list(enumerate(odd)), "conv_id long, value string")
+    assert Counter((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_json(df2).collect()) == Counter((i, k, *x) for i in range(3) for k, x in enumerate([("user", "q"), ("assistant", "r")]))
+    assert {r.conv_id for r in chat.unmatched_json(df2).collect()} == {3, 5, 6, 7}  # the empty list is a conversation without turns
     for i, x in enumerate(rows_):
         one = spark.read.json(spark.sparkContext.parallelize([json.dumps(x | {"other": 3})])).withColumn("conv_id", F.lit(i).cast("long"))
         assert [(r.role, r.text) for r in chat.canonical(one).orderBy("turn").collect()] == [("user", "q"), ("assistant", "r")]
@@ -421,10 +429,17 @@ def test_large_family_of_near_copies(spark, monkeypatch):
 
 
 def test_keep_one(docs, texts):
+    """Of the texts (not the ids, which some rows share or lack) one of each component stays, and all without words do."""
     left = jaccard.keep_one(docs, jaccard.Shingles(5, 80))
     assert left.columns == docs.columns
-    want = {(c,) for _, _, c in jaccard_brute(texts, 5, 80)}
-    assert set(rows(left, "doc_id")) == want and left.count() == len(want)
+    number = [(k, t) for k, (_, t) in enumerate(texts)]
+    component = defaultdict(set)
+    for i, n, c in jaccard_brute(number, 5, 80):
+        component[c].add(i) if n else None
+    got = Counter(r.text for r in left.select("text").collect())
+    assert sum(n for t, n in got.items() if words(t)) == len(component)
+    assert all(sum(got[t] for t in {texts[k][1] for k in of}) == 1 for of in component.values())
+    assert {t: n for t, n in got.items() if not words(t)} == Counter(t for _, t in texts if not words(t))
 
 
 def test_keep_one_of_each_component(spark):

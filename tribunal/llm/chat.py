@@ -2,13 +2,13 @@
 
 Only built-in expressions. A layout is a set of field paths with a declarative mapping (SQL expressions); a table's fingerprint is the SHA-256 of its
 sorted paths, restricted to those some layout names, so other columns don't matter. Conversations stored as JSON of mixed layouts are told apart row by
-row, by the fingerprint of each value's own schema.
+row, by the fingerprint of each value's own paths; nulls and empty lists stand for any type. Values of no layout, or no JSON, are in `unmatched_json`.
 
 Turns are shuffled once, by conversation. Texts and roles are escaped so that none of the template's control strings can occur in them: backslashes are
 doubled, and a backslash is put behind the first character of each control string; reading reverses that.
 
 Null text or role: empty. Ties of turn are ordered by role, then text; repeated rows are turns of their own; rows whose conv_id is null form one
-conversation. Empty tables give no rows.
+conversation. A conversation without messages (a null or empty list) has no turns, and so no rows. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ class Layout:
     name: str
     paths: tuple[str, ...]
     turns: str | None = None
-    json: str | None = None  # as a JSON value's own schema
-    order: str = "turn"
 
 
 def _messages(array: str, role: str, text: str) -> str:
@@ -49,12 +47,12 @@ def _pair(prompt: str, answer: str) -> str:
 
 LAYOUTS = (
     Layout("turn_rows", ("conv_id", "role", "text", "turn")),
-    Layout("messages", ("messages[].content", "messages[].role"), _messages("messages", "role", "content"), "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value"), "OBJECT<conversations: ARRAY<OBJECT<from: STRING, value: STRING>>>"),
-    Layout("instruction_input", ("input", "instruction", "output"), _pair("concat_ws('\\n\\n', nullif(instruction, ''), nullif(input, ''))", "output"), "OBJECT<input: STRING, instruction: STRING, output: STRING>"),
-    Layout("instruction", ("instruction", "output"), _pair("instruction", "output"), "OBJECT<instruction: STRING, output: STRING>"),
-    Layout("prompt_completion", ("completion", "prompt"), _pair("prompt", "completion"), "OBJECT<completion: STRING, prompt: STRING>"),
-    Layout("prompt_response", ("prompt", "response"), _pair("prompt", "response"), "OBJECT<prompt: STRING, response: STRING>"),
+    Layout("messages", ("messages[].content", "messages[].role"), _messages("messages", "role", "content")),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
+    Layout("instruction_input", ("input", "instruction", "output"), _pair("concat_ws('\\n\\n', nullif(instruction, ''), nullif(input, ''))", "output")),
+    Layout("instruction", ("instruction", "output"), _pair("instruction", "output")),
+    Layout("prompt_completion", ("completion", "prompt"), _pair("prompt", "completion")),
+    Layout("prompt_response", ("prompt", "response"), _pair("prompt", "response")),
 )
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -98,17 +96,40 @@ def canonical(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
     return _turns(F.col("conv_id"), F.expr(layout.turns), df)
 
 
+def _parsed(df: DataFrame, column: str, layouts) -> DataFrame:
+    """conv_id and value, with the name of the value's layout (or null) and its turns."""
+    known = [x for x in layouts if x.turns]
+    roots = sorted({p.split("[]")[0] for x in known for p in x.paths})
+    fields = {r: sorted({p.split("[].")[1] for x in known for p in x.paths if p.startswith(r + "[].")}) for r in roots}
+    kind = lambda r: f"schema_of_variant(variant_get(__v, '$.{r}'))"
+
+    def there(path: str) -> Column:
+        root, _, leaf = path.partition("[].")
+        form = f"'^ARRAY<(VOID|OBJECT<(.*, )?{leaf}: (STRING|VOID)[,>].*)'" if leaf else "'^(STRING|VOID)$'"
+        return F.when(F.expr(f"{kind(root)} RLIKE {form}"), path)
+
+    v = df.select("conv_id", F.col(column).alias("value"), F.expr(f"try_parse_json(`{column}`)").alias("__v"))
+    v = v.withColumn("__paths", F.array_compact(F.array(*[there(p) for p in sorted({p for x in known for p in x.paths})])))
+    layout = F.lit(None).cast("string")
+    for x in sorted(known, key=lambda x: len(x.paths)):  # the one of most paths comes first
+        own = F.array_sort(F.array_intersect("__paths", F.array(*[F.lit(p) for p in x.paths])))
+        layout = F.when(F.sha2(F.array_join(own, "\n"), 256) == fingerprint(x.paths), x.name).otherwise(layout)
+    typed = {r: "array<struct<" + ",".join(f"`{f}`:string" for f in fs) + ">>" if fs else "string" for r, fs in fields.items()}
+    v = v.select("conv_id", "value", layout.alias("layout"), *[F.expr(f"try_variant_get(__v, '$.{r}', '{t}')").alias(r) for r, t in typed.items()])
+    turns = F.lit(None)
+    for x in known:
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns)).otherwise(turns)
+    return v.select("conv_id", "value", "layout", turns.alias("turns"))
+
+
 def canonical_json(df: DataFrame, column: str = "value", layouts=LAYOUTS) -> DataFrame:
-    """The same for conversations (conv_id, JSON value) of mixed layouts. Values of no known layout, or no JSON, are left out."""
-    v = df.select("conv_id", F.expr(f"try_parse_json(`{column}`)").alias("v")).withColumn("print", F.sha2(F.expr("schema_of_variant(v)"), 256))
-    out = None
-    for x in layouts:
-        if x.json:
-            kind = "struct<" + x.json.removeprefix("OBJECT<").replace("OBJECT", "struct").lower().replace(": ", ":")
-            part = v.where(F.col("print") == hashlib.sha256(x.json.encode()).hexdigest()).select("conv_id", F.expr(f"variant_get(v, '$', '{kind}')").alias("j"))
-            part = _turns(F.col("conv_id"), F.expr(x.turns), part.select("conv_id", "j.*"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    """The same for conversations (conv_id, JSON value) of mixed layouts; see unmatched_json for the rest."""
+    return _turns(F.col("conv_id"), F.col("turns"), _parsed(df, column, layouts))
+
+
+def unmatched_json(df: DataFrame, column: str = "value", layouts=LAYOUTS) -> DataFrame:
+    """conv_id and value of what canonical_json can't read."""
+    return _parsed(df, column, layouts).where("layout IS NULL").select("conv_id", "value")
 
 
 def escaped(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: doc_id of rows whose doc_id is null, inside operators that join on it. It is larger than any other.
+#: doc_id of rows whose doc_id is null, inside operators that join on it. It is larger than any other; a doc_id that is equal to it counts as null.
 NULL_ID = (1 << 63) - 1
 
 

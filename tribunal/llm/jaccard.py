@@ -107,7 +107,7 @@ def _sum_parts(batches):
 
 def _sketch(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """By slot: the class of frequency (uint8), and by class the estimated documents. 1 MB whatever the input."""
-    rows = survey.where("part IS NOT NULL").select("part", "counts").repartition(16, "part").mapInArrow(_sum_parts, "part int, counts binary").collect()
+    rows = survey.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").collect()
     import zstandard
 
     counts = np.zeros(1 << SLOTS, np.int64)
@@ -119,7 +119,10 @@ def _sketch(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
-    """(token, sk, meta) of the prefixes of all sets: meta is size, place (24 bits), early (1 bit) and need (7 bits). A set is taken once per task."""
+    """(token, sk, meta) of the prefixes of all sets: meta is size, place (24 bits), early (1 bit) and need (7 bits). A set is taken once per task.
+
+    Places from 2**24 on count as that: they are only used for bounds, which get wider, and for some order within a set, whichever it is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -232,7 +235,7 @@ def _entries(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
     bits = lambda shift, n: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << n) - 1))
     size, need, of = F.shiftright("meta", 32), bits(0, 7), Window.partitionBy("sk")
     alone = F.least(size, _early(size, spec.percent, F.ceil, F.floor) + need - 1) - F.sum(bits(7, 1)).over(of)
-    lists = lists.withColumns({"place": bits(8, 24).cast("int"), "before": F.lag("token").over(of.orderBy(bits(8, 24))), "facts": F.shiftleft(size, 31).bitwiseOR(F.shiftleft(alone.cast("long"), 7)).bitwiseOR(need)})
+    lists = lists.withColumns({"place": bits(8, 24).cast("int"), "before": F.lag("token").over(of.orderBy(bits(8, 24))), "facts": F.shiftleft(size, 31).bitwiseOR(F.shiftleft(F.least(alone, F.lit((1 << 24) - 1)).cast("long"), 7)).bitwiseOR(need)})
     return staged(lists.select("token", "sk", "place", "before", "facts"), "entries")
 
 
