@@ -7,6 +7,7 @@ from Loader's saddle-point form, which stays accurate for any n. Nothing here ru
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,41 +86,79 @@ def binomial_two_sided(k, n, p=0.5) -> Column:
     return F.when(_double(n) <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.least(binomial_sf(k, n, p), binomial_cdf(k, n, p))))
 
 
-def _bisect(below) -> Column:
-    """The p in (0, 1) at which below(p) turns false, after 52 halvings."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+#: Rounds of Newton's method, each kept between the bounds known so far; about eight are enough.
+_ROUNDS = 16
 
-    def halve(a, _):
-        mid = (a["lo"] + a["hi"]) / 2
-        left = below(mid)
-        return F.struct(F.when(left, mid).otherwise(a["lo"]).alias("lo"), F.when(left, a["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(52)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
+def _solved(tail, slope, start: Column, target: float) -> Column:
+    """The p in (0, 1) at which the rising tail(p) reaches the target; slope is its derivative."""
+
+    def step(a, _):
+        x = a["x"]
+        both = F.struct(tail(x).alias("t"), slope(x).alias("d"))
+        # one struct, so that the tail is summed once a round
+        return F.aggregate(F.array(both), a, lambda _, y: _next(a, y))
+
+    def _next(a, y):
+        x, low = a["x"], y["t"] < target
+        lo, hi = F.when(low, x).otherwise(a["lo"]), F.when(low, a["hi"]).otherwise(x)
+        # on a log scale, where the tail is nearly straight
+        new = x - F.ln(F.greatest(y["t"], F.lit(1e-300)) / target) * y["t"] / F.greatest(y["d"], F.lit(1e-300))
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.when((new >= lo) & (new <= hi), new).otherwise((lo + hi) / 2).alias("x"))
+
+    first = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), start.alias("x"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), first, step, lambda a: a["x"])
+
+
+def _wilson(k: Column, n: Column, z: float) -> Column:
+    """A first guess: the normal approximation's bound z standard deviations away, inside (0, 1)."""
+    share = k / n
+    middle, spread = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), (middle + spread) / (1 + z * z / n)))
 
 
 def clopper_pearson(k, n, alpha: float = 0.05) -> tuple[Column, Column]:
-    """Exact bounds of a proportion; (0, 1) without trials."""
+    """Exact bounds of a proportion; (0, 1) without trials. The upper bound is one less the lower one of the failures."""
     k, n = _double(k), _double(n)
-    low = F.when((n <= 0) | (k <= 0), 0.0).otherwise(_bisect(lambda p: binomial_sf(k, n, p) < alpha / 2))
-    high = F.when((n <= 0) | (k >= n), 1.0).otherwise(_bisect(lambda p: binomial_cdf(k, n, p) > alpha / 2))
-    return low, high
+    z = -NormalDist().inv_cdf(alpha / 2)
+
+    def low(k):
+        m = F.greatest(n, F.lit(1.0))
+        found = _solved(lambda p: binomial_sf(k, m, p), lambda p: k / p * binomial_pmf(k, m, p), _wilson(k, m, -z), alpha / 2)
+        return F.when((n <= 0) | (k <= 0), 0.0).otherwise(found)
+
+    return low(k), F.when(n <= 0, 1.0).otherwise(1 - low(n - k))
 
 
 def fisher_exact(a1, b1, a2, b2) -> Column:
     """Two-sided p of a 2 x 2 table: all tables of the same margins that are no likelier. 1 if a margin is zero.
 
-    Ties of likelihood are taken as equal within 1e-7; tables over 40 standard deviations from the mean are left out.
+    From the observed table outwards, each table's likelihood follows from its neighbour's by a ratio. Ties of likelihood are taken as equal within
+    1e-7; tables over 40 standard deviations from the mean are left out.
     """
     a, b, c, d = (_double(x) for x in (a1, b1, a2, b2))
     row, col, n = a + b, a + c, a + b + c + d
+    rest = n - row - col
     mean = row * col / n
     spread = 40 * F.sqrt(mean * (n - col) / n * (n - row) / F.greatest(n - 1, F.lit(1.0))) + 1
-    lo = F.greatest(F.lit(0.0), row + col - n, F.least(F.floor(mean - spread).cast("double"), a))
+    lo = F.greatest(F.lit(0.0), -rest, F.least(F.floor(mean - spread).cast("double"), a))
     hi = F.least(row, col, F.greatest(F.ceil(mean + spread).cast("double"), a))
-    log = lambda x: -(log_factorial(x) + log_factorial(row - x) + log_factorial(col - x) + log_factorial(n - row - col + x))
-    base = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col) - log_factorial(n)
-    seen = log(a)
-    total = F.aggregate(F.sequence(lo.cast("long"), hi.cast("long")), F.lit(0.0), lambda s, x: s + F.when(log(x.cast("double")) <= seen + 1e-7, F.exp(base + log(x.cast("double")))).otherwise(0.0))
+    seen = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col) - log_factorial(n)
+    seen = seen - log_factorial(a) - log_factorial(row - a) - log_factorial(col - a) - log_factorial(rest + a)
+    up = lambda x: (row - x) * (col - x) / ((x + 1) * (rest + x + 1))
+    down = lambda x: x * (rest + x) / ((row - x + 1) * (col - x + 1))
+
+    def outward(steps: Column, ratio, at) -> Column:
+        """The sum of the likelihoods, relative to the observed table's, that don't exceed it; the first is that of its neighbour."""
+
+        def add(s, j):
+            w = s["w"] + F.ln(ratio(at(j.cast("double"))))
+            return F.struct(w.alias("w"), (s["s"] + F.when(w <= 1e-7, F.exp(w)).otherwise(0.0)).alias("s"))
+
+        some = F.when(steps >= 1, F.sequence(F.lit(0).cast("long"), steps.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(some, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")), add, lambda s: s["s"])
+
+    total = F.exp(seen) * (1 + outward(hi - a, up, lambda j: a + j) + outward(a - lo, down, lambda j: a - j))
     return F.when((row <= 0) | (col <= 0) | (n - row <= 0) | (n - col <= 0), 1.0).otherwise(F.least(F.lit(1.0), total))
 
 
@@ -143,3 +182,15 @@ def kappa(table: list[list[Column]]) -> dict[str, Column]:
     po, pe = rate(same, n), rate(chance, n * n)
     # pe = 1 is told from whole numbers
     return {"po": po, "pe": pe, "kappa": F.when(n <= 0, 0.0).when(chance == n * n, F.when(same == n, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe))}
+
+
+def shortened(x, digits: int = 4) -> Column:
+    """A number as C's %.<digits>g writes it."""
+    x = _double(x)
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    power = parts[1].cast("int")
+    bare = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    plain = F.lit(None).cast("string")
+    for e in range(-4, digits):
+        plain = F.when(power == e, F.format_string(f"%.{digits - 1 - e}f", x)).otherwise(plain)
+    return F.when(x == 0, "0").otherwise(F.coalesce(bare(plain), F.concat(bare(parts[0]), F.lit("e"), parts[1])))

@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 CATEGORIES = ("A", "B", "TIE")
 
 
+#: White space by Unicode, and the four separators that count as such besides.
+BLANK = "[\\s\\x1c-\\x1f]"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
 
 
 def parse_verdict(text) -> Column:
-    """The first that is found: a named choice, a letter in brackets, a leading letter, a word for a tie, a capital A or B by itself."""
+    """The first that is found: a named choice, a letter in brackets, a leading letter, a word for a tie, a capital A or B by itself.
+
+    Fixed values: these patterns define what a reply means. Letters, white space and word bounds are those of Unicode.
+    """
     text = F.col(text) if isinstance(text, str) else text
     t = stripped(text)
-    named = F.upper(F.regexp_extract(t, r"(?i)(?:answer|option|choice)\s+([AB])\b", 1))
-    letters = [F.regexp_extract(t, p, 1) for p in (r"\(\s*([AB])\s*\)", r"^\s*([AB])(?:[\s.,:;!]|$)")]
+    named = F.upper(F.regexp_extract(t, rf"(?iU)(?:answer|option|choice){BLANK}+([AB])\b", 1))
+    letters = [F.regexp_extract(t, p, 1) for p in (rf"(?U)\({BLANK}*([AB]){BLANK}*\)", rf"(?U)^{BLANK}*([AB])(?:[\s\x1c-\x1f.,:;!]|$)")]
     found = [F.nullif(x, F.lit("")) for x in (named, *letters)]
-    tie = F.when(t.rlike(r"(?i)\b(tie|draw|equal|neither)\b"), F.lit("TIE"))
-    return F.coalesce(*found, tie, F.nullif(F.regexp_extract(t, r"\b([AB])\b", 1), F.lit("")), F.lit("INVALID"))
+    tie = F.when(t.rlike(r"(?iU)\b(tie|draw|equal|neither)\b"), F.lit("TIE"))
+    return F.coalesce(*found, tie, F.nullif(F.regexp_extract(t, r"(?U)\b([AB])\b", 1), F.lit("")), F.lit("INVALID"))
 
 
 def unswap(verdict, swapped) -> Column:

@@ -76,11 +76,14 @@ def labeler_vs_gold(labels: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def position_screen(labels: DataFrame) -> DataFrame:
-    """Raters who pick A too often or too seldom: n, n_a, a_rate, p_value and flagged, per rater and probe, over their A and B labels and ties alike."""
+    """Raters who pick A too often or too seldom: n, n_a, a_rate, p_value and flagged, per rater and probe, over their A and B labels and ties alike.
+
+    In the order of a review: flagged ones first, then by p.
+    """
     counts = labels.groupBy("labeler_id", "probe").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "A").alias("n_a"))
-    pairs = counts.select("n_a", "n").distinct().withColumn("p_value", binomial_two_sided("n_a", "n"))
-    out = counts.join(pairs, ["n_a", "n"]).withColumn("a_rate", rate("n_a", "n"))
-    return out.withColumn("flagged", (F.col("p_value") < SCREEN_ALPHA) & (F.col("n") >= SCREEN_MIN_N))
+    out = counts.withColumns({"p_value": binomial_two_sided("n_a", "n"), "a_rate": rate("n_a", "n")})
+    out = out.withColumn("flagged", (F.col("p_value") < SCREEN_ALPHA) & (F.col("n") >= SCREEN_MIN_N))
+    return out.orderBy(F.desc("flagged"), "p_value", "labeler_id", "probe")
 
 
 def calibrate_gold(labels: DataFrame, verdicts: DataFrame, judge_id: str | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import rate, trip
+from ..functions.stats import rate, shortened, trip
 from ..functions.verdicts import is_event, parse_verdict
 
 ALPHA, MIN_N, INVALID_BAR = 0.05, 20, 0.25
@@ -26,22 +26,17 @@ def probe_counts(verdicts: DataFrame, by=("judge", "probe")) -> DataFrame:
 
 
 def probe_results(counts: DataFrame, alpha: float = ALPHA, min_n: int = MIN_N, two_sided: bool = False, invalid_bar: float = INVALID_BAR) -> DataFrame:
-    """Adds rate, p_value, tripped and inconclusive. Too many invalid verdicts make a probe inconclusive, whatever its p.
-
-    The tests run once per distinct (events, n_valid), which are far fewer than groups of judges and probes.
-    """
-    pairs = counts.select("events", "n_valid").distinct().repartition("events")
-    pairs = pairs.withColumns(trip("events", "n_valid", alpha, min_n, two_sided))
-    out = counts.join(pairs, ["events", "n_valid"])
+    """Adds rate, p_value, tripped and inconclusive. Too many invalid verdicts make a probe inconclusive, whatever its p."""
+    out = counts.withColumns(trip("events", "n_valid", alpha, min_n, two_sided))
     void = F.col("invalid_rate") > invalid_bar
     return out.withColumns({"tripped": F.col("tripped") & ~void, "inconclusive": F.col("inconclusive") | void})
 
 
 def with_reasons(results: DataFrame, alpha: float = ALPHA, min_n: int = MIN_N, invalid_bar: float = INVALID_BAR) -> DataFrame:
-    """Adds a reason for each result, for readers."""
+    """Adds a reason for each result, for readers; p with four significant digits."""
     few = F.format_string(f"n_valid=%d < min_n={min_n}", "n_valid")
-    tested = F.format_string(f"p=%s %s alpha={alpha}", F.round("p_value", 6).cast("string"), F.when(F.col("p_value") < alpha, "<").otherwise(">="))
-    void = F.when(F.col("invalid_rate") > invalid_bar, F.format_string(f"invalid_rate=%s > {invalid_bar}", F.round("invalid_rate", 4).cast("string")))
+    tested = F.format_string(f"p=%s %s alpha={alpha}", shortened("p_value"), F.when(F.col("p_value") < alpha, "<").otherwise(">="))
+    void = F.when(F.col("invalid_rate") > invalid_bar, F.format_string(f"invalid_rate=%s > {invalid_bar}", shortened("invalid_rate")))
     return results.withColumn("reason", F.concat_ws("; ", F.when(F.col("n_valid") < min_n, few).otherwise(tested), void))
 
 
