@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.verdicts import parse_verdict
 from .operators import adjudication, battery, calibration, drift, judges, probes, rescoring
 from .plans import protocols, reports
-from .plans.banks import PROBES, load_banks
+from .plans.banks import PROBES, bars_of, discover, entries_of, load_banks
 from .sources import http, labels
 from .sources.ledger import Ledger
 
@@ -22,7 +22,8 @@ def _items(spark, a):
     names = a.probes.split(",") if a.probes else list(PROBES)
     if unknown := [n for n in names if n not in PROBES]:
         raise SystemExit(f"unknown probes: {', '.join(unknown)}")
-    entries = probes.bank_frame(spark, names, load_banks(a.banks) if a.banks else None)
+    given = {k: entries_of(d) for k, d in discover(a.definitions).items()} if a.definitions else load_banks(a.banks) if a.banks else None
+    entries = probes.bank_frame(spark, names, given)
     if (bad := probes.broken_guards(entries).first()) is not None:
         raise SystemExit(f"{bad.probe}, entry {bad.bank_idx}: {bad.broken}")
     if (bad := probes.unbalanced(entries).first()) is not None:
@@ -44,16 +45,26 @@ def _verdicts(spark, a):
     elif a.judge in judges.NAMES:
         judged = judges.judged(items, (a.judge,))
     else:
-        make = {"chat": http.chat_completions, "messages": http.messages}[a.interface]
+        make = {
+            "chat": lambda: http.chat_completions(a.url, a.judge, a.key), "local": lambda: http.chat_completions(a.url or http.LOCAL, a.judge, a.key), "messages": lambda: http.messages(a.url, a.judge, a.key),
+            "custom": lambda: http.custom(a.url, Path(a.template).read_text(), a.reply, a.header, model=a.judge),
+        }
         prompts = items.select("item_id", F.lit(probes.SYSTEM).alias("system"), probes.prompt().alias("user"))
-        judged = items.join(http.asked(prompts, make(a.url, a.judge, a.key)), "item_id").withColumn("judge", F.lit(a.judge))
+        judged = items.join(http.asked(prompts, make[a.interface]()), "item_id").withColumn("judge", F.lit(a.judge))
     return judged.withColumn("verdict", parse_verdict("raw"))
 
 
+def _versions(a) -> dict[str, str]:
+    known = {k: d["version"] for k, d in discover(a.definitions).items()} if a.definitions else {p: "1.0.0" for p in PROBES}
+    return {p: known[p] for p in (a.probes.split(",") if a.probes else known)}
+
+
 def _run(spark, a):
     verdicts = _verdicts(spark, a).persist()
-    results = battery.probe_results(battery.probe_counts(verdicts)).withColumns({"seed": F.lit(a.seed), "alpha": F.lit(battery.ALPHA), "min_n": F.lit(battery.MIN_N), "version": F.lit("1.0.0")})
-    return verdicts, results
+    version = F.create_map(*[F.lit(x) for kv in _versions(a).items() for x in kv])
+    results = battery.probe_results(battery.probe_counts(verdicts))
+    results = reports.described(results.withColumns({"seed": F.lit(a.seed), "alpha": F.lit(battery.ALPHA), "min_n": F.lit(battery.MIN_N), "version": F.element_at(version, F.col("probe"))}))
+    return verdicts, battery.with_reasons(results).persist()
 
 
 def list_probes(spark, a):
@@ -62,26 +73,35 @@ def list_probes(spark, a):
 
 def run(spark, a):
     verdicts, results = _run(spark, a)
-    Path(a.out).write_text(reports.reports(battery.with_reasons(results), verdicts).first().report)
-    print(reports.markdown(results, a.judge))
-    return 0 if battery.grades(results).first().grade == "PASS" else 1
+    try:
+        Path(a.out).write_text(reports.reports(results, verdicts).first().report)
+        print(reports.markdown(results, a.judge))
+        return 0 if battery.grades(results).first().grade == "PASS" else 1
+    finally:
+        results.unpersist()
+        verdicts.unpersist()
 
 
 def protocol_freeze(spark, a):
-    print(protocols.freeze(a.out, probes={p: "1.0.0" for p in (a.probes.split(",") if a.probes else PROBES)}, n=a.n or 30, seed=a.seed)["sha256"])
+    bars = bars_of(discover(a.definitions)) if a.definitions else None
+    print(protocols.freeze(a.out, probes=_versions(a), n=a.n or 30, seed=a.seed, bars=bars)["sha256"])
 
 
 def protocol_verify(spark, a):
     report = spark.read.schema(labels.REPORT).json(a.report, multiLine=True).select(F.explode("probes").alias("p")).select("p.*")
-    protocols.verify(protocols.load(a.protocol), report)
+    protocols.verify(protocols.load(a.protocol), report, a.labels)
     print("as frozen")
 
 
 def _calibrate(spark, a, many):
     given, report = labels.read_labels(spark, a.labels), labels.read_report(spark, a.report)
-    out = (adjudication.calibrate_gold if many else calibration.calibrate)(given, report, judge_id=a.judge)
-    rows = [json.loads(r) for r in out.orderBy("probe").toJSON().collect()]  # one row per probe
-    Path(a.out).write_text(json.dumps(rows, indent=2))
+    sha = protocols.load(a.protocol)["sha256"] if a.protocol else None
+    bundle = (reports.calibrated_by_several if many else reports.calibrated)(given, report, a.judge, sha)
+    Path(a.out).write_text(json.dumps(bundle, indent=2))
+    if a.copy:
+        Path(a.copy).write_text(reports.with_calibration(Path(a.report).read_text(), bundle))
+    if many and a.gold:
+        adjudication.gold_labels(calibration.resolved(given)).write.json(a.gold)
 
 
 def export_labeling_set(spark, a):
@@ -102,8 +122,13 @@ def import_labels(spark, a):
 
 def drift_snapshot(spark, a):
     verdicts, results = _run(spark, a)
-    sha = protocols.build({p: "1.0.0" for p in (a.probes.split(",") if a.probes else PROBES)}, a.n, a.seed)["sha256"]
-    print(Ledger(spark, a.ledger).append(results, ts=a.ts, judge=a.judge, protocol_sha256=sha, seed=a.seed, grade=battery.grades(results).first().grade))
+    known = discover(a.definitions) if a.definitions else {}
+    sha = protocols.build(_versions(a), a.n, 0, bars=bars_of(known))["sha256"]  # the seed of a run is the snapshot's
+    if known:
+        sha = protocols.identity(sha, {k: known[k]["file_sha256"] for k in _versions(a)})
+    print(Ledger(spark, a.ledger).append(results, ts=a.ts, judge=a.judge, protocol_sha256=sha, seed=a.seed, n=a.n, grade=battery.grades(results).first().grade))
+    results.unpersist()
+    verdicts.unpersist()
 
 
 def drift_baseline(spark, a):
@@ -137,13 +162,14 @@ def main(argv=None) -> int:
         return p
 
     out, ts, ledger = ("--out", {"required": True}), ("--ts", {"required": True}), ("--ledger", {"required": True})
-    made = [("--probes", {"default": ""}), ("--banks", {"default": ""}), ("--n", {"type": int, "default": None}), ("--seed", {"type": int, "default": 0}), ("--policy", {"choices": ["hash", "python"], "default": "hash"})]
-    judged = [*made, ("--judge", {"required": True}), ("--interface", {"choices": ["chat", "messages"], "default": "chat"}), ("--url", {"default": ""}), ("--key", {"default": ""}), ("--replay", {"nargs": 2, "metavar": ("BLINDED", "VERDICTS"), "default": None})]
-    scored = [("--labels", {"nargs": "+", "required": True}), ("--report", {"required": True}), ("--judge", {"required": True}), out]
+    made = [("--probes", {"default": ""}), ("--banks", {"default": ""}), ("--definitions", {"default": "", "help": "a folder of definition files"}), ("--n", {"type": int, "default": None}), ("--seed", {"type": int, "default": 0}), ("--policy", {"choices": ["hash", "python"], "default": "hash"})]
+    judged = [*made, ("--judge", {"required": True}), ("--interface", {"choices": ["chat", "local", "messages", "custom"], "default": "chat"}), ("--url", {"default": ""}), ("--key", {"default": ""}),
+        ("--template", {"default": "", "help": "a file with the body of a custom judge"}), ("--reply", {"default": "", "help": "where its reply has the text"}), ("--header", {"action": "append", "default": []}), ("--replay", {"nargs": 2, "metavar": ("BLINDED", "VERDICTS"), "default": None})]
+    scored = [("--labels", {"nargs": "+", "required": True}), ("--report", {"required": True}), ("--judge", {"required": True}), ("--protocol", {"default": ""}), ("--copy", {"default": "", "help": "a copy of the report with the calibration"}), ("--gold", {"default": ""}), out]
     command("list-probes", list_probes)
     command("run", run, *judged, out)
-    command("protocol-freeze", protocol_freeze, made[0], made[2], made[3], out)
-    command("protocol-verify", protocol_verify, ("--protocol", {"required": True}), ("--report", {"required": True}))
+    command("protocol-freeze", protocol_freeze, made[0], *made[2:5], out)
+    command("protocol-verify", protocol_verify, ("--protocol", {"required": True}), ("--report", {"required": True}), ("--labels", {"nargs": "*", "default": []}))
     command("calibrate", lambda s, a: _calibrate(s, a, False), *scored)
     command("calibrate-multi", lambda s, a: _calibrate(s, a, True), *scored)
     command("export-labeling-set", export_labeling_set, *made, out)

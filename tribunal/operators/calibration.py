@@ -22,16 +22,25 @@ def resolved(labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out.drop("__given")
 
 
+def own_labels(labels: DataFrame, judge_id: str) -> DataFrame:
+    """The labels given by the judge itself, whatever the case of its name."""
+    return labels.where(F.lower("labeler_id") == judge_id.lower())
+
+
+def duplicate_labels(labels: DataFrame) -> DataFrame:
+    """probe, item_id, labeler_id and count of what was labelled more than once by one labeler."""
+    return labels.groupBy("probe", "item_id", "labeler_id").count().where("count > 1")
+
+
 def refuse_own_labels(labels: DataFrame, judge_id: str) -> DataFrame:
     """A judge must not have labelled what it is measured by."""
-    if not labels.where(F.lower("labeler_id") == judge_id.lower()).isEmpty():
+    if not own_labels(labels, judge_id).isEmpty():
         raise Refused(f"labels by the judge itself: {judge_id!r}")
     return labels
 
 
 def refuse_duplicates(labels: DataFrame) -> DataFrame:
-    twice = labels.groupBy("probe", "item_id", "labeler_id").count().where("count > 1")
-    if (bad := twice.orderBy("probe", "item_id", "labeler_id").first()) is not None:
+    if (bad := duplicate_labels(labels).orderBy("probe", "item_id", "labeler_id").first()) is not None:
         raise Refused(f"{bad.labeler_id!r} labelled {bad.probe}/{bad.item_id} more than once")
     return labels
 

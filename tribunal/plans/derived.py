@@ -16,13 +16,13 @@ RAW = f"""SELECT judge, probe, item_id, item_no, bias_side, CASE
     WHEN judge = 'steady' AND item_no % 11 = 0 THEN 'unclear' WHEN judge = 'vague' AND item_no % 3 = 0 THEN 'unclear' WHEN judge = 'fair' AND item_no % 4 <> 0 THEN 'It is a tie'
     WHEN item_no % 11 = 1 THEN 'It is a tie' WHEN item_no % 5 = 0 THEN concat('Answer ', side, ' is better') WHEN item_no % 5 = 1 THEN concat('(', side, ')')
     WHEN item_no % 5 = 2 THEN concat(side, '.') WHEN item_no % 5 = 3 THEN concat('neither is bad, but option ', lower(side)) ELSE concat('I pick ', side) END AS raw
-    FROM (SELECT *, {_SIDE} AS side FROM ({ITEMS}) i), (SELECT 'steady' AS judge UNION ALL SELECT 'vague' UNION ALL SELECT 'fair') j"""
+    FROM (SELECT *, {_SIDE} AS side, {{judges}} AS judge FROM ({ITEMS}) i)"""
 
 #: Votes of up to three raters on labelled documents.
-LABELS = """SELECT d.lang AS probe, concat(d.lang, '-', CAST(l.doc_id AS STRING)) AS item_id, l.doc_id AS item_no, concat('rater', CAST(r.r AS STRING)) AS labeler_id,
-    CASE WHEN (l.doc_id * 7 + r.r * 5) % 4 = 0 THEN CASE WHEN l.toxic = 0 AND l.quality = 1 THEN 'B' ELSE 'A' END
-         WHEN l.toxic = 1 THEN 'TIE' WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS label, CAST(1 + (l.doc_id * r.r) % 3 AS INT) AS confidence
-    FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE r.r < 3 OR l.doc_id % 2 = 0"""
+LABELS = """SELECT d.lang AS probe, concat(d.lang, '-', CAST(l.doc_id AS STRING)) AS item_id, l.doc_id AS item_no, concat('rater', CAST(l.r AS STRING)) AS labeler_id,
+    CASE WHEN (l.doc_id * 7 + l.r * 5) % 4 = 0 THEN CASE WHEN l.toxic = 0 AND l.quality = 1 THEN 'B' ELSE 'A' END
+         WHEN l.toxic = 1 THEN 'TIE' WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS label, CAST(1 + (l.doc_id * l.r) % 3 AS INT) AS confidence
+    FROM (SELECT *, {raters} AS r FROM {labels}) l JOIN {documents} d ON d.doc_id = l.doc_id WHERE l.r < 3 OR l.doc_id % 2 = 0"""
 
 #: Lines of a label file, some of them wrong.
 LABEL_LINES = f"""SELECT 'labels' AS file, item_no AS line_no, item_no % 9 AS fault, CASE WHEN item_no % 9 = 7 THEN concat(chr(123), 'oops') ELSE concat(chr(123), '"item_id": "', item_id, '", "label": "',
@@ -34,32 +34,47 @@ LABEL_LINES = f"""SELECT 'labels' AS file, item_no AS line_no, item_no % 9 AS fa
 BANK = f"""SELECT probe, row_number() OVER (PARTITION BY probe ORDER BY item_no) - 1 AS bank_idx, question, CASE WHEN bias_side = 'A' THEN answer_a ELSE answer_b END AS biased,
     CASE WHEN bias_side = 'A' THEN answer_b ELSE answer_a END AS neutral, CAST(NULL AS STRING) AS belief FROM ({ITEMS}) i"""
 
-#: One verdict per document, with every seventh missing; some invalid.
+#: One verdict per document; some invalid.
 VERDICTS = """SELECT 'steady' AS judge, lang AS probe, concat(lang, '-', CAST(doc_id AS STRING)) AS item_id, doc_id AS item_no,
-    CASE WHEN doc_id % 13 = 0 THEN 'INVALID' WHEN doc_id % 5 = 0 THEN 'TIE' WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END AS verdict FROM {documents} WHERE doc_id % 7 <> 0"""
+    CASE WHEN doc_id % 13 = 0 THEN 'INVALID' WHEN doc_id % 5 = 0 THEN 'TIE' WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END AS verdict FROM {documents}"""
+#: The same as a judge leaves them who skips every seventh item, for what counts missing verdicts.
+VERDICTS_WITH_GAPS = f"SELECT * FROM ({VERDICTS}) g WHERE item_no % 7 <> 0"
+
+#: A recorded session: prompts under numbers of its own, and the replies to these.
+PROMPTS = f"""SELECT concat('rec-', CAST(item_no * 3 + 1 AS STRING)) AS id, probe, 'You compare answers.' AS system, concat('Item ', item_id, ': ', question) AS user FROM ({ITEMS}) p"""
+REPLIES = f"""SELECT concat('rec-', CAST(item_no * 3 + 1 AS STRING)) AS id, raw AS verdict FROM ({RAW}) r WHERE judge = 'steady'"""
 
 #: Second verdicts on the same items: swapped for every second, and changed for every ninth.
 RESCORES = f"""SELECT probe, item_id, item_no % 2 = 0 AS swapped, CASE WHEN verdict IN ('A', 'B') AND ((item_no % 2 = 0) <> (item_no % 9 = 0)) THEN CASE verdict WHEN 'A' THEN 'B' ELSE 'A' END
     WHEN verdict = 'INVALID' AND item_no % 2 = 0 THEN 'A' ELSE verdict END AS verdict FROM ({VERDICTS}) v"""
 
-#: Weekly snapshots of nine probes, with planted shifts.
-WEEKS = """SELECT CAST(floor(datediff_days / 7) AS BIGINT) AS week, CAST(user_id % 9 AS BIGINT) AS probe, count(*) AS n_valid, sum(CASE WHEN value >= CASE user_id % 9
-        WHEN 2 THEN CASE WHEN datediff_days >= 14 THEN 15 ELSE 38 END WHEN 5 THEN CASE WHEN datediff_days >= 14 THEN 37 ELSE 60 END
-        WHEN 7 THEN CASE WHEN datediff_days >= 14 THEN 43 ELSE 60 END WHEN 1 THEN 35 WHEN 4 THEN 35 ELSE 50 END THEN 1 ELSE 0 END) AS events
-    FROM (SELECT *, {days} AS datediff_days FROM {events}) e WHERE datediff_days < 28 GROUP BY 1, 2"""
+#: Weekly snapshots of nine probes, with planted shifts; without a last week that the events don't reach the end of.
+WEEKS = """SELECT CAST(floor(day_no / 7) AS BIGINT) AS week, CAST(user_id % 9 AS BIGINT) AS probe, count(*) AS n_valid, sum(CASE WHEN value >= CASE user_id % 9
+        WHEN 2 THEN CASE WHEN day_no >= 14 THEN 15 ELSE 38 END WHEN 5 THEN CASE WHEN day_no >= 14 THEN 37 ELSE 60 END
+        WHEN 7 THEN CASE WHEN day_no >= 14 THEN 43 ELSE 60 END WHEN 1 THEN 35 WHEN 4 THEN 35 ELSE 50 END THEN 1 ELSE 0 END) AS events
+    FROM (SELECT *, {days} AS day_no FROM {events}) e WHERE floor(day_no / 7) < (SELECT floor((max({days}) + 1) / 7) FROM {events}) GROUP BY 1, 2"""
 SPARK_DAYS, DUCKDB_DAYS = "datediff(ts, DATE '2024-01-01')", "datediff('day', DATE '2024-01-01', CAST(ts AS DATE))"
 
 #: A ledger entry per day: its record is the day, the number of events and their users' sum.
 DAYS = """SELECT {days} AS id, concat(CAST({days} AS STRING), ':', CAST(count(*) AS STRING), ':', CAST(sum(user_id) AS STRING)) AS record FROM {events} GROUP BY 1"""
 
 
+#: Rows for each of a few values, where the engines differ.
+_SPARK = {"days": SPARK_DAYS, "judges": "explode(array('steady', 'vague', 'fair'))", "raters": "explode(array(1, 2, 3))"}
+_DUCKDB = {"days": DUCKDB_DAYS, "judges": "unnest(['steady', 'vague', 'fair'])", "raters": "unnest([1, 2, 3])"}
+
+
+def _filled(query: str, values: dict[str, str]) -> str:
+    for k, v in values.items():
+        query = query.replace("{" + k + "}", v)
+    return query
+
+
 def derived(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     names = [t for t in ("documents", "labels", "events") if "{" + t + "}" in query]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
-    return spark.sql(query.replace("{days}", SPARK_DAYS), **tables)
+    return spark.sql(_filled(query, _SPARK), **tables)
 
 
 def duckdb_sql(query: str) -> str:
-    for t in ("documents", "labels", "events"):
-        query = query.replace("{" + t + "}", t)
-    return query.replace("{days}", DUCKDB_DAYS)
+    return _filled(query, {t: t for t in ("documents", "labels", "events")} | _DUCKDB)

@@ -10,7 +10,7 @@ from ..functions.verdicts import is_event, parse_verdict, probe_of, unswap
 from ..operators import adjudication, battery, calibration, drift, judges, probes, rescoring
 from ..sources import labels as label_files
 from ..sources import ledger
-from .derived import BANK, DAYS, ITEMS, LABEL_LINES, LABELS, RAW, RESCORES, VERDICTS, WEEKS, derived, duckdb_sql
+from .derived import BANK, DAYS, ITEMS, LABEL_LINES, LABELS, PROMPTS, RAW, REPLIES, RESCORES, VERDICTS, VERDICTS_WITH_GAPS, WEEKS, derived, duckdb_sql
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -74,16 +74,12 @@ def _labels(spark, sf):
     return derived(spark, sf, LABELS)
 
 
-def _first_rater(spark, sf):
-    return _labels(spark, sf).where("labeler_id = 'rater1'")
-
-
 def _calibrated(spark, sf):
-    return calibration.calibrate(_first_rater(spark, sf), derived(spark, sf, VERDICTS), judge_id="steady")
+    return calibration.calibrate(_labels(spark, sf), derived(spark, sf, VERDICTS), judge_id="steady")
 
 
 def confusion_3x3(spark, sf):
-    return calibration.confusion(calibration.matched(_first_rater(spark, sf), derived(spark, sf, VERDICTS)).where("verdict IS NOT NULL"))
+    return calibration.confusion(calibration.matched(_labels(spark, sf), derived(spark, sf, VERDICTS)).where("verdict IS NOT NULL"))
 
 
 def tpr_tnr(spark, sf):
@@ -99,7 +95,7 @@ def clopper_pearson(spark, sf):
 
 
 def unmatched_labels(spark, sf):
-    return calibration.unmatched(_labels(spark, sf), derived(spark, sf, VERDICTS))
+    return calibration.unmatched(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS))
 
 
 def probe_inference(spark, sf):
@@ -122,11 +118,11 @@ def generated_items(spark, sf):
 
 
 def own_and_duplicate_labels(spark, sf):
-    """What the refusals would look at: labels by the judge itself (rater2, in another case), and labels given twice (every fifth)."""
+    """What the refusals find: labels by the judge itself (rater2, in another case), and labels given twice (every fifth)."""
     rows = _labels(spark, sf)
-    twice = rows.unionByName(rows.where("item_no % 5 = 0")).groupBy("probe", "item_id", "labeler_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = rows.where(F.lower("labeler_id") == "RATER2".lower())
-    return own.groupBy("probe").agg(F.count(F.lit(1)).alias("n_own")).join(twice.groupBy("probe").agg(F.count(F.lit(1)).alias("n_twice")), "probe", "full").na.fill(0)
+    twice = calibration.duplicate_labels(rows.unionByName(rows.where("item_no % 5 = 0")))
+    own = calibration.own_labels(rows, "RATER2").groupBy("probe").agg(F.count(F.lit(1)).alias("n_own"))
+    return own.join(twice.groupBy("probe").agg(F.count(F.lit(1)).alias("n_twice"), F.sum("count").alias("n_labels")), "probe", "full").na.fill(0)
 
 
 # --- several raters
@@ -158,7 +154,7 @@ def calibrate_multi(spark, sf):
 
 
 def label_coverage(spark, sf):
-    return adjudication.coverage(_labels(spark, sf), derived(spark, sf, VERDICTS))
+    return adjudication.coverage(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS))
 
 
 def self_consistency(spark, sf):
@@ -171,12 +167,10 @@ def unswapped_verdicts(spark, sf):
 
 
 def replay_join(spark, sf):
-    """Prompts matched by a digest of their texts to recorded replies, counted by verdict."""
-    items = derived(spark, sf, RAW).where("judge = 'steady'")
-    prompts = items.select("probe", F.col("item_id").alias("id"), F.lit("You compare answers.").alias("system"), F.concat(F.lit("Item "), "item_id").alias("user"))
-    recorded = prompts.withColumn("prompt_key", F.sha2(F.concat_ws("\0", "system", "user"), 256)).join(items.select(F.col("item_id").alias("id"), "raw"), "id")
-    asked = prompts.select("probe", F.sha2(F.concat_ws("\0", "system", "user"), 256).alias("prompt_key"))
-    return asked.join(recorded.select("prompt_key", "raw"), "prompt_key").groupBy("probe", parse_verdict("raw").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """A recorded session, whose prompts are matched to those asked now by a digest of their texts: the verdicts by probe."""
+    recorded = label_files.replayed(derived(spark, sf, PROMPTS).select("id", "system", "user"), derived(spark, sf, REPLIES))
+    asked = derived(spark, sf, PROMPTS).select("probe", F.sha2(F.concat_ws("\0", "system", "user"), 256).alias("prompt_key"))
+    return asked.join(recorded.select("prompt_key", "verdict"), "prompt_key").groupBy("probe", parse_verdict("verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- drift
@@ -239,10 +233,13 @@ def baseline_current(spark, sf):
 
 
 def blinded_set(spark, sf):
-    """Properties of a blinded set that don't hang on the draw: ids without gaps, each item once."""
+    """What of a blinded set doesn't hang on the draw, by probe: each item once, with its two answers in either order; and numbers without gaps over all."""
     rows = rescoring.blinded(derived(spark, sf, ITEMS), seed=7)
     nth = F.split_part("rescore_id", F.lit("-"), F.lit(2)).cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rescore_id").alias("n_ids"), F.min(nth).alias("first"), F.max(nth).alias("last"), F.count_distinct("item_id").alias("n_items"))
+    kept = F.when(F.col("swapped"), F.concat("answer_b", "answer_a")).otherwise(F.concat("answer_a", "answer_b"))
+    over = rows.agg((F.count_distinct(nth) - (F.max(nth) - F.min(nth) + 1)).alias("gaps"))
+    by = rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item_id").alias("n_items"), F.sum(F.length("answer_a") + F.length("answer_b")).alias("chars"), F.max(F.sha2(kept, 256)).alias("last_answers"))
+    return by.withColumn("gaps", over.scalar())
 
 
 QUERIES = {f.__name__: f for f in (
@@ -281,6 +278,7 @@ _RESULTS = f"""{_COUNTS}, t AS (SELECT *, n_invalid / n_items AS invalid_rate, C
     r AS (SELECT *, n_valid >= 20 AND p < 0.05 AND invalid_rate <= 0.25 AS tripped, n_valid < 20 OR invalid_rate > 0.25 AS inconclusive FROM t)"""
 
 _MATCHED = f"""l AS ({LABELS}), v AS ({VERDICTS}), m AS (SELECT l.*, v.judge, v.verdict FROM l LEFT JOIN v USING (probe, item_id))"""
+_MISSING = f"""l AS ({LABELS}), v AS ({VERDICTS_WITH_GAPS}), m AS (SELECT l.*, v.verdict FROM l LEFT JOIN v USING (probe, item_id))"""
 
 
 def _cells(x: str = "verdict", y: str = "label") -> str:
@@ -288,7 +286,7 @@ def _cells(x: str = "verdict", y: str = "label") -> str:
 
 
 _ONE = f"""{_MATCHED}, k AS (SELECT judge, probe, count(*) AS n_labeled, count(*) FILTER (verdict <> 'INVALID') AS n_scored, {_cells()}
-    FROM m WHERE labeler_id = 'rater1' AND verdict IS NOT NULL GROUP BY ALL),
+    FROM m WHERE verdict IS NOT NULL GROUP BY ALL),
     q AS (SELECT *, a_a AS tp, b_a + tie_a AS fn, b_b AS tn, a_b + tie_b AS fp FROM k)"""
 
 
@@ -363,14 +361,17 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "clopper_pearson": f"""WITH {_ONE} SELECT q.probe, tp, fn, round(a.p, 7) AS tpr_low, round(b.p, 7) AS tpr_high, round(c.p, 7) AS tnr_low, round(d.p, 7) AS tnr_high FROM q
         JOIN {_bisect('q', 'probe', 'tp', 'tp + fn', False)} a USING (probe) JOIN {_bisect('q', 'probe', 'tp', 'tp + fn', True)} b USING (probe)
         JOIN {_bisect('q', 'probe', 'tn', 'tn + fp', False)} c USING (probe) JOIN {_bisect('q', 'probe', 'tn', 'tn + fp', True)} d USING (probe)""",
-    "unmatched_labels": f"WITH {_MATCHED} SELECT count(*) AS n_labels, count(*) FILTER (verdict IS NULL) AS n_unmatched FROM m",
+    "unmatched_labels": f"WITH {_MISSING} SELECT count(*) AS n_labels, count(*) FILTER (verdict IS NULL) AS n_unmatched FROM m",
     "probe_inference": f"WITH l AS ({LABELS}) SELECT regexp_extract(item_id, '^(.*)-[^-]*$', 1) AS inferred, count(*) AS n, count(*) FILTER (regexp_extract(item_id, '^(.*)-[^-]*$', 1) = probe) AS n_same FROM l GROUP BY 1",
     "label_validation": f"""WITH x AS ({LABEL_LINES}) SELECT CASE fault WHEN 0 THEN 'label' WHEN 1 THEN 'labeler_id' WHEN 2 THEN 'timestamp' WHEN 3 THEN 'confidence' WHEN 4 THEN 'confidence'
         WHEN 5 THEN 'probe' WHEN 7 THEN 'record' END AS error, count(*) AS n FROM x GROUP BY 1""",
     "generated_items": f"""WITH b AS ({BANK}), s AS (SELECT probe, count(*) AS size FROM b GROUP BY 1), i AS (SELECT probe, size, unnest(range((SELECT count(*) FROM documents))) AS item_no FROM s)
         SELECT i.probe, count(*) AS n, CAST(sum({len("Question: ") + 1 + len("Answer A:") + 1 + 1 + 1 + len("Answer B:") + 1 + 1 + 1 + len("Which answer is better? Reply with exactly one letter: A or B.")} + length(question) + length(biased) + length(neutral)) AS BIGINT) AS prompt_chars,
         CAST(sum(length(biased)) AS BIGINT) AS biased_chars FROM i JOIN b ON b.probe = i.probe AND b.bank_idx = i.item_no % size GROUP BY 1""",
-    "own_and_duplicate_labels": f"WITH l AS ({LABELS}) SELECT probe, count(*) FILTER (labeler_id = 'rater2') AS n_own, count(*) FILTER (item_no % 5 = 0) AS n_twice FROM l GROUP BY probe",
+    "own_and_duplicate_labels": f"""WITH l AS ({LABELS}), t AS (SELECT * FROM l UNION ALL SELECT * FROM l WHERE item_no % 5 = 0),
+        d AS (SELECT probe, count(*) AS n_twice, CAST(sum(n) AS BIGINT) AS n_labels FROM (SELECT probe, item_id, labeler_id, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1) GROUP BY probe),
+        o AS (SELECT probe, count(*) AS n_own FROM l WHERE upper(labeler_id) = 'RATER2' GROUP BY probe)
+        SELECT probe, coalesce(n_own, 0) AS n_own, coalesce(n_twice, 0) AS n_twice, coalesce(n_labels, 0) AS n_labels FROM o FULL JOIN d USING (probe)""",
     "adjudicate_gold": f"WITH l AS ({LABELS}), {_GOLD} SELECT probe, item_id, gold, n_labelers, round(agreement, 9) AS agreement, tie_broken, unresolved FROM gold",
     "fleiss_kappa": f"""WITH l AS ({LABELS}), n AS (SELECT count(*) AS n, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'B') AS b, count(*) FILTER (label = 'TIE') AS t FROM l GROUP BY probe, item_id HAVING count(*) >= 2),
         s AS (SELECT count(*) AS n_items, avg((a * (a - 1) + b * (b - 1) + t * (t - 1)) / (n * (n - 1))) AS p, (sum(a) / sum(n)) ** 2 + (sum(b) / sum(n)) ** 2 + (sum(t) / sum(n)) ** 2 AS e FROM n)
@@ -385,7 +386,7 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "calibrate_multi": f"""WITH l AS ({LABELS}), v AS ({VERDICTS}), {_GOLD}, k AS (SELECT judge, probe, count(*) AS n_labeled, count(*) FILTER (verdict <> 'INVALID') AS n_scored, {_cells('verdict', 'gold')} FROM gold JOIN v USING (probe, item_id) GROUP BY ALL),
         q AS (SELECT *, a_a AS tp, b_a + tie_a AS fn, b_b AS tn, a_b + tie_b AS fp FROM k)
         SELECT judge, probe, n_labeled, n_scored, tp, fn, tn, fp, round({_K}, 9) AS kappa FROM ({_kappa('q', 'judge, probe, n_labeled, n_scored, tp, fn, tn, fp')})""",
-    "label_coverage": f"""WITH l AS ({LABELS}), v AS ({VERDICTS}), {_GOLD} SELECT count(*) FILTER (verdict IS NOT NULL) AS n_items, count(*) FILTER (verdict IS NOT NULL AND unresolved) AS n_unresolved,
+    "label_coverage": f"""WITH l AS ({LABELS}), v AS ({VERDICTS_WITH_GAPS}), {_GOLD} SELECT count(*) FILTER (verdict IS NOT NULL) AS n_items, count(*) FILTER (verdict IS NOT NULL AND unresolved) AS n_unresolved,
         CAST(coalesce(sum(n_labelers) FILTER (verdict IS NULL), 0) AS BIGINT) AS n_unmatched FROM gold LEFT JOIN v USING (probe, item_id)""",
     "self_consistency": f"""WITH r AS ({RESCORES}), v AS ({VERDICTS}), b AS (SELECT probe, CASE WHEN swapped AND r.verdict IN ('A', 'B') THEN translate(r.verdict, 'AB', 'BA') ELSE r.verdict END = v.verdict AS same
             FROM r JOIN v USING (probe, item_id) WHERE r.verdict <> 'INVALID'),
@@ -393,7 +394,8 @@ SQL = {k: duckdb_sql(q) for k, q in {
         SELECT probe, n0 AS n, n_same, round(n_same / n0, 7) AS consistency, round(x.p, 7) AS low, round(y.p, 7) AS high FROM q
         JOIN {_bisect('q', 'key', 'n_same', 'n0', False)} x USING (key) JOIN {_bisect('q', 'key', 'n_same', 'n0', True)} y USING (key)""",
     "unswapped_verdicts": f"WITH r AS ({RESCORES}) SELECT probe, CASE WHEN swapped AND verdict IN ('A', 'B') THEN translate(verdict, 'AB', 'BA') ELSE verdict END AS verdict, count(*) AS n FROM r GROUP BY ALL",
-    "replay_join": f"WITH {_PARSED} SELECT probe, verdict, count(*) AS n FROM v WHERE judge = 'steady' GROUP BY ALL",
+    "replay_join": f"""WITH p AS (SELECT *, sha256(system || chr(0) || user) AS k FROM ({PROMPTS})), r AS ({REPLIES}), raw AS (SELECT a.probe, r.verdict AS raw FROM p a JOIN p b ON a.k = b.k JOIN r ON r.id = b.id),
+        {_PARSED.split(", v AS ", 1)[1].join(["v AS ", ""])} SELECT probe, verdict, count(*) AS n FROM v GROUP BY ALL""",
     "weekly_snapshots": f"WITH {_WEEKS} SELECT week, probe, n_valid, CAST(events AS BIGINT) AS events, round(rate, 9) AS rate, round(p_value, 9) AS p_value, tripped, inconclusive FROM s",
     "fisher_weeks": f"WITH {_DRIFT} SELECT week, probe, round(rate_a, 9) AS rate_a, round(rate_b, 9) AS rate_b, round(delta, 9) AS delta, round(fisher_p, 9) AS fisher_p FROM z",
     "holm_reject": f"WITH {_DRIFT} SELECT week, probe, holm_significant FROM z",
@@ -404,5 +406,6 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "chain_verify": _CHAIN,
     "snapshots_since": f"WITH d AS ({DAYS}), t AS (SELECT CAST(id AS INT) AS id, '2024-01-' || lpad(CAST(id + 1 AS VARCHAR), 2, '0') AS ts FROM d) SELECT *, id = min(id) OVER () AS is_baseline, id = max(id) OVER () AS is_target FROM t WHERE ts >= '2024-01-15'",
     "baseline_current": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS baseline, count(*) AS n_pins FROM events WHERE event_type = 'click' GROUP BY user_id",
-    "blinded_set": f"SELECT count(*) AS n, count(*) AS n_ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(DISTINCT item_id) AS n_items FROM ({ITEMS})",
+    "blinded_set": f"""SELECT probe, count(*) AS n, count(DISTINCT item_id) AS n_items, CAST(sum(length(answer_a) + length(answer_b)) AS BIGINT) AS chars, max(sha256(answer_a || answer_b)) AS last_answers,
+        CAST(0 AS BIGINT) AS gaps FROM ({ITEMS}) GROUP BY probe""",
 }.items()}

@@ -62,18 +62,31 @@ _CHAT = '{"model": "{{model}}", "max_tokens": 16, "temperature": 0, "messages":
 _MESSAGES = '{"model": "{{model}}", "max_tokens": 16, "system": "{{system}}", "messages": [{"role": "user", "content": "{{user}}"}]}'
 
 
-def chat_completions(base: str, model: str, key: str = "", **more) -> HttpJudge:
+#: Where a local service with a chat completions interface listens by default.
+LOCAL = "http://localhost:11434/v1"
+
+
+def joined(base: str, path: str) -> str:
+    """path after the base's own path, whose version isn't repeated, and before its query string."""
+    head, mark, query = base.partition("?")
+    head = head.rstrip("/")
+    return head + (path.removeprefix("/v1") if head.endswith("/v1") else path) + mark + query
+
+
+def chat_completions(base: str = LOCAL, model: str = "", key: str = "", **more) -> HttpJudge:
     """Services with a chat completions interface, local ones among them."""
-    return HttpJudge(base.rstrip("/") + "/v1/chat/completions", _CHAT, "choices.0.message.content", model, {"Authorization": f"Bearer {key}"} if key else {}, **more)
+    return HttpJudge(joined(base or LOCAL, "/v1/chat/completions"), _CHAT, "choices.0.message.content", model, {"Authorization": f"Bearer {key}"} if key else {}, **more)
 
 
 def messages(base: str, model: str, key: str = "", version: str = "2023-06-01", **more) -> HttpJudge:
     """Services with a messages interface; no temperature is sent."""
-    return HttpJudge(base.rstrip("/") + "/v1/messages", _MESSAGES, "content.0.text", model, {"x-api-key": key, "anthropic-version": version}, **more)
+    return HttpJudge(joined(base, "/v1/messages"), _MESSAGES, "content.0.text", model, {"x-api-key": key, "anthropic-version": version}, **more)
 
 
 def custom(url: str, template: str, path: str, headers: list[str] = (), **more) -> HttpJudge:
     """headers: `Key: value` lines, cut at the first colon."""
+    if bad := [h for h in headers if ":" not in h]:
+        raise ValueError(f"a header needs a colon: {bad[0]!r}")
     return HttpJudge(url, template, path, headers={k.strip(): v.strip() for k, _, v in (h.partition(":") for h in headers)}, **more)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -19,10 +19,15 @@ class BadRecord(ValueError):
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1) and value of each line that isn't blank, by file.
 
-    Lines are numbered inside their file, as parts of it: whole files are read as single rows, which suits label files; a corpus of them is many files.
+    Files are read in blocks; the lines of each block are numbered by themselves, after the counts of the blocks before it in its file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return files.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), "value").where(stripped(F.col("value")) != "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__nth"), "value")
+    counts = lines.groupBy("file", "__block").count()  # a row per block
+    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy("file", "__block").orderBy("__nth"))
+    rows = lines.withColumn("__own", own).join(before, ["file", "__block"])
+    return rows.select("file", (F.col("__before") + F.col("__own")).alias("line_no"), "value").where(stripped(F.col("value")) != "")
 
 
 @F.pandas_udf(BooleanType())
@@ -92,6 +97,9 @@ def read_replay(spark: SparkSession, blinded: str, verdicts: str) -> DataFrame:
     """id, system, user and verdict of a recorded session; prompts must differ, and each id needs a verdict."""
     prompts, replies = (numbered_lines(spark, p) for p in (blinded, verdicts))
     field = lambda f: F.get_json_object("value", f"$.{f}").alias(f)
+    for rows, path in ((prompts, blinded), (replies, verdicts)):
+        if (bad := rows.where(F.expr("try_parse_json(value) IS NULL")).select(F.min("line_no")).first()[0]) is not None:
+            raise BadRecord(f"{path}, line {bad}: not JSON")
     prompts = prompts.select("line_no", *[field(f) for f in ("id", "system", "user")])
     replies = replies.select("line_no", *[field(f) for f in ("id", "verdict")])
     for rows, names, path in ((prompts, ("id", "system", "user"), blinded), (replies, ("id", "verdict"), verdicts)):

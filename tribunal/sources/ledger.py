@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PROBE = "struct<probe: string, n_items: long, n_valid: long, events: long, tripped: boolean, inconclusive: boolean, p_value: double>"
-SNAPSHOTS = f"id long, ts string, judge string, protocol_sha256 string, seed long, grade string, label string, probes array<{PROBE}>, chain_hash string"
+PROBE = """struct<probe: string, version: string, expected_direction: string, n_items: long, n_valid: long, n_invalid: long, events: long, rate: double, p_value: double, alpha: double,
+    two_sided: boolean, tripped: boolean, inconclusive: boolean, invalid_rate: double, seed: long, min_n: long, reason: string>"""
+FIELDS = [x.strip().split(":")[0] for x in PROBE.removeprefix("struct<").split(",")]
+SNAPSHOTS = f"id long, ts string, judge string, protocol_sha256 string, seed long, n long, grade string, label string, probes array<{PROBE}>, format int, chain_hash string"
+#: What the chain covers: all that is stored. Snapshots without a format are from before that, and have a few fields covered.
+FORMAT = 2
+COVERED = ("id", "ts", "judge", "protocol_sha256", "seed", "n", "grade", "label", "format")
 BASELINES = "seq long, ts string, old_id long, new_id long, reason string"
 GENESIS = "GENESIS"
 
 
-def record(columns=("id", "ts", "judge", "protocol_sha256", "seed", "grade", "label")) -> Column:
-    """The text of a snapshot that the chain covers: its fields, then its probes in order of name; nulls are told from empty texts."""
+def record() -> Column:
+    """The text of a snapshot that the chain covers: its fields, and its probes in order of name; nulls are told from empty texts."""
+    whole = F.to_json(F.struct(*COVERED, F.array_sort("probes").alias("probes")), {"ignoreNullFields": "false"})
     field = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("-"))
-    probes = F.transform(F.array_sort("probes"), lambda p: F.concat_ws(":", field(p["probe"]), field(p["n_items"]), field(p["n_valid"]), field(p["events"]), field(p["tripped"]), field(p["inconclusive"])))
-    return F.concat_ws("|", *[field(F.col(c)) for c in columns], F.array_join(probes, ","))
+    probes = F.transform(F.array_sort("probes"), lambda p: F.concat_ws(":", *[field(p[c]) for c in ("probe", "n_items", "n_valid", "events", "tripped", "inconclusive")]))
+    first = F.concat_ws("|", *[field(F.col(c)) for c in ("id", "ts", "judge", "protocol_sha256", "seed", "grade", "label")], F.array_join(probes, ","))
+    return F.when(F.col("format").isNull(), first).otherwise(whole)
 
 
 def chained(previous: Column, text: Column) -> Column:
     return F.sha2(F.concat(previous, text), 256)
 
 
+def in_order(rows: DataFrame, key: str = "id") -> DataFrame:
+    """rows with __nth, from 1 on, in the order of a whole-number key: ranges of 4096 keys are numbered by themselves, after the counts of those before."""
+    rows = rows.withColumn("__part", F.shiftright(F.col(key).cast("long"), 12))
+    before = rows.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return rows.withColumn("__own", nth).join(before.drop("count"), "__part").withColumn("__nth", F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
+
+
 def verify_chain(snapshots: DataFrame, text: Column | None = None) -> DataFrame:
-    """id, ok: whether chain_hash is that of the record after the one before it. The ledger is one chain, so its ids are ordered in one place."""
-    before = F.lag("chain_hash", 1, GENESIS).over(Window.orderBy("id"))
-    return snapshots.select("id", (F.col("chain_hash") == chained(before, record() if text is None else text)).alias("ok"))
+    """id, ok: whether chain_hash is that of the record after the one before it. Each link is looked at by itself, beside its predecessor."""
+    rows = in_order(snapshots.withColumn("__text", record() if text is None else text))
+    before = rows.select((F.col("__nth") + 1).alias("__nth"), F.col("chain_hash").alias("__previous"))
+    return rows.join(before, "__nth", "left").select("id", (F.col("chain_hash") == chained(F.coalesce("__previous", F.lit(GENESIS)), F.col("__text"))).alias("ok"))
 
 
 class Ledger:
@@ -51,15 +67,16 @@ class Ledger:
             raise KeyError(id_)
         return row
 
-    def append(self, results: DataFrame, *, ts: str, judge: str, protocol_sha256: str | None, seed: int, grade: str, label: str | None = None) -> int:
-        """Add a snapshot of probe results; returns its id."""
+    def append(self, results: DataFrame, *, ts: str, judge: str, protocol_sha256: str | None, seed: int, grade: str, label: str | None = None, n: int | None = None) -> int:
+        """Add a snapshot of probe results, with those of FIELDS that they have; returns its id."""
         last = self._read("snapshots", SNAPSHOTS).agg(F.max("id").alias("id"), F.max_by("chain_hash", "id").alias("hash")).first()
         id_ = (last.id or 0) + 1
-        probes = results.agg(F.array_sort(F.collect_list(F.struct("probe", *[F.col(c) for c in ("n_items", "n_valid", "events", "tripped", "inconclusive", "p_value")]))).cast(f"array<{PROBE}>").alias("probes"))
-        fields = {"id": id_, "ts": ts, "judge": judge, "protocol_sha256": protocol_sha256, "seed": seed, "grade": grade, "label": label}
-        row = probes.withColumns({k: F.lit(v) for k, v in fields.items()}).withColumn("chain_hash", chained(F.lit(last.hash or GENESIS), record()))
-        kinds = dict(x.split(" ", 1) for x in ("id long", "ts string", "judge string", "protocol_sha256 string", "seed long", "grade string", "label string", "chain_hash string"))
-        row.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in (*fields, "probes", "chain_hash")]).write.mode("append").parquet(f"{self.path}/snapshots")
+        kept = F.struct(*[F.col(c) if c in results.columns else F.lit(None).alias(c) for c in FIELDS])
+        rows = results.agg(F.array_sort(F.collect_list(kept)).cast(f"array<{PROBE}>").alias("probes"))
+        fields = {"id": id_, "ts": ts, "judge": judge, "protocol_sha256": protocol_sha256, "seed": seed, "n": n, "grade": grade, "label": label, "format": FORMAT}
+        kinds = {f.name: f.dataType for f in self._read("snapshots", SNAPSHOTS).schema.fields}
+        row = rows.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in fields.items()}).withColumn("chain_hash", chained(F.lit(last.hash or GENESIS), record()))
+        row.select(*kinds).write.mode("append").parquet(f"{self.path}/snapshots")
         return id_
 
     def pin(self, new_id: int, *, ts: str, reason: str) -> None:
