@@ -1,6 +1,9 @@
+import hashlib
 import json
 import math
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from hypothesis import given, settings
@@ -10,10 +13,11 @@ from pyspark.sql import functions as F
 from tribunal.functions import stats
 from tribunal.functions.verdicts import parse_verdict, probe_of, unswap
 from tribunal.operators import adjudication, battery, calibration, drift, judges, probes, rescoring
-from tribunal.plans import protocols, reports
+from tribunal.plans import banks, protocols, reports
 from tribunal.plans.banks import PROBES
 from tribunal.sources import http, labels
-from tribunal.sources.ledger import Ledger, verify_chain
+from tribunal.sources.labels import BadRecord
+from tribunal.sources.ledger import Ledger, record, verify_chain
 from tribunal.streaming.verdicts import watch, windowed_counts
 
 
@@ -90,9 +94,17 @@ def test_tails_add_up(spark, x):
 VERDICTS = {
     "A": "A", "B": "B", " b": "INVALID", "Answer B is better because...": "B", "I choose A.": "A", "It's a tie.": "TIE", "": "INVALID", "   \n": "INVALID", "The answers are both fine": "INVALID",
     "answer a question": "A", "(A) but in the end answer B": "B", "neither A nor B": "TIE", "( B )": "B", "B.": "B", "Both equal": "TIE", "option b": "B", "A tie": "A", "a": "INVALID", "Plan AB": "INVALID",
+    "choice\u2003a": "A", "\u00a0\x1fB\u3000": "B", "A\u2003then": "A", "ÄA": "INVALID", "Aé": "INVALID", "OPTION\x1cb": "B",
 }
 
 
+def test_shortened(spark):
+    rng = random.Random(4)
+    values = [0.0, 1.0, 0.5, 0.25, 1e-5, 9.99996e-5, 0.000123456, 0.049999, 123456.7, 9999.6, 1e-300, 1e100, 3.0e-12] + [rng.random() * 10 ** rng.randrange(-12, 7) for _ in range(200)]
+    for r in column(spark, [(x,) for x in values], "x double", s=stats.shortened("x")):
+        assert r.s == f"{r.x:.4g}"
+
+
 def test_parse_verdict(spark):
     for r in column(spark, [*[(x,) for x in VERDICTS], (None,)], "raw string", v=parse_verdict("raw")):
         assert r.v == VERDICTS.get(r.raw, "INVALID"), r.raw
@@ -251,6 +263,18 @@ def test_ledger(spark, tmp_path, items):
     changed = book.snapshots().withColumn("grade", F.when(F.col("id") == 2, "FAIL").otherwise(F.col("grade")))
     assert [r.id for r in verify_chain(changed).where("NOT ok").collect()] == [2]
     assert [r.id for r in verify_chain(book.snapshots().where("id <> 2")).where("NOT ok").collect()] == [3]
+    doubled = F.transform("probes", lambda p: p.withField("p_value", F.lit(0.9)))
+    assert [r.id for r in verify_chain(book.snapshots().withColumn("probes", F.when(F.col("id") == 3, doubled).otherwise(F.col("probes")))).where("NOT ok").collect()] == [3]
+    old = book.snapshots().withColumn("format", F.lit(None).cast("int")).collect()  # a ledger from before all fields were covered
+    one = spark.createDataFrame(old, book.snapshots().schema).withColumn("text", record())
+    hashes, before = [], "GENESIS"
+    for r in one.orderBy("id").collect():
+        before = hashlib.sha256((before + r.text).encode()).hexdigest()
+        hashes.append((r.id, before))
+    one = one.drop("text", "chain_hash").join(spark.createDataFrame(hashes, "id long, chain_hash string"), "id")
+    assert verify_chain(one).where("NOT ok").isEmpty() and "0.9" not in one.select(record()).first()[0]
+    many = spark.range(0, 20_000, 3).select("id", F.col("id").cast("string").alias("t"), F.sha2(F.concat(F.when(F.col("id") == 0, "GENESIS").otherwise(F.lit("x")), F.col("id").cast("string")), 256).alias("chain_hash"))
+    assert [r.id for r in verify_chain(many, F.col("t")).where("ok").collect()] == [0]
     rows, seeds = drift.compare_snapshots(book.snapshot(1), book.snapshot(2))
     assert seeds and rows.where("alert").isEmpty() and rows.count() == 9
 
@@ -268,6 +292,13 @@ def test_label_files(spark, tmp_path):
     assert got[4].error == "record" and 2 not in got
     for k, (field, x) in enumerate(bad, 5):
         assert got[k].error == field, x
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "100")  # the file in blocks, whose ends fall inside lines
+    lines = labels.numbered_lines(spark, str(path))
+    assert spark.read.text(str(path)).select("_metadata.file_block_start").distinct().count() > 3
+    want = [(k, x) for k, x in enumerate(path.read_text().split("\n"), 1) if x]
+    assert sorted((r.line_no, r.value) for r in lines.collect()) == want
+    spark.conf.unset(size)
     with pytest.raises(labels.BadRecord, match="line 4: record"):
         labels.read_labels(spark, str(path))
     path.write_text(json.dumps(good) + "\n")
@@ -283,6 +314,25 @@ def test_reports_and_replay(spark, tmp_path, items):
     back = labels.read_report(spark, str(path))
     assert back.count() == 540 and back.exceptAll(judged.select("judge", "probe", "item_id", "verdict")).isEmpty()
     assert "| position | 60 | 60 | 1.0000 |" in reports.markdown(results, "always_first")
+    body = json.loads(path.read_text())
+    assert body["tool"] and body["generated_at"] and {p["probe"]: p["expected_direction"] for p in body["probes"]}["halo"] == "endorsed" and not body["probes"][0]["two_sided"]
+    given = judged.where("probe IN ('halo', 'format')").select("probe", "item_id", F.when(F.col("bias_side") == "A", "A").otherwise("B").alias("label"), F.lit("ann").alias("labeler_id"), F.lit(2).alias("confidence"))
+    given = given.unionByName(given.limit(1).withColumn("item_id", F.lit("halo-999"))).cache()
+    bundle = reports.calibrated(given, back, "always_first", "sha")
+    assert (bundle["labeler_id"], bundle["n_labels"], bundle["n_unmatched"]) == ("ann", 121, 1) and set(bundle["per_probe"]) == {"halo", "format"}
+    halo = bundle["per_probe"]["halo"]
+    assert halo["tpr"] == 1.0 and halo["tnr"] == 0.0 and halo["tnr_ci"][0] == 0.0 and halo["n_labeled"] == 60
+    assert json.loads(reports.with_calibration(path.read_text(), bundle))["calibration"] == json.loads(json.dumps(bundle))
+    assert "## Calibration" in (shown := reports.markdown(results, "always_first", bundle)) and "| halo | 60 | 1.000" in shown
+    two = given.unionByName(given.withColumns({"labeler_id": F.lit("bo"), "label": F.lit("A")}))
+    several = reports.calibrated_by_several(two, back, "always_first")
+    assert several["labeler_ids"] == ["ann", "bo"] and several["n_items"] == 120 and several["n_unmatched"] == 2 and set(several["inter_rater"]["pairwise"]) == {"ann|bo"}
+    flags = [f["flagged"] for f in several["position_flags"]]
+    assert flags == sorted(flags, reverse=True) and flags[0] and several["position_flags"][0]["labeler_id"] == "bo"
+    (tmp_path / "v").write_text("{oops\n")
+    (tmp_path / "b").write_text(json.dumps({"id": "0", "system": "s", "user": "u"}) + "\n")
+    with pytest.raises(labels.BadRecord, match="line 1: not JSON"):
+        labels.read_replay(spark, str(tmp_path / "b"), str(tmp_path / "v"))
     (tmp_path / "b").write_text("".join(json.dumps({"id": str(k), "system": "s", "user": f"u{k}"}) + "\n" for k in range(3)))
     (tmp_path / "v").write_text("".join(json.dumps({"id": str(k), "verdict": "A"}) + "\n" for k in range(3)))
     assert labels.read_replay(spark, str(tmp_path / "b"), str(tmp_path / "v")).count() == 3
@@ -306,8 +356,94 @@ def test_protocols(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(changed))
     with pytest.raises(protocols.ProtocolMismatch):
         protocols.load(path)
-    files = protocols.manifest(spark, path)
-    assert protocols.identity("a", files) != protocols.identity("b", files)
+    assert protocols.identity("a", {"x": "1"}) != protocols.identity("b", {"x": "1"}) != protocols.identity("b", {"x": "2"})
+    assert {r.name for r in protocols.manifest(spark, path).collect()} == {"p.json"}
+    (tmp_path / "p.json").write_text(json.dumps({k: v for k, v in body.items() if k != "tie_rule"}))
+    with pytest.raises(protocols.ProtocolMismatch, match="tie_rule"):
+        protocols.load(path)
+    first = {k: v for k, v in body.items() if k != "sha256"} | {"protocol_version": "protocol-v1", "created_at": "2026-01-01"}
+    sha = hashlib.sha256(json.dumps(first, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    (tmp_path / "p.json").write_text(json.dumps(first | {"sha256": sha}))
+    assert protocols.load(path)["seed"] == 1
+    (tmp_path / "p.json").write_text(json.dumps(first | {"sha256": sha, "created_at": "2026-01-02"}))
+    with pytest.raises(protocols.ProtocolMismatch, match="sha256"):
+        protocols.load(path)
+    (tmp_path / "l").write_text("{oops\n")
+    with pytest.raises(BadRecord):
+        protocols.verify(body, spark.createDataFrame(rows, schema), str(tmp_path / "l"))
+    assert set(body) >= {"frozen_bars", "label_schema", "tie_rule", "metrics", "created_at"} and body["frozen_bars"]["x"] == {"alpha": 0.05, "min_n": 20}
+
+
+def definition(**changes):
+    bank = {"items": [{"question": f"q{k}?", "short": "Yes.", "long": "Yes, and at some length."} for k in range(4)]}
+    return {
+        "name": "verbosity", "version": "2.1.0", "description": "d", "n_items": 4, "min_n": 20, "alpha": 0.05, "expected_direction": "long", "event": "picked_longer", "two_sided": False, "bias_meta_key": "longer",
+        "defaults": {}, "generation": {"procedure": "p", "banks": bank}, "scoring": {"rule": "r", "trip_condition": "t"}, "frozen_bar": {"alpha": 0.05, "min_n": 20},
+    } | changes
+
+
+def test_definitions(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text(json.dumps(definition()))
+    (tmp_path / "b.json").write_text(json.dumps(definition(name="position", event="picked_first", expected_direction="first", bias_meta_key=None, version="1.0.0")))
+    (tmp_path / "notes.txt").write_text("x")
+    found = banks.discover(str(tmp_path))
+    assert list(found) == ["verbosity", "position"] and found["verbosity"]["version"] == "2.1.0" and banks.bars_of(found)["position"] == {"alpha": 0.05, "min_n": 20}
+    entries = probes.bank_frame(spark, ("verbosity",), {"verbosity": banks.entries_of(found["verbosity"])})
+    assert entries.count() == 4 and probes.broken_guards(entries).isEmpty()
+    bad = {
+        "version": "1.0", "n_items": 0, "min_n": True, "alpha": 1, "expected_direction": "up", "event": "x", "two_sided": "no", "bias_meta_key": "y", "defaults": [], "generation": {"procedure": " ", "banks": {"a": []}},
+        "scoring": {"rule": "r"}, "frozen_bar": {"alpha": 0.1, "min_n": 20},
+    }
+    for field, value in bad.items():
+        with pytest.raises(ValueError, match=field):
+            banks.checked_definition(definition(**{field: value}))
+    for field in banks.KEYS:
+        with pytest.raises(ValueError, match=field):
+            banks.checked_definition({k: v for k, v in definition().items() if k != field})
+    (tmp_path / "c.yaml").write_text("a: [")
+    with pytest.raises(ValueError, match="not YAML"):
+        banks.load_definition(str(tmp_path / "c.yaml"))
+
+
+def test_judges_over_http(spark):
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), self.headers.get("x-api-key"), self.headers.get("X-Extra"), body))
+            user = body.get("q") or body["messages"][-1]["content"]
+            if "boom" in user:
+                self.send_response(503)
+                self.end_headers()
+                self.wfile.write(b"busy")
+                return
+            replies = {"/v1/messages": {"content": [{"text": "A"}]}, "/judge": {"out": ["B"]}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(replies.get(self.path.split("?")[0], {"choices": [{"message": {"content": f"(A) {user}"}}]})).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for url, path in ((base, "/v1/chat/completions"), (f"{base}/v1", "/v1/chat/completions"), (f"{base}/v1/?behavior=x", "/v1/chat/completions?behavior=x")):
+            assert http.chat_completions(url, "m", "k").ask("s", "u") == "(A) u" and seen[-1][:2] == (path, "Bearer k")
+        assert http.messages(base, "m", "k").ask("s", "u") == "A" and seen[-1][0] == "/v1/messages" and seen[-1][2] == "k"
+        assert http.custom(f"{base}/judge", '{"q": "{{user}}"}', "out.0", ["X-Extra: 1:2"]).ask("s", "u") == "B" and seen[-1][3] == "1:2"
+        with pytest.raises(http.JudgeError, match="503"):
+            http.chat_completions(base, "m").ask("s", "boom")
+        prompts = spark.createDataFrame([(f"i{k}", "s", f"u{k}") for k in range(20)], "item_id string, system string, user string")
+        got = {r.item_id: r.raw for r in http.asked(prompts, http.chat_completions(base, "m"), 3).collect()}
+        assert got == {f"i{k}": f"(A) u{k}" for k in range(20)}
+    finally:
+        server.shutdown()
+    assert http.chat_completions().url == "http://localhost:11434/v1/chat/completions"
+    with pytest.raises(ValueError):
+        http.custom(base, "{}", "a", ["no colon"])
 
 
 def test_http_judge():
@@ -350,8 +486,9 @@ def test_commands(spark, tmp_path, capsys):
     main(["import-labels", "--sealed", f"{p}/set/sealed", "--replies", f"{p}/replies", "--labeler", "ann", "--ts", "2024-01-01", "--out", f"{p}/labels"])
     (tmp_path / "l.jsonl").write_text("".join(r.value + "\n" for r in spark.read.text(f"{p}/labels").collect()))
     for command in ("calibrate", "calibrate-multi"):
-        main([command, "--labels", f"{p}/l.jsonl", "--report", f"{p}/r.json", "--judge", "always_first", "--out", f"{p}/c.json"])
-        assert json.loads((tmp_path / "c.json").read_text())[0]["tp"] == 10
+        main([command, "--labels", f"{p}/l.jsonl", "--report", f"{p}/r.json", "--judge", "always_first", "--protocol", f"{p}/p.json", "--copy", f"{p}/r2.json", "--out", f"{p}/c.json"])
+        assert json.loads((tmp_path / "r2.json").read_text())["calibration"]["protocol_sha256"] == json.loads((tmp_path / "p.json").read_text())["sha256"]
+        assert json.loads((tmp_path / "c.json").read_text())["per_probe"]["halo"]["tp"] == 10
     for k, name in enumerate(("always_first", "neutral_alternating"), 1):
         main(["drift-snapshot", "--judge", name, *judge[2:], "--ledger", f"{p}/ledger", "--ts", f"2024-01-0{k}"])
     main(["drift-baseline", "--ledger", f"{p}/ledger", "--id", "1", "--ts", "2024-01-03"])

@@ -185,7 +185,7 @@ def kappa(table: list[list[Column]]) -> dict[str, Column]:
 
 
 def shortened(x, digits: int = 4) -> Column:
-    """A number as C's %.<digits>g writes it."""
+    """A number as C's %.<digits>g writes it, but that a decimal that ends in a 5 right after these digits is rounded up."""
     x = _double(x)
     parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
     power = parts[1].cast("int")
