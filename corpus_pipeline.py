@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages: what passes the quality rules, one of each group of near duplicates, without benchmark passages and secrets, packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; run() writes each stage's rows to the shared folder and rereads them.
+
+Null and empty texts fail the quality rules. Rows that share a doc_id, or have none, are rows of their own: of equal ones, one stays, like any copy. Other
+columns come through, whatever their names (those that start with two underscores are the stages' own). Empty tables give empty results.
 """
 
 from __future__ import annotations
