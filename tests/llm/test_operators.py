@@ -64,6 +64,15 @@ def test_scores(docs, texts, none):
 # --- 2
 
 
+def open_pieces(some, last):
+    """The pieces of the document that ends with `last`: back to its start."""
+    k = next(n for n, r in enumerate(some) if r is last)
+    j = k
+    while some[j].start:
+        j -= 1
+    return some[j : k + 1]
+
+
 @pytest.mark.parametrize("size", [2048, 64])
 def test_packing(docs, texts, none, size):
     from tokenizers import Tokenizer
@@ -73,16 +82,26 @@ def test_packing(docs, texts, none, size):
     spans = got.sort_values(["sequence_id", "offset"])
     assert (spans.groupby("sequence_id").length.sum() <= size).all()
     assert (spans.offset == spans.groupby("sequence_id").length.cumsum() - spans.length).all()
-    ids = defaultdict(list)
-    for i, x in texts:
-        ids[i].append(t.encode(x or "", add_special_tokens=False).ids + [1])
     crc = lambda x: zlib.crc32(b"".join(y.to_bytes(4, "little") for y in x))
-    known = {(None if i is None else i, len(d), s, n): crc(d[s : s + n]) for i, ds in ids.items() for d in ds for s, n in [(r.start, r.length) for r in got.itertuples() if r.doc_tokens == len(d)]}
-    for r in got.itertuples():
-        i = None if r.doc_id != r.doc_id or r.doc_id is None else int(r.doc_id)
-        assert any(crc(d[r.start : r.start + r.length]) == r.ids_crc32 and len(d) == r.doc_tokens for d in ids[i])
-    assert got.length.sum() == sum(len(d) for ds in ids.values() for d in ds)
-    assert known
+    # each document in pieces without gap or overlap, the ids in order: documents of one id by their length and pieces
+    left = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids + [1])) for i, x in texts)
+    pieces = defaultdict(list)
+    for r in got.sort_values(["sequence_id", "offset"]).itertuples():
+        pieces[None if r.doc_id != r.doc_id or r.doc_id is None else int(r.doc_id), r.doc_tokens].append(r)
+    for (i, n), some in pieces.items():
+        at = 0
+        for r in some:  # a task packs whole documents one after the other
+            assert r.start == at, (i, r.start, at)
+            at = (at + r.length) % n
+            if at == 0:
+                whole = [d for (j, d), m in left.items() if j == i and len(d) == n and m and all(crc(d[q.start : q.start + q.length]) == q.ids_crc32 for q in open_pieces(some, r))]
+                assert whole, (i, n)
+                left[i, whole[0]] -= 1
+        assert at == 0
+    assert not +left
+    sizes = got.groupby("sequence_id").length.sum()
+    padding = sum(0 if n & (n - 1) == 0 else size - n for n in sizes[:-1])
+    assert size < 2048 or padding <= 0.05 * sizes.sum() + 3 * size  # an unfinished sequence for each of three tasks
     assert packing.pack(none, WORD).count() == 0
 
 
@@ -132,8 +151,8 @@ SUFFIX = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"]
 
 def test_suffix_dedup(docs, texts, none, spark):
     want = suffix_brute(texts, 50)
-    for batches in (1, 3):
-        assert rows(suffix_dedup.remove_repeated_bytes(docs, batches=batches), *SUFFIX) == want
+    for shares in ((1.0,), (0.6, 0.4), (0.3, 0.3, 0.4)):
+        assert rows(suffix_dedup.remove_repeated_bytes(docs, shares=shares), *SUFFIX) == want
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
     kept = suffix_dedup.remove_repeated_bytes(docs, text=True).select("kept", "kept_sha256").collect()
     assert all(sha(r.kept) == r.kept_sha256 for r in kept)
@@ -158,12 +177,12 @@ def test_suffix_levels_grow_batch_by_batch(docs, texts, spark):
     assert len(hs) == sum(n for n, _ in live)
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_small_windows_by_brute_force(spark, batches):
+@pytest.mark.parametrize("shares", [(1.0,), (0.25,) * 4])
+def test_small_windows_by_brute_force(spark, shares):
     rng = random.Random(9)
     texts = [(i, "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 90)))) for i in range(40)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = suffix_dedup.remove_repeated_bytes(docs, Repeats("byte", 9, 4, True), batches=batches)
+    got = suffix_dedup.remove_repeated_bytes(docs, Repeats("byte", 9, 4, True), shares=shares)
     assert rows(got, *SUFFIX) == suffix_brute(texts, 9)
 
 
@@ -511,10 +530,23 @@ def test_equal_fingerprints_of_different_words_are_not_taken_as_repeats(spark, d
             row, a, h, first, last = super().groups(runs, at)
             return row, a, a, first, last  # a fingerprint that looks at the anchor only
 
-    spec = Weak("word", 35, 8, first_stays=False, verify=True)
+    spec = Weak("word", 35, 8, first_stays=False)
     assert rows(removed_words(docs, spec), *WORDS) == words_brute(texts)
 
 
+@pytest.mark.parametrize(("compared", "held"), [(200, 300), (50, 10**6)])
+def test_anchors_of_many_stretches(spark, docs, texts, monkeypatch, compared, held):
+    """Anchors of more stretches than a task holds are compared by windows; others go on from batch to batch."""
+    monkeypatch.setattr(repeats, "COMPARED", compared)
+    monkeypatch.setattr(repeats, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(removed_words(docs), *WORDS) == words_brute(texts)
+        assert rows(suffix_dedup.remove_repeated_bytes(docs), *SUFFIX) == suffix_brute(texts, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_history_is_read_only_where_a_match_needs_it(spark):
     rng = random.Random(31)
     old = [(k, " ".join(prose(rng, 200, 10**6))) for k in range(30)]
@@ -525,9 +557,8 @@ def test_history_is_read_only_where_a_match_needs_it(spark):
     index.add(frame(new))
     want = Counter({k: n for k, n in words_brute(old + new).items() if k[0] >= 100})
     assert rows(index.remove_repeats(frame(new), frame(old)), *WORDS) == want
-    tied = repeats.tied(frame(new)), repeats.tied(frame(old))
-    placed = repeats._own_marks(tied[0], index.matches(), index.spec)
-    read, marks, _ = repeats.source_rows(placed, index.matches(), tied[1], index.spec, lambda df, name: df)
+    marks = repeats.marks_of(repeats.tied(frame(new)), index.matches(), index.spec)
+    read, _ = repeats.sought(index.wanted(marks, index.matches()), ["tie"], repeats.tied(frame(old)), lambda df, name: df)
     assert {r.doc_id for r in read.collect()} == {5, 9}
 
 

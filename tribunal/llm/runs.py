@@ -1,6 +1,6 @@
 """Immutable sorted runs of fingerprints in the shared folder, and the log that says which of them are live.
 
-A run is a Parquet table (RUN), bucketed by `a` and sorted by (a, h) within a bucket, one file each. All runs of an index have the same
+A run is a Parquet table, bucketed by `a` and sorted by (a, h) within a bucket, one file each. All runs of an index have the same
 buckets, so that Spark joins and merges them bucket by bucket, without a shuffle. Runs are never changed: a merge writes a new one. The log is a Parquet
 table to which each change appends all live runs under the next step; an index opened again, in another session too, goes on from its last step.
 """
@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import cleaning, remove, write
 
-#: a: hash of an anchor, h: of the stretch around it; n: how often it occurs; first and last: the least and the greatest key of a row that has it. An (a, h)
-#: may stand in several rows, one for each task that met it. low and high: the least and the greatest second hash of its stretches, where these are verified.
-RUN = "a long, h long, n long, first long, last long"
-CHECK = ", low long, high long"
+#: a: hash of an anchor, h: of the stretch around it. Either a row for each row of documents that has it (doc_id, tie: its key), or sums: n: how often it
+#: occurs; first and last: the least and the greatest key of a row that has it; low and high: of the second hashes of its stretches. Sums of an (a, h) may
+#: stand in several rows, one for each task that met it.
+ROWS = "a long, h long, doc_id long, tie long"
+SUMS = "a long, h long, n long, first long, last long, low long, high long"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 LOG = "step long, run string, n_rows long, buckets int"
 
 
 class SortedRuns:
     """The live runs under `path`, largest first, as (rows, name)."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = RUN):
+    def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema, self.live, self.step = spark, path, schema, [], 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
@@ -41,15 +43,21 @@ class SortedRuns:
         if not self.spark.catalog.tableExists(name):  # new, or written by another session
             columns = self.schema.replace(" long", " BIGINT")
             self.spark.sql(f"""CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd', `parquet.writer.version` 'v2')
-                CLUSTERED BY (a) SORTED BY (a, h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'""")
+                CLUSTERED BY (a) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'""")
         return self.spark.table(name)
 
     def store(self, rows: DataFrame) -> tuple[int, str]:
-        """Write a run; it isn't live yet."""
+        """Write a run; it isn't live yet. It is sorted before it is written, since Spark would sort by the bucket's number first, which is one per task."""
         name = f"run_{uuid.uuid4().hex}"
         self.table(name)
-        with cleaning(self.spark):
-            rows.select(*[c.split()[0] for c in self.schema.split(", ")]).repartition(self.buckets, "a").write.insertInto(name)
+        rows = rows.select(*[c.split()[0] for c in self.schema.split(", ")]).repartition(self.buckets, "a").sortWithinPartitions("a", "h")
+        before = self.spark.conf.get(WRITERS)
+        self.spark.conf.set(WRITERS, "2")  # then no other order is asked for
+        try:
+            with cleaning(self.spark):
+                rows.write.insertInto(name)
+        finally:
+            self.spark.conf.set(WRITERS, before)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").count(), name
 
     def commit(self, live: list[tuple[int, str]]) -> None:
@@ -63,16 +71,16 @@ class SortedRuns:
             remove(self.spark, f"{self.path}/{n}")
 
     def together(self, tables: list[DataFrame]) -> DataFrame:
-        """The rows of runs, bucket by bucket, without a shuffle: Spark keeps a union's buckets if its first part is dealt like them, so that part has one row, of n = 0."""
-        nothing = self.spark.range(1).selectExpr("id AS a", "id AS h", "id AS n").repartition(self.buckets, "a")
-        out = nothing.select([F.col(c) if c in nothing.columns else F.lit(None).cast(kind).alias(c) for c, kind in tables[0].dtypes])
+        """The rows of runs, bucket by bucket, without a shuffle. Spark keeps a union's buckets if its first part is dealt like them, so that part is one row, without h."""
+        nothing = self.spark.range(1).selectExpr("id AS a").repartition(self.buckets, "a")
+        out = nothing.select([F.col(c) if c == "a" else F.lit(None).cast(kind).alias(c) for c, kind in tables[0].dtypes])
         for t in tables:
             out = out.unionByName(t)
         return out
 
     def merge(self, some: list[tuple[int, str]]) -> None:
         """One run in place of some."""
-        merged = self.store(self.together([self.table(n) for _, n in some]).where("n > 0"))
+        merged = self.store(self.together([self.table(n) for _, n in some]).where("h IS NOT NULL"))
         self.commit([*[x for x in self.live if x not in some], merged])
 
     def beside(self, new: DataFrame) -> DataFrame:

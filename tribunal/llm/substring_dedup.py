@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remove, scratch, shared_dir, staged, table, write
-from .repeats import Repeats, new_run, scanned, tied, without_repeats
+from .repeats import SOURCE, UNCLEAR, Repeats, fingerprints, marks_of, scanned_sums, tied, without_repeats
 from .runs import SortedRuns
 
-WORDS = Repeats("word", 35, 8, first_stays=False, verify=True)
-_MATCHES = "a long, h long, own long, other long, whole int, ends int, source boolean, check long"
+WORDS = Repeats("word", 35, 8, first_stays=False)
+_MATCHES = "a long, h long, own long, other long, whole int, ends int, check long"
 
 
 class FingerprintIndex:
@@ -34,8 +34,8 @@ class FingerprintIndex:
         """Fingerprints of history are read, its texts are not."""
         if len(self.runs.live) >= self.most:
             self.compact()
-        run = new_run(self.runs, tied(docs), self.spec)
-        write(scanned(self.runs.beside(self.runs.table(run[1])), self.spec), f"{self.path}/matches", "append")
+        run = self.runs.store(fingerprints(tied(docs), self.spec))
+        write(scanned_sums(self.runs.beside(self.runs.table(run[1]))), f"{self.path}/matches", "append")
         self.runs.commit([*self.runs.live, run])
 
     def compact(self) -> None:
@@ -44,11 +44,22 @@ class FingerprintIndex:
     def matches(self) -> DataFrame:
         return self.spark.read.schema(_MATCHES).parquet(f"{self.path}/matches")
 
+    def wanted(self, marks: DataFrame, found: DataFrame) -> DataFrame:
+        """(tie, h, bits) of rows without these marks that hold what those with them may repeat: one of each stretch of their anchors."""
+        near = found.join(marks.select("a").distinct(), "a", "left_semi")
+        only = lambda bits: bits.bitwiseAND(F.lit(UNCLEAR | SOURCE)).alias("bits")
+        one = near.select(F.col("own").alias("tie"), "h", only(F.col("whole").bitwiseOR(F.col("ends"))))
+        two = near.where("other <> own").select(F.col("other").alias("tie"), "h", only(F.col("whole")))
+        return one.unionByName(two).where("bits > 0").join(marks.select("tie").distinct(), "tie", "left_anti")
+
     def remove_repeats(self, docs: DataFrame, history: DataFrame | None = None, text: bool = False) -> DataFrame:
         """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of docs: all that were added, or some, with all others as history."""
         with scratch(self.spark) as folders:
             stage = lambda df, name: staged(df, name, folders)
-            out = without_repeats(tied(docs), self.matches(), self.spec, None if history is None else tied(history), text, stage)
+            own, found = tied(docs), self.matches()
+            marks = stage(marks_of(own, found, self.spec), "marks")
+            others = None if history is None else (tied(history), self.wanted(marks, found), ["tie"])
+            out = without_repeats(own, marks, others, self.spec, text, stage)
             return staged(out if text else out.drop("kept"), "kept")
 
 

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, keyed, remove, scratch, shared_dir, staged, table
-from .repeats import Repeats, new_run, scanned, tied, without_repeats
+from .repeats import Repeats, fingerprints, scanned_rows, tied, without_repeats
 from .runs import SortedRuns
 
 BYTES = Repeats("byte", 50, 24, first_stays=True)
@@ -46,18 +47,19 @@ class SuffixLevels:
         with scratch(self.spark) as folders:
             stage = lambda df, name: staged(df, name, folders)
             own = tied(docs, few=True)
-            level = new_run(self.levels, own, self.spec)
-            found = stage(scanned(self.levels.beside(self.levels.table(level[1])), self.spec), "found")
-            out = without_repeats(own, found, self.spec, None if history is None else tied(history), text, stage)
+            level = self.levels.store(fingerprints(own, self.spec))
+            marks = stage(scanned_rows(self.levels.beside(self.levels.table(level[1]))), "marks")
+            others = None if history is None else (tied(history), marks.where("NOT is_new"), ["doc_id"])
+            out = without_repeats(own, marks.where("is_new"), others, self.spec, text, stage)
             out = staged(out if text else out.drop("kept"), "batch")
         self.levels.commit([*self.levels.live, level])
         return out
 
 
-def by_doc_id(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """docs in ranges of doc_id of about equal numbers of rows; null ids come last."""
+def by_doc_id(docs: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
+    """docs in ranges of doc_id that hold about these shares of the rows; null ids come last."""
     own = keyed(docs)
-    inner = [k / batches for k in range(1, batches)]
+    inner = np.cumsum(shares)[:-1].tolist()
     cuts = own.agg(F.percentile_approx("doc_id", inner, 1000)).first()[0] or [] if inner else []
     edges = [None, *sorted(set(cuts)), None]
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
@@ -65,12 +67,12 @@ def by_doc_id(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [some(low, high) for low, high in zip(edges, edges[1:], strict=False)]
 
 
-def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False, batches: int = 2) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = False, shares: tuple[float, ...] = (0.6, 0.4)) -> DataFrame:
     """All docs, as batches in the order of doc_id over levels of their own, which go at the end."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
     levels, out, history = SuffixLevels(spark, path, spec), None, None
-    for part in by_doc_id(docs, batches):
+    for part in by_doc_id(docs, shares):
         got = levels.add(part, history, text)
         out = got if out is None else out.unionByName(got)
         history = part if history is None else history.unionByName(part)
@@ -84,5 +86,20 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+#: Every window of every text, as hexadecimal digits, which is for small tables.
+SQL_OP3 = """WITH
+d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, doc_id, i, md5_number(x[2 * i + 1:2 * i + 100]) AS g FROM (SELECT rid, doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g),
+h AS (SELECT rid, i FROM w JOIN f USING (g) WHERE first_id < doc_id),
+o AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, true) AS opens FROM h),
+b AS (SELECT rid, i, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM o),
+s AS (SELECT rid, min(i) AS a, max(i) + 50 AS z FROM b GROUP BY rid, span),
+k AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS z FROM s UNION ALL SELECT rid, max(z), 1000000000 FROM s GROUP BY rid),
+t AS (SELECT rid, string_agg(x[2 * a + 1:2 * z], '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid),
+r AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN r USING (rid) LEFT JOIN t USING (rid)"""
+
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {"op3_suffix_dedup": SQL_OP3}
