@@ -66,3 +66,27 @@ def test_pipeline(spark, tmp_path):
     assert total == Counter({i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in texts[3].items()})
     whole = corpus_pipeline.run(spark, d)
     assert whole.groupBy().sum("length").first()[0] == sum(total.values())
+
+
+def test_pipeline_keeps_rows_of_shared_or_missing_ids(spark, tmp_path):
+    """Clean texts of one id or none all stay, copies don't; columns whose names occur inside the stages come through; empty tables give empty results."""
+    rng = random.Random(22)
+    stop = quality.STOP_WORDS
+    text = lambda n: " ".join(w if rng.random() < 0.7 else rng.choice(stop) for w in prose(rng, n, 5000))
+    texts = [text(rng.randrange(60, 200)) for _ in range(30)]
+    rows = [(None, t) for t in texts[:12]] + [(5, t) for t in texts[12:20]] + [(10 + k, t) for k, t in enumerate(texts[20:])]
+    rows += [(None, texts[3]), (5, texts[3]), (11, texts[12]), rows[0], (None, None), (7, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sk string, root string, spans string, token string, __spans string"
+    frame = lambda x: spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcde") for i, t in x], schema)
+    for name, some in (("full", rows), ("none", [])):
+        d = str(tmp_path / name)
+        frame(some).repartition(3).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "not in any text " * 5)] if some else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, docs, d).write.parquet(f"{d}/stage{k}")
+            docs = spark.read.parquet(f"{d}/stage{k}")
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        left = Counter(r.text for r in docs.collect())
+        assert left == (Counter(texts) if some else Counter())
+        assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == (12 if some else 0)

@@ -172,5 +172,24 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _sql_kind(number: int, rule: Rule) -> str:
+    """Matches of one rule with their starts: what stands between matches, and the matches before, add up to them."""
+    pattern = rule.pattern.replace(f"{VALUE}+", f"({VALUE}+)") if rule.tail else rule.pattern
+    pattern = pattern.replace("'", "''")
+    kept = [f"length(x) >= {rule.least}"] if rule.least else []
+    kept += [f"length(regexp_extract(x, '{pattern}', 1)) >= {rule.tail}"] if rule.tail else []
+    return f"""SELECT rid, {number} AS nth, '{rule.kind}' AS kind, start, start + length(x) AS stop FROM (
+    SELECT rid, m[i] AS x, list_sum(list_transform(s[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS start
+    FROM (SELECT rid, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS s FROM d WHERE regexp_matches(t, '{pattern}')))
+    ) WHERE {' AND '.join(kept) or 'true'}"""
+
+
+SQL_OP7 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_sql_kind(k, r) for k, r in enumerate(BASE + MORE))}),
+g AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+    string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY start, nth) FILTER (nth < {len(BASE)}) AS base, string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY start, nth) AS spans
+    FROM f GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
 QUERIES = {"op7_secret_scan": op7_secret_scan}
-SQL: dict[str, str] = {}
+SQL = {"op7_secret_scan": SQL_OP7}
