@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import chunks, decompressed, staged, table, utf8
 from .text import LOWER, SPACE, Runs, starts_of_windows, word_hashes, words
 
-#: Bytes of text in a block, and words per hash range.
-BLOCK, RANGE = 4 << 20, 2_000_000
+#: Bytes of text in a block, words per hash range, and blocks that a task scores.
+BLOCK, RANGE, PER_TASK = 4 << 20, 2_000_000, 4
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -168,15 +168,16 @@ def _scorer(order: int, total_words: int, alpha: float, leave_out: bool):
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_out: bool = True) -> DataFrame:
     """doc_id, n_words, score_micro (millionths of a natural logarithm), and n_order_k: words scored by k-grams, of each row of docs."""
     blocks = staged(_blocks(docs), "blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    parts, answers = -(-total // RANGE) or 1, None
+    total, n_blocks = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first()
+    parts, tasks, answers = -(-total // RANGE) or 1, -(-n_blocks // PER_TASK) or 1, None
     for k in range(1, order + 1):
         asked = _asked(blocks, k, parts).repartition(parts, "part").sortWithinPartitions("part")
         some = staged(asked.mapInArrow(_answered(k), "block long, k int, part long, total binary"), f"counts-{k}")
         answers = some if answers is None else answers.unionByName(some)
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("k", "part", "total")).alias("answers"))
+    # a task scores a few blocks, however many there are
+    answers = answers.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("k", "part", "total")).alias("answers"))
     columns = ", ".join(["doc_id long, n_words long, score_micro long", *[f"n_order_{k} long" for k in range(1, order + 1)]])
-    return blocks.drop("n_words").join(answers, "block", "left").select("lens", "ids", "z", "answers").mapInArrow(_scorer(order, total, alpha, leave_out), columns)
+    return blocks.drop("n_words").repartition(tasks, "block").join(answers, "block", "left").select("lens", "ids", "z", "answers").mapInArrow(_scorer(order, total, alpha, leave_out), columns)
 
 
 def op1_lm_scores(spark, sf_dir: str) -> DataFrame:
