@@ -12,16 +12,16 @@ from .common import staged
 ROWS = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage=staged) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the smallest node of its component.
 
     A round points each node at its smallest neighbour, follows the pointers to their ends, and contracts what they joined; at least half of the nodes
-    that still have edges go each round. All rounds are written to the shared folder, so that nothing long is recomputed.
+    that still have edges go each round. All rounds are written to the shared folder by stage(df, name), so that nothing long is recomputed.
     """
     found = None  # (node, root) so far
-    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = stage(edges.select("a", "b").where("a <> b").distinct(), "edges")
     while n := edges.count():
-        keep = lambda df, name: staged(df.coalesce(2 * n // ROWS + 1), name)  # noqa: B023, E731
+        keep = lambda df, name: stage(df.coalesce(2 * n // ROWS + 1), name)  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "up")
         while True:
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
             found = up
         else:
             to = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            found = staged(found.join(to, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
+            found = stage(found.join(to, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "found")
         ends = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         edges = keep(left.where("a <> b").distinct(), "edges")

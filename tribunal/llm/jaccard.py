@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, decompressed, keyed, real_id, staged, table, utf8
+from .common import NULL_ID, chunks, decompressed, keyed, real_id, scratch, staged, table, utf8
 from .components import components
 from .text import LOWER, SPACE, Runs, mix, starts_of_windows, word_hashes, words
 
@@ -228,7 +228,7 @@ def _fits(x: str, y: str, percent: int):
     return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & ((100 + percent) * F.least(most(x, y), most(y, x)) >= percent * (size + other))
 
 
-def _entries(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
+def _entries(docs: DataFrame, spec: Shingles, sketch, stage) -> DataFrame:
     """(token, sk, place, before, facts): prefix shingles that several sets have in their prefixes, with the one before it in the set; facts: _facts."""
     postings = _postings(docs, spec, sketch).repartition("token").groupBy("token", "sk").agg(F.max("meta").alias("meta"))
     lists = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1").drop("n")
@@ -236,7 +236,7 @@ def _entries(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
     size, need, of = F.shiftright("meta", 32), bits(0, 7), Window.partitionBy("sk")
     alone = F.least(size, _early(size, spec.percent, F.ceil, F.floor) + need - 1) - F.sum(bits(7, 1)).over(of)
     lists = lists.withColumns({"place": bits(8, 24).cast("int"), "before": F.lag("token").over(of.orderBy(bits(8, 24))), "facts": F.shiftleft(size, 31).bitwiseOR(F.shiftleft(F.least(alone, F.lit((1 << 24) - 1)).cast("long"), 7)).bitwiseOR(need)})
-    return staged(lists.select("token", "sk", "place", "before", "facts"), "entries")
+    return stage(lists.select("token", "sk", "place", "before", "facts"), "entries")
 
 
 def _facts(df: DataFrame, *sides: str) -> DataFrame:
@@ -259,19 +259,24 @@ def _sharing(pairs: DataFrame, entries: DataFrame, spec: Shingles) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, spec: Shingles) -> DataFrame:
-    """doc_id (NULL_ID if null), tk, size and root (the smallest set that links reach) of each row of docs."""
+    """doc_id (NULL_ID if null), tk, size and root (the smallest set that links reach) of each row of docs, staged; what it took to find them is deleted."""
+    with scratch(docs.sparkSession) as folders:
+        return staged(_found_roots(docs, spec, lambda df, name: staged(df, name, folders)), "rooted")
+
+
+def _found_roots(docs: DataFrame, spec: Shingles, stage) -> DataFrame:
     own = keyed(docs)
-    survey = staged(_survey(own, spec), "survey")
+    survey = stage(_survey(own, spec), "survey")
     rows = survey.where("part IS NULL").select("doc_id", "tk", "sk", "size")
-    entries = full = _entries(own, spec, _sketch(survey))
-    texts = staged(_texts(own, spec).join(entries.select("sk").distinct(), "sk", "left_semi").groupBy("sk").agg(F.first("z").alias("z")), "texts")
+    entries = full = _entries(own, spec, _sketch(survey), stage)
+    texts = stage(_texts(own, spec).join(entries.select("sk").distinct(), "sk", "left_semi").groupBy("sk").agg(F.first("z").alias("z")), "texts")
     edges, roots, by = None, None, Window.partitionBy("token")
     for r in range(ROUNDS + 1):
         # only lists that still hold different components; main is a list's largest
         named = entries.withColumn("root", F.col("sk")) if roots is None else entries.join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
         named = named.repartition("token").withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("token", "root")))
         named = named.withColumns({"main": F.max(F.struct("own", "root")).over(by)["root"], "low": F.min("root").over(by), "high": F.max("root").over(by)})
-        named = staged(named.where("low <> high").drop("low", "high", "own"), "named")
+        named = stage(named.where("low <> high").drop("low", "high", "own"), "named")
         entries = named.drop("root", "main")
         if named.isEmpty():
             break
@@ -293,9 +298,9 @@ def _rooted(docs: DataFrame, spec: Shingles) -> DataFrame:
             lead = _facts(lead.select("sk", "root", F.col("facts").alias("factsx"), F.col("y.sk").alias("b"), F.col("y.facts").alias("factsy"), F.col("y.root").alias("root_b")), "x", "y")
             lead = lead.where((F.col("root_b") != F.col("root")) & _fits("x", "y", spec.percent)).groupBy(F.col("sk").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
             pairs = lead.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("nth <= 2").select("a", "b")
-        new = staged(_verified(pairs, texts, spec), "links")
+        new = stage(_verified(pairs, texts, spec), "links")
         edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges)
+        roots = components(edges, stage)
         if last:
             break
     out = rows.withColumn("root", F.col("sk"))
