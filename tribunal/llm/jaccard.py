@@ -365,16 +365,17 @@ def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), CONTRACT)
 
 
-#: All pairs that share a shingle, which is for small tables.
-SQL_OP8 = f"""WITH RECURSIVE
+def sql_of(spec: Shingles) -> str:
+    """All pairs that share a shingle, which is for small tables."""
+    return f"""WITH RECURSIVE
 d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + {CONTRACT.size} - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {CONTRACT.size} + 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + {spec.size} - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {spec.size} + 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
-e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * both_have >= {CONTRACT.percent} * (a.n + b.n - both_have)),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * both_have >= {spec.percent} * (a.n + b.n - both_have)),
 r AS (SELECT rid, doc_id AS low FROM d UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.rid),
 c AS (SELECT rid, min(low) AS component_id FROM r GROUP BY rid)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)"""
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-SQL = {"op8_jaccard_join": SQL_OP8}
+SQL = {"op8_jaccard_join": sql_of(CONTRACT)}
