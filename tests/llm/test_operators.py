@@ -237,6 +237,33 @@ def test_many_rows_without_id(spark, monkeypatch, spec, shared):
         assert rows(got, "doc_id", "n_units", "n_removed", "kept_sha256") == words_brute(texts)
 
 
+def test_equal_rows_are_resolved_once(spark):
+    """Thousands of rows of one text, of no id, next to rows that share a part of it, in time that grows with the rows."""
+    rng = random.Random(31)
+    text = " ".join(prose(rng, 400, 10**6))
+    part = " ".join(words(text)[100:180])
+    texts = [(1, f"before {part} after"), (2, " ".join(prose(rng, 60, 10**6))), (3, "short"), (3, "short")] + [(None, text)] * 4000
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    seen = texts[:4] + [(None, text)] * 2
+    many = lambda want: Counter({k: 4000 if k[0] is None else n for k, n in want.items()})
+    assert rows(suffix_dedup.remove_repeated_bytes(docs), *SUFFIX) == many(suffix_brute(seen, 50))
+    assert rows(removed_words(docs), "doc_id", "n_units", "n_removed", "kept_sha256") == many(words_brute(seen))
+
+
+def test_a_batch_that_failed_leaves_no_matches(spark, docs, texts, monkeypatch):
+    index = substring_dedup.FingerprintIndex(spark, f"{shared_dir(spark)}/failing-{random.random()}", most=2)
+    parts = [docs.where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == k) for k in range(3)]
+    index.add(parts[0])
+    with monkeypatch.context() as m:
+        m.setattr(index.runs, "commit", lambda live: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(docs)
+    for p in parts[1:]:
+        index.add(p)
+    assert rows(index.remove_repeats(docs), "doc_id", "n_units", "n_removed", "kept_sha256") == words_brute(texts)
+    index.runs.drop()
+
+
 # --- 4
 
 

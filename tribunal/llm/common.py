@@ -51,6 +51,11 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         df.write.mode(mode).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders of the shared store."""
     for path in paths:

@@ -15,8 +15,8 @@ fingerprint (a, h): a hashes the anchor, h the whole stretch that the group's wi
 
 Sums carry second hashes of their stretches, and equal (a, h) whose second hashes differ are not taken as repeats: all their windows are unclear.
 
-A row's key is a hash of its doc_id and text (`tie`), and the doc_id too if that decides which window stays. Rows of one key are equal in both, so they
-share marks and starts, each once.
+A row's key is a hash of its doc_id and text (`tie`), and the doc_id too if that decides which window stays. Rows of one key are equal in both: one of them
+is looked at (`once`), and its result goes to all.
 """
 
 from __future__ import annotations
@@ -108,6 +108,20 @@ def tied(docs: DataFrame, few: bool = False) -> DataFrame:
     return own.select("doc_id", tie.cast("long").alias("tie"), "text")
 
 
+KEY = ["doc_id", "tie"]
+
+
+def once(own: DataFrame, stage) -> tuple[DataFrame, DataFrame | None]:
+    """The tied rows, one for each key, and the keys of several rows (None if there are none). Only rows of such keys are shuffled."""
+    again = stage(own.groupBy(*KEY).count().where("count > 1").select(*KEY), "again")
+    n = again.limit(SHARED + 1).count()
+    if not n:
+        return own, None
+    keys = F.broadcast(again) if n <= SHARED else again
+    one = own.join(keys, KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+    return own.join(keys, KEY, "left_anti").unionByName(one), again
+
+
 def _groups_of(docs: DataFrame, spec: Repeats, key: list[str], second: bool, emit, schema: str) -> DataFrame:
     """emit(arrays) of a, h, the columns of key and (second) another hash of each group of docs, some documents at a time."""
 
@@ -199,7 +213,7 @@ def scanned_sums(rows: DataFrame) -> DataFrame:
 def _collected(marks: DataFrame, key: list[str]) -> DataFrame:
     """key and marks: h of each stretch that the row of that key has to look at, with its bits in place of the lowest three."""
     mark = F.shiftleft(F.shiftright("h", 3), 3).bitwiseOR(F.col("bits").cast("long"))
-    return marks.where("bits > 0").select(*key, mark.alias("mark")).groupBy(*key).agg(F.collect_list("mark").alias("marks"))
+    return marks.where("bits > 0").select(*key, mark.alias("mark")).groupBy(*key).agg(F.collect_set("mark").alias("marks"))
 
 
 def marks_of(own: DataFrame, found: DataFrame, spec: Repeats) -> DataFrame:
@@ -210,8 +224,8 @@ def marks_of(own: DataFrame, found: DataFrame, spec: Repeats) -> DataFrame:
     return placed.join(found.select("a", "h", "own", "whole", "ends", "check"), ["a", "h"]).select("a", "tie", "h", bits.alias("bits")).where("bits > 0")
 
 
-RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
-_DOC = f"{RESULT}, tie long, z binary, removed array<long>"
+RESULT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string, tie long"
+_DOC = f"{RESULT}, z binary, removed array<long>"
 #: Stretches: ref: the first window's start, and whether windows are judged in a higher bit; ws: the hashes of their windows, 8 bytes each.
 _WINDOWS = "a long, ref long, ws binary"
 _JUDGED = 1 << 62
@@ -289,7 +303,7 @@ def _resolver(spec: Repeats, text: bool, arrow_schema, asked: bool):
                 docs.append((ids[r], n, None, None, None, None, ties[r], zs[r], np.column_stack(intervals(gone)).ravel().tolist()))
             else:
                 words_ = bounds and tuple(x[at[i] : at[i + 1]] - off[i] for x in bounds)
-                docs.append((ids[r], *_row(spec, texts[r], n, words_, gone, text), None, None, None))
+                docs.append((ids[r], *_row(spec, texts[r], n, words_, gone, text), ties[r], None, None))
         return 8 * int(to[-1]) if len(ask) else 0
 
     def run(batches):
@@ -303,7 +317,7 @@ def _resolver(spec: Repeats, text: bool, arrow_schema, asked: bool):
                     size += looked_up(sel, texts, ids, ties, zs, marks, docs, wins)
                 for r in range(i, j) if asked else ():
                     if not has[r]:
-                        docs.append((ids[r], *_whole(spec, texts[r], text), None, None, None))
+                        docs.append((ids[r], *_whole(spec, texts[r], text), ties[r], None, None))
                 size += sum(len(z) for z in zs[i:j])
                 if size > 8 << 20:
                     yield table(docs, wins)
@@ -317,15 +331,15 @@ def _finisher(spec: Repeats, text: bool, arrow_schema):
     def run(batches):
         for b in batches:
             docs = []
-            for doc, raw, removed, starts in zip(b.column("doc_id").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for doc, tie, raw, removed, starts in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), decompressed(b.column("z")), b.column("removed").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 data, bounds, n = np.frombuffer(raw, np.uint8), None, len(raw)
                 if spec.unit == "word":
                     start, end, _ = words(data, np.array([0, len(raw)]), ~SPACE)
                     bounds, n = (start, end), len(start)
                 own, more = np.array(removed or [], np.int64).reshape(-1, 2), np.array(starts or [], np.int64)
                 mask = covered(n, np.concatenate((own[:, 0], more)), np.concatenate((own[:, 1], more + spec.window)))
-                docs.append((doc, *_row(spec, raw, n, bounds, mask, text)))
-            cols = list(zip(*docs, strict=True)) or [()] * 6
+                docs.append((doc, *_row(spec, raw, n, bounds, mask, text), tie))
+            cols = list(zip(*docs, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow_schema, strict=True)], schema=arrow_schema)
 
     return run
@@ -438,8 +452,8 @@ def _resolved(own: DataFrame, marks: DataFrame, key: list[str], spec: Repeats, t
     return rows.mapInArrow(_resolver(spec, text, to_arrow_schema(StructType.fromDDL(schema)), asked), schema)
 
 
-def without_repeats(own: DataFrame, marks: DataFrame, others: tuple | None, spec: Repeats, text: bool, stage) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of each of the tied rows `own`, by their marks.
+def without_repeats(all_rows: DataFrame, own: DataFrame, again: DataFrame | None, marks: DataFrame, others: tuple | None, spec: Repeats, text: bool, stage) -> DataFrame:
+    """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of each of the tied rows `all_rows`, by the marks of `own`; see once().
 
     others: tied rows of history, the marks of those to resolve again, and the marks' key. stage(df, name) stores and rereads.
     """
@@ -455,7 +469,17 @@ def without_repeats(own: DataFrame, marks: DataFrame, others: tuple | None, spec
     done = wanted.mapInArrow(_finisher(spec, text, to_arrow_schema(StructType.fromDDL(RESULT))), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     out = seen.where("n_removed IS NOT NULL").select(*names).unionByName(done)
-    return out.select(real_id(), *names[1:])
+    if again is not None:
+        out = stage(out, "one")
+        keys = F.broadcast(again) if again.limit(SHARED + 1).count() <= SHARED else again
+        shared = out.join(keys, KEY, "left_semi")
+        if not spec.first_stays:  # each window of such a row starts in its copies, too
+            whole = F.col("n_units") >= spec.window
+            gone = {"n_removed": F.col("n_units"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit("" if text else None).cast("string")}
+            shared = shared.withColumns({c: F.when(whole, v).otherwise(F.col(c)) for c, v in gone.items()})
+        shared = stage(shared, "shared")
+        out = out.join(keys, KEY, "left_anti").unionByName(all_rows.select(*KEY).join(shared, KEY).select(*names))
+    return out.select(real_id(), *names[1:-1])
 
 
 def sought(marks: DataFrame, key: list[str], history: DataFrame, stage) -> tuple[DataFrame, DataFrame]:
@@ -466,7 +490,7 @@ def sought(marks: DataFrame, key: list[str], history: DataFrame, stage) -> tuple
 
 
 def _sources(history: DataFrame, marks: DataFrame, key: list[str], spec: Repeats, stage) -> DataFrame:
-    rows, marks = sought(marks, key, history, stage)
+    rows, marks = sought(marks, key, once(history, stage)[0], stage)
     wins = _resolved(rows, marks, key, spec, False, False).where("ws IS NOT NULL")
     doc_id = F.lit(-(1 << 63)).alias("doc_id") if spec.first_stays else F.col("doc_id")  # before all of the batch
     return wins.select(doc_id, F.lit(0).cast("long").alias("tie"), "a", F.lit(0).cast("long").alias("ref"), "ws")

@@ -28,7 +28,7 @@ class SortedRuns:
     """The live runs under `path`, largest first, as (rows, name)."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.live, self.step = spark, path, schema, [], 0
+        self.spark, self.path, self.schema, self.live, self.step, self.made = spark, path, schema, [], 0, set()
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
             log = spark.read.schema(LOG).parquet(f"{path}/log")
@@ -49,6 +49,7 @@ class SortedRuns:
     def store(self, rows: DataFrame) -> tuple[int, str]:
         """Write a run; it isn't live yet. It is sorted before it is written, since Spark would sort by the bucket's number first, which is one per task."""
         name = f"run_{uuid.uuid4().hex}"
+        self.made.add(name)
         self.table(name)
         rows = rows.select(*[c.split()[0] for c in self.schema.split(", ")]).repartition(self.buckets, "a").sortWithinPartitions("a", "h")
         before = self.spark.conf.get(WRITERS)
@@ -70,6 +71,14 @@ class SortedRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
             remove(self.spark, f"{self.path}/{n}")
 
+    def drop(self) -> None:
+        """Remove the index: its runs, also those that a failure left behind, and its folder."""
+        made = {n for _, n in self.live} | self.made
+        for n in made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        self.live, self.made = [], set()
+        remove(self.spark, self.path)
+
     def together(self, tables: list[DataFrame]) -> DataFrame:
         """The rows of runs, bucket by bucket, without a shuffle. Spark keeps a union's buckets if its first part is dealt like them, so that part is one row, without h."""
         nothing = self.spark.range(1).selectExpr("id AS a").repartition(self.buckets, "a")

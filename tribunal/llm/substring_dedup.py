@@ -16,8 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, shared_dir, staged, table, write
-from .repeats import SOURCE, UNCLEAR, Repeats, fingerprints, marks_of, scanned_sums, tied, without_repeats
+from .common import exists, remove, scratch, shared_dir, staged, table, write
+from .repeats import SOURCE, UNCLEAR, Repeats, fingerprints, marks_of, once, scanned_sums, tied, without_repeats
 from .runs import SortedRuns
 
 WORDS = Repeats("word", 35, 8, first_stays=False)
@@ -35,14 +35,18 @@ class FingerprintIndex:
         if len(self.runs.live) >= self.most:
             self.compact()
         run = self.runs.store(fingerprints(tied(docs), self.spec))
-        write(scanned_sums(self.runs.beside(self.runs.table(run[1]))), f"{self.path}/matches", "append")
+        # matches are those of a step, and count once that step is in the log: a batch that failed leaves none
+        write(scanned_sums(self.runs.beside(self.runs.table(run[1]))), f"{self.path}/matches/{self.runs.step + 1}", "overwrite")
         self.runs.commit([*self.runs.live, run])
 
     def compact(self) -> None:
+        remove(self.spark, f"{self.path}/matches/{self.runs.step + 1}")  # of a batch that failed
         self.runs.merge(self.runs.live)
 
     def matches(self) -> DataFrame:
-        return self.spark.read.schema(_MATCHES).parquet(f"{self.path}/matches")
+        """Those of all steps in the log, of which merges have none."""
+        paths = [p for k in range(1, self.runs.step + 1) if exists(self.spark, p := f"{self.path}/matches/{k}")]
+        return self.spark.read.schema(_MATCHES).parquet(*paths) if paths else self.spark.createDataFrame([], _MATCHES)
 
     def wanted(self, marks: DataFrame, found: DataFrame) -> DataFrame:
         """(tie, h, bits) of rows without these marks that hold what those with them may repeat: one of each stretch of their anchors."""
@@ -56,10 +60,11 @@ class FingerprintIndex:
         """doc_id, n_units, n_removed, n_spans, kept_sha256 and (with text) kept of docs: all that were added, or some, with all others as history."""
         with scratch(self.spark) as folders:
             stage = lambda df, name: staged(df, name, folders)
-            own, found = tied(docs), self.matches()
+            rows, found = tied(docs), self.matches()
+            own, again = once(rows, stage)
             marks = stage(marks_of(own, found, self.spec), "marks")
             others = None if history is None else (tied(history), self.wanted(marks, found), ["tie"])
-            out = without_repeats(own, marks, others, self.spec, text, stage)
+            out = without_repeats(rows, own, again, marks, others, self.spec, text, stage)
             return staged(out if text else out.drop("kept"), "kept")
 
 
@@ -68,11 +73,12 @@ def op9_substring_dedup(spark, sf_dir: str, batches: int = 3) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
     index = FingerprintIndex(spark, path, most=batches - 1)
-    for k in range(batches):
-        index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    out = index.remove_repeats(docs)
-    index.runs.commit([])
-    remove(spark, path)
+    try:
+        for k in range(batches):
+            index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        out = index.remove_repeats(docs)
+    finally:
+        index.runs.drop()
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 

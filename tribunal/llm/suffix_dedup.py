@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, remove, scratch, shared_dir, staged, table
-from .repeats import Repeats, fingerprints, scanned_rows, tied, without_repeats
+from .common import NULL_ID, keyed, scratch, shared_dir, staged, table
+from .repeats import Repeats, fingerprints, once, scanned_rows, tied, without_repeats
 from .runs import SortedRuns
 
 BYTES = Repeats("byte", 50, 24, first_stays=True)
@@ -46,11 +46,12 @@ class SuffixLevels:
         self._settle()
         with scratch(self.spark) as folders:
             stage = lambda df, name: staged(df, name, folders)
-            own = tied(docs, few=True)
+            rows = tied(docs, few=True)
+            own, again = once(rows, stage)
             level = self.levels.store(fingerprints(own, self.spec))
             marks = stage(scanned_rows(self.levels.beside(self.levels.table(level[1]))), "marks")
             others = None if history is None else (tied(history), marks.where("NOT is_new"), ["doc_id"])
-            out = without_repeats(own, marks.where("is_new"), others, self.spec, text, stage)
+            out = without_repeats(rows, own, again, marks.where("is_new"), others, self.spec, text, stage)
             out = staged(out if text else out.drop("kept"), "batch")
         self.levels.commit([*self.levels.live, level])
         return out
@@ -72,12 +73,13 @@ def remove_repeated_bytes(docs: DataFrame, spec: Repeats = BYTES, text: bool = F
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
     levels, out, history = SuffixLevels(spark, path, spec), None, None
-    for part in by_doc_id(docs, shares):
-        got = levels.add(part, history, text)
-        out = got if out is None else out.unionByName(got)
-        history = part if history is None else history.unionByName(part)
-    levels.levels.commit([])
-    remove(spark, path)
+    try:
+        for part in by_doc_id(docs, shares):
+            got = levels.add(part, history, text)
+            out = got if out is None else out.unionByName(got)
+            history = part if history is None else history.unionByName(part)
+    finally:
+        levels.levels.drop()
     return out
 
 
