@@ -6,9 +6,10 @@ at the threshold s stays together in a tree, however deep, with probability q, w
 miss it with less than `miss`. The first step splits nearly all sets off; only nodes that are still large branch again, all nodes of a level at once.
 
 In each node, sets are first tried against one leader, and what links is united, so that a large group of near copies costs a link each, not one for each
-two. What then is in a node of one component needs no look. Small nodes are compared exhaustively; so is a node whose sets are so much alike that branching
-it would not save half of the comparisons. Comparisons are by sketches (a byte of each minwise token), in tiles of bounded lists, and by size; only pairs that
-agree in `agreeing` places or more are formed, and each of these is confirmed on the full sets before it is a link.
+two. What then is in a node of one component needs no look. Nodes with few sets beside their largest component are compared exhaustively; so is a node whose
+sets are so much alike that branching it would not save half of the comparisons. Comparisons are in tiles of bounded lists: by size and by sketches (a byte of
+each minwise token), which must agree in `agreeing` places or more; what does is confirmed there on the full sets. A tile gives the links that unite
+something in it, not all pairs that are alike, so what is written grows with the sets and not with the squares of groups.
 
 A document without words (null or empty text) has an empty set and is linked with nothing. Repeated rows each get their row. A null doc_id counts as larger
 than any. Sets are told apart by 128 bits. Empty tables give empty results. Other columns are ignored.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, keyed, real_id, scratch, staged, table, utf8
+from .common import NULL_ID, chunks, decompressed, keyed, real_id, scratch, staged, table, utf8
 from .components import components
 from .jaccard import Shingles, _verified, sql_of
 from .text import mix
@@ -82,15 +83,16 @@ def _surveyed(docs: DataFrame, spec: Shingles) -> DataFrame:
 
 
 def _live(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """rows (node, sid) in nodes of several components, with root, n (sets of the node), and the leader's sid and root."""
+    """rows (node, sid) in nodes of several components, with root, n (sets of the node), main (its largest component), beside (sets not in that), the leader's
+    sid and root."""
     named = rows.select("node", "sid")
     if roots is None:
         named = named.withColumn("root", F.col("sid"))
     else:
         named = named.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     own = named.groupBy("node", "root").agg(F.count(F.lit(1)).alias("own"), F.min(F.struct(F.xxhash64("sid"), "sid")).alias("first"))
-    of = own.groupBy("node").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("parts"), F.min(F.struct("first", "root")).alias("lead"))
-    of = of.where("parts > 1").select("node", "n", F.col("lead.first.sid").alias("lead"), F.col("lead.root").alias("lead_root"))
+    of = own.groupBy("node").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("parts"), F.min(F.struct("first", "root")).alias("lead"), F.max(F.struct("own", "root")).alias("main"))
+    of = of.where("parts > 1").select("node", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.own")).alias("beside"), F.col("lead.first.sid").alias("lead"), F.col("lead.root").alias("lead_root"))
     return named.join(of, "node")
 
 
@@ -121,70 +123,125 @@ def _led(live: DataFrame, sets: DataFrame, spec: Shingles, cut: int) -> DataFram
     return led.where(F.col("nth") <= LEADERS).select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
 
 
-def _compared(live: DataFrame, sets: DataFrame, spec: Shingles, cut: int) -> DataFrame:
-    """(a, b) of all pairs across components in a node that may be alike enough by size and sketch."""
+class _Lists:
+    """Lists of sets from an Arrow column: n + 1 offsets, and the fields of all their sets."""
 
-    def fields(column):
+    def __init__(self, column):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         flat = column.flatten()
-        sid, size, root = (flat.field(k).to_numpy() for k in range(3))
-        return np.concatenate(([0], np.cumsum(np.array(column.value_lengths())))), sid, size, root, _sketches(flat.field(3))
-
-    def alike(x, y, i, j):
-        """Pairs of numbers (i of x, j of y)."""
-        (_, sx, nx, rx, kx), (_, sy, ny, ry, ky) = x, y
-        ok = (rx[i] != ry[j]) & (100 * np.minimum(nx[i], ny[j]) >= spec.percent * np.maximum(nx[i], ny[j]))
-        i, j = i[ok], j[ok]
-        near = _agreements(kx[i], ky[j]) >= cut
-        return np.minimum(sx[i], sy[j])[near], np.maximum(sx[i], sy[j])[near]
-
-    def ranges(first, many):
-        """The numbers of all ranges of `many` from first on, one after another, and which range each is of."""
-        of = np.repeat(np.arange(len(many)), many)
-        return np.arange(len(of)) + (first - np.concatenate(([0], np.cumsum(many)[:-1])))[of], of
+        self.off = np.concatenate(([0], np.cumsum(np.array(column.value_lengths()))))
+        self.sid, self.size, self.root = (flat.field(k).to_numpy() for k in range(3))
+        self.sketch, self.z = _sketches(flat.field(3)), flat.field(4)
+
+
+def _alike(x: _Lists, y: _Lists, i: np.ndarray, j: np.ndarray, spec: Shingles, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i of x, j of y) across components that may be alike enough by size and sketch."""
+    ok = (x.root[i] != y.root[j]) & (100 * np.minimum(x.size[i], y.size[j]) >= spec.percent * np.maximum(x.size[i], y.size[j]))
+    i, j = i[ok], j[ok]
+    near = _agreements(x.sketch[i], y.sketch[j]) >= cut
+    return i[near], j[near]
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges of `many` from first on, one after another, and which range each is of."""
+    of = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(of)) + (first - np.concatenate(([0], np.cumsum(many)[:-1])))[of], of
+
+
+def _some(many: np.ndarray):
+    """Runs of rows that have about COMPARED pairs each."""
+    at = np.cumsum(many)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(at, np.arange(0, int(at[-1]) if len(at) else 0, COMPARED), "right"), [len(many)])))
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def _confirmed(x: _Lists, y: _Lists, i: np.ndarray, j: np.ndarray, spec: Shingles) -> list[tuple[int, int]]:
+    """Links among the pairs (i of x, j of y) of a tile, by the full sets, that unite components not yet united in it."""
+
+    def sets(lists, rows):
+        texts = decompressed(lists.z.take(pa.array(rows)))
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        row, h = [], []
+        for s, e in chunks(off):
+            r, g = spec.sets(np.frombuffer(b"".join(texts[s:e]), np.uint8), off[s : e + 1] - off[s])
+            row.append(r + s)
+            h.append(g)
+        return np.concatenate(h), np.searchsorted(np.concatenate(row), np.arange(len(texts) + 1))
+
+    left, right = np.unique(i), np.unique(j)
+    (hx, ax), (hy, ay) = sets(x, left), sets(y, right)
+    known, code = np.unique(np.concatenate((hx, hy)), return_inverse=True)
+    cx, cy, mark = code[: len(hx)], code[len(hx) :], np.zeros(len(known), np.int32)
+    up: dict[int, int] = {}
+
+    def top(r):
+        while up.get(r, r) != r:
+            r = up[r]
+        return r
+
+    out = []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    at = np.searchsorted(i, left)
+    for k, s, e in zip(range(len(left)), at, [*at[1:], len(i)], strict=True):
+        own = cx[ax[k] : ax[k + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[cy], ay[:-1])
+        mark[own] = 0
+        other = np.searchsorted(right, j[s:e])
+        share = both[other]
+        for m in np.flatnonzero(100 * share >= spec.percent * (len(own) + (ay[1:] - ay[:-1])[other] - share)).tolist():
+            a, b = top(int(x.root[left[k]])), top(int(y.root[j[s + m]]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(x.sid[left[k]]), int(y.sid[j[s + m]])))
+    return out
+
+
+def _compared(live: DataFrame, sets: DataFrame, texts: DataFrame, spec: Shingles, cut: int) -> DataFrame:
+    """(a, b): links across components in a node, enough of them to unite what any pair in it would. texts: (sk, z) of all sets in live."""
 
     def out(found):
-        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def parts(many):
-        """Numbers of rows, some pairs at a time."""
-        at = np.cumsum(many)
-        cuts = np.unique(np.concatenate(([0], np.searchsorted(at, np.arange(0, int(at[-1]) if len(at) else 0, COMPARED), "right"), [len(many)])))
-        return zip(cuts, cuts[1:], strict=False)
+        a, b = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def within(batches):
         for b in batches:
-            x = fields(b.column("sets"))
-            row = np.arange(x[0][-1])
-            later = np.repeat(x[0][1:], np.diff(x[0])) - row - 1
-            found = []
-            for s, e in parts(later):
-                j, of = ranges(row[s:e] + 1, later[s:e])
-                found.append(alike(x, x, row[s:e][of], j))
-            yield out(found)
+            x = _Lists(b.column("sets"))
+            row = np.arange(x.off[-1])
+            later = np.repeat(x.off[1:], np.diff(x.off)) - row - 1
+            pairs = []
+            for s, e in _some(later):
+                j, of = _ranges(row[s:e] + 1, later[s:e])
+                pairs.append(_alike(x, x, row[s:e][of], j, spec, cut))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            at = np.searchsorted(i, x.off)  # i rises, list by list
+            yield out([link for s, e in zip(at, at[1:], strict=False) if e > s for link in _confirmed(x, x, i[s:e], j[s:e], spec)])
 
     def between(batches):
         for b in batches:
             for k in range(len(b)):
-                x, y = fields(b.column("x").slice(k, 1)), fields(b.column("y").slice(k, 1))
-                row = np.arange(x[0][-1])
-                many = np.full(len(row), y[0][-1])
-                found = []
-                for s, e in parts(many):
-                    j, of = ranges(np.zeros(e - s, np.int64), many[s:e])
-                    found.append(alike(x, y, row[s:e][of], j))
-                yield out(found)
-
-    tile = F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("n") / SMALL))
-    rows = live.join(sets.select("sid", "size", "sketch"), "sid")
-    lists = rows.groupBy("node", tile.alias("tile")).agg(F.collect_list(F.struct("sid", "size", "root", "sketch")).alias("sets"), F.max("n").alias("n"))
-    own = lists.select("sets").mapInArrow(within, "a long, b long")
+                x, y = _Lists(b.column("x").slice(k, 1)), _Lists(b.column("y").slice(k, 1))
+                row = np.arange(x.off[-1])
+                many = np.full(len(row), y.off[-1])
+                pairs = []
+                for s, e in _some(many):
+                    j, of = _ranges(np.zeros(e - s, np.int64), many[s:e])
+                    pairs.append(_alike(x, y, row[s:e][of], j, spec, cut))
+                i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                yield out(_confirmed(x, y, i, j, spec) if len(i) else [])
+
+    # tiles of the largest component have numbers below zero: they aren't compared with each other
+    spread = lambda n: F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(n / SMALL))
+    tile = F.when(F.col("n") <= SMALL, 0).when(F.col("root") == F.col("main"), -1 - spread(F.col("n") - F.col("beside"))).otherwise(spread(F.col("beside")))
+    rows = live.join(sets.select("sid", "size", "sketch"), "sid").join(texts.select(F.col("sk").alias("sid"), "z"), "sid")
+    lists = rows.groupBy("node", tile.alias("tile")).agg(F.collect_list(F.struct("sid", "size", "root", "sketch", "z")).alias("sets"), F.max("n").alias("n"))
+    own = lists.where("tile >= 0").select("sets").mapInArrow(within, "a long, b long")
     large = lists.where(F.col("n") > SMALL)
     x, y = (large.select("node", F.col("tile").alias(f"t{s}"), F.col("sets").alias(s)) for s in "xy")
-    tiles = x.join(y, (x.node == y.node) & (x.tx < y.ty)).select("x", "y").mapInArrow(between, "a long, b long")
-    return own.unionByName(tiles).distinct()
+    tiles = x.where("tx >= 0").join(y, (x.node == y.node) & ((F.col("ty") < 0) | (F.col("tx") < F.col("ty")))).select("x", "y").mapInArrow(between, "a long, b long")
+    return own.unionByName(tiles)
 
 
 def _chosen(node: F.Column, which: int):
@@ -200,36 +257,39 @@ def _children(live: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _roots(sets: DataFrame, texts, spec: Shingles, miss: float, stage) -> DataFrame | None:
-    """(node, root): the sets that links reach and the smallest of them, by sid; None if there are no links. texts(pairs): (sk, z) of the sets in pairs."""
+    """(node, root): the sets that links reach and the smallest of them, by sid; None if there are no links. texts(sids): (sk, z) of these sets."""
     cut = agreeing(spec.percent, miss)
     tree = [F.xxhash64(F.lit(t), F.lit(b), F.get("least", F.lit(t * BRANCHES + b))) for t in range(trees(spec.percent, miss)) for b in range(BRANCHES)]
-    rows, edges, roots, tried = stage(sets.select("sid", F.explode(F.array(*tree)).alias("node")), "level"), None, None, None
+    rows, edges, roots = stage(sets.select("sid", F.explode(F.array(*tree)).alias("node")), "level"), None, None
     while True:
-        for step in (_led, _compared):
-            live = stage(_live(rows, roots), "live")
-            if live.isEmpty():
-                return roots
-            here = live
-            if step is _compared:
-                rows = None
-                large = live.where(F.col("n") > SMALL)
-                if not large.isEmpty():
-                    kids = stage(_children(large, sets), "kids")
-                    cost = kids.groupBy("above", "n", "node").count().groupBy("above", "n").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
-                    pays = stage(cost.where(2 * F.col("cost") <= F.col("n") * F.col("n")).select("above"), "pays")
-                    rows = kids.join(pays, "above", "left_semi").select("node", "sid")
-                    here = live.join(pays.withColumnRenamed("above", "node"), "node", "left_anti")
-            pairs = step(here, sets, spec, cut)
-            pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if not pairs.isEmpty():
-                new = stage(_verified(pairs, texts(pairs), spec), "links")
-                edges = new if edges is None else edges.unionByName(new)
-                roots = components(edges, stage)
+        live = stage(_live(rows, roots), "live")
+        if live.isEmpty():
+            return roots
+        pairs = stage(_led(live, sets, spec, cut), "pairs")
+        near = texts(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+        edges, roots = _united(edges, stage(_verified(pairs, near, spec), "links"), roots, stage)
+        live = stage(_live(live, roots), "live")
+        here, rows, large = live, None, F.col("beside") > SMALL
+        if not live.where(large).isEmpty():
+            kids = stage(_children(live.where(large), sets), "kids")
+            cost = kids.groupBy("above", "n", "node").count().groupBy("above", "n").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
+            pays = stage(cost.where(2 * F.col("cost") <= F.col("n") * F.col("n")).select("above"), "pays")
+            rows = kids.join(pays, "above", "left_semi").select("node", "sid")
+            here = live.join(pays.withColumnRenamed("above", "node"), "node", "left_anti")
+        links = stage(_compared(here, sets, texts(here.select("sid")), spec, cut), "links")
+        edges, roots = _united(edges, links, roots, stage)
         if rows is None or rows.isEmpty():
             return roots
 
 
+def _united(edges: DataFrame | None, links: DataFrame, roots: DataFrame | None, stage) -> tuple[DataFrame | None, DataFrame | None]:
+    """All edges so far with the new links, and the roots of what they join."""
+    if links.isEmpty():
+        return edges, roots
+    edges = links if edges is None else edges.unionByName(links)
+    return edges, components(edges, stage)
+
+
 def groups(docs: DataFrame, spec: Shingles = Shingles(), miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (whether it is the row's own) of each row of docs.
 
@@ -243,10 +303,9 @@ def groups(docs: DataFrame, spec: Shingles = Shingles(), miss: float = 1e-7) ->
         bytes_ = F.unhex(F.array_join(F.transform("least", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
         sets = stage(one.withColumns({"sid": F.monotonically_increasing_id(), "sketch": bytes_}), "sets")
 
-        def texts(pairs):
-            wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-            keys = sets.select("sid", *key).join(wanted, "sid", "left_semi")
-            return rows.select(*key, "z").join(keys, key).groupBy(F.col("sid").alias("sk")).agg(F.first("z").alias("z"))
+        def texts(sids):
+            keys = sets.select("sid", *key).join(sids.distinct(), "sid", "left_semi")
+            return stage(rows.select(*key, "z").join(keys, key).groupBy(F.col("sid").alias("sk")).agg(F.first("z").alias("z")), "texts")
 
         roots = _roots(sets, texts, spec, miss, stage)
         found = sets.select("sid", *key, "low")
