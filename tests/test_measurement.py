@@ -17,7 +17,8 @@ from tribunal.plans import banks, protocols, reports
 from tribunal.plans.banks import PROBES
 from tribunal.sources import http, labels
 from tribunal.sources.labels import BadRecord
-from tribunal.sources.ledger import Ledger, record, verify_chain
+from tribunal.operators.asof import as_of
+from tribunal.sources.ledger import Ledger, Taken, record, verify_chain
 from tribunal.streaming.verdicts import watch, windowed_counts
 
 
@@ -460,16 +461,98 @@ def test_http_judge():
 
 
 def test_stream(spark, tmp_path):
-    rows = [(f"2024-01-{1 + d:02d} 10:00:00", "j", "p", f"p-{d}-{k}", "A", "A" if d < 7 or k % 2 else "B") for d in range(22) for k in range(10)]
-    df = spark.createDataFrame(rows, "ts string, judge string, probe string, item_id string, bias_side string, raw string").withColumn("ts", F.to_timestamp("ts"))
-    df.unionByName(df.limit(30)).write.parquet(str(tmp_path / "in"))
-    seen = []
-    base = spark.createDataFrame([("p", 70, 35, False, False)], "probe string, n_valid long, events long, tripped boolean, inconclusive boolean")
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    watch(windowed_counts(stream), base, lambda x: seen.extend(x.collect()), str(tmp_path / "check")).awaitTermination(120)
-    batch = windowed_counts(df.unionByName(df.limit(30)))
-    assert batch.agg(F.sum("n_items")).first()[0] == 220
-    assert seen and any(r.alert for r in seen)
+    """Weeks of runs over the same item ids, rows delivered twice or a day late, and a query that is stopped and started again: stream, batch and DuckDB agree."""
+    schema = "ts string, judge string, run string, probe string, item_id string, bias_side string, raw string"
+    rows = []
+    for day in range(26):  # from a Thursday on, as windows are
+        for judge in ("j", "k"):
+            for probe in ("p", "q"):
+                for k in range(24):
+                    hit = (k % 2 == 0 or day >= 14) if (judge, probe) == ("j", "p") else k % 2 == 0
+                    if k % 7 == day % 7:  # each item once a week
+                        rows.append((f"2024-01-{4 + day:02d} 1{k % 10}:00:00", judge, f"week-{day // 7}", probe, f"{probe}-{k:03d}", "A", "A" if hit else "B" if k % 5 else "unclear"))
+    files = [[r for r in rows if int(r[0][8:10]) in days] for days in (range(4, 13), range(13, 20), range(20, 30))]
+    files[1] += files[0][-5:] + [r for r in files[1][:40]]  # twice, in the same file and in a later one
+    late = [r for r in files[1] if r[0][8:10] == "19"][:3]
+    files[1] = [r for r in files[1] if r not in late]
+    files[2] = late + files[2]
+    too_late = ("2024-01-02 10:00:00", "j", "week-0", "p", "p-900", "A", "A")
+    make = lambda some: spark.createDataFrame(some, schema).withColumn("ts", F.to_timestamp("ts"))
+    folder, check, seen = tmp_path / "in", str(tmp_path / "check"), []
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    sink = lambda results, drift, number: seen.append((number, results.collect(), drift.collect()))
+    for k, some in enumerate(files):
+        make(some + [too_late] * (k == 2)).coalesce(1).write.parquet(str(folder / str(k)))
+        stream = spark.readStream.schema(make(rows[:1]).schema).option("recursiveFileLookup", True).parquet(str(folder))
+        watch(windowed_counts(stream), sink, check, book, source="weekly").awaitTermination(180)
+        if k == 0:
+            assert book.baseline() is None
+    got = sorted(tuple(r[c] for c in ("start", "judge", "run", "probe", "n_items", "n_valid", "events")) for _, results, _ in seen for r in results)
+    batch = windowed_counts(make([r for f in files for r in f])).where("start < timestamp'2024-01-25'")
+    want = sorted(tuple(r[c] for c in ("start", "judge", "run", "probe", "n_items", "n_valid", "events")) for r in batch.collect())
+    assert got == want and len(want) == 12
+    import duckdb
+    import pandas as pd
+
+    table = pd.DataFrame([r for f in files for r in f], columns=schema.replace(" string", "").split(", "))  # noqa: F841
+    sql = duckdb.sql("""SELECT start, judge, run, probe, count(*), count(*) FILTER (raw <> 'unclear'), count(*) FILTER (raw = 'A') FROM (SELECT time_bucket(INTERVAL 7 DAY, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start,
+        judge, run, probe, item_id, arg_min(raw, ts) AS raw FROM "table" GROUP BY ALL) WHERE start < TIMESTAMP '2024-01-25' GROUP BY ALL ORDER BY ALL""").fetchall()
+    assert sql == want
+    alerts = {(d.start, d.judge, d.probe) for _, _, drift in seen for d in drift if d.alert}
+    assert alerts and all(a[1:] == ("j", "p") for a in alerts)
+    # each run of a window is a snapshot, once, in a whole chain
+    shots = book.snapshots().collect()
+    assert len(shots) == len({(r[0], r[1], r[2]) for r in want}) and book.verify() == [] and [r.id for r in shots] == list(range(1, len(shots) + 1))
+    number, results, _ = seen[-1]
+    again = spark.createDataFrame(results)
+    assert book.append_runs(again, "weekly", number) is False and book.snapshots().count() == len(shots)
+    # a batch that broke off before it was done is written anew
+    folder_of = next(p for p in (tmp_path / "ledger" / "snapshots").iterdir() if p.name.endswith(f"-{number:012d}"))
+    (folder_of / "_SUCCESS").unlink()
+    assert book.append_runs(again, "weekly", number) is True and book.snapshots().count() == len(shots) and book.verify() == []
+
+
+def test_batches_of_one_week(spark):
+    """The same items in three weeks count in each of them."""
+    rows = [(f"2024-01-{1 + 7 * w + 3:02d} 10:00:00", "j", f"r{w}", "verbosity", f"verbosity-{k:03d}", "A", "A") for w in range(3) for k in range(30)]
+    df = spark.createDataFrame(rows, "ts string, judge string, run string, probe string, item_id string, bias_side string, raw string").withColumn("ts", F.to_timestamp("ts"))
+    assert [r.n_items for r in windowed_counts(df).collect()] == [30, 30, 30]
+
+
+def test_as_of(spark):
+    rng = random.Random(40)
+    log = [(rng.choice("abc"), rng.randrange(200), rng.choice([None, rng.randrange(50)]), k) for k in range(300)]
+    rows = [(rng.choice("abcd"), rng.randrange(-5, 210), k) for k in range(400)] + [(None, 5, 900), ("a", None, 901)]
+    got = as_of(spark.createDataFrame(rows, "key string, at long, id long"), spark.createDataFrame([(*x, k) for x, k in zip([r[:3] for r in log], [r[3] for r in log], strict=True)] + [(None, 4, 7, 999)], "key string, at long, v long, nth long"), ["key"], "at", "v", lambda t: F.floor(t / 10), "nth")
+    assert got.columns == ["key", "at", "id", "v"]
+
+    def brute(key, at):
+        found = [(a, n, v) for k, a, v, n in [*log, (None, 4, 7, 999)] if k == key and v is not None and at is not None and a <= at]
+        return max(found)[2] if found else None
+
+    assert {r.id: r.v for r in got.collect()} == {i: brute(k, a) for k, a, i in rows}
+
+
+def test_baselines_as_of(spark, tmp_path):
+    """Each snapshot against what was pinned for its judge by then; without a pin, against the judge's first."""
+    book = Ledger(spark, str(tmp_path))
+    results = lambda events: spark.createDataFrame([("halo", 30, 30, 0, events, events / 30, 0.5, events >= 20, False, 0.0)], "probe string, n_items long, n_valid long, n_invalid long, events long, rate double, p_value double, tripped boolean, inconclusive boolean, invalid_rate double")
+    add = lambda ts, judge, events, sha="x": book.append(results(events), ts=ts, judge=judge, protocol_sha256=sha, seed=0, grade="PASS", n=30)
+    for ts, judge, events in (("2024-01-01", "j", 15), ("2024-01-02", "k", 29), ("2024-01-08", "j", 29), ("2024-01-09", "k", 29)):
+        add(ts, judge, events)
+    book.pin(3, ts="2024-01-10", reason="after the release")
+    add("2024-01-15", "j", 29)
+    add("2024-01-16", "k", 5)
+    add("2024-01-17", "j", 29, "y")
+    got = {r.id: r.baseline_id for r in book.baselines_of().collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 2, 7: 3}
+    drift_of = {r.id: (r.baseline_id, r.alert) for r in book.history().collect()}
+    assert drift_of == {3: (1, True), 4: (2, False), 5: (3, False), 6: (2, True)}  # 7 has another protocol
+    with pytest.raises(Taken):
+        stale = Ledger(spark, str(tmp_path))
+        stale._read = lambda name, schema: book._read(name, schema).where("id < 7")  # a writer that read before the last append
+        stale.append(results(3), ts="2024-01-18", judge="j", protocol_sha256="x", seed=0, grade="PASS")
+    assert book.verify() == []
 
 
 def test_commands(spark, tmp_path, capsys):

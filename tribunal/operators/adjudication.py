@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_two_sided, kappa, rate
 from ..functions.verdicts import CATEGORIES
-from .calibration import matched, metrics, confusion, refuse_duplicates, refuse_own_labels, resolved
+from .calibration import by_judge, confusion, matched, metrics, refuse_duplicates, refuse_own_labels, resolved
 
 SCREEN_ALPHA, SCREEN_MIN_N = 0.05, 5
 ITEM = ["probe", "item_id"]
@@ -96,7 +96,10 @@ def calibrate_gold(labels: DataFrame, verdicts: DataFrame, judge_id: str | None
 
 
 def coverage(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """n_items and n_unresolved of items with a verdict, and n_unmatched: votes on items without."""
-    both = gold_labels(labels).join(verdicts.select(*ITEM, "verdict").distinct(), ITEM, "left")
-    has = F.col("verdict").isNotNull()
-    return both.agg(F.count_if(has).alias("n_items"), F.count_if(has & F.col("unresolved")).alias("n_unresolved"), F.coalesce(F.sum(F.when(~has, F.col("n_labelers"))), F.lit(0)).alias("n_unmatched"))
+    """For each judge in verdicts, in all (probe null) and by probe: n_items and n_unresolved of items it has a verdict on, and n_unmatched: votes on items without."""
+    gold = gold_labels(labels)
+    total = gold.groupBy("probe").agg(F.sum("n_labelers").alias("n"))
+    both = gold.join(verdicts.select("judge", *ITEM).distinct(), ITEM).groupBy("judge", "probe")
+    sums = {"n_items": F.count(F.lit(1)), "n_unresolved": F.count_if("unresolved"), "votes": F.sum("n_labelers")}
+    found = by_judge(both.agg(*[v.alias(k) for k, v in sums.items()]), total, verdicts, list(sums))
+    return found.select("judge", "probe", "n_items", "n_unresolved", (F.col("n") - F.col("votes")).alias("n_unmatched"))

@@ -81,5 +81,20 @@ def calibrate(labels: DataFrame, verdicts: DataFrame, judge_id: str | None = Non
 
 
 def unmatched(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """n_labels and n_unmatched."""
-    return matched(labels, verdicts).agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(F.col("verdict").isNull()).alias("n_unmatched"))
+    """n_labels and n_unmatched (labels of items that the judge has no verdict on) of each judge in verdicts, in all (probe null) and by probe.
+
+    Only what matches is joined: what doesn't is all labels less that, so labels aren't repeated for each judge.
+    """
+    total = labels.groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+    found = labels.join(verdicts.select("judge", "probe", "item_id"), ["probe", "item_id"]).groupBy("judge", "probe").agg(F.count(F.lit(1)).alias("found"))
+    return by_judge(found, total, verdicts, ["found"]).select("judge", "probe", F.col("n").alias("n_labels"), (F.col("n") - F.col("found")).alias("n_unmatched"))
+
+
+def by_judge(found: DataFrame, total: DataFrame, verdicts: DataFrame, sums: list[str]) -> DataFrame:
+    """n (of total, by probe) and the sums of found (by judge and probe; 0 where there is none) for each judge in verdicts, in all (probe null) and by probe of total."""
+    probes = total.agg(F.collect_list(F.struct("probe", "n")).alias("probes"))  # a battery's probes are few
+    judges = verdicts.select("judge").distinct().withColumn("all", F.coalesce(probes.scalar(), F.array().cast("array<struct<probe: string, n: bigint>>")))
+    each = judges.select("judge", F.explode_outer("all").alias("p")).select("judge", "p.probe", F.coalesce("p.n", F.lit(0)).alias("n"))
+    each = each.join(found, ["judge", "probe"], "left").na.fill(0, sums)
+    sets = each.groupingSets([[F.col("judge"), F.col("probe")], [F.col("judge")]], "judge", "probe").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], F.grouping("probe").alias("whole"))
+    return sets.where("whole = 1 OR probe IS NOT NULL").drop("whole")

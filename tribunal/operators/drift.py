@@ -20,14 +20,16 @@ def holm(tests: DataFrame, by: list[str], p: str = "fisher_p", order: str = "pro
     return out.drop("__rank", "__tests")
 
 
-def compare(a: DataFrame, b: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
+def compare(a: DataFrame, b: DataFrame, by: list[str], alpha: float = ALPHA, on: list[str] = ()) -> DataFrame:
     """Probe rows a (probe, n_valid, events, tripped, inconclusive) against the target's rows b, for each comparison (the columns `by` of b).
 
-    status is compared, inconclusive-involved, or absent-in-b; a probe only in b isn't compared. Inconclusive probes still count among the tests.
+    on: the columns among `by` that a has, too, where comparisons have baselines of their own. status is compared, inconclusive-involved, or absent-in-b; a
+    probe only in b isn't compared. Inconclusive probes still count among the tests.
     """
-    x = a.select("probe", *[F.col(c).alias(f"{c}_a") for c in ("n_valid", "events", "tripped", "inconclusive")])
+    on = list(on)
+    x = a.select(*on, "probe", *[F.col(c).alias(f"{c}_a") for c in ("n_valid", "events", "tripped", "inconclusive")])
     y = b.select(*by, "probe", *[F.col(c).alias(f"{c}_b") for c in ("n_valid", "events", "tripped", "inconclusive")])
-    found = y.join(x, "probe")
+    found = y.join(x, [*on, "probe"])
     cells = [F.col("events_a"), F.col("n_valid_a") - F.col("events_a"), F.col("events_b"), F.col("n_valid_b") - F.col("events_b")]
     found = holm(found.withColumns({"rate_a": rate("events_a", "n_valid_a"), "rate_b": rate("events_b", "n_valid_b"), "fisher_p": fisher_exact(*cells)}), by, alpha=alpha)
     found = found.withColumn("delta", F.col("rate_b") - F.col("rate_a"))
@@ -41,8 +43,12 @@ def compare(a: DataFrame, b: DataFrame, by: list[str], alpha: float = ALPHA) ->
         "watch": watch, "watch_reason": F.when(watch, F.when(F.col("holm_significant"), "sub-gate shift").otherwise("near-bar shift")).otherwise(""),
     })
     shown = ["rate_a", "rate_b", "delta", "fisher_p", "holm_significant", "trip_flip", "alert", "alert_reason", "watch", "watch_reason", "status"]
-    names = x.agg(F.collect_set("probe")).scalar()  # probes of a battery are few
-    absent = y.groupBy(*by).agg(F.collect_set("probe").alias("seen")).select(*by, F.explode(F.array_except(names, "seen")).alias("probe"))
+    seen = y.groupBy(*by).agg(F.collect_set("probe").alias("seen"))  # probes of a battery are few
+    if on:
+        seen = seen.join(x.groupBy(*on).agg(F.collect_set("probe").alias("names")), on)
+    else:
+        seen = seen.withColumn("names", x.agg(F.collect_set("probe")).scalar())
+    absent = seen.select(*by, F.explode(F.array_except("names", "seen")).alias("probe"))
     gone = absent.select(*by, "probe", *[
         F.lit(None).cast("double").alias(c) if c in shown[:4] else F.lit("absent-in-b" if c == "status" else "").alias(c) if c in ("status", "alert_reason", "watch_reason") else F.lit(False).alias(c) for c in shown
     ])

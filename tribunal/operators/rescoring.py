@@ -40,12 +40,25 @@ def refuse_gaps(sealed: DataFrame, verdicts: DataFrame, key: str = "rescore_id")
 
 
 def self_consistency(second: DataFrame, first: DataFrame) -> DataFrame:
-    """n, n_same, consistency and its interval by probe, and over all (probe null).
+    """n, n_same, consistency and its interval of each judge, by probe and over all (probe null); without the judge where neither table has it.
 
-    second: probe, item_id, swapped, verdict; first: probe, item_id, verdict. Invalid second verdicts are left out; an invalid first one never agrees.
+    second: judge, probe, item_id, swapped, verdict; first: judge, probe, item_id, verdict. Invalid second verdicts are left out; an invalid first one never
+    agrees. Second verdicts must be on items that the judge had before (refuse_unscored).
     """
-    both = second.where("verdict <> 'INVALID'").join(first.select("probe", "item_id", F.col("verdict").alias("before")), ["probe", "item_id"])
+    judge = [c for c in ("judge",) if c in second.columns]
+    if judge != [c for c in ("judge",) if c in first.columns]:
+        raise Refused("both tables need a judge, or none")
+    both = second.where("verdict <> 'INVALID'").join(first.select(*judge, "probe", "item_id", F.col("verdict").alias("before")), [*judge, "probe", "item_id"])
     both = both.withColumn("same", unswap("verdict", "swapped") == F.col("before"))
-    out = both.rollup("probe").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"))
+    sets = [[F.col(c) for c in (*judge, "probe")], [F.col(c) for c in judge]]
+    out = both.groupingSets(sets, *judge, "probe").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"))
     low, high = clopper_pearson("n_same", "n")
     return out.withColumns({"consistency": rate("n_same", "n"), "low": low, "high": high})
+
+
+def refuse_unscored(second: DataFrame, first: DataFrame) -> DataFrame:
+    """Each second verdict must have one before it: of the same judge, on the same item."""
+    key = [c for c in ("judge", "probe", "item_id") if c in second.columns]
+    if (bad := second.join(first, key, "left_anti").select(*key).orderBy(*key).first()) is not None:
+        raise Refused(f"no verdict before the second one on {'/'.join(map(str, bad))}")
+    return second

@@ -40,6 +40,22 @@ VERDICTS = """SELECT 'steady' AS judge, lang AS probe, concat(lang, '-', CAST(do
 #: The same as a judge leaves them who skips every seventh item, for what counts missing verdicts.
 VERDICTS_WITH_GAPS = f"SELECT * FROM ({VERDICTS}) g WHERE item_no % 7 <> 0"
 
+#: Verdicts of three judges on the documents; each leaves out others, and one of them a whole language.
+JUDGES = """SELECT * FROM (SELECT judge, lang AS probe, concat(lang, '-', CAST(doc_id AS STRING)) AS item_id, doc_id AS item_no, CASE WHEN judge = 'vague' AND doc_id % 3 = 0 THEN 'INVALID'
+    WHEN doc_id % 13 = 0 THEN 'TIE' WHEN (doc_id + length(judge)) % 4 = 0 THEN 'B' ELSE 'A' END AS verdict FROM (SELECT *, {judges} AS judge FROM {documents}) d) v
+    WHERE NOT (judge = 'steady' AND item_no % 7 = 0) AND NOT (judge = 'vague' AND item_no % 5 < 2) AND NOT (judge = 'fair' AND probe = 'fr')"""
+#: Their second verdicts on part of that: swapped for every second, and changed for some.
+JUDGES_AGAIN = f"""SELECT judge, probe, item_id, item_no % 2 = 0 AS swapped, CASE WHEN verdict IN ('A', 'B') AND ((item_no % 2 = 0) <> ((item_no + length(judge)) % 8 = 0)) THEN CASE verdict WHEN 'A' THEN 'B' ELSE 'A' END
+    ELSE verdict END AS verdict FROM ({JUDGES}) j WHERE item_no % 4 <> 1"""
+
+#: Verdicts that come as a stream: users are the items, and each type of event is a judge, whose run goes over a week; most items are judged more than once.
+STREAM = """SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS judge, concat('week-', CAST(CAST(floor({days} / 7) AS BIGINT) AS STRING)) AS run, concat('probe-', CAST(user_id % 3 AS STRING)) AS probe, concat('item-', CAST(user_id AS STRING)) AS item_id,
+    CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS bias_side, CASE WHEN event_id % 11 = 0 THEN 'unclear' WHEN value >= 50 THEN 'Answer A' ELSE 'I choose B.' END AS raw FROM {events}"""
+
+#: Snapshots of twenty judges, and the log of what was pinned for them: some clicks.
+SHOTS = """SELECT event_id AS id, concat('judge-', CAST(user_id % 20 AS STRING)) AS judge, ts FROM {events} WHERE event_type <> 'click'"""
+PINS = """SELECT event_id AS seq, concat('judge-', CAST(user_id % 20 AS STRING)) AS judge, ts, event_id AS baseline_id FROM {events} WHERE event_type = 'click' AND user_id % 20 < 17"""
+
 #: A recorded session: prompts under numbers of its own, and the replies to these.
 PROMPTS = f"""SELECT concat('rec-', CAST(item_no * 3 + 1 AS STRING)) AS id, probe, 'You compare answers.' AS system, concat('Item ', item_id, ': ', question) AS user FROM ({ITEMS}) p"""
 REPLIES = f"""SELECT concat('rec-', CAST(item_no * 3 + 1 AS STRING)) AS id, raw AS verdict FROM ({RAW}) r WHERE judge = 'steady'"""
@@ -70,9 +86,10 @@ def _filled(query: str, values: dict[str, str]) -> str:
     return query
 
 
-def derived(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, query: str, **given: DataFrame) -> DataFrame:
+    """given: tables in place of those of the folder."""
     names = [t for t in ("documents", "labels", "events") if "{" + t + "}" in query]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+    tables = {t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
     return spark.sql(_filled(query, _SPARK), **tables)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,9 @@ from ..functions.verdicts import is_event, parse_verdict, probe_of, unswap
 from ..operators import adjudication, battery, calibration, drift, judges, probes, rescoring
 from ..sources import labels as label_files
 from ..sources import ledger
-from .derived import BANK, DAYS, ITEMS, LABEL_LINES, LABELS, PROMPTS, RAW, REPLIES, RESCORES, VERDICTS, VERDICTS_WITH_GAPS, WEEKS, derived, duckdb_sql
+from ..sources.ledger import baselines_as_of as as_pinned
+from ..streaming.verdicts import windowed_counts
+from .derived import BANK, DAYS, ITEMS, JUDGES, JUDGES_AGAIN, LABEL_LINES, LABELS, PINS, PROMPTS, RAW, REPLIES, RESCORES, SHOTS, STREAM, VERDICTS, VERDICTS_WITH_GAPS, WEEKS, derived, duckdb_sql
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -95,7 +100,8 @@ def clopper_pearson(spark, sf):
 
 
 def unmatched_labels(spark, sf):
-    return calibration.unmatched(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS))
+    """Of the one judge there."""
+    return calibration.unmatched(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS)).where("probe IS NULL").select("n_labels", "n_unmatched")
 
 
 def probe_inference(spark, sf):
@@ -154,11 +160,27 @@ def calibrate_multi(spark, sf):
 
 
 def label_coverage(spark, sf):
-    return adjudication.coverage(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS))
+    """Of the one judge there."""
+    return adjudication.coverage(_labels(spark, sf), derived(spark, sf, VERDICTS_WITH_GAPS)).where("probe IS NULL").select("n_items", "n_unresolved", "n_unmatched")
+
+
+def judge_coverage(spark, sf):
+    """Three judges of different gaps: labels without a verdict, and items with one, for each judge by language and in all."""
+    labels, verdicts = _labels(spark, sf), derived(spark, sf, JUDGES)
+    left = calibration.unmatched(labels, verdicts)
+    items = adjudication.coverage(labels, verdicts).withColumnRenamed("n_unmatched", "n_votes_unmatched")
+    same = left.judge.eqNullSafe(items.judge) & left.probe.eqNullSafe(items.probe)
+    return left.join(items, same).select(left.judge, left.probe, "n_labels", "n_unmatched", "n_items", "n_unresolved", "n_votes_unmatched")
+
+
+def judge_consistency(spark, sf):
+    """How often each of three judges agrees with itself."""
+    first = derived(spark, sf, JUDGES)
+    return rounded(rescoring.self_consistency(rescoring.refuse_unscored(derived(spark, sf, JUDGES_AGAIN), first), first), "consistency", "low", "high", digits=7)
 
 
 def self_consistency(spark, sf):
-    out = rescoring.self_consistency(derived(spark, sf, RESCORES), derived(spark, sf, VERDICTS))
+    out = rescoring.self_consistency(derived(spark, sf, RESCORES), derived(spark, sf, VERDICTS).drop("judge"))
     return rounded(out, "consistency", "low", "high", digits=7)
 
 
@@ -226,6 +248,24 @@ def snapshots_since(spark, sf):
     return days.select("id", "ts").withColumns({"is_baseline": F.col("id") == ends.select("baseline").scalar(), "is_target": F.col("id") == ends.select("target").scalar()})
 
 
+def stream_weeks(spark, sf):
+    """Events read as a stream of verdicts, counted by run, probe and week: the weeks that closed, a day after their end, with the test of each count."""
+    events = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{events[:-1]}[t]")  # a pattern, since a stream takes no single file
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/weeks-{uuid.uuid4().hex}"
+    counts = windowed_counts(derived(spark, sf, STREAM, events=stream))
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/weeks/batch={number}")
+    counts.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(f"{path}/weeks").drop("batch")
+    return rounded(battery.probe_results(found.withColumn("start", F.date_format("start", "yyyy-MM-dd"))), "rate", "p_value", "invalid_rate")
+
+
+def baselines_as_of(spark, sf):
+    """Each snapshot of twenty judges with the baseline that was pinned for its judge by then, else the judge's first snapshot."""
+    shots = derived(spark, sf, SHOTS)
+    return as_pinned(shots, derived(spark, sf, PINS), shots)
+
+
 def baseline_current(spark, sf):
     """A log in which every event of type click pins its user's hour; the last entry per user holds."""
     log = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'")
@@ -246,7 +286,7 @@ QUERIES = {f.__name__: f for f in (
     battery_trip, parse_verdict_mix, judge_grade, invalid_gate, binomial_tails, two_sided_trip, mock_judges, confusion_3x3, tpr_tnr, cohen_kappa, clopper_pearson,
     unmatched_labels, probe_inference, label_validation, generated_items, own_and_duplicate_labels, adjudicate_gold, fleiss_kappa, pairwise_cohen, labeler_vs_gold, position_screen, calibrate_multi,
     label_coverage, self_consistency, unswapped_verdicts, replay_join, weekly_snapshots, fisher_weeks, holm_reject, drift_alerts, drift_summary, chain_verify,
-    snapshots_since, baseline_current, blinded_set,
+    snapshots_since, baseline_current, blinded_set, judge_coverage, judge_consistency, stream_weeks, baselines_as_of,
 )}
 
 # --- the same for DuckDB
@@ -406,6 +446,24 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "chain_verify": _CHAIN,
     "snapshots_since": f"WITH d AS ({DAYS}), t AS (SELECT CAST(id AS INT) AS id, '2024-01-' || lpad(CAST(id + 1 AS VARCHAR), 2, '0') AS ts FROM d) SELECT *, id = min(id) OVER () AS is_baseline, id = max(id) OVER () AS is_target FROM t WHERE ts >= '2024-01-15'",
     "baseline_current": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS baseline, count(*) AS n_pins FROM events WHERE event_type = 'click' GROUP BY user_id",
+    "judge_coverage": f"""WITH l AS ({LABELS}), v AS ({JUDGES}), {_GOLD}, j AS (SELECT DISTINCT judge FROM v),
+        x AS (SELECT judge, probe, count(*) AS n_labels, count(*) FILTER (v.item_id IS NULL) AS n_unmatched FROM j CROSS JOIN l LEFT JOIN v USING (judge, probe, item_id) GROUP BY GROUPING SETS ((judge, probe), (judge))),
+        y AS (SELECT judge, probe, count(v.item_id) AS n_items, count(*) FILTER (v.item_id IS NOT NULL AND unresolved) AS n_unresolved, CAST(coalesce(sum(n_labelers) FILTER (v.item_id IS NULL), 0) AS BIGINT) AS n_votes_unmatched
+            FROM j CROSS JOIN gold LEFT JOIN v USING (judge, probe, item_id) GROUP BY GROUPING SETS ((judge, probe), (judge)))
+        SELECT x.judge, x.probe, n_labels, n_unmatched, n_items, n_unresolved, n_votes_unmatched FROM x JOIN y ON x.judge = y.judge AND x.probe IS NOT DISTINCT FROM y.probe""",
+    "judge_consistency": f"""WITH r AS ({JUDGES_AGAIN}), v AS ({JUDGES}), b AS (SELECT judge, probe, CASE WHEN swapped AND r.verdict IN ('A', 'B') THEN translate(r.verdict, 'AB', 'BA') ELSE r.verdict END = v.verdict AS same
+            FROM r JOIN v USING (judge, probe, item_id) WHERE r.verdict <> 'INVALID'),
+        q AS (SELECT judge, probe, concat(judge, ':', coalesce(probe, '')) AS key, count(*) AS n0, count(*) FILTER (same) AS n_same FROM b GROUP BY GROUPING SETS ((judge, probe), (judge)))
+        SELECT judge, probe, n0 AS n, n_same, round(n_same / n0, 7) AS consistency, round(x.p, 7) AS low, round(y.p, 7) AS high FROM q
+        JOIN {_bisect('q', 'key', 'n_same', 'n0', False)} x USING (key) JOIN {_bisect('q', 'key', 'n_same', 'n0', True)} y USING (key)""",
+    "stream_weeks": f"""WITH s AS ({STREAM}), w AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start FROM s),
+        i AS (SELECT start, judge, run, probe, item_id, arg_min(raw, (ts, raw)) AS raw, any_value(bias_side) AS bias_side FROM w WHERE start + INTERVAL 8 DAY <= (SELECT max(ts) FROM w) GROUP BY ALL),
+        c AS (SELECT start, judge, run, probe, count(*) AS n_items, count(*) FILTER (raw <> 'unclear') AS n_valid, count(*) FILTER (right(trim(raw, '.'), 1) = bias_side AND raw <> 'unclear') AS events FROM i GROUP BY ALL),
+        t AS (SELECT *, (n_items - n_valid) / n_items AS invalid_rate, CASE WHEN n_valid > 0 THEN events / n_valid ELSE 0.0 END AS rate, CASE WHEN n_valid < 20 THEN 1.0 ELSE {_sf('events', 'n_valid')} END AS p FROM c)
+        SELECT strftime(start, '%Y-%m-%d') AS start, judge, run, probe, n_items, n_valid, events, round(invalid_rate, 9) AS invalid_rate, round(rate, 9) AS rate, round(p, 9) AS p_value,
+        n_valid >= 20 AND p < 0.05 AND invalid_rate <= 0.25 AS tripped, n_valid < 20 OR invalid_rate > 0.25 AS inconclusive FROM t""",
+    "baselines_as_of": f"""WITH s AS ({SHOTS}), p AS (SELECT judge, ts, max(baseline_id) AS baseline_id FROM ({PINS}) GROUP BY ALL), f AS (SELECT judge, min(id) AS first_id FROM s GROUP BY 1)
+        SELECT s.id, s.judge, s.ts, coalesce(p.baseline_id, f.first_id) AS baseline_id FROM s ASOF LEFT JOIN p ON s.judge = p.judge AND s.ts >= p.ts JOIN f ON f.judge = s.judge""",
     "blinded_set": f"""SELECT probe, count(*) AS n, count(DISTINCT item_id) AS n_items, CAST(sum(length(answer_a) + length(answer_b)) AS BIGINT) AS chars, max(sha256(answer_a || answer_b)) AS last_answers,
         CAST(0 AS BIGINT) AS gaps FROM ({ITEMS}) GROUP BY probe""",
 }.items()}

@@ -58,10 +58,11 @@ def _raters(labels: DataFrame) -> list[str]:
 def calibrated(labels: DataFrame, verdicts: DataFrame, judge_id: str, protocol_sha256: str | None = None) -> dict:
     """What a report holds of a calibration: who labelled, how many labels there were, and the metrics by probe."""
     per_probe = _per_probe(calibration.calibrate(labels, verdicts, judge_id))
-    counts = calibration.unmatched(calibration.resolved(labels), verdicts).first()
+    n_labels = labels.count()
+    counts = calibration.unmatched(calibration.resolved(labels), verdicts).where("probe IS NULL").first()  # a report is of one judge
     return {
         "protocol_sha256": protocol_sha256, "labeler_id": ",".join(_raters(labels)), "label_schema_version": SCHEMA, "tie_rule": TIES,
-        "n_labels": counts.n_labels, "n_unmatched": counts.n_unmatched, "per_probe": per_probe,
+        "n_labels": n_labels, "n_unmatched": counts.n_unmatched if counts else n_labels, "per_probe": per_probe,
     }
 
 
@@ -69,11 +70,13 @@ def calibrated_by_several(labels: DataFrame, verdicts: DataFrame, judge_id: str,
     """The same against the gold labels, with how well raters agree, and the screen in the order of its review. Items' gold labels stay a table (gold_labels)."""
     per_probe = _per_probe(adjudication.calibrate_gold(labels, verdicts, judge_id))
     own = calibration.resolved(labels)
-    fleiss, covered = adjudication.fleiss_kappa(own).first(), adjudication.coverage(own, verdicts).first()
+    fleiss, n_labels = adjudication.fleiss_kappa(own).first(), labels.count()
+    covered = adjudication.coverage(own, verdicts).where("probe IS NULL").first()
+    n_unmatched, n_items, n_unresolved = (covered.n_unmatched, covered.n_items, covered.n_unresolved) if covered else (n_labels, 0, 0)
     by = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.orderBy(key).collect()}
     return {
         "protocol_sha256": protocol_sha256, "labeler_ids": _raters(labels), "label_schema_version": SCHEMA, "tie_rule": TIES, "adjudication_rule": ADJUDICATION,
-        "n_labels": labels.count(), "n_unmatched": covered.n_unmatched, "n_items": covered.n_items, "n_unresolved": covered.n_unresolved, "per_probe": per_probe,
+        "n_labels": n_labels, "n_unmatched": n_unmatched, "n_items": n_items, "n_unresolved": n_unresolved, "per_probe": per_probe,
         "inter_rater": {"fleiss_kappa": fleiss.kappa, "fleiss_n_items": fleiss.n_items, "pairwise": by(adjudication.pairwise_cohen(own), "pair")},
         "labeler_vs_gold": by(adjudication.labeler_vs_gold(own, adjudication.gold_labels(own)), "labeler_id"), "position_flags": [r.asDict() for r in adjudication.position_screen(own).collect()],
     }

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
+from ..functions.timestamps import is_timestamp
 from ..functions.verdicts import CATEGORIES, stripped
 
 
@@ -30,20 +27,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", (F.col("__before") + F.col("__own")).alias("line_no"), "value").where(stripped(F.col("value")) != "")
 
 
-@F.pandas_udf(BooleanType())
-def _is_timestamp(x: pd.Series) -> pd.Series:
-    """ISO 8601 as datetime.fromisoformat takes it; engines differ in what they accept."""
-
-    def ok(t) -> bool:
-        try:
-            datetime.fromisoformat(t.replace("Z", "+00:00"))
-        except (ValueError, AttributeError):
-            return False
-        return True
-
-    return x.map(ok)
-
-
 def checked_labels(lines: DataFrame) -> DataFrame:
     """line_no, the label fields, and error: the first field that is wrong, or null.
 
@@ -61,7 +44,7 @@ def checked_labels(lines: DataFrame) -> DataFrame:
         .when(~filled("item_id"), "item_id")
         .when(~F.coalesce(F.col("label").isin(*CATEGORIES), F.lit(False)), "label")
         .when(~filled("labeler_id"), "labeler_id")
-        .when(~F.coalesce(_is_timestamp("timestamp"), F.lit(False)), "timestamp")
+        .when(~is_timestamp(F.col("timestamp")), "timestamp")
         .when(there("probe") & ~filled("probe"), "probe")
         .when(~F.coalesce(F.col("confidence").between(1, 3), F.lit(False)), "confidence")
     )
