@@ -132,7 +132,7 @@ class _Lists:
         flat = column.flatten()
         self.off = np.concatenate(([0], np.cumsum(np.array(column.value_lengths()))))
         self.sid, self.size, self.root = (flat.field(k).to_numpy() for k in range(3))
-        self.sketch, self.z = _sketches(flat.field(3)), flat.field(4)
+        self.sketch, self.z = _sketches(flat.field(3)), flat.field(4) if flat.type.num_fields > 4 else None
 
 
 def _alike(x: _Lists, y: _Lists, i: np.ndarray, j: np.ndarray, spec: Shingles, cut: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,49 +199,79 @@ def _confirmed(x: _Lists, y: _Lists, i: np.ndarray, j: np.ndarray, spec: Shingle
     return out
 
 
-def _compared(live: DataFrame, sets: DataFrame, texts: DataFrame, spec: Shingles, cut: int) -> DataFrame:
-    """(a, b): links across components in a node, enough of them to unite what any pair in it would. texts: (sk, z) of all sets in live."""
+def _within(x: _Lists, spec: Shingles, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that may be alike within the lists of x; i rises."""
+    row, pairs = np.arange(x.off[-1]), [(np.zeros(0, np.int64),) * 2]
+    later = np.repeat(x.off[1:], np.diff(x.off)) - row - 1
+    for s, e in _some(later):
+        j, of = _ranges(row[s:e] + 1, later[s:e])
+        pairs.append(_alike(x, x, row[s:e][of], j, spec, cut))
+    return tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
 
-    def out(found):
-        a, b = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+def _between(x: _Lists, y: _Lists, spec: Shingles, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of x with y."""
+    row, pairs = np.arange(x.off[-1]), [(np.zeros(0, np.int64),) * 2]
+    many = np.full(len(row), y.off[-1])
+    for s, e in _some(many):
+        j, of = _ranges(np.zeros(e - s, np.int64), many[s:e])
+        pairs.append(_alike(x, y, row[s:e][of], j, spec, cut))
+    return tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
+
+
+def _compared(live: DataFrame, sets: DataFrame, texts, spec: Shingles, cut: int, stage) -> DataFrame:
+    """(a, b): links across components in a node, enough of them to unite what any pair in it would.
+
+    Sketches say which sets of a tile may have a partner there; only these get their texts (texts(sids): (sk, z)), and are confirmed tile by tile.
+    """
+    names = ["node", "tx", "ty", "first", "sid", "root"]
+
+    def rows(node, tx, ty, parts):
+        """parts: (first, lists, numbers of rows)."""
+        some = [(np.full(len(n), f), x.sid[n], x.root[n]) for f, x, n in parts]
+        first, sid, root = (np.concatenate(c) for c in zip(*some, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(v, len(sid))) for v in (node, tx, ty, first, sid, root)], names)
 
     def within(batches):
         for b in batches:
             x = _Lists(b.column("sets"))
-            row = np.arange(x.off[-1])
-            later = np.repeat(x.off[1:], np.diff(x.off)) - row - 1
-            pairs = []
-            for s, e in _some(later):
-                j, of = _ranges(row[s:e] + 1, later[s:e])
-                pairs.append(_alike(x, x, row[s:e][of], j, spec, cut))
-            i, j = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-            at = np.searchsorted(i, x.off)  # i rises, list by list
-            yield out([link for s, e in zip(at, at[1:], strict=False) if e > s for link in _confirmed(x, x, i[s:e], j[s:e], spec)])
+            some = np.unique(np.concatenate(_within(x, spec, cut)))
+            of = np.searchsorted(x.off, some, "right") - 1
+            yield rows(b.column("node").to_numpy()[of], b.column("tile").to_numpy()[of], b.column("tile").to_numpy()[of], [(True, x, some)])
 
     def between(batches):
         for b in batches:
             for k in range(len(b)):
                 x, y = _Lists(b.column("x").slice(k, 1)), _Lists(b.column("y").slice(k, 1))
-                row = np.arange(x.off[-1])
-                many = np.full(len(row), y.off[-1])
-                pairs = []
-                for s, e in _some(many):
-                    j, of = _ranges(np.zeros(e - s, np.int64), many[s:e])
-                    pairs.append(_alike(x, y, row[s:e][of], j, spec, cut))
-                i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
-                yield out(_confirmed(x, y, i, j, spec) if len(i) else [])
+                i, j = _between(x, y, spec, cut)
+                if len(i):
+                    yield rows(*(b.column(c)[k].as_py() for c in names[:3]), [(True, x, np.unique(i)), (False, y, np.unique(j))])
+
+    def confirmed(batches):
+        for b in batches:
+            out = []
+            for k in range(len(b)):
+                x, y = _Lists(b.column("x").slice(k, 1)), _Lists(b.column("y").slice(k, 1))
+                same = not len(y.sid)
+                i, j = _within(x, spec, cut) if same else _between(x, y, spec, cut)
+                out += _confirmed(x, x if same else y, i, j, spec) if len(i) else []
+            a, c = (np.array(v, np.int64) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
     # tiles of the largest component have numbers below zero: they aren't compared with each other
     spread = lambda n: F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(n / SMALL))
-    tile = F.when(F.col("n") <= SMALL, 0).when(F.col("root") == F.col("main"), -1 - spread(F.col("n") - F.col("beside"))).otherwise(spread(F.col("beside")))
-    rows = live.join(sets.select("sid", "size", "sketch"), "sid").join(texts.select(F.col("sk").alias("sid"), "z"), "sid")
-    lists = rows.groupBy("node", tile.alias("tile")).agg(F.collect_list(F.struct("sid", "size", "root", "sketch", "z")).alias("sets"), F.max("n").alias("n"))
-    own = lists.where("tile >= 0").select("sets").mapInArrow(within, "a long, b long")
+    tile = F.when(F.col("n") <= SMALL, 0).when(F.col("root") == F.col("main"), -1 - spread(F.col("n") - F.col("beside"))).otherwise(spread(F.col("beside"))).cast("long")
+    full = sets.select("sid", "size", "sketch")
+    lists = live.join(full, "sid").groupBy("node", tile.alias("tile")).agg(F.collect_list(F.struct("sid", "size", "root", "sketch")).alias("sets"), F.max("n").alias("n"))
+    schema = "node long, tx long, ty long, first boolean, sid long, root long"
+    found = lists.where("tile >= 0").select("node", "tile", "sets").mapInArrow(within, schema)
     large = lists.where(F.col("n") > SMALL)
     x, y = (large.select("node", F.col("tile").alias(f"t{s}"), F.col("sets").alias(s)) for s in "xy")
-    tiles = x.where("tx >= 0").join(y, (x.node == y.node) & ((F.col("ty") < 0) | (F.col("tx") < F.col("ty")))).select("x", "y").mapInArrow(between, "a long, b long")
-    return own.unionByName(tiles)
+    tiles = x.where("tx >= 0").join(y, (x.node == y.node) & ((F.col("ty") < 0) | (F.col("tx") < F.col("ty"))))
+    found = stage(found.unionByName(tiles.select(x.node, "tx", "ty", "x", "y").mapInArrow(between, schema)), "near")
+    whole = found.join(full, "sid").join(texts(found.select("sid")).select(F.col("sk").alias("sid"), "z"), "sid")
+    one = F.struct("sid", "size", "root", "sketch", "z")
+    return whole.groupBy("node", "tx", "ty").agg(F.collect_list(F.when(F.col("first"), one)).alias("x"), F.collect_list(F.when(~F.col("first"), one)).alias("y")).select("x", "y").mapInArrow(confirmed, "a long, b long")
 
 
 def _chosen(node: F.Column, which: int):
@@ -276,7 +306,7 @@ def _roots(sets: DataFrame, texts, spec: Shingles, miss: float, stage) -> DataFr
             pays = stage(cost.where(2 * F.col("cost") <= F.col("n") * F.col("n")).select("above"), "pays")
             rows = kids.join(pays, "above", "left_semi").select("node", "sid")
             here = live.join(pays.withColumnRenamed("above", "node"), "node", "left_anti")
-        links = stage(_compared(here, sets, texts(here.select("sid")), spec, cut), "links")
+        links = stage(_compared(here, sets, texts, spec, cut, stage), "links")
         edges, roots = _united(edges, links, roots, stage)
         if rows is None or rows.isEmpty():
             return roots
