@@ -356,6 +356,18 @@ def test_chat_layouts(spark):
     df2 = spark.createDataFrame(list(enumerate(odd)), "conv_id long, value string")
     assert Counter((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_json(df2).collect()) == Counter((i, k, *x) for i in range(3) for k, x in enumerate([("user", "q"), ("assistant", "r")]))
     assert {r.conv_id for r in chat.unmatched_json(df2).collect()} == {3, 5, 6, 7}  # the empty list is a conversation without turns
+    nested = [
+        '{"messages": [{"role": "user", "meta": {"content": "lost"}}]}', '{"messages": [{"meta": {"role": "user", "content": "lost"}}]}', '{"messages": [{"role": "user", "content": "q"}], "prompt": "p", "completion": "c"}',
+        '{"prompt": "p", "completion": "c", "response": "r"}', '{"messages": [{"role": "user", "content": "q"}], "instruction": "i", "input": "x", "output": "o"}', '{"messages": [{"role": "user", "content": "q"}, "more"]}',
+        '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": {"text": "r"}}]}',
+    ]
+    kept = ['{"messages": [{"role": "user", "content": "q", "meta": {"content": "z"}}, {"role": "assistant", "content": "r"}]}', '{"instruction": "q", "input": "", "output": "r", "messages": 3}', '{"messages": [null, null]}', '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}']
+    df3 = spark.createDataFrame(list(enumerate(nested + kept)), "conv_id long, value string")
+    assert {r.conv_id for r in chat.unmatched_json(df3).collect()} == set(range(len(nested)))
+    got = Counter((r.conv_id - len(nested), r.turn, r.role, r.text) for r in chat.canonical_json(df3).collect())
+    assert got == Counter([(0, 0, "user", "q"), (0, 1, "assistant", "r"), (1, 0, "user", "q"), (1, 1, "assistant", "r"), (2, 0, "", ""), (2, 1, "", ""), (3, 0, "user", "q"), (3, 1, "assistant", "")])
+    with pytest.raises(ValueError, match="several layouts"):
+        chat.layout_of(spark.createDataFrame([], "prompt string, completion string, response string").schema)
     for i, x in enumerate(rows_):
         one = spark.read.json(spark.sparkContext.parallelize([json.dumps(x | {"other": 3})])).withColumn("conv_id", F.lit(i).cast("long"))
         assert [(r.role, r.text) for r in chat.canonical(one).orderBy("turn").collect()] == [("user", "q"), ("assistant", "r")]

@@ -2,7 +2,9 @@
 
 Only built-in expressions. A layout is a set of field paths with a declarative mapping (SQL expressions); a table's fingerprint is the SHA-256 of its
 sorted paths, restricted to those some layout names, so other columns don't matter. Conversations stored as JSON of mixed layouts are told apart row by
-row, by the fingerprint of each value's own paths; nulls and empty lists stand for any type. Values of no layout, or no JSON, are in `unmatched_json`.
+row, by the fingerprint of each value's own paths; nulls and empty lists stand for any type. Of several layouts that fit, the one that has all paths of the
+others is taken; if none has (messages beside a prompt and its completion, say), it isn't known what was meant. Such values, those of no layout, and what
+isn't JSON are in `unmatched_json`; a table like that is refused.
 
 Turns are shuffled once, by conversation. Texts and roles are escaped so that none of the template's control strings can occur in them: backslashes are
 doubled, and a backslash is put behind the first character of each control string; reading reverses that.
@@ -13,6 +15,7 @@ conversation. A conversation without messages (a null or empty list) has no turn
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -69,12 +72,15 @@ def fingerprint(paths) -> str:
 
 
 def layout_of(schema: StructType, layouts=LAYOUTS) -> Layout:
-    """The layout of most paths whose fingerprint the schema has, restricted to the layout's paths."""
+    """The layout whose fingerprint the schema has, restricted to the layout's paths, and that has all paths of others like that."""
     paths, known = set(field_paths(schema)), {fingerprint(x.paths): x for x in layouts}
     found = [known[f] for x in layouts if (f := fingerprint(paths & set(x.paths))) in known]
     if not found:
         raise ValueError(f"no layout has the fields {sorted(paths)}")
-    return max(found, key=lambda x: len(x.paths))
+    whole = [x for x in found if all(set(y.paths) <= set(x.paths) for y in found)]
+    if not whole:
+        raise ValueError(f"several layouts have the fields {sorted(paths)}: {', '.join(x.name for x in found)}")
+    return whole[0]
 
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -101,19 +107,28 @@ def _parsed(df: DataFrame, column: str, layouts) -> DataFrame:
     known = [x for x in layouts if x.turns]
     roots = sorted({p.split("[]")[0] for x in known for p in x.paths})
     fields = {r: sorted({p.split("[].")[1] for x in known for p in x.paths if p.startswith(r + "[].")}) for r in roots}
-    kind = lambda r: f"schema_of_variant(variant_get(__v, '$.{r}'))"
+    kind = lambda v, at: f"schema_of_variant(variant_get({v}, '$.{at}'))"
 
     def there(path: str) -> Column:
+        """The path itself, if the value has it: a text (or null), or in a list of objects (or nulls) texts (or nulls) wherever it is, and somewhere it is."""
         root, _, leaf = path.partition("[].")
-        form = f"'^ARRAY<(VOID|OBJECT<(.*, )?{leaf}: (STRING|VOID)[,>].*)'" if leaf else "'^(STRING|VOID)$'"
-        return F.when(F.expr(f"{kind(root)} RLIKE {form}"), path)
+        if not leaf:
+            return F.when(F.expr(f"{kind('__v', root)} IN ('STRING', 'VOID')"), path)
+        each = f"try_variant_get(__v, '$.{root}', 'array<variant>')"
+        of = kind("e", leaf)
+        fits = f"e IS NULL OR schema_of_variant(e) = 'VOID' OR (schema_of_variant(e) LIKE 'OBJECT%' AND ({of} IS NULL OR {of} IN ('STRING', 'VOID')))"
+        some = f"exists({each}, e -> {of} IS NOT NULL) OR forall({each}, e -> e IS NULL OR schema_of_variant(e) = 'VOID')"
+        return F.when(F.expr(f"forall({each}, e -> {fits}) AND ({some})"), path)
 
     v = df.select("conv_id", F.col(column).alias("value"), F.expr(f"try_parse_json(`{column}`)").alias("__v"))
     v = v.withColumn("__paths", F.array_compact(F.array(*[there(p) for p in sorted({p for x in known for p in x.paths})])))
+    own = lambda x: F.array_sort(F.array_intersect("__paths", F.array(*[F.lit(p) for p in x.paths])))
+    v = v.withColumns({f"__is_{x.name}": F.sha2(F.array_join(own(x), "\n"), 256) == fingerprint(x.paths) for x in known})
     layout = F.lit(None).cast("string")
-    for x in sorted(known, key=lambda x: len(x.paths)):  # the one of most paths comes first
-        own = F.array_sort(F.array_intersect("__paths", F.array(*[F.lit(p) for p in x.paths])))
-        layout = F.when(F.sha2(F.array_join(own, "\n"), 256) == fingerprint(x.paths), x.name).otherwise(layout)
+    for x in known:
+        beside = [F.col(f"__is_{y.name}") for y in known if not set(y.paths) <= set(x.paths)]
+        within = [F.col(f"__is_{y.name}") for y in known if set(x.paths) < set(y.paths)]
+        layout = F.when(F.col(f"__is_{x.name}") & ~functools.reduce(lambda a, b: a | b, [*beside, *within], F.lit(False)), x.name).otherwise(layout)
     typed = {r: "array<struct<" + ",".join(f"`{f}`:string" for f in fs) + ">>" if fs else "string" for r, fs in fields.items()}
     v = v.select("conv_id", "value", layout.alias("layout"), *[F.expr(f"try_variant_get(__v, '$.{r}', '{t}')").alias(r) for r, t in typed.items()])
     turns = F.lit(None)
