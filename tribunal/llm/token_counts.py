@@ -73,22 +73,23 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     known = read_cache(spark, cache_path)
-    missing = rows.select("digest", "text")
-    if known is not None:
-        missing = missing.join(known.where(F.col("version") == version).select("digest"), "digest", "left_anti")
-    texts = missing.mapInArrow(_first_copies, "digest binary, z binary")
-    counts = texts.repartition("digest").mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
+    texts = rows.select("digest", "text").mapInArrow(_first_copies, "digest binary, z binary").repartition("digest")
+    if known is not None:  # joined as the texts lie, after their one shuffle
+        texts = texts.join(known.where(F.col("version") == version).select("digest"), "digest", "left_anti")
+    counts = texts.mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
     write(counts.select(F.lit(version).alias("version"), "digest", "n_tokens"), cache_path, "append")
     # an entry may be there twice: two writers may have missed the same text
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest", "left").drop("digest")
 
 
-def op10_token_counts(spark, sf_dir: str, limit: int = 1024) -> DataFrame:
-    """The cache starts empty here, in a folder of its own, so that each run encodes all distinct texts."""
-    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
-    counted = count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+def op10_token_counts(spark, sf_dir: str, limit: int = 1024, parts: int = 2) -> DataFrame:
+    """All documents, in parts by a hash of doc_id over one cache (in a folder of its own): the later ones encode what the cache doesn't have by then."""
+    cache, docs, out = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for k in range(parts):
+        counted = count_tokens(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k), tokenizer_path("byte_bpe_50k.json"), cache)
+        out = counted if out is None else out.unionByName(counted)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}
