@@ -66,30 +66,41 @@ def read_cache(spark, path: str) -> DataFrame | None:
         return None
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of each row; the cache at cache_path grows by the distinct misses."""
-    spark, version = docs.sparkSession, version_of(tokenizer)
+def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    known = read_cache(spark, cache_path)
-    texts = rows.select("digest", "text").mapInArrow(_first_copies, "digest binary, z binary").repartition("digest")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def encode_missing(docs: DataFrame, tokenizer: str, cache_path: str) -> None:
+    """The cache at cache_path grows by the distinct texts of docs that it doesn't have."""
+    version, known = version_of(tokenizer), read_cache(docs.sparkSession, cache_path)
+    texts = _rows(docs).select("digest", "text").mapInArrow(_first_copies, "digest binary, z binary").repartition("digest")
     if known is not None:  # joined as the texts lie, after their one shuffle
         texts = texts.join(known.where(F.col("version") == version).select("digest"), "digest", "left_anti")
     counts = texts.mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
     write(counts.select(F.lit(version).alias("version"), "digest", "n_tokens"), cache_path, "append")
-    # an entry may be there twice: two writers may have missed the same text
-    stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest", "left").drop("digest")
+
+
+def cached_counts(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of each row, from the cache; null where it has no count."""
+    stored = docs.sparkSession.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version_of(tokenizer))
+    stored = stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # two writers may have missed the same text
+    return _rows(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest", "left").drop("digest")
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of each row; the cache at cache_path grows by the distinct misses."""
+    encode_missing(docs, tokenizer, cache_path)
+    return cached_counts(docs, tokenizer, cache_path)
 
 
 def op10_token_counts(spark, sf_dir: str, limit: int = 1024, parts: int = 2) -> DataFrame:
     """All documents, in parts by a hash of doc_id over one cache (in a folder of its own): the later ones encode what the cache doesn't have by then."""
-    cache, docs, out = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    cache, docs, tokenizer = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json")
     for k in range(parts):
-        counted = count_tokens(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k), tokenizer_path("byte_bpe_50k.json"), cache)
-        out = counted if out is None else out.unionByName(counted)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        encode_missing(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k), tokenizer, cache)
+    counted = cached_counts(docs, tokenizer, cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}
