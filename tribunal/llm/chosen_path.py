@@ -17,6 +17,7 @@ than any. Sets are told apart by 128 bits. Empty tables give empty results. Othe
 
 from __future__ import annotations
 
+import uuid
 from math import ceil, comb, log
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, decompressed, keyed, real_id, scratch, staged, table, utf8
+from .common import NULL_ID, chunks, cleaning, decompressed, keyed, real_id, scratch, shared_dir, staged, table, utf8
 from .components import components
 from .jaccard import Shingles, _verified, sql_of
 from .text import mix
@@ -320,36 +321,50 @@ def _united(edges: DataFrame | None, links: DataFrame, roots: DataFrame | None,
     return edges, components(edges, stage)
 
 
+def _tabled(df: DataFrame, folders: list[str]) -> tuple[DataFrame, str]:
+    """df as a table in buckets by the sets' keys, so that joins by these don't move its texts again; and its name."""
+    spark, name = df.sparkSession, f"sets_{uuid.uuid4().hex}"
+    folders.append(f"{shared_dir(spark)}/{name}")
+    with cleaning(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY).option("path", folders[-1]).format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+KEY = ["k1", "k2"]
+
+
 def groups(docs: DataFrame, spec: Shingles = Shingles(), miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (whether it is the row's own) of each row of docs.
 
     miss: the probability that trees, or sketches, miss a link at the threshold; links above it are missed less often.
     """
-    with scratch(docs.sparkSession) as folders:
+    spark, name = docs.sparkSession, None
+    with scratch(spark) as folders:
         stage = lambda df, name: staged(df, name, folders)
         rows = stage(_surveyed(keyed(docs), spec), "survey")
-        key = ["k1", "k2"]
-        one = rows.where("size > 0").groupBy(*key).agg(F.first("size").alias("size"), F.min("doc_id").alias("low"), F.first("least").alias("least"))
+        one = rows.where("size > 0").groupBy(*KEY).agg(F.first("size").alias("size"), F.min("doc_id").alias("low"), F.first("least").alias("least"), F.first("z").alias("z"))
         bytes_ = F.unhex(F.array_join(F.transform("least", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
-        sets = stage(one.withColumns({"sid": F.monotonically_increasing_id(), "sketch": bytes_}), "sets")
-
-        def texts(sids):
-            keys = sets.select("sid", *key).join(sids.distinct(), "sid", "left_semi")
-            return stage(rows.select(*key, "z").join(keys, key).groupBy(F.col("sid").alias("sk")).agg(F.first("z").alias("z")), "texts")
-
-        roots = _roots(sets, texts, spec, miss, stage)
-        found = sets.select("sid", *key, "low")
-        if roots is not None:
-            found = found.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-            found = found.withColumn("root", F.coalesce("root", "sid"))
-            least = found.groupBy("root").agg(F.min("low").alias("least"))
-            found = found.join(least, "root")
-        else:
-            found = found.withColumn("least", F.col("low"))
-        out = rows.select("doc_id", "size", *key).join(stage(found.select(*key, "least"), "found"), key, "left")
-        out = out.withColumn("least", F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")))
-        out = out.select(real_id(), F.col("size").alias("n_shingles"), real_id("least").alias("component_id"))
-        return staged(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
+        try:
+            sets, name = _tabled(one.withColumns({"sid": F.monotonically_increasing_id(), "sketch": bytes_}), folders)
+
+            def texts(sids):
+                keys = stage(sets.select("sid", *KEY).join(sids.distinct(), "sid", "left_semi"), "keys")
+                return stage(sets.select(*KEY, "z").join(keys, KEY).select(F.col("sid").alias("sk"), "z"), "texts")
+
+            roots = _roots(sets, texts, spec, miss, stage)
+            found = sets.select("sid", *KEY, "low")
+            if roots is not None:
+                found = found.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+                found = found.join(found.groupBy("root").agg(F.min("low").alias("least")), "root")
+            else:
+                found = found.withColumn("least", F.col("low"))
+            out = rows.select("doc_id", "size", *KEY).join(stage(found.select(*KEY, "least"), "found"), KEY, "left")
+            out = out.withColumn("least", F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")))
+            out = out.select(real_id(), F.col("size").alias("n_shingles"), real_id("least").alias("component_id"))
+            return staged(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
+        finally:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 CONTRACT = Shingles(5, 85)
