@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -406,6 +407,263 @@ def test_definitions(spark, tmp_path):
         banks.load_definition(str(tmp_path / "c.yaml"))
 
 
+def test_a_probe_from_a_file(spark, tmp_path, capsys):
+    """A tenth probe, which no code knows: its items, checks, and a run by the command."""
+    from tribunal.cli import main
+
+    bank = [{"question": f"What is {n}?", "cheerful": f"Oh wonderful! It is the number {n}.", "sober": f"It is the number {n}, as is known.", "markers": ["wonderful"]} for n in range(25)]
+    spec = {"biased": "cheerful", "neutral": "sober", "sides": "fixed", "context": "A reader smiled at Answer {side}, not at {other}.", "ratio": 0.3, "vocabulary": ["wonderful", "splendid"], "least": 1}
+    own = definition(name="cheer", event="picked_cheerful", expected_direction="cheerful", bias_meta_key="cheerful_side", generation={"procedure": "alternate", "banks": {"main": bank}, "spec": spec})
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "cheer.yaml").write_text(json.dumps(own))
+    found = banks.discover(str(tmp_path / "d"))
+    specs = probes.specs_of(found)
+    entries = probes.bank_frame(spark, ("cheer",), {"cheer": banks.entries_of(found["cheer"])})
+    assert probes.broken_guards(entries, specs).isEmpty() and probes.unbalanced(entries, specs).isEmpty()
+    made = probes.generate_items(entries, 30, seed=4, policy="python", specs=specs).orderBy("item_no").collect()
+    rng = random.Random(4)
+    assert [r.bias_side for r in made] == [rng.choice("AB") for _ in range(30)] and made[27].answer_a == bank[2]["cheerful"]
+    assert all(r.context == f"A reader smiled at Answer {r.bias_side}, not at {'B' if r.bias_side == 'A' else 'A'}." for r in made)
+    run = ["run", "--definitions", str(tmp_path / "d"), "--judge", "always_first", "--n", "30", "--out", str(tmp_path / "r.json")]
+    assert main(run) in (0, 1) and [p["probe"] for p in json.loads((tmp_path / "r.json").read_text())["probes"]] == ["cheer"]
+    with pytest.raises(SystemExit, match="unknown"):
+        main([*run, "--probes", "halo"])
+    for change, broken in (({"neutral": "a wonderful day, and one."}, "markers"), ({"markers": ["splendid"]}, "markers"), ({"markers": []}, "markers"), ({"markers": ["odd"], "biased": "An odd wonder of one."}, "markers"), ({"neutral": "x"}, "lengths"), ({"neutral": ""}, "empty")):
+        one = {"question": "q", "biased": "Oh wonderful! It is 1.", "neutral": "It is known to be one.", "markers": ["wonderful"]} | change
+        assert [r.broken for r in probes.broken_guards(probes.bank_frame(spark, ("cheer",), {"cheer": [one]}), specs).collect()] == [broken]
+    for bad in ({"sides": "both"}, {"context": "{nobody}"}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            probes.specs_of({"cheer": own | {"generation": own["generation"] | {"spec": spec | bad}}})
+    with pytest.raises(ValueError, match="generation.spec"):
+        probes.specs_of({"cheer": definition(name="cheer")})
+
+
+def test_parallel_draws(spark, tmp_path):
+    """The same numbers as Python's generator, wherever blocks begin."""
+    from tribunal.functions.twister import choices, draws
+
+    rng = random.Random(11)
+    words = [rng.getrandbits(32) for _ in range(4000)]
+    assert all(draws(11, s, 300).tolist() == words[s : s + 300] for s in (0, 1, 623, 624, 625, 3700))
+    for m, n, block in ((2, 5000, 700), (3, 1000, 64), (1, 10, 8), (6, 1, 100)):
+        rng = random.Random(5)
+        want = [rng.choice(range(m)) for _ in range(n)]
+        got = choices(spark, 5, m, n, block).repartition(3).orderBy("item_no").collect()
+        assert [r.drawn for r in got] == want and [r.item_no for r in got] == list(range(n))
+    rng = random.Random(2)
+    for _ in range(3_000_000):
+        rng.getrandbits(32)
+    assert draws(2, 3_000_000, 5).tolist() == [rng.getrandbits(32) for _ in range(5)]
+    spark.createDataFrame([(k, "x") for k in range(500)], "event_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    from tribunal.plans.queries import drawn_sides
+
+    rng, want = random.Random(7), []
+    want = [k for k in range(500) if rng.choice("AB") == "A"]
+    assert [tuple(r) for r in drawn_sides(spark, str(tmp_path)).collect()] == [("x", 500, len(want), sum(want))]
+
+
+def test_canonical_json(spark):
+    """Equal to json.dumps, over doubles of all kinds and texts with everything that is escaped."""
+    from tribunal.functions.canonical import canonical_json
+
+    rng = random.Random(1)
+    special = [0.0, -0.0, 1e16, 1e15, 123456789012345680.0, 1e-4, 1e-5, 5e-324, 2.2e-322, 1.7976931348623157e308, 2.0e-3, 9007199254740993.0, 1 / 3, math.inf, -math.inf, math.nan, 5.444517870735015e39, 8.108151998898195e18, 8.335101662826196e17]
+    number = lambda: rng.choice([lambda: struct.unpack("<d", rng.randbytes(8))[0], rng.random, lambda: float(rng.randrange(-(10**18), 10**18)), lambda: rng.randrange(1000) / 1000, lambda: rng.choice(special), lambda: 2.0 ** rng.randrange(-1074, 1023), lambda: 10.0 ** rng.randrange(-30, 30)])()
+    text = lambda: "".join(rng.choice('ab "\\\n\r\t\b\f\x00\x1f\x7f~é漢😀\u2028') for _ in range(rng.randrange(8)))
+    some = lambda f: f() if rng.random() > 0.05 else None
+    given = [(some(number), some(text), rng.choice([True, False, None]), some(lambda: rng.randrange(-(2**63), 2**63)), some(lambda: {text(): number() for _ in range(rng.randrange(3))}), some(lambda: [some(lambda: (text(), 1)) for _ in range(rng.randrange(3))])) for _ in range(3000)]
+    df = spark.createDataFrame(given, "x double, `é` string, b boolean, n long, m map<string,double>, a array<struct<z: string, k: int>>")
+    other = 0
+    for r in df.withColumn("j", canonical_json(F.struct(*df.columns), df.schema)).collect():
+        whole = r.asDict(True)
+        j = whole.pop("j")
+        want = json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        if j != want:  # the other decimal of this length that reads back, see json_number
+            other += 1
+            assert len(j) == len(want) and json.loads(j) == json.loads(want)
+    assert other <= 1
+    with pytest.raises(TypeError):
+        canonical_json(F.col("x"), "date")
+
+
+def test_timestamps(spark):
+    """As datetime.fromisoformat, over mutated dates by month and week, times, fractions and offsets."""
+    from datetime import datetime
+
+    from tribunal.functions.timestamps import is_timestamp
+
+    rng = random.Random(3)
+    one = lambda *x: rng.choice(x)
+
+    def time() -> str:
+        h, m, s, c = one(0, 23, 24, rng.randrange(24)), one(0, 59, 60, rng.randrange(60)), one(0, 59, 60, rng.randrange(60)), one("", ":")
+        return one(f"{h:02d}", f"{h:02d}{c}{m:02d}", f"{h:02d}{c}{m:02d}{c}{s:02d}", f"{h:02d}{c}{m:02d}{c}{s:02d}{one('.', ',')}{rng.randrange(10 ** rng.randrange(1, 9))}")
+
+    def stamp() -> str:
+        y, m, d, w, k = one(0, 1, 4, 100, 1900, 2000, 2020, 2024, 2026, 9999, rng.randrange(1, 9999)), rng.randrange(14), one(0, 1, 28, 29, 30, 31, 32), one(0, 1, 52, 53, 54), rng.randrange(9)
+        t = one(f"{y:04d}-{m:02d}-{d:02d}", f"{y:04d}{m:02d}{d:02d}", f"{y:04d}-W{w:02d}", f"{y:04d}W{w:02d}", f"{y:04d}-W{w:02d}-{k}", f"{y:04d}W{w:02d}{k}")
+        if rng.random() < 0.7:
+            t += one(*"T -t0W:") + time() + one("", "", "Z", "+" + time(), "-" + time())
+        at = rng.randrange(len(t) + 1)
+        return one(t, t, t[:at] + t[at + 1 :], t[:at] + one(*"09-:T+.,WZ x") + t[at:])
+
+    def valid(t) -> bool:
+        try:
+            datetime.fromisoformat(t.replace("Z", "+00:00"))
+        except ValueError:
+            return False
+        return True
+
+    texts = sorted({stamp() for _ in range(8000)} | {"", "2024", "2026-W39-6", "2024-01-01T", "never"})
+    got = {r.t: r.ok for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumn("ok", is_timestamp(F.col("t"))).collect()}
+    assert [t for t in texts if got[t] != valid(t)] == [] and 500 < sum(got.values())
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(is_timestamp(F.col("t"))).first()[0] is False
+
+
+def test_power(spark):
+    """The published power of a battery, and false alarms against every outcome of three probes."""
+    from itertools import product
+
+    from tribunal.operators import power
+
+    table = power.power(spark.createDataFrame([(30,)], "n_valid long"), [0.6, 0.65, 0.7, 0.8]).orderBy("true_rate").collect()
+    assert [round(r.power, 2) for r in table] == [0.29, 0.51, 0.73, 0.97] and {r.critical for r in table} == {20}
+    assert round(1 - (1 - 0.05) ** 9, 2) == 0.37
+    family, n = {"a": 14, "b": 15, "c": 22}, 22
+    counts = spark.createDataFrame([("x", p, n, k) for p, k in family.items()] + [("y", "a", n, 11)], "c string, probe string, n_valid long, events long")
+
+    def sticky_of(k, q):
+        out = {}
+        for lost, won in product(range(k + 1), range(n - k + 1)):
+            out[k - lost + won] = out.get(k - lost + won, 0) + math.comb(k, lost) * q**lost * (1 - q) ** (k - lost) * math.comb(n - k, won) * q**won * (1 - q) ** (n - k - won)
+        return out
+
+    def fisher(a, b):
+        w = lambda x: math.comb(n, x) * math.comb(n, a + b - x)
+        return sum(w(x) for x in range(max(0, a + b - n), min(n, a + b) + 1) if w(x) <= w(a)) / math.comb(2 * n, a + b)
+
+    bar = min(k for k in range(n + 2) if comb_sf(k, n, 0.5) < 0.05)
+    for outcomes, of in ((power.resampled(counts, ["c"]), lambda k: {j: math.comb(n, j) * (k / n) ** j * (1 - k / n) ** (n - j) for j in range(n + 1)}), (power.sticky(counts, ["c"], 0.1), lambda k: sticky_of(k, 0.1))):
+        flip = alert = 0.0
+        for some in product(*[of(k).items() for k in family.values()]):
+            w = math.prod(p for _, p in some)
+            flips = [(j >= bar) != (k >= bar) for (j, _), k in zip(some, family.values(), strict=True)]
+            tests, hit = sorted((fisher(k, j), abs(j - k) >= 0.15 * n) for (j, _), k in zip(some, family.values(), strict=True)), False
+            for i, (p, large) in enumerate(tests):
+                if p > 0.05 / (3 - i):
+                    break
+                hit |= large
+            flip += w * any(flips)
+            alert += w * (any(flips) or hit)
+        got = {r.c: r for r in power.family_alarms(outcomes, ["c"], ["a", "b", "c"]).collect()}
+        assert abs(got["x"].p_flip - flip) < 1e-9 and abs(got["x"].p_alert - alert) < 1e-9 and alert > flip > 0
+        one = {(r.c, r.probe): r.p_flip for r in power.flips(outcomes, ["c"]).collect()}
+        assert abs(got["y"].p_flip - one["y", "a"]) < 1e-12
+
+
+def test_certain_events(spark):
+    """Probabilities of 0 and 1 have answers, too."""
+    for k, n in ((0, 10), (3, 10), (10, 10), (11, 10), (0, 0)):
+        for p in (0.0, 1.0):
+            r = spark.range(1).select(stats.binomial_sf(F.lit(k), F.lit(n), p).alias("sf"), stats.binomial_cdf(F.lit(k), F.lit(n), p).alias("cdf"), stats.binomial_two_sided(F.lit(k), F.lit(n), p).alias("two")).first()
+            assert (r.sf, r.cdf) == (comb_sf(k, n, p), 1.0 if n <= 0 or k >= n else comb_cdf(k, n, p)) and 0 <= r.two <= 1
+
+
+def test_several_judges(spark):
+    """Each judge by itself: labels without a verdict, items with one, and second verdicts."""
+    labels = spark.createDataFrame([("p", f"p-{k}", f"r{r}", "A" if k % 3 else "B", 2) for k in range(10) for r in range(2)] + [("q", "q-0", "r0", "A", 2)], "probe string, item_id string, labeler_id string, label string, confidence int")
+    verdicts = spark.createDataFrame([("j1", "p", f"p-{k}", "A") for k in range(10)] + [("j2", "p", f"p-{k}", "B") for k in range(5)] + [("j3", "z", "z-1", "A")], "judge string, probe string, item_id string, verdict string")
+    got = {(r.judge, r.probe): (r.n_labels, r.n_unmatched) for r in calibration.unmatched(labels, verdicts).collect()}
+    assert got == {("j1", None): (21, 1), ("j1", "p"): (20, 0), ("j1", "q"): (1, 1), ("j2", None): (21, 11), ("j2", "p"): (20, 10), ("j2", "q"): (1, 1), ("j3", None): (21, 21), ("j3", "p"): (20, 20), ("j3", "q"): (1, 1)}
+    covered = {(r.judge, r.probe): (r.n_items, r.n_unmatched) for r in adjudication.coverage(labels, verdicts).collect()}
+    assert covered["j1", None] == (10, 1) and covered["j2", None] == (5, 11) and covered["j2", "p"] == (5, 10) and covered["j3", None] == (0, 21)
+    assert [tuple(r) for r in calibration.unmatched(labels.limit(0), verdicts.where("judge = 'j1'")).collect()] == [("j1", None, 0, 0)]
+    again = verdicts.where("probe = 'p' AND item_id < 'p-5'").withColumn("swapped", F.lit(False))
+    same = {(r.judge, r.probe): (r.n, r.n_same) for r in rescoring.self_consistency(again, verdicts).collect()}
+    assert same == {("j1", None): (5, 5), ("j1", "p"): (5, 5), ("j2", None): (5, 5), ("j2", "p"): (5, 5)}
+    with pytest.raises(calibration.Refused):
+        rescoring.self_consistency(again.drop("judge"), verdicts)
+    with pytest.raises(calibration.Refused, match="j9/p/p-0"):
+        rescoring.refuse_unscored(again.withColumn("judge", F.lit("j9")), verdicts)
+
+
+def test_ledgers_of_the_common_form(spark, tmp_path):
+    """A SQLite ledger, whose chain is over json.dumps, is verified; a changed row is found."""
+    import sqlite3
+
+    from tribunal.sources.ledger import FIELDS, from_sqlite
+
+    db, last = sqlite3.connect(tmp_path / "l.db"), "GENESIS"
+    db.execute("CREATE TABLE snapshots (id INTEGER PRIMARY KEY, ts, adapter_name, protocol_sha256, seed, n, grade, label, probes_json, chain_hash)")
+    for k in range(6):
+        names = ["probe_name", *FIELDS[1:]]
+        probes_ = [dict(zip(names, (p, "1.0.0", "long", 30, 30 - k, k, 10 + k, (10 + k) / (30 - k), 1e-5 * (k + 1), 0.05, False, k > 3, False, k / 30, k, 20, 'é "quoted"'), strict=True)) for p in ("halo", "verbosity")]
+        core = {"ts": f"2024-01-0{k + 1}T00:00:00+00:00", "adapter_name": "ä", "protocol_sha256": "x", "seed": k, "n": 30, "grade": "PASS", "label": "" if k % 2 else "week", "probes": probes_}
+        last = hashlib.sha256((last + json.dumps(core, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
+        db.execute("INSERT INTO snapshots VALUES (?,?,?,?,?,?,?,?,?,?)", (k + 1, core["ts"], "ä", "x", k, 30, "PASS", core["label"], json.dumps(probes_), last))
+    db.commit()
+    assert verify_chain(from_sqlite(spark, str(tmp_path / "l.db"))).where("NOT ok").isEmpty()
+    db.execute("UPDATE snapshots SET probes_json = replace(probes_json, '\"events\": 12', '\"events\": 13') WHERE id = 3")
+    db.commit()
+    assert [r.id for r in verify_chain(from_sqlite(spark, str(tmp_path / "l.db"))).where("NOT ok").collect()] == [3]
+    db.close()
+
+
+def test_judges_are_asked_once(spark, tmp_path):
+    """Equal prompts, computed again, in another run, after a failure, and by a second attempt of a lost task."""
+    import pandas as pd
+
+    seen, broken = [], {"bad"}
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            user = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["user"]
+            seen.append(user)
+            body = json.dumps({"out": f"A {user}"}).encode()
+            self.send_response(500 if user in broken else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        judge = http.custom(f"http://127.0.0.1:{server.server_port}/", '{"user": "{{user}}"}', "out")
+        log, fast = f"file://{tmp_path}/log", {"retries": 1, "wait": 0.0, "parallel": 3}
+        prompts = spark.createDataFrame([(f"i{k}", "s", f"q{k % 20}") for k in range(50)], "item_id string, system string, user string")
+        got = http.asked_once(prompts, judge, log, **fast)
+        assert got.count() == 50 and sorted(seen) == sorted(f"q{k}" for k in range(20))
+        assert {(r.item_id, r.raw) for r in got.collect()} == {(f"i{k}", f"A q{k % 20}") for k in range(50)} and len(seen) == 20  # computed again
+        more = spark.createDataFrame([("x", "s", u) for u in ("q1", "new", "other")] + [("y", "another system", "q1")], prompts.schema)
+        assert http.asked_once(more, judge, log, **fast).count() == 4 and sorted(seen[20:]) == ["new", "other", "q1"]
+        del seen[:]
+        failing = spark.createDataFrame([("z", "s", u) for u in ("n1", "n2", "n3", "n4", "bad")], prompts.schema)
+        with pytest.raises(Exception, match="status 500"):
+            http.asked_once(failing, judge, log, retries=1, wait=0.0, parallel=1)
+        assert seen.count("bad") == 2
+        broken.clear()
+        assert http.asked_once(failing, judge, log, **fast).count() == 5
+        assert all(seen.count(u) == 1 for u in ("n1", "n2", "n3", "n4")) and seen.count("bad") == 3
+        # an attempt that is lost after its third row, and the one after it
+        rows = pd.DataFrame({"key": [f"k{k}" for k in range(6)], "system": "s", "user": [f"u{k}" for k in range(6)]})
+
+        def lost():
+            yield rows[:3]
+            raise RuntimeError("lost")
+
+        with pytest.raises(RuntimeError):
+            list(http.logging_task(judge, log, "round", 0, 2, 0, 0.0)(lost()))
+        list(http.logging_task(judge, log, "round", 0, 2, 0, 0.0)(iter([rows])))
+        assert all(seen.count(f"u{k}") == 1 for k in range(6))
+        before = {tuple(r) for r in http.replies(spark, log).collect()}
+        http.compact(spark, log)
+        assert {tuple(r) for r in http.replies(spark, log).collect()} == before and len(before) == 34
+    finally:
+        server.shutdown()
+
+
 def test_judges_over_http(spark):
     seen = []
 

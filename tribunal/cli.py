@@ -19,21 +19,23 @@ from .sources.ledger import Ledger
 
 
 def _items(spark, a):
-    names = a.probes.split(",") if a.probes else list(PROBES)
-    if unknown := [n for n in names if n not in PROBES]:
+    known = discover(a.definitions) if a.definitions else {}
+    names = a.probes.split(",") if a.probes else list(known or PROBES)
+    if unknown := [n for n in names if n not in (known or PROBES)]:
         raise SystemExit(f"unknown probes: {', '.join(unknown)}")
-    given = {k: entries_of(d) for k, d in discover(a.definitions).items()} if a.definitions else load_banks(a.banks) if a.banks else None
+    given = {k: entries_of(known[k]) for k in names} if known else load_banks(a.banks) if a.banks else None
+    specs = probes.specs_of({k: known[k] for k in names}) if known else probes.SPECS
     entries = probes.bank_frame(spark, names, given)
-    if (bad := probes.broken_guards(entries).first()) is not None:
+    if (bad := probes.broken_guards(entries, specs).first()) is not None:
         raise SystemExit(f"{bad.probe}, entry {bad.bank_idx}: {bad.broken}")
-    if (bad := probes.unbalanced(entries).first()) is not None:
-        raise SystemExit(f"{bad.probe}: the jargon side is the longer one in {bad.n_longer} of {bad.n} entries")
+    if (bad := probes.unbalanced(entries, specs).first()) is not None:
+        raise SystemExit(f"{bad.probe}: the biased side is the longer one in {bad.n_longer} of {bad.n} entries")
     if a.n is None and getattr(a, "replay", None):
         a.n, left = divmod(labels.read_replay(spark, *a.replay).count(), len(names))
         if left:
             raise SystemExit("the recorded prompts don't divide evenly among the probes")
     a.n = 30 if a.n is None else a.n
-    return probes.generate_items(entries, a.n, a.seed, a.policy)
+    return probes.generate_items(entries, a.n, a.seed, a.policy, specs=specs)
 
 
 def _verdicts(spark, a):
@@ -49,8 +51,12 @@ def _verdicts(spark, a):
             "chat": lambda: http.chat_completions(a.url, a.judge, a.key), "local": lambda: http.chat_completions(a.url or http.LOCAL, a.judge, a.key), "messages": lambda: http.messages(a.url, a.judge, a.key),
             "custom": lambda: http.custom(a.url, Path(a.template).read_text(), a.reply, a.header, model=a.judge),
         }
-        prompts = items.select("item_id", F.lit(probes.SYSTEM).alias("system"), probes.prompt().alias("user"))
-        judged = items.join(http.asked(prompts, make[a.interface]()), "item_id").withColumn("judge", F.lit(a.judge))
+        prompts = items.withColumns({"system": F.lit(probes.SYSTEM), "user": probes.prompt()})
+        if a.log:
+            replied = http.asked_once(prompts, make[a.interface](), a.log).drop("system", "user")
+        else:
+            replied = items.join(http.asked(prompts.select("item_id", "system", "user"), make[a.interface]()), "item_id")
+        judged = replied.withColumn("judge", F.lit(a.judge))
     return judged.withColumn("verdict", parse_verdict("raw"))
 
 
@@ -164,7 +170,7 @@ def main(argv=None) -> int:
     out, ts, ledger = ("--out", {"required": True}), ("--ts", {"required": True}), ("--ledger", {"required": True})
     made = [("--probes", {"default": ""}), ("--banks", {"default": ""}), ("--definitions", {"default": "", "help": "a folder of definition files"}), ("--n", {"type": int, "default": None}), ("--seed", {"type": int, "default": 0}), ("--policy", {"choices": ["hash", "python"], "default": "hash"})]
     judged = [*made, ("--judge", {"required": True}), ("--interface", {"choices": ["chat", "local", "messages", "custom"], "default": "chat"}), ("--url", {"default": ""}), ("--key", {"default": ""}),
-        ("--template", {"default": "", "help": "a file with the body of a custom judge"}), ("--reply", {"default": "", "help": "where its reply has the text"}), ("--header", {"action": "append", "default": []}), ("--replay", {"nargs": 2, "metavar": ("BLINDED", "VERDICTS"), "default": None})]
+        ("--template", {"default": "", "help": "a file with the body of a custom judge"}), ("--reply", {"default": "", "help": "where its reply has the text"}), ("--header", {"action": "append", "default": []}), ("--log", {"default": "", "help": "a folder of replies, so that nothing is asked twice"}), ("--replay", {"nargs": 2, "metavar": ("BLINDED", "VERDICTS"), "default": None})]
     scored = [("--labels", {"nargs": "+", "required": True}), ("--report", {"required": True}), ("--judge", {"required": True}), ("--protocol", {"default": ""}), ("--copy", {"default": "", "help": "a copy of the report with the calibration"}), ("--gold", {"default": ""}), out]
     command("list-probes", list_probes)
     command("run", run, *judged, out)

@@ -67,18 +67,24 @@ def _outward(k: Column, n: Column, p: Column, up: bool) -> Column:
     return F.aggregate(_steps(n - k if up else k, n), start, lambda a, j: F.struct((a["t"] * ratio(at(j.cast("double")))).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"])
 
 
+def _inner(p) -> tuple[Column, Column]:
+    """A p that can be divided by, and the number of events per trial where that is certain (0 or 1), else null."""
+    p = _double(p)
+    return F.when((p > 0) & (p < 1), p).otherwise(0.5), F.when(p <= 0, 0.0).when(p >= 1, 1.0)
+
+
 def binomial_sf(k, n, p=0.5) -> Column:
     """P(X >= k); 1 without trials, or for k <= 0; 0 for k > n."""
-    k, n, p = _double(k), _double(n), _double(p)
+    k, n, p, sure = _double(k), _double(n), *_inner(p)
     inside = F.when(k > n * p, _outward(k, n, p, True)).otherwise(1 - _outward(F.greatest(k - 1, F.lit(0.0)), n, p, False))
-    return F.when(n <= 0, 1.0).when(k <= 0, 1.0).when(k > n, 0.0).otherwise(inside)
+    return F.when(n <= 0, 1.0).when(k <= 0, 1.0).when(k > n, 0.0).when(sure.isNotNull(), sure).otherwise(inside)
 
 
 def binomial_cdf(k, n, p=0.5) -> Column:
     """P(X <= k); 1 without trials, or for k >= n; 0 for k < 0."""
-    k, n, p = _double(k), _double(n), _double(p)
+    k, n, p, sure = _double(k), _double(n), *_inner(p)
     inside = F.when(k < n * p, _outward(k, n, p, False)).otherwise(1 - _outward(F.least(k + 1, n), n, p, True))
-    return F.when(n <= 0, 1.0).when(k < 0, 0.0).when(k >= n, 1.0).otherwise(inside)
+    return F.when(n <= 0, 1.0).when(k < 0, 0.0).when(k >= n, 1.0).when(sure.isNotNull(), 1 - sure).otherwise(inside)
 
 
 def binomial_two_sided(k, n, p=0.5) -> Column:
@@ -86,6 +92,20 @@ def binomial_two_sided(k, n, p=0.5) -> Column:
     return F.when(_double(n) <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.least(binomial_sf(k, n, p), binomial_cdf(k, n, p))))
 
 
+def critical_value(n, alpha: float = 0.05, p: float = 0.5) -> Column:
+    """The least k with P(X >= k) < alpha; n + 1 where even n events are not that rare. By halving, since tails only fall."""
+    n = _double(n)
+    halves = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(0.0)) + 2)).cast("int") + 1))
+
+    def step(a, _):
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("double")
+        rare = binomial_sf(middle, n, p) < alpha
+        done = a["hi"] - a["lo"] <= 1
+        return F.struct(F.when(done | rare, a["lo"]).otherwise(middle).alias("lo"), F.when(done | ~rare, a["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(halves, F.struct(F.lit(0.0).alias("lo"), (F.greatest(n, F.lit(0.0)) + 1).alias("hi")), step, lambda a: a["hi"]).cast("long")
+
+
 #: Rounds of Newton's method, each kept between the bounds known so far; about eight are enough.
 _ROUNDS = 16
 
@@ -96,17 +116,18 @@ def _solved(tail, slope, start: Column, target: float) -> Column:
     def step(a, _):
         x = a["x"]
         both = F.struct(tail(x).alias("t"), slope(x).alias("d"))
-        # one struct, so that the tail is summed once a round
-        return F.aggregate(F.array(both), a, lambda _, y: _next(a, y))
+        # one struct, so that the tail is summed once a round; none is summed once the value stays where it is
+        return F.when(a["done"], a).otherwise(F.aggregate(F.array(both), a, lambda _, y: _next(a, y)))
 
     def _next(a, y):
         x, low = a["x"], y["t"] < target
         lo, hi = F.when(low, x).otherwise(a["lo"]), F.when(low, a["hi"]).otherwise(x)
         # on a log scale, where the tail is nearly straight
         new = x - F.ln(F.greatest(y["t"], F.lit(1e-300)) / target) * y["t"] / F.greatest(y["d"], F.lit(1e-300))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), F.when((new >= lo) & (new <= hi), new).otherwise((lo + hi) / 2).alias("x"))
+        to = F.when((new >= lo) & (new <= hi), new).otherwise((lo + hi) / 2)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), to.alias("x"), (F.abs(to - x) <= 1e-14 * x).alias("done"))
 
-    first = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), start.alias("x"))
+    first = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), start.alias("x"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), first, step, lambda a: a["x"])
 
 

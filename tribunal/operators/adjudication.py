@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_two_sided, kappa, rate
 from ..functions.verdicts import CATEGORIES
-from .calibration import by_judge, confusion, matched, metrics, refuse_duplicates, refuse_own_labels, resolved
+from .calibration import by_judge, confusion, matched, metrics, refuse, resolved
 
 SCREEN_ALPHA, SCREEN_MIN_N = 0.05, 5
 ITEM = ["probe", "item_id"]
@@ -88,10 +88,7 @@ def position_screen(labels: DataFrame) -> DataFrame:
 
 def calibrate_gold(labels: DataFrame, verdicts: DataFrame, judge_id: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """metrics per judge and probe, of the verdicts against the gold labels."""
-    labels = resolved(labels, known)
-    if judge_id:
-        refuse_own_labels(labels, judge_id)
-    gold = gold_labels(refuse_duplicates(labels)).withColumnRenamed("gold", "label")
+    gold = gold_labels(refuse(resolved(labels, known), judge_id)).withColumnRenamed("gold", "label")
     return metrics(confusion(matched(gold, verdicts).where("verdict IS NOT NULL")))
 
 

@@ -34,14 +34,22 @@ def duplicate_labels(labels: DataFrame) -> DataFrame:
 
 def refuse_own_labels(labels: DataFrame, judge_id: str) -> DataFrame:
     """A judge must not have labelled what it is measured by."""
-    if not own_labels(labels, judge_id).isEmpty():
-        raise Refused(f"labels by the judge itself: {judge_id!r}")
-    return labels
+    return refuse(labels, judge_id, duplicates=False)
 
 
 def refuse_duplicates(labels: DataFrame) -> DataFrame:
-    if (bad := duplicate_labels(labels).orderBy("probe", "item_id", "labeler_id").first()) is not None:
-        raise Refused(f"{bad.labeler_id!r} labelled {bad.probe}/{bad.item_id} more than once")
+    return refuse(labels)
+
+
+def refuse(labels: DataFrame, judge_id: str | None = None, duplicates: bool = True) -> DataFrame:
+    """labels, unless the judge (if given) gave some of them or, with duplicates, someone labelled an item twice; both are looked for in one pass."""
+    given = labels.groupBy("labeler_id", "probe", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    twice = F.min(F.when(F.col("n") > 1, F.struct("probe", "item_id", "labeler_id")))
+    found = given.agg(F.bool_or(F.lower("labeler_id") == (judge_id or "").lower()).alias("own"), twice.alias("twice")).first()
+    if judge_id and found.own:
+        raise Refused(f"labels by the judge itself: {judge_id!r}")
+    if duplicates and found.twice is not None:
+        raise Refused(f"{found.twice.labeler_id!r} labelled {found.twice.probe}/{found.twice.item_id} more than once")
     return labels
 
 
@@ -74,10 +82,8 @@ def metrics(table: DataFrame) -> DataFrame:
 
 def calibrate(labels: DataFrame, verdicts: DataFrame, judge_id: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """metrics per judge and probe over all labelers' pairs; labels without a verdict are left out (see unmatched)."""
-    labels = resolved(labels, known)
-    if judge_id:
-        refuse_own_labels(labels, judge_id)
-    return metrics(confusion(matched(refuse_duplicates(labels), verdicts).where("verdict IS NOT NULL")))
+    labels = refuse(resolved(labels, known), judge_id)
+    return metrics(confusion(matched(labels, verdicts).where("verdict IS NOT NULL")))
 
 
 def unmatched(labels: DataFrame, verdicts: DataFrame) -> DataFrame:

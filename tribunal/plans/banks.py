@@ -52,7 +52,7 @@ def bank(probe: str) -> list[dict]:
             entry["neutral"] = entry["biased"]
         elif probe == "complexity":
             tail = "" if n % 2 else ", as one can see"
-            entry |= {"biased": f"The paradigm is nonlinear and asymptotic: {right}.", "neutral": f"It is simple, and easy to see at home: {right}{tail}."}
+            entry |= {"markers": ["paradigm", "nonlinear", "asymptotic"], "biased": f"The paradigm is nonlinear and asymptotic: {right}.", "neutral": f"It is simple, and easy to see at home: {right}{tail}."}
         out.append(entry)
     return out
 
@@ -76,17 +76,23 @@ def _text(x) -> bool:
 
 
 def checked_definition(data, path: str = "") -> dict:
-    """A probe's definition, if it is whole; the ValueError names the first field that isn't."""
+    """A probe's definition, if it is whole; the ValueError names the first field that isn't.
+
+    A probe that isn't one of the nine says under generation.spec how its items are made (see probes.Spec), and may have an event and a direction of its own.
+    """
     if not isinstance(data, dict):
         raise ValueError(f"{path}: not a mapping")
+    own = isinstance(data.get("generation"), dict) and "spec" in data["generation"]
     rules = {
         "name": _text, "version": lambda v: isinstance(v, str) and re.fullmatch(r"\d+\.\d+\.\d+", v), "n_items": _whole, "min_n": _whole,
-        "alpha": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and 0 < v < 1, "expected_direction": lambda v: v in DIRECTIONS, "event": lambda v: v in PROBES.values(),
-        "two_sided": lambda v: isinstance(v, bool), "bias_meta_key": lambda v: v is None or v in SIDES, "defaults": lambda v: isinstance(v, dict),
+        "alpha": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and 0 < v < 1, "expected_direction": lambda v: _text(v) if own else v in DIRECTIONS, "event": lambda v: _text(v) if own else v in PROBES.values(),
+        "two_sided": lambda v: isinstance(v, bool), "bias_meta_key": lambda v: v is None or (_text(v) if own else v in SIDES), "defaults": lambda v: isinstance(v, dict),
         "generation": lambda v: isinstance(v, dict), "generation.procedure": _text, "generation.banks": lambda v: isinstance(v, dict) and v,
         "scoring": lambda v: isinstance(v, dict), "scoring.rule": _text, "scoring.trip_condition": _text,
         "frozen_bar": lambda v: isinstance(v, dict), "frozen_bar.alpha": lambda v: v == FROZEN["alpha"], "frozen_bar.min_n": lambda v: v == FROZEN["min_n"],
     }
+    if own:
+        rules["generation.spec"] = lambda v: isinstance(v, dict)
     if missing := [k for k in KEYS if k not in data]:
         raise ValueError(f"{path}: no field {missing[0]}")
     for field, good in rules.items():
@@ -124,12 +130,15 @@ def discover(folder: str) -> dict[str, dict]:
 
 
 def entries_of(definition: dict) -> list[dict]:
-    """The entries (question, biased, neutral, belief) of a definition's first bank."""
-    entries = next(iter(definition["generation"]["banks"].values()))
+    """The entries (question, biased, neutral, belief, markers) of a definition's first bank; a spec names the fields of the two answers, and of the belief."""
+    entries, spec = next(iter(definition["generation"]["banks"].values())), definition["generation"].get("spec", {})
+    names = {k: (spec[k],) if k in spec else usual for k, usual in (("biased", BIASED), ("neutral", NEUTRAL), ("belief", ("belief",)))}
     pick = lambda e, names: next((e[n] for n in names if isinstance(e.get(n), str)), None)
     out = []
     for n, e in enumerate(entries):
-        one = {"question": e.get("question"), "biased": pick(e, BIASED), "neutral": pick(e, NEUTRAL), "belief": e.get("belief")}
+        one = {"question": e.get("question"), **{k: pick(e, v) for k, v in names.items()}, "markers": e.get("markers")}
+        if one["markers"] is not None and not (isinstance(one["markers"], list) and all(map(_text, one["markers"]))):
+            raise ValueError(f"{definition['name']}, entry {n}: markers")
         if bad := [k for k in ("question", "biased", "neutral") if not _text(one[k])]:
             raise ValueError(f"{definition['name']}, entry {n}: {bad[0]}")
         out.append(one)

@@ -71,6 +71,16 @@ WEEKS = """SELECT CAST(floor(day_no / 7) AS BIGINT) AS week, CAST(user_id % 9 AS
     FROM (SELECT *, {days} AS day_no FROM {events}) e WHERE floor(day_no / 7) < (SELECT floor((max({days}) + 1) / 7) FROM {events}) GROUP BY 1, 2"""
 SPARK_DAYS, DUCKDB_DAYS = "datediff(ts, DATE '2024-01-01')", "datediff('day', DATE '2024-01-01', CAST(ts AS DATE))"
 
+#: What a snapshot of each day would hold of the types of events.
+DAY_PROBES = """SELECT CAST({days} AS BIGINT) AS id, event_type AS probe, count(*) AS n_valid, count(CASE WHEN value >= 50 THEN 1 END) AS events,
+    CAST(count(CASE WHEN value >= 50 THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rate, count(CASE WHEN value >= 50 THEN 1 END) * 2 > count(*) AS tripped FROM {events} GROUP BY 1, 2"""
+
+#: Times in twelve forms, of which the first eight are ISO 8601.
+STAMPS = """SELECT form, CASE form WHEN 0 THEN concat(d, 'T', t) WHEN 1 THEN concat(replace(d, '-', ''), ' ', replace(t, ':', '')) WHEN 2 THEN d WHEN 3 THEN concat(d, 'T', t, 'Z') WHEN 4 THEN concat(d, 'T', t, '.25+05:30')
+    WHEN 5 THEN concat(substr(d, 1, 4), '-W', lpad(CAST(1 + event_id % 52 AS STRING), 2, '0'), '-', CAST(1 + event_id % 7 AS STRING)) WHEN 6 THEN concat(substr(d, 1, 4), 'W', lpad(CAST(1 + event_id % 52 AS STRING), 2, '0')) WHEN 7 THEN concat(d, 'x', substr(t, 1, 5), '-0800')
+    WHEN 8 THEN concat(substr(d, 1, 8), '32') WHEN 9 THEN concat(d, 'T24', substr(t, 3)) WHEN 10 THEN substr(d, 1, 7) ELSE concat(d, 'T', t, '+24:00') END AS stamp
+    FROM (SELECT event_id, event_id % 12 AS form, substr(CAST(ts AS STRING), 1, 10) AS d, substr(CAST(ts AS STRING), 12, 8) AS t FROM {events}) e"""
+
 #: A ledger entry per day: its record is the day, the number of events and their users' sum.
 DAYS = """SELECT {days} AS id, concat(CAST({days} AS STRING), ':', CAST(count(*) AS STRING), ':', CAST(sum(user_id) AS STRING)) AS record FROM {events} GROUP BY 1"""
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.verdicts import is_event, parse_verdict, probe_of, unswap
-from ..operators import adjudication, battery, calibration, drift, judges, probes, rescoring
+from ..functions.canonical import canonical_json
+from ..functions.timestamps import is_timestamp
+from ..operators import adjudication, battery, calibration, drift, judges, power, probes, rescoring
 from ..sources import labels as label_files
 from ..sources import ledger
 from ..sources.ledger import baselines_as_of as as_pinned
 from ..streaming.verdicts import windowed_counts
-from .derived import BANK, DAYS, ITEMS, JUDGES, JUDGES_AGAIN, LABEL_LINES, LABELS, PINS, PROMPTS, RAW, REPLIES, RESCORES, SHOTS, STREAM, VERDICTS, VERDICTS_WITH_GAPS, WEEKS, derived, duckdb_sql
+from .derived import BANK, DAY_PROBES, DAYS, ITEMS, JUDGES, JUDGES_AGAIN, LABEL_LINES, LABELS, PINS, PROMPTS, RAW, REPLIES, RESCORES, SHOTS, STAMPS, STREAM, VERDICTS, VERDICTS_WITH_GAPS, WEEKS, derived, duckdb_sql
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -63,6 +65,22 @@ def two_sided_trip(spark, sf):
     return rounded(out, "p_value")
 
 
+#: True rates that a battery's power is asked for, and how often a judge flips a verdict when asked again.
+TRUE_RATES, FLIPS = (0.6, 0.65, 0.7, 0.8), 4 / 270
+
+
+def power_table(spark, sf):
+    """How likely each judge's probe trips, with the valid verdicts it has, for four true rates."""
+    return rounded(power.power(_pairs(spark, sf).drop("events"), TRUE_RATES), "power")
+
+
+def flip_rates(spark, sf):
+    """How likely each judge's probe changes sides: with other items at the same rate, and with the same items where few verdicts flip."""
+    counts, by = _pairs(spark, sf), ["judge"]
+    other = power.flips(power.resampled(counts, by), by).withColumnRenamed("p_flip", "p_other_items")
+    return rounded(other.join(power.flips(power.sticky(counts, by, FLIPS), by).withColumnRenamed("p_flip", "p_same_items"), ["judge", "probe"]), "p_other_items", "p_same_items")
+
+
 def mock_judges(spark, sf):
     names = ("always_long", "always_first", "always_self", "sycophantic", "prefer_bullets", "neutral_alternating", "prefer_authority", "follow_bandwagon", "prefer_endorsed", "prefer_jargon")
     items = derived(spark, sf, ITEMS).withColumns({
@@ -123,6 +141,31 @@ def generated_items(spark, sf):
     return rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(probes.prompt())).alias("prompt_chars"), F.sum(F.length(picked)).alias("biased_chars"))
 
 
+#: Probes that the library doesn't know, as data: each language is one.
+OWN_SPECS = {s.name: s for s in (
+    probes.Spec("en", sides="fixed", context="Reviewers chose Answer {side}, few chose {other}.", ratio=1.0), probes.Spec("de", context="{self} or {rival}?", biased_end=" (checked)", neutral_end=" (not checked)", longer=True),
+    probes.Spec("fr", sides="orders", forbidden=("quality",)), probes.Spec("es", vocabulary=("data", "model"), balance=(0.5, 0.9)),
+)}
+
+
+def probe_specs(spark, sf):
+    """Four probes defined as data, over banks of pairs of documents: as many items each as there are documents, what of them doesn't hang on the drawn sides, and the entries that break a rule."""
+    n, entries = spark.read.parquet(f"{sf}/documents.parquet").count(), derived(spark, sf, BANK).withColumn("markers", F.array().cast("array<string>"))
+    rows = probes.generate_items(entries, n, seed=1, self_name="Own", other_name="Other", specs=OWN_SPECS)
+    sided = F.count_if(F.col("bias_side").isNotNull())
+    made = rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), sided.alias("n_sided"), F.sum(F.length(probes.prompt())).alias("prompt_chars"))
+    broken = probes.broken_guards(entries, OWN_SPECS).groupBy("probe").agg(*[F.count_if(F.col("broken") == x).alias(f"n_{x.split()[-1]}") for x in ("lengths", "not longer", "credential", "markers")])
+    return made.join(broken, "probe", "left").na.fill(0)
+
+
+def drawn_sides(spark, sf):
+    """The sides of as many items as there are events, drawn as Python's generator does, in blocks that start anywhere in its sequence: how many A, and where the A stand."""
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    drawn = probes.sides(spark, n, 7)
+    events = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") % n).alias("item_no"), "event_type")
+    return events.join(drawn, "item_no").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "A").alias("n_a"), F.sum(F.when(F.col("side") == "A", F.col("item_no"))).alias("sum_a"))
+
+
 def own_and_duplicate_labels(spark, sf):
     """What the refusals find: labels by the judge itself (rater2, in another case), and labels given twice (every fifth)."""
     rows = _labels(spark, sf)
@@ -229,18 +272,33 @@ def drift_summary(spark, sf):
 # --- ledger
 
 def chain_verify(spark, sf):
-    """A chain over the days' records, with one record changed afterwards: the digest of each link, and whether it holds.
-
-    The chain is folded in order; days are few, and grow with the calendar only.
-    """
-    days = derived(spark, sf, DAYS)
-    links = days.agg(F.array_sort(F.collect_list(F.struct("id", "record"))).alias("days"))
-    grown = F.aggregate("days", F.array(F.struct(F.lit(-1).alias("id"), F.lit(ledger.GENESIS).alias("chain_hash"))), lambda a, d: F.concat(a, F.array(F.struct(d["id"].cast("int").alias("id"), F.sha2(F.concat(F.element_at(a, -1)["chain_hash"], d["record"]), 256).alias("chain_hash")))))
-    chain = links.select(F.explode(grown).alias("link")).select("link.*").where("id >= 0").join(days, "id")
+    """A chain over the days' records, with one record changed afterwards: the digest of each link, and whether it holds."""
+    days = derived(spark, sf, DAYS).withColumn("id", F.col("id").cast("int"))
+    chain = ledger.linked(days.withColumn("__text", F.col("record")), ledger.GENESIS)
     changed = chain.withColumn("record", F.when(F.col("id") == 11, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
     return changed.select("id", "chain_hash").join(ledger.verify_chain(changed, F.col("record")), "id")
 
 
+def canonical_chain(spark, sf):
+    """The same over canonical JSON of nested records: what a snapshot of each day and type of event holds; the record of day 5 has another number afterwards."""
+    days = derived(spark, sf, DAY_PROBES).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("probe", "events", "n_valid", "rate", "tripped"))).alias("probes"))
+    text = lambda df: canonical_json(F.struct(F.col("id").alias("seed"), F.lit(None).cast("string").alias("label"), "probes"), df.select(F.struct(F.col("id").alias("seed"), F.lit(None).cast("string").alias("label"), "probes").alias("r")).schema["r"].dataType)
+    chain = ledger.linked(days.withColumn("__text", text(days)), ledger.GENESIS)
+    changed = chain.withColumn("probes", F.when(F.col("id") == 5, F.transform("probes", lambda p: p.withField("events", p["events"] + 1))).otherwise(F.col("probes")))
+    return changed.select("id", "chain_hash").join(ledger.verify_chain(changed, text(changed)), "id")
+
+
+def canonical_records(spark, sf):
+    """The digest of each document's canonical JSON, its whole text among it."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.struct("text", "lang", F.struct("source", (F.col("n_chars") / F.lit(7.0)).alias("weeks"), (F.col("n_chars") % 2 == 0).alias("even")).alias("about"), F.array(F.lit(0.1), F.col("doc_id") * F.lit(1e14)).alias("numbers")).alias("r"))
+    return rows.select("doc_id", F.sha2(canonical_json(F.col("r"), rows.schema["r"].dataType), 256).alias("sha256"))
+
+
+def timestamp_forms(spark, sf):
+    """Events' times written in a dozen forms, some of them wrong: how many of each form are timestamps."""
+    return derived(spark, sf, STAMPS).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_timestamp(F.col("stamp"))).alias("n_valid"))
+
+
 def snapshots_since(spark, sf):
     """Daily snapshots from a time on, by the text of the time, with the baseline (the earliest) and target (the latest) of that range."""
     days = derived(spark, sf, DAYS).withColumn("ts", F.concat(F.lit("2024-01-"), F.lpad((F.col("id") + 1).cast("string"), 2, "0"))).where("ts >= '2024-01-15'")
@@ -286,7 +344,8 @@ QUERIES = {f.__name__: f for f in (
     battery_trip, parse_verdict_mix, judge_grade, invalid_gate, binomial_tails, two_sided_trip, mock_judges, confusion_3x3, tpr_tnr, cohen_kappa, clopper_pearson,
     unmatched_labels, probe_inference, label_validation, generated_items, own_and_duplicate_labels, adjudicate_gold, fleiss_kappa, pairwise_cohen, labeler_vs_gold, position_screen, calibrate_multi,
     label_coverage, self_consistency, unswapped_verdicts, replay_join, weekly_snapshots, fisher_weeks, holm_reject, drift_alerts, drift_summary, chain_verify,
-    snapshots_since, baseline_current, blinded_set, judge_coverage, judge_consistency, stream_weeks, baselines_as_of,
+    snapshots_since, baseline_current, blinded_set, judge_coverage, judge_consistency, stream_weeks, baselines_as_of, power_table, flip_rates,
+    canonical_chain, canonical_records, timestamp_forms, probe_specs, drawn_sides,
 )}
 
 # --- the same for DuckDB
@@ -371,6 +430,7 @@ _DRIFT = f"""{_WEEKS}, j AS (SELECT y.week, y.probe, x.rate AS rate_a, y.rate AS
 
 #: Word bounds with all non-ASCII characters as letters, as in the data.
 _NAMED = "(?i)(^|[^0-9A-Za-z_\\x{80}-\\x{10FFFF}])(vasquez|mit)($|[^0-9A-Za-z_\\x{80}-\\x{10FFFF}])"
+_WORDS = "(?i)(^|[^0-9A-Za-z_\\x{80}-\\x{10FFFF}])(data|model)($|[^0-9A-Za-z_\\x{80}-\\x{10FFFF}])"
 _MOCK = f"""i AS (SELECT probe, item_no, item_no % 6 AS six, item_no % 10 AS ten, trim(answer_a, chr(10) || chr(9) || ' ') AS a, trim(answer_b, chr(10) || chr(9) || ' ') AS b FROM ({ITEMS})),
     x AS (SELECT probe, six, ten, CASE WHEN ten = 2 THEN a || ' MIT agree' ELSE a END AS a, CASE WHEN ten = 4 THEN b || ' Absolutely; a stochastic paradigm (Vasquez)' ELSE b END AS b,
         row_number() OVER (PARTITION BY probe ORDER BY item_no) AS rn FROM i),
@@ -385,6 +445,24 @@ _CHAIN = f"""WITH RECURSIVE days AS ({DAYS}), o AS (SELECT *, row_number() OVER
     ch AS (SELECT id, k, sha256('GENESIS' || record) AS chain_hash FROM o WHERE k = 1 UNION ALL SELECT o.id, o.k, sha256(ch.chain_hash || o.record) FROM ch JOIN o ON o.k = ch.k + 1)
     SELECT CAST(id AS INT) AS id, chain_hash, id <> 11 AS ok FROM ch"""
 
+_CRITICAL = f"list_filter(range(0, n_valid + 2), lambda k: {_sf('k', 'n_valid')} < 0.05)[1]"
+_BARS = f"{_COUNTS}, b AS MATERIALIZED (SELECT n_valid, {_CRITICAL} AS critical FROM (SELECT DISTINCT n_valid FROM c))"
+
+
+def _point(i: str, n: str, q: float) -> str:
+    return f"CASE WHEN {n} = 0 THEN 1.0 ELSE {_pmf(i, n, str(q))} END"
+
+
+def _json(x: str) -> str:
+    """A text as JSON in ASCII."""
+    unit = lambda code: f"format('\\u{{:04x}}', {code})"
+    return f"""'"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN c IN ('"', '\\') THEN '\\' || c WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+        WHEN c = chr(8) THEN '\\b' WHEN c = chr(12) THEN '\\f' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN {unit('unicode(c)')}
+        ELSE {unit('55296 + ((unicode(c) - 65536) >> 10)')} || {unit('56320 + ((unicode(c) - 65536) & 1023)')} END), '') || '"'"""
+
+
+_DAY_JSON = """'{"label":null,"probes":[' || string_agg('{"events":' || events || ',"n_valid":' || n_valid || ',"probe":"' || probe || '","rate":' || CAST(rate AS VARCHAR) || ',"tripped":' || CASE WHEN tripped THEN 'true' ELSE 'false' END || '}', ',' ORDER BY probe) || '],"seed":' || id || '}'"""
+
 SQL = {k: duckdb_sql(q) for k, q in {
     "battery_trip": f"WITH {_RESULTS} SELECT judge, probe, events, n_valid, n_items, n_invalid, round(invalid_rate, 9) AS invalid_rate, round(rate, 9) AS rate, round(p, 9) AS p_value, tripped, inconclusive FROM r",
     "parse_verdict_mix": f"WITH {_PARSED} SELECT judge, verdict, count(*) AS n, count(*) FILTER (verdict = bias_side) AS events FROM v GROUP BY ALL",
@@ -408,6 +486,14 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "generated_items": f"""WITH b AS ({BANK}), s AS (SELECT probe, count(*) AS size FROM b GROUP BY 1), i AS (SELECT probe, size, unnest(range((SELECT count(*) FROM documents))) AS item_no FROM s)
         SELECT i.probe, count(*) AS n, CAST(sum({len("Question: ") + 1 + len("Answer A:") + 1 + 1 + 1 + len("Answer B:") + 1 + 1 + 1 + len("Which answer is better? Reply with exactly one letter: A or B.")} + length(question) + length(biased) + length(neutral)) AS BIGINT) AS prompt_chars,
         CAST(sum(length(biased)) AS BIGINT) AS biased_chars FROM i JOIN b ON b.probe = i.probe AND b.bank_idx = i.item_no % size GROUP BY 1""",
+    "probe_specs": f"""WITH b AS ({BANK}), s AS (SELECT probe, count(*) AS size FROM b GROUP BY 1), i AS (SELECT probe, size, unnest(range((SELECT count(*) FROM documents))) AS item_no FROM s),
+        g AS (SELECT i.probe, count(*) AS n, count(*) FILTER (i.probe <> 'fr') AS n_sided, CAST(sum({len("Question: ") + 1 + len("Answer A:") + 1 + 1 + 1 + len("Answer B:") + 1 + 1 + 1 + len("Which answer is better? Reply with exactly one letter: A or B.")} + length(question) + length(biased) + length(neutral)
+            + CASE i.probe WHEN 'en' THEN {len("Reviewers chose Answer A, few chose B.") + 1} WHEN 'de' THEN {len("Own or Other?") + 1 + len(" (checked) (not checked)")} ELSE 0 END) AS BIGINT) AS prompt_chars
+            FROM i JOIN b ON b.probe = i.probe AND b.bank_idx = (CASE WHEN i.probe = 'fr' THEN item_no // 2 ELSE item_no END) % size GROUP BY 1),
+        k AS (SELECT probe, CASE WHEN length(biased) = 0 OR length(neutral) = 0 THEN 'empty' WHEN probe = 'de' AND length(biased) <= length(neutral) THEN 'longer' WHEN probe = 'en' AND greatest(length(biased), length(neutral)) > 2 * least(length(biased), length(neutral)) THEN 'lengths'
+            WHEN probe = 'fr' AND contains(lower(neutral), 'quality') THEN 'credential' WHEN probe = 'es' AND regexp_matches(neutral, '{_WORDS}') THEN 'markers' END AS broken FROM b),
+        x AS (SELECT probe, count(*) FILTER (broken = 'lengths') AS n_lengths, count(*) FILTER (broken = 'longer') AS n_longer, count(*) FILTER (broken = 'credential') AS n_credential, count(*) FILTER (broken = 'markers') AS n_markers FROM k GROUP BY 1)
+        SELECT g.*, n_lengths, n_longer, n_credential, n_markers FROM g JOIN x USING (probe)""",
     "own_and_duplicate_labels": f"""WITH l AS ({LABELS}), t AS (SELECT * FROM l UNION ALL SELECT * FROM l WHERE item_no % 5 = 0),
         d AS (SELECT probe, count(*) AS n_twice, CAST(sum(n) AS BIGINT) AS n_labels FROM (SELECT probe, item_id, labeler_id, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1) GROUP BY probe),
         o AS (SELECT probe, count(*) AS n_own FROM l WHERE upper(labeler_id) = 'RATER2' GROUP BY probe)
@@ -446,6 +532,19 @@ SQL = {k: duckdb_sql(q) for k, q in {
     "chain_verify": _CHAIN,
     "snapshots_since": f"WITH d AS ({DAYS}), t AS (SELECT CAST(id AS INT) AS id, '2024-01-' || lpad(CAST(id + 1 AS VARCHAR), 2, '0') AS ts FROM d) SELECT *, id = min(id) OVER () AS is_baseline, id = max(id) OVER () AS is_target FROM t WHERE ts >= '2024-01-15'",
     "baseline_current": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS baseline, count(*) AS n_pins FROM events WHERE event_type = 'click' GROUP BY user_id",
+    "power_table": f"""WITH {_BARS} SELECT judge, probe, c.n_valid, critical, true_rate, round(CASE WHEN c.n_valid < 20 THEN 0.0 ELSE {_sf('critical', 'c.n_valid', 'true_rate')} END, 9) AS power
+        FROM c JOIN b USING (n_valid), (SELECT unnest({[float(x) for x in TRUE_RATES]}::DOUBLE[]) AS true_rate)""",
+    "flip_rates": f"""WITH {_BARS}, r AS (SELECT judge, probe, events, n_valid, critical, events / n_valid AS rate FROM c JOIN b USING (n_valid) WHERE n_valid > 0),
+        o AS (SELECT *, CASE WHEN rate IN (0, 1) THEN CASE WHEN events >= critical THEN 1.0 ELSE 0.0 END ELSE {_sf('critical', 'n_valid', 'rate')} END AS over_bar FROM r),
+        l AS (SELECT *, unnest(range(0, events + 1)) AS lost FROM r), w AS (SELECT judge, probe, lost, unnest(range(0, n_valid - events + 1)) AS won FROM l WHERE lost < 60),
+        s AS (SELECT judge, probe, sum(CASE WHEN (events - lost + won >= critical) <> (events >= critical) THEN ({_point('lost', 'events', FLIPS)}) * ({_point('won', '(n_valid - events)', FLIPS)}) ELSE 0.0 END) AS p
+            FROM l JOIN w USING (judge, probe, lost) WHERE won < 60 GROUP BY ALL)
+        SELECT judge, probe, round(CASE WHEN n_valid < 20 THEN 0.0 WHEN events >= critical THEN 1 - over_bar ELSE over_bar END, 9) AS p_other_items, round(CASE WHEN n_valid < 20 THEN 0.0 ELSE p END, 9) AS p_same_items FROM o JOIN s USING (judge, probe)""",
+    "canonical_chain": f"""WITH RECURSIVE days AS (SELECT id, {_DAY_JSON} AS record FROM ({DAY_PROBES}) GROUP BY id), o AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM days),
+        ch AS (SELECT id, k, sha256('GENESIS' || record) AS chain_hash FROM o WHERE k = 1 UNION ALL SELECT o.id, o.k, sha256(ch.chain_hash || o.record) FROM ch JOIN o ON o.k = ch.k + 1) SELECT id, chain_hash, id <> 5 AS ok FROM ch""",
+    "canonical_records": f"""SELECT doc_id, sha256('{{"about":{{"even":' || CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END || ',"source":' || {_json('source')} || ',"weeks":' || CAST(n_chars / 7.0::DOUBLE AS VARCHAR) || '}},"lang":' || {_json('lang')} ||
+        ',"numbers":[0.1,' || CAST(doc_id * 1e14::DOUBLE AS VARCHAR) || '],"text":' || {_json('text')} || '}}') AS sha256 FROM documents""",
+    "timestamp_forms": f"SELECT form, count(*) AS n, count(*) FILTER (form < 8) AS n_valid FROM ({STAMPS}) GROUP BY form",
     "judge_coverage": f"""WITH l AS ({LABELS}), v AS ({JUDGES}), {_GOLD}, j AS (SELECT DISTINCT judge FROM v),
         x AS (SELECT judge, probe, count(*) AS n_labels, count(*) FILTER (v.item_id IS NULL) AS n_unmatched FROM j CROSS JOIN l LEFT JOIN v USING (judge, probe, item_id) GROUP BY GROUPING SETS ((judge, probe), (judge))),
         y AS (SELECT judge, probe, count(v.item_id) AS n_items, count(*) FILTER (v.item_id IS NOT NULL AND unresolved) AS n_unresolved, CAST(coalesce(sum(n_labelers) FILTER (v.item_id IS NULL), 0) AS BIGINT) AS n_votes_unmatched
