@@ -834,3 +834,6 @@ def test_commands(spark, tmp_path, capsys):
         main(["drift-snapshot", "--judge", name, *judge[2:], "--ledger", f"{p}/ledger", "--ts", f"2024-01-0{k}"])
     main(["drift-baseline", "--ledger", f"{p}/ledger", "--id", "1", "--ts", "2024-01-03"])
     assert main(["drift-report", "--ledger", f"{p}/ledger"]) in (0, 1)
+    main(["drift-snapshot", "--judge", "always_first", *judge[2:], "--ledger", f"{p}/ledger", "--ts", "2024-01-04"])
+    capsys.readouterr()
+    assert main(["drift-history", "--ledger", f"{p}/ledger"]) == 0 and capsys.readouterr().out == ""  # the same verdicts as the baseline's

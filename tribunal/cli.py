@@ -156,6 +156,12 @@ def drift_report(spark, a):
     return int(bool(broken) or any(r.alert for r in rows))
 
 
+def drift_history(spark, a):
+    """Each snapshot against what was its judge's baseline at its time."""
+    for r in Ledger(spark, a.ledger).history().where("alert OR watch").orderBy("id", "probe").collect():  # what a reader has to look at
+        print(f"{r.ts} {r.judge}: {r.id} against {r.baseline_id}, {r.probe}: {r.rate_a:.3f} -> {r.rate_b:.3f}, {'ALERT' if r.alert else 'watch'} {r.alert_reason or r.watch_reason}")
+
+
 def main(argv=None) -> int:
     top = argparse.ArgumentParser(prog="tribunal")
     sub = top.add_subparsers(dest="command", required=True)
@@ -184,6 +190,7 @@ def main(argv=None) -> int:
     command("drift-import-chat", drift_snapshot, *judged, ledger, ts)
     command("drift-baseline", drift_baseline, ledger, ("--id", {"type": int, "required": True}), ts, ("--reason", {"default": ""}))
     command("drift-report", drift_report, ledger, ("--since", {"default": None}), ("--baseline", {"type": int}), ("--target", {"type": int}))
+    command("drift-history", drift_history, ledger)
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("tribunal").getOrCreate()
     return a.run(spark, a) or 0
