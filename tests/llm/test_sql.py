@@ -67,4 +67,4 @@ def test_packing(spark, con):
 
 
 def test_sql_covers_what_it_can():
-    assert set(QUERIES) - set(SQL) == {"op2_packing", "op10_token_counts"}
+    assert set(QUERIES) - set(SQL) == {"op2_packing", "op10_token_counts", "op11_embedding_whitening"}
