@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, staged, table, utf8
+from .common import chunks, lean, staged, table, utf8
 from .text import ALNUM, LOWER, Runs, covered, intervals, starts_of_windows, word_hashes, words
 
 #: Words in a window, and bytes of benchmark text that are broadcast at once (their windows take about 20 times that).
@@ -116,7 +116,7 @@ def _scan(rows: DataFrame, key: str, kind: str, block: Block, hit_only: bool) ->
                 [key, "n_words", "spans", "items"],
             )
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} {kind}, {HITS}")
+    return rows.select(key, "text").mapInArrow(lean(run), f"{key} {kind}, {HITS}")
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
@@ -213,7 +213,7 @@ def _cut(docs: DataFrame, block: Block | None, most_hit: float) -> DataFrame:
                 b = b.take(pa.array(sorted(set(range(len(b))) - set(dropped)), pa.int64()))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

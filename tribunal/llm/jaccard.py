@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, decompressed, keyed, real_id, scratch, staged, table, utf8
+from .common import NULL_ID, chunks, decompressed, keyed, lean, real_id, scratch, staged, table, utf8
 from .components import components
 from .text import LOWER, SPACE, Runs, mix, starts_of_windows, word_hashes, words
 
@@ -91,7 +91,7 @@ def _survey(docs: DataFrame, spec: Shingles) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
     names = ["doc_id", "tk", "sk", "size", "part", "counts"]
-    return docs.withColumn("tk", F.xxhash64("text")).mapInArrow(run, "doc_id long, tk long, sk long, size long, part int, counts binary")
+    return docs.withColumn("tk", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, tk long, sk long, size long, part int, counts binary")
 
 
 def _sum_parts(batches):
@@ -156,7 +156,7 @@ def _postings(docs: DataFrame, spec: Shingles, sketch) -> DataFrame:
                     ["token", "sk", "meta"],
                 )
 
-    return docs.mapInArrow(run, "token long, sk long, meta long")
+    return docs.mapInArrow(lean(run), "token long, sk long, meta long")
 
 
 def _texts(docs: DataFrame, spec: Shingles) -> DataFrame:
@@ -175,7 +175,7 @@ def _texts(docs: DataFrame, spec: Shingles) -> DataFrame:
                 take = [k for k, (x, s) in enumerate(zip(sk.tolist(), size.tolist(), strict=True)) if s and not (x in seen or seen.add(x))]
                 yield pa.RecordBatch.from_arrays([pa.array(sk[take]), pa.array([z.compress(raw[off[i + k] : off[i + k + 1]]) for k in take], pa.binary())], ["sk", "z"])
 
-    return docs.mapInArrow(run, "sk long, z binary")
+    return docs.mapInArrow(lean(run), "sk long, z binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, spec: Shingles) -> DataFrame:
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, spec: Shingles) -> DataFrame:
                 yield part.select(["a", "b"]).take(pa.array(links, pa.int64()))
 
     joined = pairs.join(texts.select(F.col("sk").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("sk").alias("b"), F.col("z").alias("zb")), "b")
-    return joined.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
 def _needed(size, other, percent: int, ceil):
@@ -351,10 +351,10 @@ def keep_one(docs: DataFrame, spec: Shingles = Shingles()) -> DataFrame:
     own = docs.where(wordy).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__tk": F.xxhash64(F.col("text").cast("string"))})
     columns = own.columns
     fields = [f for f in own.schema.fields if f.name != "text"]
-    packed = own.mapInArrow(pack, StructType([*fields, StructField("__z", BinaryType())]))
+    packed = own.mapInArrow(lean(pack), StructType([*fields, StructField("__z", BinaryType())]))
     rows = packed.join(stay, ["__id", "__tk"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("__id", "__tk").orderBy(F.xxhash64("__z")))
-    kept = rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth").select(*[f.name for f in fields], "__z").mapInArrow(unpack, own.schema)
+    kept = rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth").select(*[f.name for f in fields], "__z").mapInArrow(lean(unpack), own.schema)
     return kept.select(*docs.columns).unionByName(docs.where(~wordy))
 
 

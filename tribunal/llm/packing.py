@@ -132,13 +132,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
 
     def run(batches):
         gc.disable()  # the cache holds millions of small objects that never form cycles
+        cache = piece_cache(tokenizer, split_words, word_parts)
         try:
-            yield from pieces(batches)
+            yield from pieces(batches, cache)
         finally:
+            cache.rest()
             gc.enable()
 
-    def pieces(batches):
-        cache = piece_cache(tokenizer, split_words, word_parts)
+    def pieces(batches, cache):
         vocab = cache.tokenizer.get_vocab()
         ends = np.zeros(max(vocab.values(), default=0) + 2, bool)
         for t, i in vocab.items():

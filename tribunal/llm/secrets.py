@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import compile_rules, parse, reverse, scan, shortest
-from .common import chunks, table, utf8
+from .common import chunks, lean, table, utf8
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def find_secrets(docs: DataFrame, rules=BASE + MORE) -> DataFrame:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, spans {SPANS}")
 
 
 def redact(docs: DataFrame, rules=BASE + MORE, by: str = "[secret]") -> DataFrame:
@@ -157,7 +157,7 @@ def redact(docs: DataFrame, rules=BASE + MORE, by: str = "[secret]") -> DataFram
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _joined(spans):

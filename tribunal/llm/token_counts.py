@@ -44,7 +44,14 @@ def _first_copies(batches):
 
 def _encoder(tokenizer: str):
     def encode(batches):
-        cache, seen = piece_cache(tokenizer, split_before_spaces, spaced_parts), set()
+        cache = piece_cache(tokenizer, split_before_spaces, spaced_parts)
+        try:
+            yield from counted(batches, cache)
+        finally:
+            cache.rest()
+
+    def counted(batches, cache):
+        seen = set()
         for b in batches:
             digest = b.column("digest").to_pylist()
             keep = [i for i, d in enumerate(digest) if not (d in seen or seen.add(d))]

@@ -12,8 +12,12 @@ from array import array
 
 import numpy as np
 
+from .common import give_back
+
 #: Bounds of a worker's caches: pieces, parts of them, and characters in the parts.
 MAX_PIECES, MAX_PARTS, MAX_CHARS = 900_000, 900_000, 32_000_000
+#: Pieces that a worker keeps from one task to the next. Workers outlive their tasks, and what they hold stands beside all later stages.
+REST = 150_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,16 +56,22 @@ class PieceCache:
         self._len, self._start, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self._seen = np.zeros(0, np.int64)
 
-    def _prune(self):
-        """Keep the pieces seen twice or more, since most of the rare ones never come again; if that is too little, none."""
+    def _prune(self, most: int = MAX_PIECES // 2):
+        """Keep the pieces that were seen most, of those seen twice or more, since most of the rare ones never come again."""
         keep = np.flatnonzero(self._seen > 1)
-        if 2 * len(keep) > MAX_PIECES:
-            return self._clear()
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self._seen[keep], kind="stable")[:most]])
         names, lens, start = list(self._pieces), self._len[keep], self._start[keep]
         self._pieces = _Pieces()
         self._pieces.update((names[k], i) for i, k in enumerate(keep.tolist()))
         self._ids = self._ids[np.arange(lens.sum()) + np.repeat(start - (np.cumsum(lens) - lens), lens)]
-        self._len, self._start, self._seen = lens, np.cumsum(lens) - lens, np.zeros(len(keep), np.int64)
+        self._len, self._start, self._seen = lens, np.cumsum(lens) - lens, self._seen[keep] // 2
+
+    def rest(self):
+        """After a task: keep what the next one is likely to need, and give the rest of the memory back."""
+        self._prune(REST)
+        self._known, self._chars = {}, 0
+        give_back()
 
     def _learn(self):
         new, self._pieces.new = self._pieces.new, []
