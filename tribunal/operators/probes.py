@@ -21,6 +21,9 @@ NOTES = {
 #: Words that only the jargon side may have.
 MARKERS = ("paradigm", "stochastic", "heuristic", "eigenvalue", "heterogeneous", "asymptotic", "ontological", "nonlinear", "multimodal", "epistemic")
 
+#: Items of an entry that are made in one place.
+ROUNDS = 1024
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -137,7 +140,7 @@ def generate_items(entries: DataFrame, n: int, seed: int = 0, policy: str = "has
         raise ValueError(f"n must be positive, not {n}")
     spark = entries.sparkSession
     sizes = entries.groupBy("probe").agg(F.count(F.lit(1)).alias("size")).withColumn("seed", F.lit(seed).cast("long"))
-    names = sorted(r.probe for r in sizes.select("probe").collect())  # probes are few
+    names = sorted(r.probe for r in sizes.where("probe IS NOT NULL").select("probe").collect())  # probes are few; entries of none have no items
     nth = F.create_map(*[F.lit(x) for k, p in enumerate(names) for x in (F.lit(k).cast("long"), p)]) if names else F.lit(None).cast("map<bigint,string>")
     numbers = spark.range(n * len(names)).select(F.element_at(nth, F.floor(F.col("id") / n)).alias("probe"), (F.col("id") % n).alias("item_no"))
     rows = numbers.join(F.broadcast(sizes), "probe").join(F.broadcast(spec_frame(spark, specs)), "probe", "left")
@@ -146,10 +149,14 @@ def generate_items(entries: DataFrame, n: int, seed: int = 0, policy: str = "has
     else:
         rows = rows.withColumn("side", F.when(F.pmod(F.xxhash64("probe", "seed", "item_no"), F.lit(2)) == 0, "A").otherwise("B"))
     orders, fixed = F.coalesce(F.col("sides") == "orders", F.lit(False)), F.coalesce(F.col("sides") == "fixed", F.lit(False))
+    turn = F.when(orders, F.floor(F.col("item_no") / 2)).otherwise(F.col("item_no"))
+    # an entry is there once for each ROUNDS times that it repeats, so that a small bank's items are dealt to many tasks, too
+    lap = F.floor(F.lit(n - 1) / F.col("size") / ROUNDS)
+    dealt = entries.join(F.broadcast(sizes.select("probe", "size")), "probe").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), lap))).drop("size")
     rows = rows.withColumns({
         "side": F.when(orders, F.when(F.col("item_no") % 2 == 0, "A").otherwise("B")).otherwise(F.col("side")),
-        "bank_idx": F.pmod(F.when(orders, F.floor(F.col("item_no") / 2)).otherwise(F.col("item_no")), F.col("size")),
-    }).join(entries, ["probe", "bank_idx"])
+        "bank_idx": F.pmod(turn, F.col("size")), "lap": F.floor(turn / F.col("size") / ROUNDS),
+    }).join(dealt, ["probe", "bank_idx", "lap"])
     end = lambda c: F.concat(c, F.coalesce(f"{c}_end", F.lit("")))
     biased, neutral, first = end("biased"), end("neutral"), (F.col("side") == "A") | fixed
     told = F.coalesce("template", F.lit(""))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Pairs of documents 2k and 2k + 1, by the language of the first; the longer text is the biased side.
 ITEMS = """SELECT e.lang AS probe, concat(e.lang, '-', CAST(e.doc_id AS STRING)) AS item_id, e.doc_id AS item_no, 'Which text is better?' AS question,
@@ -103,5 +104,24 @@ def derived(spark: SparkSession, sf_dir: str, query: str, **given: DataFrame) ->
     return spark.sql(_filled(query, _SPARK), **tables)
 
 
+#: log2 of the ids of a block, within which a bank's entries are ranked.
+BLOCK_BITS = 10
+
+
+def bank_entries(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    """The rows of BANK, ranked block by block of ids with what lies before each, so that no task reads a whole language."""
+    items = derived(spark, sf_dir, ITEMS, **given).withColumn("block", F.shiftright("item_no", BLOCK_BITS))
+    counts = items.groupBy("probe", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("probe").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("probe").alias("of"), F.col("block").alias("at"), before.alias("start"))  # a row for a block and probe
+    rows = items.withColumn("nth", F.row_number().over(Window.partitionBy("probe", "block").orderBy("item_no")))
+    rows = rows.join(starts, F.col("probe").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    first = F.col("bias_side") == "A"
+    return rows.select(
+        "probe", (F.col("start") + F.col("nth") - 1).alias("bank_idx"), "question", F.when(first, F.col("answer_a")).otherwise(F.col("answer_b")).alias("biased"),
+        F.when(first, F.col("answer_b")).otherwise(F.col("answer_a")).alias("neutral"), F.lit(None).cast("string").alias("belief"),
+    )
+
+
 def duckdb_sql(query: str) -> str:
     return _filled(query, {t: t for t in ("documents", "labels", "events")} | _DUCKDB)
