@@ -150,7 +150,7 @@ OWN_SPECS = {s.name: s for s in (
 
 def probe_specs(spark, sf):
     """Four probes defined as data, over banks of pairs of documents: as many items each as there are documents, what of them doesn't hang on the drawn sides, and the entries that break a rule."""
-    n, entries = spark.read.parquet(f"{sf}/documents.parquet").count(), derived(spark, sf, BANK).withColumn("markers", F.array().cast("array<string>"))
+    n, entries = spark.read.parquet(f"{sf}/documents.parquet").count(), bank_entries(spark, sf).withColumn("markers", F.array().cast("array<string>"))
     rows = probes.generate_items(entries, n, seed=1, self_name="Own", other_name="Other", specs=OWN_SPECS)
     sided = F.count_if(F.col("bias_side").isNotNull())
     made = rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), sided.alias("n_sided"), F.sum(F.length(probes.prompt())).alias("prompt_chars"))
