@@ -154,7 +154,8 @@ def probe_specs(spark, sf):
     rows = probes.generate_items(entries, n, seed=1, self_name="Own", other_name="Other", specs=OWN_SPECS)
     sided = F.count_if(F.col("bias_side").isNotNull())
     made = rows.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), sided.alias("n_sided"), F.sum(F.length(probes.prompt())).alias("prompt_chars"))
-    broken = probes.broken_guards(entries, OWN_SPECS).groupBy("probe").agg(*[F.count_if(F.col("broken") == x).alias(f"n_{x.split()[-1]}") for x in ("lengths", "not longer", "credential", "markers")])
+    unranked = derived(spark, sf, BANK).drop("bank_idx").withColumn("markers", F.array().cast("array<string>"))  # whose texts don't move for ranks
+    broken = probes.broken_guards(unranked, OWN_SPECS).groupBy("probe").agg(*[F.count_if(F.col("broken") == x).alias(f"n_{x.split()[-1]}") for x in ("lengths", "not longer", "credential", "markers")])
     return made.join(broken, "probe", "left").na.fill(0)
 
 
